@@ -1,0 +1 @@
+"""Oracle texts beyond the catalog (filled in per module)."""

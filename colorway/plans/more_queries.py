@@ -1,0 +1 @@
+"""Registered queries beyond the catalog (filled in per module)."""
