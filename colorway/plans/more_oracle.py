@@ -1 +1,101 @@
-"""Oracle texts beyond the catalog (filled in per module)."""
+"""Oracle texts beyond the catalog."""
+
+from __future__ import annotations
+
+from colorway.plans.oracle import oracle
+
+# --- pricing -------------------------------------------------------------------
+
+oracle("cart_totals", ["order_items"], """
+select order_id, cast(sum(quantity) as bigint) as item_count, cast(sum(quantity * price) as bigint) as subtotal,
+  count(*) as lines from order_items group by order_id""")
+
+oracle("shipping_config", ["shipping_config"], """
+, d as (select 500000 as free_above, 10000 as flat_rate, 20000 as express_rate)
+select * from (select * from shipping_config limit 1) union all
+select * from d where not exists (select 1 from shipping_config)""")
+
+oracle("code_lookup", ["checkouts", "discount_codes"], """
+, m as (select code, count(*) as n, min(id) as id from discount_codes where is_active group by code)
+select c.session_id, c.typed_code, case when m.n = 1 then m.id end as code_id,
+  case when m.n is null then 'none' when m.n = 1 then 'ok' else 'many' end as lookup
+from checkouts c left join m on m.code = upper(c.typed_code)""")
+
+oracle("lookup_one", ["discount_codes"], """
+select code, case when count(*) = 1 then 'ok' else 'many' end as lookup,
+  case when count(*) = 1 then min(id) end as code_id
+from discount_codes where is_active group by code""")
+
+_PRICED = """
+, tot as (select order_id as session_id, cast(sum(quantity) as bigint) as item_count,
+                 cast(sum(quantity * price) as bigint) as subtotal, count(*) as lines
+          from order_items group by order_id),
+cfg as (select * from (select * from shipping_config limit 1) union all
+        select 500000, 10000, 20000 where not exists (select 1 from shipping_config)),
+one as (select code from discount_codes where is_active group by code having count(*) = 1),
+dc as (select d.* from discount_codes d join one using (code) where d.is_active),
+base as (
+  select c.session_id, c.typed_code, c.now_ts, c.shipping_method, t.item_count, t.subtotal, t.lines, d.*
+  from checkouts c join tot t on t.session_id = c.session_id
+  left join dc d on d.code = upper(c.typed_code)),
+chk as (
+  select *, case
+    when typed_code is null or trim(typed_code) = '' then 'no_code'
+    when code is null then 'no_match'
+    when starts_at is not null and starts_at > now_ts then 'not_started'
+    when expires_at is not null and expires_at < now_ts then 'expired'
+    when coalesce(max_uses, 0) <> 0 and coalesce(used_count, 0) >= max_uses then 'used_up'
+    when coalesce(min_order_value, 0) <> 0 and subtotal < min_order_value then 'below_minimum'
+    else 'ok' end as discount_status
+  from base),
+amt as (
+  select *, case when discount_status <> 'ok' then 0
+    else least(subtotal, case discount_type when 'fixed' then coalesce(discount_value, 0)
+                              when 'percentage' then cast(floor(subtotal * (coalesce(discount_value, 0) / 100)) as bigint)
+                              else 0 end) end as discount_amount
+  from chk),
+fee as (
+  select a.*, case a.shipping_method
+      when 'standard' then case when a.subtotal >= coalesce(g.free_above, 0) then 0 else coalesce(g.flat_rate, 0) end
+      when 'express' then coalesce(g.express_rate, 0) else 0 end as shipping_fee
+  from amt a, cfg g),
+fin as (select *, greatest(0, subtotal - discount_amount + shipping_fee) as total from fee)
+"""
+
+INDIAN = ("concat('₹', case when {n} < 0 then '-' else '' end, "
+          "case when length(cast(abs({n}) // 100 as varchar)) <= 3 then cast(abs({n}) // 100 as varchar) else "
+          "concat(reverse(array_to_string(regexp_extract_all(reverse(left(cast(abs({n}) // 100 as varchar), "
+          "length(cast(abs({n}) // 100 as varchar)) - 3)), '.{{1,2}}'), ',')), ',', "
+          "right(cast(abs({n}) // 100 as varchar), 3)) end, '.', lpad(cast(abs({n}) % 100 as varchar), 2, '0'))")
+
+PLAIN = ("concat(case when {n} < 0 then '-' else '' end, cast(abs({n}) // 100 as varchar), '.', "
+         "lpad(cast(abs({n}) % 100 as varchar), 2, '0'))")
+
+_PRICE_USES = ["checkouts", "order_items", "discount_codes", "shipping_config"]
+
+oracle("discount_check", _PRICE_USES, _PRICED + "select session_id, discount_status from fin")
+oracle("discount_amount", _PRICE_USES, _PRICED + "select session_id, subtotal, cast(discount_amount as bigint) as discount_amount from fin")
+oracle("shipping_fee", _PRICE_USES, _PRICED + "select session_id, shipping_method, cast(shipping_fee as bigint) as shipping_fee from fin")
+oracle("order_total", _PRICE_USES, _PRICED + "select session_id, cast(total as bigint) as total from fin")
+oracle("checkout_pricing", _PRICE_USES, _PRICED + f"""
+select session_id, item_count, subtotal, lines, discount_status,
+  case when discount_status = 'ok' then id end as discount_id,
+  cast(discount_amount as bigint) as discount_amount, shipping_method, cast(shipping_fee as bigint) as shipping_fee,
+  cast(total as bigint) as total, {INDIAN.format(n='total')} as total_label,
+  {PLAIN.format(n='total')} as gateway_amount
+from fin""")
+
+oracle("price_labels", ["orders_t"], f"""
+select id as order_id, total_amount, {INDIAN.format(n='total_amount')} as label from orders_t""")
+
+oracle("gateway_amount", ["order_requests"], f"""
+select request_id, {PLAIN.format(n='amount')} as order_amount from order_requests""")
+
+oracle("line_totals", ["order_items"], f"""
+select order_id, variant_id, quantity * price as line_total, {INDIAN.format(n='quantity * price')} as label
+from order_items""")
+
+oracle("cart_keys", ["order_items", "products", "product_variants"], """
+select i.order_id, i.variant_id,
+  coalesce(nullif(i.variant_id, ''), concat_ws('-', p.slug, v.size)) as cart_key
+from order_items i left join products p on p.id = i.product_id left join product_variants v on v.id = i.variant_id""")
