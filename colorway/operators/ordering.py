@@ -68,5 +68,15 @@ def first_by(df: DataFrame, keys: list[str], rank: Column, cols: list[str]) -> D
 def desc_key(ts: Column) -> Column:
     """Sort key that orders a timestamp descending with NULLs first, for use
     inside a min(struct): NULL -> smallest, later times -> smaller."""
-    micros = F.unix_micros(ts)
+    micros = wall_micros(ts)
     return F.coalesce(-micros, F.lit(-(1 << 63)).cast("long"))
+
+
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of the wall-clock time of a
+    TIMESTAMP_NTZ, with no time zone involved."""
+    t = ts.cast("timestamp_ntz")
+    day = F.unix_date(F.to_date(t)).cast("long") * F.lit(86_400_000_000)
+    tod = (F.hour(t).cast("long") * 3_600_000_000 + F.minute(t).cast("long") * 60_000_000
+           + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("long"))
+    return day + tod
