@@ -192,3 +192,115 @@ left join categories c on c.id = p.category_id left join rs on rs.product_id = p
 oracle("user_labels", ["users"], """
 select id as user_id, coalesce(nullif(full_name, ''), email) as display_name,
   coalesce(nullif(full_name, ''), 'Not provided') as profile_name, 'Not provided' as phone from users""")
+
+# --- orders and payments ---------------------------------------------------------
+
+from colorway.functions.payments import hmac_pads  # noqa: E402
+from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY  # noqa: E402
+
+
+def _hmac(key: bytes, msg: str) -> str:
+    ipad, opad = hmac_pads(key)
+    return f"to_base64(unhex(sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({msg}))))))"
+
+
+_FEED = f"""
+, feed as (
+  select event_id, delivery, ts, body,
+    case signing when 'good' then {_hmac(TEST_KEY, 'ts || body')}
+                 when 'forged' then {_hmac(FORGED_KEY, 'ts || body')} else '' end as signature
+  from ({PAYMENT_FEED_SQL}) f),
+cls as (
+  select *, case
+      when signature is null or signature = '' or ts is null or ts = '' then '400'
+      when signature <> {_hmac(TEST_KEY, "ts || coalesce(body, '')")} then '401'
+      when jb is null or json_type(jb) = 'NULL' then '500'
+      when not coalesce(json_type(jb, '$.type') = 'VARCHAR'
+                        and json_extract_string(jb, '$.type') = 'PAYMENT_SUCCESS_WEBHOOK', false) then 'ignored'
+      when oid is null then '500' else 'paid' end as status
+  from (select *, case json_type(jb, '$.data.order.order_id')
+          when 'VARCHAR' then case when json_extract_string(jb, '$.data.order.order_id') <> ''
+                                   then try_cast(json_extract_string(jb, '$.data.order.order_id') as bigint) end
+          when 'BIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
+          when 'UBIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
+          end as oid
+        from (select *, case when coalesce(json_valid(body), false) then body end as jb from feed) g) x)
+"""
+
+oracle("payment_feed", [], _FEED.replace("\n, feed", "\nfeed", 1) + " select event_id, delivery, ts, body, signature from feed")
+oracle("payment_verified", [], _FEED.replace("\n, feed", "\nfeed", 1) + f"""
+select event_id, delivery, coalesce(signature <> '' and ts <> ''
+  and signature = {_hmac(TEST_KEY, "ts || coalesce(body, '')")}, false) as verified from feed""")
+oracle("payment_fields", [], _FEED.replace("\n, feed", "\nfeed", 1) + """
+select event_id, delivery, coalesce(json_type(jb) <> 'NULL', false) as parse_ok,
+  json_extract_string(jb, '$.type') as type, json_extract_string(jb, '$.data.order.order_id') as order_id
+from (select *, case when coalesce(json_valid(body), false) then body end as jb from feed) g""")
+oracle("payment_status", [], _FEED.replace("\n, feed", "\nfeed", 1) + """
+select event_id, delivery, status, case when status = 'paid' then oid end as paid_order_id from cls""")
+oracle("payment_to_order", ["orders_t"], _FEED + """
+select c.event_id, c.delivery, c.oid as paid_order_id, (o.id is not null) as order_found
+from cls c left join orders_t o on o.id = c.oid where c.status = 'paid'""")
+oracle("orders_paid", ["orders_t"], _FEED + """
+select o.id as order_id, case when o.id in (select oid from cls where status = 'paid') then 'paid' else o.status end as status
+from orders_t o""")
+
+_REQ = """
+, cart as (select order_id, count(*) as n from order_items group by order_id),
+req as (
+  select r.*, substr(r.customer_id, 1, 6) = 'guest_' as is_guest, u.email as user_email, coalesce(c.n, 0) as n_items
+  from order_requests r left join cart c on c.order_id = r.request_id
+  left join users u on u.id = try_cast(r.customer_id as bigint)),
+req2 as (
+  select *,
+    case when is_guest then concat('Guest ', request_id) end as guest_name,
+    case when is_guest then concat('guest', request_id, '@example.com') else user_email end as email,
+    case when is_guest and guest_city is not null then concat('98', lpad(cast(request_id % 100000000 as varchar), 8, '0')) end as phone,
+    case when is_guest and guest_city = 'Pune' then 'MH' end as state,
+    case when is_guest and guest_city = 'Pune' then '411001' end as postcode,
+    case when coalesce(address_id, 0) = 0 and is_guest then sha256(concat('address:', cast(request_id as varchar))) end as new_address
+  from req)
+"""
+_REQ_USES = ["order_requests", "order_items", "users"]
+
+oracle("order_requests", _REQ_USES, _REQ + """
+select cast(request_id as varchar) as request_id, amount, customer_id, n_items, is_guest as has_guest_address from req2""")
+
+oracle("order_build", _REQ_USES, _REQ + """
+select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(request_id as varchar) as request_id,
+  case when length(customer_id) > 0 and substr(customer_id, 1, 6) <> 'guest_' then customer_id end as user_id,
+  'pending' as status, amount as total_amount,
+  coalesce(nullif(shipping_method, ''), 'standard') as shipping_method,
+  cast(coalesce(shipping_fee, 0) as bigint) as shipping_fee, cast(null as integer) as discount_id,
+  cast(0 as bigint) as discount_amount,
+  coalesce(case when coalesce(address_id, 0) <> 0 then cast(address_id as varchar) end, new_address) as address_id
+from req2""")
+
+oracle("order_build_addresses", _REQ_USES, _REQ + """
+select new_address as id, cast(null as varchar) as user_id, 'Guest' as label, guest_line1 as address_line_1,
+  guest_city as city, state, postcode as postal_code, 'IN' as country, cast(request_id as varchar) as request_id
+from req2 where new_address is not null""")
+
+oracle("order_item_rows", ["order_items", "order_requests"], """
+select sha256(concat('order:', cast(order_id as varchar))) as order_id, cast(order_id as varchar) as request_id,
+  cast(row_number() over (partition by order_id order by variant_id, quantity, price) - 1 as integer) as pos,
+  variant_id, quantity, price
+from order_items where order_id in (select request_id from order_requests)""")
+
+oracle("order_defaults", _REQ_USES, _REQ + """
+select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(request_id as varchar) as request_id,
+  concat(cast(amount // 100 as varchar), '.', lpad(cast(amount % 100 as varchar), 2, '0')) as order_amount,
+  customer_id, coalesce(nullif(phone, ''), '9999999999') as customer_phone,
+  coalesce(nullif(email, ''), 'test@example.com') as customer_email
+from req2""")
+
+oracle("guest_owner", ["order_requests"], """
+select request_id, case when length(customer_id) > 0 and substr(customer_id, 1, 6) <> 'guest_' then customer_id end as user_id
+from order_requests""")
+
+oracle("checkout_complete", _REQ_USES, _REQ + """
+select cast(request_id as varchar) as request_id, case
+  when is_guest and (guest_name is null or email is null or phone is null) then 'missing_contact'
+  when is_guest and (guest_line1 is null or guest_city is null or state is null or postcode is null) then 'missing_address'
+  when not is_guest and coalesce(address_id, 0) = 0 then 'missing_address_id'
+  else 'ok' end as reason
+from req2""")

@@ -220,3 +220,113 @@ def q_wishlist_details(t):
 def q_user_labels(t):
     """F19."""
     return AC.user_labels(t["users"])
+
+
+# --- orders and payments ---------------------------------------------------------
+
+from colorway.functions import payments as PAY  # noqa: E402
+from colorway.operators import orders as OR  # noqa: E402
+from colorway.sources import feeds as FD  # noqa: E402
+
+
+@query("order_requests")
+def q_order_requests(t):
+    """The checkout requests in their JSON shape (flattened here)."""
+    r = FD.checkout_requests(t)
+    return r.select("request_id", "amount", F.col("customerId").alias("customer_id"),
+                    F.coalesce(F.size("cartItems"), F.lit(0)).cast("long").alias("n_items"),
+                    F.col("orderMeta.guest_address").isNotNull().alias("has_guest_address"))
+
+
+def _built(t):
+    return OR.build_orders(FD.checkout_requests(t))
+
+
+@query("order_build")
+def q_order_build(t):
+    """Order rows."""
+    return _built(t)["orders"]
+
+
+@query("order_build_addresses")
+def q_order_build_addresses(t):
+    """New guest address rows."""
+    return _built(t)["addresses"]
+
+
+@query("order_item_rows")
+def q_order_item_rows(t):
+    """G2."""
+    return _built(t)["order_items"]
+
+
+@query("order_defaults")
+def q_order_defaults(t):
+    """P10 (+ F2): the gateway payload with its defaults."""
+    return _built(t)["gateway"]
+
+
+@query("guest_owner")
+def q_guest_owner(t):
+    """P11."""
+    r = t["order_requests"]
+    return r.select("request_id", OR.guest_owner(F.col("customer_id")).alias("user_id"))
+
+
+@query("checkout_complete")
+def q_checkout_complete(t):
+    """Reason per request."""
+    r = FD.checkout_requests(t)
+    ga = F.col("orderMeta.guest_address")
+    reason = OR.checkout_complete(
+        F.col("customerId").startswith("guest_"),
+        [F.col("guestName"), F.col("customerEmail"), F.col("customerPhone")],
+        [ga["line1"], ga["city"], ga["state"], ga["postalCode"]],
+        F.col("orderMeta.address_id"))
+    return r.select("request_id", reason.alias("reason"))
+
+
+def _classified(t):
+    return OR.classify_payments(FD.payment_feed(t), FD.TEST_KEY)
+
+
+@query("payment_feed")
+def q_payment_feed(t):
+    """The signed webhook calls."""
+    return FD.payment_feed(t)
+
+
+@query("payment_verified")
+def q_payment_verified(t):
+    """F16."""
+    f = FD.payment_feed(t)
+    return f.select("event_id", "delivery",
+                    PAY.payment_verified(FD.TEST_KEY, F.col("signature"), F.col("ts"), F.col("body")).alias("verified"))
+
+
+@query("payment_fields")
+def q_payment_fields(t):
+    """F17."""
+    f = FD.payment_feed(t)
+    cols = PAY.payment_fields(F.col("body"))
+    return f.select("event_id", "delivery", *[c.alias(n) for n, c in cols.items()])
+
+
+@query("payment_status")
+def q_payment_status(t):
+    """X3 over the whole feed as a batch."""
+    return _classified(t).select("event_id", "delivery", "status", "paid_order_id")
+
+
+@query("payment_to_order")
+def q_payment_to_order(t):
+    """Paid events and whether their order exists."""
+    c = _classified(t).where(F.col("status") == PAY.PAID)
+    return OR.payment_to_order(c, t["orders_t"]).select("event_id", "delivery", "paid_order_id", "order_found")
+
+
+@query("orders_paid")
+def q_orders_paid(t):
+    """D6."""
+    out = OR.orders_paid(t["orders_t"], OR.paid_order_ids(_classified(t)))
+    return out.select(F.col("id").alias("order_id"), "status")
