@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from colorway.plans.oracle import oracle
+from colorway.schemas_compat import LOAD_TIME
 
 # --- pricing -------------------------------------------------------------------
 
@@ -304,3 +305,83 @@ select cast(request_id as varchar) as request_id, case
   when not is_guest and coalesce(address_id, 0) = 0 then 'missing_address_id'
   else 'ok' end as reason
 from req2""")
+
+# --- carts -----------------------------------------------------------------------
+
+oracle("cart_state", ["cart_events"], """
+, k as (select distinct session_id, item_key from cart_events where op <> 'clear'),
+ev as (
+  select e.session_id, e.item_key, e.ts, e.event_id, e.op, e.delta from cart_events e where e.op <> 'clear'
+  union all
+  select k.session_id, k.item_key, e.ts, e.event_id, e.op, e.delta
+  from k join cart_events e on e.session_id = k.session_id where e.op = 'clear'),
+seq as (select *, row_number() over (partition by session_id, item_key order by ts, event_id) as rn from ev),
+rec as (
+  select session_id, item_key, cast(0 as bigint) as rn, cast(0 as bigint) as q from k
+  union all
+  select r.session_id, r.item_key, s.rn,
+    case s.op when 'add' then case when r.q = 0 then 1 else least(20, r.q + 1) end
+              when 'change' then case when r.q = 0 then 0 else greatest(1, least(20, r.q + coalesce(s.delta, 0))) end
+              else 0 end
+  from rec r join seq s on s.session_id = r.session_id and s.item_key = r.item_key and s.rn = r.rn + 1)
+select session_id, item_key, cast(arg_max(q, rn) as bigint) as qty from rec group by session_id, item_key
+having arg_max(q, rn) > 0""", recursive=True)
+
+oracle("cart_sessions", ["cart_events", "users"], """
+, ex as (select session_id as user_id, min(cast(session_id as varchar)) as sid from cart_events group by session_id)
+select user_id, sid as session_id, false as created from ex
+union all
+select id as user_id, sha256(concat('cart:', cast(id as varchar))) as session_id, true as created
+from users where id not in (select user_id from ex where user_id is not null)""")
+
+# --- data checks -----------------------------------------------------------------
+
+oracle("variants_migrate", ["product_variants"],
+       "select id, sku, cast(null as varchar) as color_id from product_variants")
+
+oracle("key_checks", ["products", "product_colors", "categories", "product_variants", "order_items"], """
+, cat as (select pc.id as color_id, p.slug as product_slug, pc.color_slug
+          from product_colors pc join products p on p.id = pc.product_id where pc.is_active and p.is_active)
+select 'colors_product_slug' as "check", (select count(*) from (select product_id, color_slug from product_colors
+   group by 1, 2 having count(*) > 1)) as violations
+union all select 'catalog_color_id', (select count(*) from (select color_id from cat group by 1 having count(*) > 1))
+union all select 'catalog_slugs', (select count(*) from (select product_slug, color_slug from cat group by 1, 2 having count(*) > 1))
+union all select 'cart_session_variant', (select count(*) from (select order_id, variant_id from order_items
+   group by 1, 2 having count(*) > 1))""")
+
+oracle("reference_checks", ["products", "product_colors", "product_variants"], """
+select 'color_product' as "check", (select count(*) from product_colors c where c.product_id is not null
+   and not exists (select 1 from products p where p.id = c.product_id)) as orphans
+union all select 'variant_color', (select count(*) from product_variants v where v.color_id is not null
+   and not exists (select 1 from product_colors c where c.id = v.color_id))""")
+
+oracle("cascade_delete", ["products", "product_colors", "product_variants"], """
+, gone as (select id from products where not is_active),
+gc as (select id from product_colors where product_id in (select id from gone))
+select 'products' as "table", (select count(*) from products where id not in (select id from gone)) as rows
+union all select 'product_colors', (select count(*) from product_colors where product_id not in (select id from gone))
+union all select 'product_variants', (select count(*) from product_variants where color_id is null
+   or color_id not in (select id from gc))""")
+
+oracle("color_defaults", ["product_colors"], f"""
+select id as color_id, coalesce(sort_order, 0) as sort_order, coalesce(is_active, true) as is_active,
+  cast(image is not null as bigint) + cast(image_2 is not null as bigint) as n_images, '{LOAD_TIME}' as created_at
+from product_colors""")
+
+oracle("affected_keys", ["catalog_changes"], """
+select distinct product_id from catalog_changes
+where table_name in ('products', 'product_variants') and product_id is not null""")
+
+
+def _null_check_sql() -> str:
+    from colorway.plans.more_queries import NULL_CHECK_TABLES
+    from colorway.sources.schemas import SCHEMAS
+    parts = []
+    for tname in NULL_CHECK_TABLES:
+        for f in SCHEMAS[tname].fields:
+            cnt = "count(*) filter (where false)" if f.name == "images" else f"count(*) filter (where {f.name} is null)"
+            parts.append(f"select '{tname}' as \"table\", '{f.name}' as \"column\", {cnt} as nulls from {tname}")
+    return " union all ".join(parts)
+
+
+oracle("null_checks", ["products", "product_colors", "product_variants", "addresses", "orders_t"], _null_check_sql())

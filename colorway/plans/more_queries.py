@@ -330,3 +330,93 @@ def q_orders_paid(t):
     """D6."""
     out = OR.orders_paid(t["orders_t"], OR.paid_order_ids(_classified(t)))
     return out.select(F.col("id").alias("order_id"), "status")
+
+
+# --- carts -----------------------------------------------------------------------
+
+from colorway.operators import carts as CR  # noqa: E402
+from colorway.operators import quality as QL  # noqa: E402
+from colorway.operators import catalog as CT  # noqa: E402
+from colorway.schemas_compat import LOAD_TIME  # noqa: E402
+
+
+@query("cart_state")
+def q_cart_state(t):
+    """Cart lines after replaying all cart events."""
+    return CR.cart_state(t["cart_events"])
+
+
+@query("cart_sessions")
+def q_cart_sessions(t):
+    """Users with a cart session already (from the cart events) keep it;
+    the others get a new one."""
+    existing = t["cart_events"].select(F.col("session_id").cast("string").alias("id"),
+                                       F.col("session_id").alias("user_id")).distinct()
+    return CR.cart_sessions(t["users"], existing)
+
+
+# --- data checks -----------------------------------------------------------------
+
+@query("variants_migrate")
+def q_variants_migrate(t):
+    """D7 on the variants in their pre-migration shape (colour columns, no
+    colour id)."""
+    legacy = (t["product_variants"].drop("color_id")
+              .withColumn("color", F.lit("Ash")).withColumn("color_hex", F.lit("#b2beb5"))
+              .withColumn("images", F.array().cast("array<string>")))
+    return QL.variants_migrate(legacy).select("id", "sku", "color_id")
+
+
+@query("key_checks")
+def q_key_checks(t):
+    """D8."""
+    return QL.key_checks(t, CT.color_catalog(t))
+
+
+@query("reference_checks")
+def q_reference_checks(t):
+    """D9."""
+    return QL.reference_checks(t)
+
+
+@query("cascade_delete")
+def q_cascade_delete(t):
+    """The inactive products are deleted; rows left per table."""
+    gone = t["products"].where(~F.col("is_active")).select("id")
+    out = QL.cascade_delete(t, gone)
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        for name, df in out.items()])
+
+
+NULL_CHECK_TABLES = ["products", "product_colors", "product_variants", "addresses", "orders_t"]
+
+
+@query("null_checks")
+def q_null_checks(t):
+    """D11 over five tables."""
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    return reduce(DataFrame.unionByName, [QL.null_checks(t[n], n) for n in NULL_CHECK_TABLES])
+
+
+@query("color_defaults")
+def q_color_defaults(t):
+    """D12 on the colours (timestamps absent until the load fills them)."""
+    out = QL.color_defaults(t["product_colors"], LOAD_TIME)
+    return out.select(F.col("id").alias("color_id"), "sort_order", "is_active",
+                      F.size("images").cast("long").alias("n_images"),
+                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+# --- streams, as batch transforms over the whole change table -------------------
+
+from colorway.streaming import rules as SR  # noqa: E402
+
+
+@query("affected_keys")
+def q_affected_keys(t):
+    """Product ids made stale by the change feed (products and variants)."""
+    return SR.affected_keys(t["catalog_changes"])

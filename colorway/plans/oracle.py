@@ -11,11 +11,12 @@ from colorway.sources.fixtures import FIXTURE_SQL
 ORACLE: dict[str, str] = {}
 
 
-def oracle(name: str, uses: list[str], body: str) -> None:
+def oracle(name: str, uses: list[str], body: str, recursive: bool = False) -> None:
     ctes = ", ".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in uses)
     body = body.strip()
+    head = "WITH RECURSIVE" if recursive else "WITH"
     # A body may open with ", extra AS (...)" to add its own CTEs.
-    ORACLE[name] = f"WITH {ctes}{body}" if body.startswith(",") else f"WITH {ctes} {body}"
+    ORACLE[name] = f"{head} {ctes}{body}" if body.startswith(",") else f"{head} {ctes} {body}"
 
 
 RANK = ("case {v}.size when 'XS' then 1 when 'S' then 2 when 'M' then 3 when 'L' then 4 "
