@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colorway.functions import display as D
 from colorway.operators.ordering import first_by
@@ -120,8 +121,8 @@ def _catalog_core(tables, stock: str = "inventory_count") -> DataFrame:
          .select(F.col("id").alias("color_id"), "product_id", "color_slug", "color_name",
                  "color_hex", "images", "sort_order"))
     c = c.join(sizes_by_color(tables["product_variants"], stock), "color_id", "left")
-    # Product branch, keyed by product id: product, siblings and review stats
-    # all share one hash partitioning, so the three joins add one exchange.
+    # Product branch, keyed by product id: product and review stats share one
+    # hash partitioning, so both joins reuse the colour rows' exchange.
     p = (active_products(products)
          .select(F.col("id").alias("product_id"), F.col("slug").alias("product_slug"),
                  F.col("name").alias("product_name"), "subtitle", "price", "mrp", "badge",
@@ -129,9 +130,17 @@ def _catalog_core(tables, stock: str = "inventory_count") -> DataFrame:
     cat = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"),
                             F.col("slug").alias("category_slug"))
     p = p.join(cat, "category_id", "left").drop("category_id")
-    out = (c.join(p, "product_id", "inner")
-           .join(siblings_by_product(colors), "product_id", "left")
-           .join(review_stats(tables["reviews"]), "product_id", "left"))
+    out = c.join(p, "product_id", "inner").join(review_stats(tables["reviews"]), "product_id", "left")
+    # Siblings (A2/J7): the active colours of an active product are exactly
+    # its catalog rows, so a window over the product partitioning the joins
+    # already produced replaces a second scan and aggregate of the colours.
+    entry = F.struct("sort_order", "color_id", "color_name", "color_hex", "color_slug",
+                     D.thumbnail(F.col("images")).alias("thumbnail"))
+    sib = F.sort_array(F.collect_list(entry).over(Window.partitionBy("product_id")))
+    out = out.withColumn("all_colors", F.transform(sib, lambda e: F.struct(
+        e["color_id"].alias("color_id"), e["color_name"].alias("color_name"),
+        e["color_hex"].alias("color_hex"), e["color_slug"].alias("color_slug"),
+        e["thumbnail"].alias("thumbnail"))))
     return out
 
 
