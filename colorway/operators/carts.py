@@ -7,11 +7,11 @@ session empty. Events apply in (ts, event_id) order.
 How it scales: after the last remove/clear of a key, the line is absent until
 its first add, then present for good, and every later event is a clamp step
 q -> min(H, max(L, q + D)). Clamp steps compose into clamp steps (an
-associative fold on (D, L, H) triples), so the ordered fold runs in two
-levels: events are range-sorted by (session, key, ts, id), which splits a hot
-key over many partitions in order; each partition composes its run of steps;
-then each key composes its at most one-per-partition triples. No key's events
-are ever gathered in one place.
+associative fold on (D, L, H) triples), so the ordered fold runs as a tree:
+events are range-sorted by (session, key, ts, id), which splits a hot key
+over many partitions in order, and then contiguous runs of at most 2**17
+steps are composed, level by level (``compose_ordered``). No key's events are
+ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -52,21 +52,39 @@ def _apply(t: Column, q: Column) -> Column:
     return F.least(t["H"], F.greatest(t["L"], q + t["D"]))
 
 
-def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partitions: int) -> DataFrame:
+# Group sizes of the tree fold: each level gathers at most 2**17 items.
+_LEVEL_SHIFTS = (17, 34, 51)
+
+
+def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partitions: int,
+                    shifts: tuple[int, ...] = _LEVEL_SHIFTS) -> DataFrame:
     """Per ``keys`` group, the composition (D, L, H) of its clamp steps in
-    ``order``; ``steps`` carries columns D, L, H."""
-    ranged = steps.repartitionByRange(partitions, *keys, *order).withColumn("_pid", F.spark_partition_id())
-    entry = F.struct(*[F.col(c) for c in order], "D", "L", "H")
-    level1 = ranged.groupBy(*keys, "_pid").agg(F.array_sort(F.collect_list(entry)).alias("_s"))
-    level1 = level1.select(*keys, "_pid", _fold(F.col("_s")).alias("_t"))
-    level2 = level1.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pid", F.col("_t.D").alias("D"), F.col("_t.L").alias("L"),
-                                             F.col("_t.H").alias("H")))).alias("_s"))
-    return level2.select(*keys, _fold(F.col("_s")).alias("step"))
+    ``order``; ``steps`` carries columns D, L, H.
+
+    One range sort puts every key's steps in order across partitions (a hot
+    key spans many); ``monotonically_increasing_id`` then grows with that
+    order inside a key (partition id in the high bits, row in the low bits).
+    Grouping by (key, id >> 17), then >> 34, then >> 51, then the key alone
+    folds contiguous runs, so no group ever holds more than 2**17 items, at
+    any data size.
+    """
+    ranged = (steps.repartitionByRange(partitions, *keys, *order)
+              .sortWithinPartitions(*keys, *order)
+              .select(*keys, F.monotonically_increasing_id().alias("_m"), "D", "L", "H"))
+    level = ranged
+    for shift in shifts:
+        grouped = level.groupBy(*keys, F.shiftright("_m", shift).alias("_g")).agg(
+            F.min("_m").alias("_first"),
+            F.array_sort(F.collect_list(F.struct("_m", "D", "L", "H"))).alias("_s"))
+        level = grouped.select(*keys, F.col("_first").alias("_m"), _fold(F.col("_s")).alias("_t")).select(
+            *keys, "_m", F.col("_t.D").alias("D"), F.col("_t.L").alias("L"), F.col("_t.H").alias("H"))
+    final = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_m", "D", "L", "H"))).alias("_s"))
+    return final.select(*keys, _fold(F.col("_s")).alias("step"))
 
 
 def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: int | None = None,
-               session: str = "session_id", key: str = "item_key") -> DataFrame:
+               session: str = "session_id", key: str = "item_key",
+               shifts: tuple[int, ...] = _LEVEL_SHIFTS) -> DataFrame:
     """D1 (and one X5 batch): the cart lines (session, key, qty) after
     ``events``, starting from ``prior`` lines (session, key, qty) if given.
 
@@ -102,7 +120,7 @@ def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: in
     steps = (s.where(is_step).select(session, key, "ts", "event_id", d.alias("D"),
                                      F.lit(MIN_QTY).cast("long").alias("L"),
                                      F.lit(MAX_QTY).cast("long").alias("H")))
-    folded = compose_ordered(steps, [session, key], ["ts", "event_id"], n)
+    folded = compose_ordered(steps, [session, key], ["ts", "event_id"], n, shifts)
     base = F.when(F.col("_start") > 0, F.col("_start")).when(F.col("_first_add").isNotNull(), F.lit(1))
     touched = starts.join(folded, [session, key], "left").select(
         session, key,

@@ -159,19 +159,29 @@ def color_catalog(tables, stock: str = "inventory_count") -> DataFrame:
 
 
 def catalog_literal(tables, stock: str = "inventory_count") -> DataFrame:
-    """The view as written: each size entry repeated once per joined
-    review row of its product (at least once), per Q1."""
+    """The view as written (Q1): its sizes array repeats each entry once
+    per joined review row of the product (at least once). The repeat is kept
+    as a count, ``size_repeats``, rather than materialised: the literal array
+    would hold every (size, review) pair of a product. ``expand_literal_sizes``
+    builds it where the output is known to be small."""
     out = _catalog_core(tables, stock)
-    reps = F.greatest(F.coalesce(F.col("review_rows"), F.lit(0)), F.lit(1)).cast("int")
+    reps = F.greatest(F.coalesce(F.col("review_rows"), F.lit(0)), F.lit(1)).cast("long")
     sizes = F.coalesce("sizes", F.array().cast("array<struct<variant_id:string,sku:string,size:string,"
                                               "inventory_count:bigint,in_stock:boolean>>"))
     return out.select(
-        "color_id", "product_id",
-        F.flatten(F.transform(sizes, lambda s: F.array_repeat(s, reps))).alias("sizes"),
+        "color_id", "product_id", sizes.alias("sizes"), reps.alias("size_repeats"),
+        (F.size(sizes).cast("long") * reps).alias("n_sizes"),
         F.coalesce("review_count", F.lit(0).cast("long")).alias("review_count"),
         F.coalesce("rating_tenths", F.lit(0).cast("long")).alias("rating_tenths"))
 
 
+def expand_literal_sizes(literal: DataFrame) -> DataFrame:
+    """The view's literal sizes array: each entry ``size_repeats`` times, in
+    size order. For small outputs (tests, single products) only."""
+    return literal.withColumn("sizes", F.flatten(F.transform(
+        "sizes", lambda s: F.array_repeat(s, F.col("size_repeats").cast("int")))))
+
+
 def group_by_key(tables) -> DataFrame:
     """A5: the view's GROUP BY (colour, product, category) with dependent
     columns, done as pre-aggregate-then-join. ``joined_rows`` is count(*) of

@@ -95,8 +95,8 @@ select pc.id as color_id, {_sib_sub('pc')} as all_colors from product_colors pc"
 
 oracle("catalog_literal", ["products", "product_colors", "categories", "product_variants", "reviews"], f"""
 select pc.id as color_id, p.id as product_id,
-  coalesce(string_agg({SIZE_ENTRY.format(v='v')}, '|' order by {RANK.format(v='v')}, v.id)
-           filter (where v.id is not null), '') as sizes,
+  {_sizes_sub('pc')} as sizes,
+  count(*) // greatest(count(distinct v.id), 1) as size_repeats,
   count(v.id) as n_sizes,
   count(distinct r.id) as review_count,
   {TENTHS.format(r='r')} as rating_tenths

@@ -136,11 +136,11 @@ def q_sibling_colors(t):
 
 @query("catalog_literal")
 def q_catalog_literal(t):
-    """Sizes repeated once per joined review row."""
+    """The literal view's size list, as entries and a repeat count."""
     out = C.catalog_literal(t)
     return out.select("color_id", "product_id",
-                      array_text(F.col("sizes"), SIZE_FIELDS).alias("sizes"),
-                      F.size("sizes").cast("long").alias("n_sizes"), "review_count", "rating_tenths")
+                      array_text(F.col("sizes"), SIZE_FIELDS).alias("sizes"), "size_repeats",
+                      "n_sizes", "review_count", "rating_tenths")
 
 
 # --- aggregations ----------------------------------------------------------------

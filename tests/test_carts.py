@@ -29,9 +29,9 @@ def ev(i, op, k=1, d=1, s=1, sec=None):
     return (i, T0 + dt.timedelta(seconds=i if sec is None else sec), s, k, op, d)
 
 
-def fold(spark, events, partitions=None, prior=None):
+def fold(spark, events, partitions=None, prior=None, **kw):
     df = spark.createDataFrame(events, SCHEMA)
-    return {(r["session_id"], r["item_key"]): r["qty"] for r in CR.cart_state(df, prior, partitions).collect()}
+    return {(r["session_id"], r["item_key"]): r["qty"] for r in CR.cart_state(df, prior, partitions, **kw).collect()}
 
 
 def test_hand_cases(spark):
@@ -63,6 +63,8 @@ def test_random_against_replay(spark):
     # Many ordered chunks: the hot key is split over partitions.
     assert fold(spark, events, partitions=37) == want
     assert fold(spark, events, partitions=1) == want
+    # Tiny tree levels: runs of 4, 16, 64 steps, then whole keys.
+    assert fold(spark, events, partitions=5, shifts=(2, 4, 6)) == want
 
 
 def test_prior_state_continues(spark):
