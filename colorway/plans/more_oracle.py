@@ -385,3 +385,16 @@ def _null_check_sql() -> str:
 
 
 oracle("null_checks", ["products", "product_colors", "product_variants", "addresses", "orders_t"], _null_check_sql())
+
+# --- sinks and stream bodies: each must equal its batch counterpart -------------
+
+from colorway.plans.oracle import ORACLE  # noqa: E402
+
+ORACLE["catalog_sink"] = ORACLE["color_catalog"]
+ORACLE["catalog_refresh"] = ORACLE["color_catalog"]
+ORACLE["append_rows"] = ORACLE["order_build"]
+ORACLE["cart_state_stream"] = ORACLE["cart_state"]
+ORACLE["orders_paid_stream"] = ORACLE["orders_paid"]
+
+oracle("change_feed", ["catalog_changes"],
+       "select event_id, ts, table_name, op, product_id from catalog_changes")

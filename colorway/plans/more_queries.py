@@ -420,3 +420,88 @@ from colorway.streaming import rules as SR  # noqa: E402
 def q_affected_keys(t):
     """Product ids made stale by the change feed (products and variants)."""
     return SR.affected_keys(t["catalog_changes"])
+
+
+# --- sinks and stream bodies over the whole tables ----------------------------------
+
+import uuid  # noqa: E402
+
+from colorway.session import scratch_dir  # noqa: E402
+from colorway.sources import io as IO  # noqa: E402
+from colorway.streaming import jobs as JB  # noqa: E402
+from colorway.plans.queries import q_color_catalog  # noqa: E402
+
+
+def _fresh(t, name: str) -> str:
+    """A new folder under the cluster's checkpoint directory."""
+    return scratch_dir(t.spark, f"colorway-{name}-{uuid.uuid4().hex}")
+
+
+def _median(df, col: str):
+    """The approximate median of a column: one value, read on the driver."""
+    return df.agg(F.percentile_approx(col, 0.5).alias("m")).first()["m"]
+
+
+@query("catalog_sink")
+def q_catalog_sink(t):
+    """S3: the catalog written as a snapshot version (partitioned by category)
+    and read back from the latest committed version."""
+    flat = q_color_catalog(t)
+    base = _fresh(t, "catalog")
+    IO.write_snapshot(flat, base, 0, partition_by=["category_slug"])
+    return IO.read_snapshot(t.spark, base, schema=flat.schema).select(*flat.columns)
+
+
+@query("change_feed")
+def q_change_feed(t):
+    """The change table written as JSON change events and read back
+    through the feed reader (batch mode of the same source)."""
+    path = _fresh(t, "changes")
+    IO.write_json_feed(t["catalog_changes"], path)
+    return IO.change_feed(t.spark, path, streaming=False).select(
+        "event_id", "ts", "table_name", "op", "product_id")
+
+
+@query("append_rows")
+def q_append_rows(t):
+    """The order rows of D5 appended in two parts to an empty folder."""
+    orders = _built(t)["orders"]
+    path = _fresh(t, "append")
+    IO.append_rows(orders.where(F.col("user_id").isNull()), path)
+    IO.append_rows(orders.where(F.col("user_id").isNotNull()), path)
+    return t.spark.read.schema(orders.schema).parquet(path)
+
+
+@query("catalog_refresh")
+def q_catalog_refresh(t):
+    """X2 batch body over the whole change table: the rows of every product
+    named by a change to products, colours or variants are rebuilt and swapped
+    into the previous snapshot; the result must equal a full rebuild."""
+    prev = CT.color_catalog(t)
+    ids = SR.affected_keys(t["catalog_changes"], SR.CATALOG_TABLES)
+    fresh = JB.catalog_for_products(t, ids)
+    new = prev.join(ids, "product_id", "left_anti").unionByName(fresh.select(*prev.columns))
+    from colorway.plans.queries import flat_catalog
+    return flat_catalog(new)
+
+
+@query("cart_state_stream")
+def q_cart_state_stream(t):
+    """X5 batch body: the cart events as two micro-batches (before and after
+    the median time), the second folded onto the first's lines; must equal D1."""
+    ev = t["cart_events"]
+    cut = _median(ev, "ts")
+    first = CR.cart_state(ev.where(F.col("ts") < F.lit(cut)))
+    return CR.cart_state(ev.where(F.col("ts") >= F.lit(cut)), prior=first)
+
+
+@query("orders_paid_stream")
+def q_orders_paid_stream(t):
+    """X4 batch body: the webhook calls as two micro-batches (event ids below
+    and from the median), each applied to the orders in turn; must equal D6."""
+    feed = FD.payment_feed(t)
+    cut = _median(feed, "event_id")
+    orders = t["orders_t"]
+    for part in (feed.where(F.col("event_id") < F.lit(cut)), feed.where(F.col("event_id") >= F.lit(cut))):
+        orders = OR.orders_paid(orders, OR.paid_order_ids(OR.classify_payments(part, FD.TEST_KEY)))
+    return orders.select(F.col("id").alias("order_id"), "status")

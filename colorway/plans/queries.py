@@ -169,7 +169,10 @@ def q_review_stats(t):
 @query("color_catalog")
 def q_color_catalog(t):
     """A4, the flagship."""
-    out = C.color_catalog(t)
+    return flat_catalog(C.color_catalog(t))
+
+
+def flat_catalog(out: DataFrame) -> DataFrame:
     cols = [c for c in C.CATALOG_COLUMNS if c not in ("images", "sizes", "all_colors", "average_rating")]
     return out.select(*cols, list_text(F.col("images")).alias("images"),
                       array_text(F.col("sizes"), SIZE_FIELDS).alias("sizes"),

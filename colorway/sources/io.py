@@ -15,6 +15,10 @@ from colorway.sources.schemas import ORDER_REQUEST_JSON, SCHEMAS
 
 VERSION_DIGITS = 10
 
+# Fixed value: event-time text in JSON feeds keeps microseconds (Spark's
+# default JSON format writes milliseconds only).
+JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 # --- S1 ------------------------------------------------------------------------
 
@@ -64,19 +68,25 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[st
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
-                  before: int | None = None) -> DataFrame | None:
-    """The given version, else the latest committed one (below ``before``)."""
+                  before: int | None = None, schema=None) -> DataFrame | None:
+    """The given version, else the latest committed one (below ``before``).
+    Pass the written ``schema`` to read partition columns back as written."""
     v = version if version is not None else latest_version(spark, base, before)
     if v is None:
         return None
-    return spark.read.option("basePath", version_path(base, v)).parquet(version_path(base, v))
+    reader = spark.read.option("basePath", version_path(base, v))
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(version_path(base, v))
 
 
 # --- S4 / S5 / S7: feeds -----------------------------------------------------------
 
-def change_feed(spark: SparkSession, path: str, tables=None) -> DataFrame:
-    """Stream of row changes (JSON files), optionally limited to tables."""
-    df = spark.readStream.schema(SCHEMAS["change_feed"]).json(path)
+def change_feed(spark: SparkSession, path: str, tables=None, streaming: bool = True) -> DataFrame:
+    """Stream of row changes (JSON files), optionally limited to tables;
+    ``streaming=False`` reads the same files as a batch."""
+    reader = spark.readStream if streaming else spark.read
+    df = reader.schema(SCHEMAS["change_feed"]).json(path)
     return df.where(F.col("table_name").isin(*tables)) if tables else df
 
 
@@ -99,6 +109,12 @@ def cart_event_feed(spark: SparkSession, path: str, max_files: int | None = None
     return r.parquet(path)
 
 
+def write_json_feed(df: DataFrame, path: str) -> None:
+    """Write rows as JSON feed files with full-precision event times."""
+    (df.write.option("timestampNTZFormat", JSON_TS_FORMAT).option("timestampFormat", JSON_TS_FORMAT)
+       .json(path))
+
+
 # --- S6 --------------------------------------------------------------------------
 
 def append_rows(df: DataFrame, path: str) -> None:
