@@ -39,6 +39,11 @@ FIXTURE_SQL: dict[str, str] = {
 # TESTDATA tables each fixture reads.
 BASE_TABLES = ("part", "lineitem", "orders", "customer", "nation", "events")
 
+# Per session: the directory whose tables the base views point at, and the
+# base DataFrames per directory (file listing and footers read once).
+_VIEWS_AT: dict[int, str] = {}
+_BASE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
 
 def _with_images(df: DataFrame, cols: list[str]) -> DataFrame:
     """Image arrays from the ``image*`` columns, NULLs dropped."""
@@ -60,10 +65,17 @@ class Tables:
         self._registered = False
 
     def _register_base(self) -> None:
-        # Temp views are re-pointed per directory; DataFrames already built keep
+        # Temp views point at one directory at a time and are re-pointed only
+        # when another directory is asked for; DataFrames already built keep
         # the plan they were analysed with.
-        for name in BASE_TABLES:
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        sid = self.spark._jsparkSession.hashCode()
+        if _VIEWS_AT.get(sid) == self.sf_dir:
+            return
+        base = _BASE.setdefault((sid, self.sf_dir), {
+            name: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") for name in BASE_TABLES})
+        for name, df in base.items():
+            df.createOrReplaceTempView(name)
+        _VIEWS_AT[sid] = self.sf_dir
         self._registered = True
 
     def raw(self, name: str) -> DataFrame:
