@@ -47,16 +47,21 @@ def shipping_config_frame(cfg: DataFrame) -> DataFrame:
             .orderBy("_p").limit(1).drop("_p"))
 
 
+def exactly_one(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Per key, whether exactly one row matches (``lookup`` = ok / many)
+    and that row's ``cols`` when it does. One aggregate, partial before the
+    shuffle; keys with no row are the caller's left join ('none')."""
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*cols)).alias("_row"))
+    return agg.select(
+        *keys, F.when(F.col("_n") == 1, F.lit("ok")).otherwise(F.lit("many")).alias("lookup"),
+        *[F.when(F.col("_n") == 1, F.col("_row")[c]).alias(c) for c in cols])
+
+
 def code_lookup(codes: DataFrame) -> DataFrame:
     """P5 + P6: active codes reduced to one row per code, with how many rows
     matched (``lookup`` = ok / many) and the row itself when exactly one."""
     cols = [c for c in codes.columns if c != "code"]
-    agg = codes.where(F.col("is_active")).groupBy("code").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*cols)).alias("_row"))
-    return agg.select(
-        F.col("code").alias("lookup_code"),
-        F.when(F.col("_n") == 1, F.lit("ok")).otherwise(F.lit("many")).alias("lookup"),
-        *[F.when(F.col("_n") == 1, F.col("_row")[c]).alias(c) for c in cols])
+    return exactly_one(codes.where(F.col("is_active")), ["code"], cols).withColumnRenamed("code", "lookup_code")
 
 
 def attach_code(carts: DataFrame, codes: DataFrame, typed: str = "typed_code") -> DataFrame:
@@ -67,12 +72,12 @@ def attach_code(carts: DataFrame, codes: DataFrame, typed: str = "typed_code") -
     return out.withColumn("lookup", F.coalesce("lookup", F.lit("none"))).drop("lookup_code")
 
 
-def discount_reason(typed, now, subtotal) -> "F.Column":
-    """F14 on a row carrying the attached code columns. Checks in order; NULL
-    or 0 in max_uses / min_order_value means no limit; equal times pass."""
+def discount_reason(typed, now) -> "F.Column":
+    """F14 on a row carrying the attached code columns, up to the usage check
+    (NULL when those pass). Checks in order; NULL or 0 in max_uses means no
+    limit; equal times pass."""
     blank = typed.isNull() | (F.trim(typed) == "")
     max_uses = F.col("max_uses")
-    min_val = F.col("min_order_value")
     return (F.when(blank, F.lit("no_code"))
              .when(F.col("lookup") != "ok", F.lit("no_match"))
              .when(F.col("starts_at").isNotNull() & (F.col("starts_at") > now), F.lit("not_started"))
@@ -87,7 +92,8 @@ def validate_discounts(carts: DataFrame, codes: DataFrame, typed: str = "typed_c
     """F14 + F3: reason code and discount amount for each cart. ``now`` is a
     column (the moment each cart applied its code)."""
     out = attach_code(carts, codes, typed)
-    first = discount_reason(F.col(typed), F.col(now), F.col(subtotal))
+    first = discount_reason(F.col(typed), F.col(now))
+    # NULL or 0 in min_order_value means no minimum.
     below = (F.coalesce(F.col("min_order_value"), F.lit(0)) != 0) & (F.col(subtotal) < F.col("min_order_value"))
     reason = F.coalesce(first, F.when(below, F.lit("below_minimum")).otherwise(F.lit("ok")))
     out = out.withColumn("discount_status", reason)

@@ -11,10 +11,13 @@ oracle("cart_totals", ["order_items"], """
 select order_id, cast(sum(quantity) as bigint) as item_count, cast(sum(quantity * price) as bigint) as subtotal,
   count(*) as lines from order_items group by order_id""")
 
-oracle("shipping_config", ["shipping_config"], """
-, d as (select 500000 as free_above, 10000 as flat_rate, 20000 as express_rate)
-select * from (select * from shipping_config limit 1) union all
-select * from d where not exists (select 1 from shipping_config)""")
+oracle("shipping_config", ["shipping_config", "checkouts", "order_items"], """
+, d as (select 500000 as free_above, 10000 as flat_rate, 20000 as express_rate),
+cfg as (select * from (select * from shipping_config limit 1) union all
+        select * from d where not exists (select 1 from shipping_config)),
+tot as (select order_id, sum(quantity * price) as subtotal from order_items group by order_id)
+select c.session_id, g.free_above, g.flat_rate, g.express_rate, t.subtotal >= g.free_above as free_shipping
+from checkouts c join tot t on t.order_id = c.session_id, cfg g""")
 
 oracle("code_lookup", ["checkouts", "discount_codes"], """
 , m as (select code, count(*) as n, min(id) as id from discount_codes where is_active group by code)
@@ -22,10 +25,12 @@ select c.session_id, c.typed_code, case when m.n = 1 then m.id end as code_id,
   case when m.n is null then 'none' when m.n = 1 then 'ok' else 'many' end as lookup
 from checkouts c left join m on m.code = upper(c.typed_code)""")
 
-oracle("lookup_one", ["discount_codes"], """
-select code, case when count(*) = 1 then 'ok' else 'many' end as lookup,
-  case when count(*) = 1 then min(id) end as code_id
-from discount_codes where is_active group by code""")
+oracle("lookup_one", ["products", "order_items"], """
+, one as (select slug, count(*) as n, min(id) as id from products where is_active group by slug),
+asked as (select distinct concat('p-', product_id) as slug from order_items)
+select a.slug, case when o.n is null then 'none' when o.n = 1 then 'ok' else 'many' end as lookup,
+  case when o.n = 1 then o.id end as product_id
+from asked a left join one o on o.slug = a.slug""")
 
 _PRICED = """
 , tot as (select order_id as session_id, cast(sum(quantity) as bigint) as item_count,

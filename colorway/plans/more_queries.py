@@ -21,8 +21,13 @@ def q_cart_totals(t):
 
 @query("shipping_config")
 def q_shipping_config(t):
-    """S2."""
-    return PR.shipping_config_frame(t["shipping_config"])
+    """The config each checkout with items is priced with (first config
+    row, else the defaults), and whether its subtotal ships free."""
+    cfg = PR.shipping_config(t["shipping_config"])
+    totals = PR.cart_totals(t["order_items"]).withColumnRenamed("order_id", "session_id")
+    c = t["checkouts"].join(totals, "session_id")
+    return c.select("session_id", *[F.lit(v).cast("int").alias(k) for k, v in cfg.items()],
+                    (F.col("subtotal") >= F.lit(cfg["free_above"])).alias("free_shipping"))
 
 
 @query("code_lookup")
@@ -34,9 +39,12 @@ def q_code_lookup(t):
 
 @query("lookup_one")
 def q_lookup_one(t):
-    """Exactly-one status of every active code value."""
-    return PR.code_lookup(t["discount_codes"]).select(
-        F.col("lookup_code").alias("code"), "lookup", F.col("id").alias("code_id"))
+    """The detail page's single-row lookup of an active product by slug,
+    for the slug of every ordered product: ok / none / many."""
+    one = PR.exactly_one(t["products"].where(F.col("is_active")), ["slug"], ["id"])
+    asked = t["order_items"].select(F.concat(F.lit("p-"), F.col("product_id").cast("string")).alias("slug")).distinct()
+    out = asked.join(one, "slug", "left")
+    return out.select("slug", F.coalesce("lookup", F.lit("none")).alias("lookup"), F.col("id").alias("product_id"))
 
 
 def _priced(t):
