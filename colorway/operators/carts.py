@@ -4,14 +4,17 @@ Rules of the cart store: add -> 1 if absent, else min(20, q + 1); change d ->
 clamp(q + d, 1, 20), ignored if absent; remove -> absent; clear -> the whole
 session empty. Events apply in (ts, event_id) order.
 
-How it scales: after the last remove/clear of a key, the line is absent until
-its first add, then present for good, and every later event is a clamp step
-q -> min(H, max(L, q + D)). Clamp steps compose into clamp steps (an
-associative fold on (D, L, H) triples), so the ordered fold runs as a tree:
-events are range-sorted by (session, key, ts, id), which splits a hot key
-over many partitions in order, and then contiguous runs of at most 2**17
-steps are composed, level by level (``compose_ordered``). No key's events are
-ever gathered in one place.
+How it scales: each event is a step function on the line state q (0 =
+absent, else 1..20), of one closed form: f(0) = z, and for q >= 1 either a
+constant c or a clamp min(h, max(l, q + d)). add is (z=1, clamp(q+1, 1, 20)),
+change is (z=0, clamp(q+d, 1, 20)), remove is (z=0, constant 0). These forms
+compose into the same form, so the ordered fold is associative and runs as a
+tree: events are range-sorted by (session, key, ts, id), which splits a hot
+key over many partitions in order, and contiguous runs of at most 2**17 steps
+are composed level by level (``compose_ordered``). A clear empties the whole
+session, so only events after the session's last clear count, starting
+absent. No key's events are ever gathered in one place; the events are read
+twice (last clears, then the steps).
 """
 
 from __future__ import annotations
@@ -22,34 +25,51 @@ from pyspark.sql import functions as F
 # Quantity bounds of a cart line.
 MIN_QTY, MAX_QTY = 1, 20
 
-_INF = 1 << 40  # stands in for +/- infinity in (D, L, H); far from overflow
+_INF = 1 << 40  # stands in for +/- infinity in a clamp; far from overflow
+FIELDS = ["z", "k", "c", "d", "l", "h"]
 
 
 def _clamp(x: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.greatest(x, lo), hi)
 
 
-def _compose(a: Column, b: Column) -> Column:
-    """Triple of ``b after a``: D = Da + Db, L = clamp(La + Db, Lb, Hb),
-    H = clamp(Ha + Db, Lb, Hb)."""
-    return F.struct(
-        (a["D"] + b["D"]).alias("D"),
-        _clamp(a["L"] + b["D"], b["L"], b["H"]).alias("L"),
-        _clamp(a["H"] + b["D"], b["L"], b["H"]).alias("H"))
+def _present(f: Column, q: Column) -> Column:
+    """f on a present quantity q >= 1."""
+    return F.when(f["k"], f["c"]).otherwise(_clamp(q + f["d"], f["l"], f["h"]))
+
+
+def apply_step(f: Column, q: Column) -> Column:
+    """f(q) for q in {0 (absent), 1..20}."""
+    return F.when(q == 0, f["z"]).otherwise(_present(f, q))
+
+
+def _step(z, k, c, d, l, h) -> Column:
+    return F.struct(z.cast("long").alias("z"), k.alias("k"), c.cast("long").alias("c"),
+                    d.cast("long").alias("d"), l.cast("long").alias("l"), h.cast("long").alias("h"))
+
+
+def _compose(f: Column, g: Column) -> Column:
+    """g after f, in the same form."""
+    k = f["k"] | g["k"]
+    c = F.when(f["k"], apply_step(g, f["c"])).otherwise(g["c"])
+    return _step(apply_step(g, f["z"]), k, c,
+                 f["d"] + g["d"], _clamp(f["l"] + g["d"], g["l"], g["h"]), _clamp(f["h"] + g["d"], g["l"], g["h"]))
 
 
 def _identity() -> Column:
-    return F.struct(F.lit(0).cast("long").alias("D"), F.lit(-_INF).cast("long").alias("L"),
-                    F.lit(_INF).cast("long").alias("H"))
+    return _step(F.lit(0), F.lit(False), F.lit(0), F.lit(0), F.lit(-_INF), F.lit(_INF))
 
 
 def _fold(arr: Column) -> Column:
-    """Compose an ordered array of triples (fields D, L, H)."""
-    return F.aggregate(arr, _identity(), lambda acc, e: _compose(acc, F.struct(e["D"], e["L"], e["H"])))
+    """Compose an ordered array of steps (fields z, k, c, d, l, h)."""
+    return F.aggregate(arr, _identity(), lambda acc, e: _compose(acc, _step(*[e[x] for x in FIELDS])))
 
 
-def _apply(t: Column, q: Column) -> Column:
-    return F.least(t["H"], F.greatest(t["L"], q + t["D"]))
+def event_step(op: Column, delta: Column) -> Column:
+    """The step of one add / change / remove event."""
+    lo, hi = F.lit(MIN_QTY), F.lit(MAX_QTY)
+    d = F.when(op == "add", F.lit(1)).otherwise(F.coalesce(delta, F.lit(0)))
+    return _step(F.when(op == "add", F.lit(1)).otherwise(F.lit(0)), op == "remove", F.lit(0), d, lo, hi)
 
 
 # Group sizes of the tree fold: each level gathers at most 2**17 items.
@@ -58,8 +78,8 @@ _LEVEL_SHIFTS = (17, 34, 51)
 
 def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partitions: int,
                     shifts: tuple[int, ...] = _LEVEL_SHIFTS) -> DataFrame:
-    """Per ``keys`` group, the composition (D, L, H) of its clamp steps in
-    ``order``; ``steps`` carries columns D, L, H.
+    """Per ``keys`` group, the composition of its steps (column ``step``) in
+    ``order``.
 
     One range sort puts every key's steps in order across partitions (a hot
     key spans many); ``monotonically_increasing_id`` then grows with that
@@ -70,15 +90,15 @@ def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partiti
     """
     ranged = (steps.repartitionByRange(partitions, *keys, *order)
               .sortWithinPartitions(*keys, *order)
-              .select(*keys, F.monotonically_increasing_id().alias("_m"), "D", "L", "H"))
+              .select(*keys, F.monotonically_increasing_id().alias("_m"), "step"))
     level = ranged
     for shift in shifts:
         grouped = level.groupBy(*keys, F.shiftright("_m", shift).alias("_g")).agg(
             F.min("_m").alias("_first"),
-            F.array_sort(F.collect_list(F.struct("_m", "D", "L", "H"))).alias("_s"))
-        level = grouped.select(*keys, F.col("_first").alias("_m"), _fold(F.col("_s")).alias("_t")).select(
-            *keys, "_m", F.col("_t.D").alias("D"), F.col("_t.L").alias("L"), F.col("_t.H").alias("H"))
-    final = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_m", "D", "L", "H"))).alias("_s"))
+            F.array_sort(F.collect_list(F.struct("_m", *[F.col("step")[x].alias(x) for x in FIELDS]))).alias("_s"))
+        level = grouped.select(*keys, F.col("_first").alias("_m"), _fold(F.col("_s")).alias("step"))
+    final = level.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("_m", *[F.col("step")[x].alias(x) for x in FIELDS]))).alias("_s"))
     return final.select(*keys, _fold(F.col("_s")).alias("step"))
 
 
@@ -89,48 +109,29 @@ def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: in
     ``events``, starting from ``prior`` lines (session, key, qty) if given.
 
     Events carry session, key, ts, event_id, op (add/change/remove/clear) and
-    delta. A line absent at the start (or cut by a remove/clear) needs an add
-    first; a present line continues from its quantity.
+    delta; they apply in (ts, event_id) order.
     """
     spark = events.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.struct("ts", "event_id")
     ev = events.select(session, key, "ts", "event_id", "op", "delta")
     clears = ev.where(F.col("op") == "clear").groupBy(session).agg(F.max(at).alias("_clr"))
-    removes = ev.where(F.col("op") == "remove").groupBy(session, key).agg(F.max(at).alias("_rm"))
-    live = (ev.where(F.col("op").isin("add", "change"))
-              .join(clears, session, "left").join(removes, [session, key], "left"))
-    cut = F.greatest(F.col("_clr"), F.col("_rm"))  # NULLs ignored; NULL when neither
-    live = live.where(cut.isNull() | (at > cut)).withColumn("_cut", cut.isNotNull())
+    live = ev.where(F.col("op") != "clear").join(clears, session, "left")
+    live = live.where(F.col("_clr").isNull() | (at > F.col("_clr")))
+    steps = live.select(session, key, "ts", "event_id", F.col("_clr").isNotNull().alias("_cut"),
+                        event_step(F.col("op"), F.col("delta")).alias("step"))
+    folded = compose_ordered(steps, [session, key, "_cut"], ["ts", "event_id"], n, shifts)
     if prior is None:
         prior = spark.createDataFrame([], f"{session} long, {key} long, qty long")
     p = prior.select(session, key, F.col("qty").cast("long").alias("_q0"))
-    # Start value per key: absent after a cut, else the prior quantity.
-    per_key = live.groupBy(session, key).agg(
-        F.max("_cut").alias("_cut"),
-        F.min(F.when(F.col("op") == "add", at)).alias("_first_add"))
-    starts = per_key.join(p, [session, key], "left").withColumn(
-        "_start", F.when(F.col("_cut"), F.lit(0)).otherwise(F.coalesce("_q0", F.lit(0))).cast("long"))
-    s = live.join(starts.select(session, key, "_start", "_first_add"), [session, key])
-    # From absent, the first add gives 1 and later events are steps; from
-    # present, every event is a step.
-    present = F.col("_start") > 0
-    is_step = present | (F.col("_first_add").isNotNull() & (at > F.col("_first_add")))
-    d = F.when(F.col("op") == "add", F.lit(1)).otherwise(F.coalesce(F.col("delta"), F.lit(0))).cast("long")
-    steps = (s.where(is_step).select(session, key, "ts", "event_id", d.alias("D"),
-                                     F.lit(MIN_QTY).cast("long").alias("L"),
-                                     F.lit(MAX_QTY).cast("long").alias("H")))
-    folded = compose_ordered(steps, [session, key], ["ts", "event_id"], n, shifts)
-    base = F.when(F.col("_start") > 0, F.col("_start")).when(F.col("_first_add").isNotNull(), F.lit(1))
-    touched = starts.join(folded, [session, key], "left").select(
-        session, key,
-        F.when(F.col("step").isNull(), base).otherwise(_apply(F.col("step"), base)).alias("qty"))
-    # Prior lines the batch did not touch survive unless their session was cleared.
-    untouched = (p.join(per_key.select(session, key), [session, key], "left_anti")
-                  .join(removes.select(session, key), [session, key], "left_anti")
+    # A cleared session starts absent; otherwise a line continues from before.
+    start = F.when(F.col("_cut"), F.lit(0)).otherwise(F.coalesce("_q0", F.lit(0))).cast("long")
+    touched = folded.join(p, [session, key], "left").select(
+        session, key, apply_step(F.col("step"), start).alias("qty"))
+    untouched = (p.join(folded.select(session, key), [session, key], "left_anti")
                   .join(clears.select(session), session, "left_anti")
                   .select(session, key, F.col("_q0").alias("qty")))
-    return touched.where(F.col("qty").isNotNull()).unionByName(untouched)
+    return touched.where(F.col("qty") > 0).unionByName(untouched)
 
 
 def cart_sessions(users: DataFrame, existing: DataFrame) -> DataFrame:
