@@ -121,15 +121,18 @@ def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: in
     steps = live.select(session, key, "ts", "event_id", F.col("_clr").isNotNull().alias("_cut"),
                         event_step(F.col("op"), F.col("delta")).alias("step"))
     folded = compose_ordered(steps, [session, key, "_cut"], ["ts", "event_id"], n, shifts)
+    # A cleared session starts absent; otherwise a line continues from before.
     if prior is None:
-        prior = spark.createDataFrame([], f"{session} long, {key} long, qty long")
+        return folded.select(session, key, apply_step(F.col("step"), F.lit(0).cast("long")).alias("qty")).where(
+            F.col("qty") > 0)
     p = prior.select(session, key, F.col("qty").cast("long").alias("_q0"))
-    # A cleared session starts absent; otherwise a line continues from before.
     start = F.when(F.col("_cut"), F.lit(0)).otherwise(F.coalesce("_q0", F.lit(0))).cast("long")
     touched = folded.join(p, [session, key], "left").select(
         session, key, apply_step(F.col("step"), start).alias("qty"))
+    # Prior lines without events in this batch stay, unless their session was
+    # cleared (this re-reads only the batch's clear events).
     untouched = (p.join(folded.select(session, key), [session, key], "left_anti")
-                  .join(clears.select(session), session, "left_anti")
+                  .join(clears, session, "left_anti")
                   .select(session, key, F.col("_q0").alias("qty")))
     return touched.where(F.col("qty") > 0).unionByName(untouched)
 
