@@ -1,10 +1,12 @@
 """Structured Streaming jobs.
 
-Each job is ``readStream -> transform -> writeStream.foreachBatch``. A batch
-may run twice (retry after a failure), so each batch writes snapshot version
-``batch_id + 1`` computed from the latest version below it: a rerun
-overwrites its own output with the same rows. Checkpoints live in the given
-folder (on a cluster, under ``spark.checkpoint.dir``).
+Each job is ``readStream -> transform -> writeStream.foreachBatch``. State
+is bucketed and versioned (``sources.buckets``): a batch rewrites only the
+buckets it touches. A batch may run twice (retry after a failure), so each
+batch writes version ``batch_id + 1`` computed from the latest committed
+version below it: a rerun overwrites its own output with the same rows.
+Checkpoints live in the given folder (on a cluster, under
+``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from colorway.operators import carts as CR
 from colorway.operators import catalog as CT
 from colorway.operators import orders as OR
+from colorway.sources import buckets as BK
 from colorway.sources import io
 from colorway.streaming.rules import CATALOG_TABLES, affected_keys
 
@@ -46,34 +49,37 @@ def catalog_for_products(tables, ids: DataFrame) -> DataFrame:
     return CT.color_catalog(sub)
 
 
-def refresh_catalog_batch(tables_fn: Callable[[], object], base: str, tables=CATALOG_TABLES):
+def refresh_catalog_batch(tables_fn: Callable[[], object], base: str, tables=CATALOG_TABLES,
+                          buckets: int = 64):
     """foreachBatch body of X2: rebuild the rows of the products a change
-    touched and swap them into a new snapshot version."""
+    touched and swap them into the buckets (by product id) holding them; the
+    other buckets are not rewritten."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = io.read_snapshot(spark, base, before=version)
+        prev = BK.latest(spark, base, before=version)
         t = tables_fn()
         ids = affected_keys(batch, tables).persist()
         try:
-            fresh = catalog_for_products(t, ids)
-            if prev is None:
-                new = CT.color_catalog(t)
-            else:
-                kept = prev.join(ids, "product_id", "left_anti")
-                new = kept.unionByName(fresh.select(*prev.columns))
-            io.write_snapshot(new, base, version)
+            touched = BK.touched_buckets(ids, "product_id", buckets)
+            schema = state_schema(spark, base)
+            rows = BK.read_state(spark, base, schema, version=prev, buckets=touched)
+            fresh = catalog_for_products(t, ids).select(*schema.fieldNames())
+            new = rows.join(ids, "product_id", "left_anti").unionByName(fresh)
+            new = new.withColumn(BK.BUCKET, BK.bucket_of(F.col("product_id"), buckets))
+            BK.write_version(new, base, version, touched, BK.manifest(spark, base, prev))
         finally:
             ids.unpersist()
     return process
 
 
 def catalog_refresh(spark: SparkSession, feed_path: str, tables_fn, base: str, checkpoint: str,
-                    tables=CATALOG_TABLES, available_now: bool = True):
+                    tables=CATALOG_TABLES, available_now: bool = True, buckets: int = 64):
     """On changes to products, colours or variants, bring the catalog
-    snapshot up to date. Version 0 must hold a full build."""
+    state up to date. Version 0 is a full build:
+    ``init_bucketed(color_catalog(tables), base, "product_id")``."""
     feed = io.change_feed(spark, feed_path)
-    return _start(feed, refresh_catalog_batch(tables_fn, base, tables), checkpoint, available_now)
+    return _start(feed, refresh_catalog_batch(tables_fn, base, tables, buckets), checkpoint, available_now)
 
 
 # --- X3 / X4: payments ----------------------------------------------------------------
@@ -83,39 +89,75 @@ def payment_status_stream(spark: SparkSession, feed_path: str, key: bytes) -> Da
     return OR.classify_payments(io.payment_feed(spark, feed_path), key)
 
 
-def orders_paid_batch(base: str):
-    """foreachBatch body of X4: apply the batch's paid ids to the orders."""
+def orders_paid_batch(base: str, buckets: int = 64):
+    """foreachBatch body of X4: apply the batch's paid ids to the orders,
+    rewriting only the buckets (by order id) that hold a paid order."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = io.read_snapshot(spark, base, before=version)
-        new = OR.orders_paid(prev, OR.paid_order_ids(batch))
-        io.write_snapshot(new, base, version)
+        prev = BK.latest(spark, base, before=version)
+        paid = OR.paid_order_ids(batch).persist()
+        try:
+            touched = BK.touched_buckets(paid, "id", buckets)
+            schema = state_schema(spark, base)
+            rows = BK.read_state(spark, base, schema, version=prev, buckets=touched)
+            new = OR.orders_paid(rows, paid).withColumn(BK.BUCKET, BK.bucket_of(F.col("id"), buckets))
+            BK.write_version(new, base, version, touched, BK.manifest(spark, base, prev))
+        finally:
+            paid.unpersist()
     return process
 
 
+def state_schema(spark: SparkSession, base: str):
+    """Schema of the state rows (bucket column excluded), from version 0,
+    which holds every bucket."""
+    return spark.read.parquet(f"{io.version_path(base, 0)}/data").drop(BK.BUCKET).schema
+
+
+def init_bucketed(df: DataFrame, base: str, key: str, buckets: int = 64) -> None:
+    """Version 0 of a bucketed state: every bucket written."""
+    rows = df.withColumn(BK.BUCKET, BK.bucket_of(F.col(key), buckets))
+    BK.write_version(rows, base, 0, list(range(buckets)), None)
+
+
 def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, base: str, checkpoint: str,
-                       available_now: bool = True):
-    """Paid events applied to the orders snapshot (version 0 = orders)."""
-    return _start(payment_status_stream(spark, feed_path, key), orders_paid_batch(base), checkpoint,
+                       available_now: bool = True, buckets: int = 64):
+    """Paid events applied to the bucketed orders state (version 0 from
+    ``init_bucketed(orders, base, "id")``)."""
+    return _start(payment_status_stream(spark, feed_path, key), orders_paid_batch(base, buckets), checkpoint,
                   available_now)
 
 
 # --- X5: cart state -------------------------------------------------------------------
 
-def cart_state_batch(base: str, partitions: int | None = None):
-    """foreachBatch body of X5: fold the batch's events onto the prior lines."""
+CART_SCHEMA = "session_id long, item_key long, qty long"
+
+
+def cart_state_batch(base: str, buckets: int = 64, partitions: int | None = None):
+    """foreachBatch body of X5: fold the batch's events onto the prior lines
+    of the sessions it touches. State is bucketed by session (a clear
+    empties a whole session, so it stays inside one bucket); only touched
+    buckets are read and rewritten."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prior = io.read_snapshot(spark, base, before=version)
-        new = CR.cart_state(batch, prior, partitions)
-        io.write_snapshot(new, base, version)
+        prev = BK.latest(spark, base, before=version)
+        events = batch.persist()
+        try:
+            touched = BK.touched_buckets(events, "session_id", buckets)
+            prior = (BK.read_state(spark, base, CART_SCHEMA, version=prev, buckets=touched)
+                     if prev is not None else None)
+            new = CR.cart_state(events, prior, partitions).withColumn(
+                BK.BUCKET, BK.bucket_of(F.col("session_id"), buckets))
+            BK.write_version(new, base, version, touched,
+                             BK.manifest(spark, base, prev) if prev is not None else None)
+        finally:
+            events.unpersist()
     return process
 
 
 def cart_state_stream(spark: SparkSession, feed_path: str, base: str, checkpoint: str,
-                      max_files: int | None = None, available_now: bool = True):
+                      max_files: int | None = None, available_now: bool = True, buckets: int = 64):
     """Cart lines kept up to date from a cart event stream."""
-    return _start(io.cart_event_feed(spark, feed_path, max_files), cart_state_batch(base), checkpoint,
+    return _start(io.cart_event_feed(spark, feed_path, max_files), cart_state_batch(base, buckets), checkpoint,
                   available_now)

@@ -14,6 +14,7 @@ from test_orders import sign
 
 from colorway.operators import catalog as C
 from colorway.operators import orders as OR
+from colorway.sources import buckets as BK
 from colorway.sources import io
 from colorway.streaming import jobs
 
@@ -45,10 +46,10 @@ def test_cart_stream_equals_batch(spark, scratch):
         q = jobs.cart_state_stream(spark, feed + "/*", base, os.path.join(scratch, f"ckpt-{files}"),
                                    max_files=per_trigger)
         q.awaitTermination()
-        snap = io.read_snapshot(spark, base)
+        snap = BK.read_state(spark, base, jobs.CART_SCHEMA)
         got = {(r["session_id"], r["item_key"]): r["qty"] for r in snap.collect()}
         assert got == want
-        assert len(io.committed_versions(spark, base)) > 1
+        assert len(BK.committed(spark, base)) > 1
 
 
 def test_payment_stream_marks_orders(spark, scratch):
@@ -68,9 +69,9 @@ def test_payment_stream_marks_orders(spark, scratch):
     _write_json_files(feed, [calls[:2], calls[2:4], calls[4:]])
     orders = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "delivered")], "id long, status string")
     base = os.path.join(scratch, "orders")
-    io.write_snapshot(orders, base, 0)
-    jobs.orders_paid_stream(spark, feed, key, base, os.path.join(scratch, "ckpt")).awaitTermination()
-    got = {r["id"]: r["status"] for r in io.read_snapshot(spark, base).collect()}
+    jobs.init_bucketed(orders, base, "id", buckets=8)
+    jobs.orders_paid_stream(spark, feed, key, base, os.path.join(scratch, "ckpt"), buckets=8).awaitTermination()
+    got = {r["id"]: r["status"] for r in BK.read_state(spark, base, orders.schema).collect()}
     batch = OR.orders_paid(orders, OR.paid_order_ids(OR.classify_payments(
         spark.read.schema("event_id bigint, delivery int, signature string, ts string, body string").json(feed), key)))
     assert got == {r["id"]: r["status"] for r in batch.collect()} == {1: "pending", 2: "paid", 3: "paid"}
@@ -96,15 +97,16 @@ def test_catalog_refresh_equals_full_rebuild(spark, scratch):
     after = dict(_shop(spark, variant_color_2="2-a"))  # variant v2 moves to product 2
     after["products"] = after["products"].where(F.col("id") != 3)  # product 3 deleted
     base = os.path.join(scratch, "catalog")
-    io.write_snapshot(C.color_catalog(before), base, 0)
+    jobs.init_bucketed(C.color_catalog(before), base, "product_id", buckets=4)
     changes = [{"event_id": 1, "ts": str(T0), "table_name": "product_variants", "op": "UPDATE",
                 "product_id": 2, "old_product_id": 1, "row_id": "v2"},
                {"event_id": 2, "ts": str(T0), "table_name": "products", "op": "DELETE", "product_id": 3},
                {"event_id": 3, "ts": str(T0), "table_name": "reviews", "op": "INSERT", "product_id": 1}]
     feed = os.path.join(scratch, "changes")
     _write_json_files(feed, [changes])
-    jobs.catalog_refresh(spark, feed, lambda: after, base, os.path.join(scratch, "ckpt")).awaitTermination()
-    snap = io.read_snapshot(spark, base)
+    jobs.catalog_refresh(spark, feed, lambda: after, base, os.path.join(scratch, "ckpt"),
+                         buckets=4).awaitTermination()
+    snap = BK.read_state(spark, base, jobs.state_schema(spark, base))
     full = C.color_catalog(after)
     key = lambda r: (r["color_id"], tuple(s["variant_id"] for s in r["sizes"]), r["has_stock"], r["review_count"])
     assert sorted(map(key, snap.collect())) == sorted(map(key, full.collect()))
@@ -127,3 +129,21 @@ def test_payment_status_stream_matches_batch(spark, scratch):
     batch = OR.classify_payments(spark.read.json(feed), key)
     assert streamed == {r["event_id"]: r["status"] for r in batch.collect()}
     assert set(streamed.values()) == {"paid", "500", "400"}
+
+
+def test_batches_rewrite_only_touched_buckets(spark, scratch):
+    from pyspark.sql import functions as F
+    base = os.path.join(scratch, "state")
+    orders = spark.range(0, 1000).select(F.col("id"), F.lit("pending").alias("status"))
+    jobs.init_bucketed(orders, base, "id", buckets=16)
+    paid = spark.createDataFrame([("paid", 3), ("paid", 5)], "status string, paid_order_id long")
+    jobs.orders_paid_batch(base, buckets=16)(paid, 0)
+    touched = BK.touched_buckets(spark.createDataFrame([(3,), (5,)], "id long"), "id", 16)
+    written = [d for d in os.listdir(os.path.join(base, "v=0000000001", "data")) if d.startswith("_bucket=")]
+    assert sorted(int(d.split("=")[1]) for d in written) == touched
+    state = {r["id"]: r["status"] for r in BK.read_state(spark, base, orders.schema).collect()}
+    assert len(state) == 1000 and state[3] == state[5] == "paid" and state[4] == "pending"
+    # A rerun of the same batch writes the same version and the same state.
+    jobs.orders_paid_batch(base, buckets=16)(paid, 0)
+    again = {r["id"]: r["status"] for r in BK.read_state(spark, base, orders.schema).collect()}
+    assert again == state and BK.committed(spark, base) == [0, 1]
