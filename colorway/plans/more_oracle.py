@@ -402,4 +402,4 @@ ORACLE["cart_state_stream"] = ORACLE["cart_state"]
 ORACLE["orders_paid_stream"] = ORACLE["orders_paid"]
 
 oracle("change_feed", ["catalog_changes"],
-       "select event_id, ts, table_name, op, product_id from catalog_changes")
+       "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, table_name, op, product_id from catalog_changes")

@@ -467,7 +467,7 @@ def q_change_feed(t):
     path = _fresh(t, "changes")
     IO.write_json_feed(t["catalog_changes"], path)
     return IO.change_feed(t.spark, path, streaming=False).select(
-        "event_id", "ts", "table_name", "op", "product_id")
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "table_name", "op", "product_id")
 
 
 @query("append_rows")
