@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from colorway.plans.oracle import oracle
-from colorway.schemas_compat import LOAD_TIME
+from colorway.plans.constants import LOAD_TIME
 
 # --- pricing -------------------------------------------------------------------
 

@@ -345,7 +345,7 @@ def q_orders_paid(t):
 from colorway.operators import carts as CR  # noqa: E402
 from colorway.operators import quality as QL  # noqa: E402
 from colorway.operators import catalog as CT  # noqa: E402
-from colorway.schemas_compat import LOAD_TIME  # noqa: E402
+from colorway.plans.constants import LOAD_TIME  # noqa: E402
 
 
 @query("cart_state")

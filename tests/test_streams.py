@@ -15,7 +15,6 @@ from test_orders import sign
 from colorway.operators import catalog as C
 from colorway.operators import orders as OR
 from colorway.sources import buckets as BK
-from colorway.sources import io
 from colorway.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
