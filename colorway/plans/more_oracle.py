@@ -244,8 +244,9 @@ from (select *, case when coalesce(json_valid(body), false) then body end as jb
 oracle("payment_status", [], _FEED.replace("\n, feed", "\nfeed", 1) + """
 select event_id, delivery, status, case when status = 'paid' then oid end as paid_order_id from cls""")
 oracle("payment_to_order", ["orders_t"], _FEED + """
-select c.event_id, c.delivery, c.oid as paid_order_id, (o.id is not null) as order_found
-from cls c left join orders_t o on o.id = c.oid where c.status = 'paid'""")
+select c.event_id, c.delivery, c.status, case when c.status = 'paid' then c.oid end as paid_order_id,
+  (o.id is not null) as order_found
+from cls c left join orders_t o on o.id = c.oid and c.status = 'paid'""")
 oracle("orders_paid", ["orders_t"], _FEED + """
 select o.id as order_id, case when o.id in (select oid from cls where status = 'paid') then 'paid' else o.status end as status
 from orders_t o""")

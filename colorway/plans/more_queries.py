@@ -328,9 +328,9 @@ def q_payment_status(t):
 
 @query("payment_to_order")
 def q_payment_to_order(t):
-    """Paid events and whether their order exists."""
-    c = _classified(t).where(F.col("status") == PAY.PAID)
-    return OR.payment_to_order(c, t["orders_t"]).select("event_id", "delivery", "paid_order_id", "order_found")
+    """Every webhook call, its paid order id and whether that order exists."""
+    return OR.payment_to_order(_classified(t), t["orders_t"]).select(
+        "event_id", "delivery", "status", "paid_order_id", "order_found")
 
 
 @query("orders_paid")

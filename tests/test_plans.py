@@ -49,3 +49,14 @@ def test_cart_fold_groups_are_bounded(spark):
     t = load_tables(spark, SF)
     plan = CR.cart_state(t["cart_events"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("shiftright") >= 3
+
+
+def test_classification_is_not_duplicated(spark):
+    """The HMAC appears as often as in the bare classification: no filter
+    pushdown or inferred constraint re-inlines it."""
+    from __spark_entry__ import queries
+    qs = queries()
+    count = lambda n: qs[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("sha2(")
+    base = count("payment_status")
+    for n in ["orders_paid", "payment_to_order", "payment_verified"]:
+        assert count(n) <= base, n
