@@ -43,33 +43,55 @@ def apply_step(f: Column, q: Column) -> Column:
     return F.when(q == 0, f["z"]).otherwise(_present(f, q))
 
 
-def _step(z, k, c, d, l, h) -> Column:
-    return F.struct(z.cast("long").alias("z"), k.alias("k"), c.cast("long").alias("c"),
-                    d.cast("long").alias("d"), l.cast("long").alias("l"), h.cast("long").alias("h"))
+def _step(z, k, c, d, l, h, fa=None, ar=None) -> Column:
+    fields = [z.cast("long").alias("z"), k.alias("k"), c.cast("long").alias("c"),
+              d.cast("long").alias("d"), l.cast("long").alias("l"), h.cast("long").alias("h")]
+    if fa is not None:
+        # Line attributes (name, price ...): those of the segment's first add,
+        # and of its first add after its last remove.
+        fields += [fa.alias("fa"), ar.alias("ar")]
+    return F.struct(*fields)
 
 
-def _compose(f: Column, g: Column) -> Column:
+def _compose(f: Column, g: Column, attrs: bool) -> Column:
     """g after f, in the same form."""
     k = f["k"] | g["k"]
     c = F.when(f["k"], apply_step(g, f["c"])).otherwise(g["c"])
-    return _step(apply_step(g, f["z"]), k, c,
-                 f["d"] + g["d"], _clamp(f["l"] + g["d"], g["l"], g["h"]), _clamp(f["h"] + g["d"], g["l"], g["h"]))
+    extra = {}
+    if attrs:
+        extra = {"fa": F.coalesce(f["fa"], g["fa"]),
+                 "ar": F.when(g["k"], g["ar"]).when(f["k"], F.coalesce(f["ar"], g["fa"]))}
+    return _step(apply_step(g, f["z"]), k, c, f["d"] + g["d"], _clamp(f["l"] + g["d"], g["l"], g["h"]),
+                 _clamp(f["h"] + g["d"], g["l"], g["h"]), **extra)
 
 
-def _identity() -> Column:
-    return _step(F.lit(0), F.lit(False), F.lit(0), F.lit(0), F.lit(-_INF), F.lit(_INF))
+def _identity(attr_type: str | None) -> Column:
+    extra = {}
+    if attr_type:
+        extra = {"fa": F.lit(None).cast(attr_type), "ar": F.lit(None).cast(attr_type)}
+    return _step(F.lit(0), F.lit(False), F.lit(0), F.lit(0), F.lit(-_INF), F.lit(_INF), **extra)
 
 
-def _fold(arr: Column) -> Column:
-    """Compose an ordered array of steps (fields z, k, c, d, l, h)."""
-    return F.aggregate(arr, _identity(), lambda acc, e: _compose(acc, _step(*[e[x] for x in FIELDS])))
+def _fields(attr_type: str | None) -> list[str]:
+    return FIELDS + (["fa", "ar"] if attr_type else [])
 
 
-def event_step(op: Column, delta: Column) -> Column:
-    """The step of one add / change / remove event."""
+def _fold(arr: Column, attr_type: str | None = None) -> Column:
+    """Compose an ordered array of steps."""
+    names = _fields(attr_type)
+    return F.aggregate(arr, _identity(attr_type),
+                       lambda acc, e: _compose(acc, _step(*[e[x] for x in names]), bool(attr_type)))
+
+
+def event_step(op: Column, delta: Column, attrs: Column | None = None, attr_type: str | None = None) -> Column:
+    """The step of one add / change / remove event (with the event's line
+    attributes when tracked: an add may create the line)."""
     lo, hi = F.lit(MIN_QTY), F.lit(MAX_QTY)
     d = F.when(op == "add", F.lit(1)).otherwise(F.coalesce(delta, F.lit(0)))
-    return _step(F.when(op == "add", F.lit(1)).otherwise(F.lit(0)), op == "remove", F.lit(0), d, lo, hi)
+    extra = {}
+    if attrs is not None:
+        extra = {"fa": F.when(op == "add", attrs), "ar": F.lit(None).cast(attr_type)}
+    return _step(F.when(op == "add", F.lit(1)).otherwise(F.lit(0)), op == "remove", F.lit(0), d, lo, hi, **extra)
 
 
 # Group sizes of the tree fold: each level gathers at most 2**17 items.
@@ -77,7 +99,7 @@ _LEVEL_SHIFTS = (17, 34, 51)
 
 
 def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partitions: int,
-                    shifts: tuple[int, ...] = _LEVEL_SHIFTS) -> DataFrame:
+                    shifts: tuple[int, ...] = _LEVEL_SHIFTS, attr_type: str | None = None) -> DataFrame:
     """Per ``keys`` group, the composition of its steps (column ``step``) in
     ``order``.
 
@@ -88,6 +110,7 @@ def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partiti
     folds contiguous runs, so no group ever holds more than 2**17 items, at
     any data size.
     """
+    names = _fields(attr_type)
     ranged = (steps.repartitionByRange(partitions, *keys, *order)
               .sortWithinPartitions(*keys, *order)
               .select(*keys, F.monotonically_increasing_id().alias("_m"), "step"))
@@ -95,45 +118,60 @@ def compose_ordered(steps: DataFrame, keys: list[str], order: list[str], partiti
     for shift in shifts:
         grouped = level.groupBy(*keys, F.shiftright("_m", shift).alias("_g")).agg(
             F.min("_m").alias("_first"),
-            F.array_sort(F.collect_list(F.struct("_m", *[F.col("step")[x].alias(x) for x in FIELDS]))).alias("_s"))
-        level = grouped.select(*keys, F.col("_first").alias("_m"), _fold(F.col("_s")).alias("step"))
+            F.array_sort(F.collect_list(F.struct("_m", *[F.col("step")[x].alias(x) for x in names]))).alias("_s"))
+        level = grouped.select(*keys, F.col("_first").alias("_m"), _fold(F.col("_s"), attr_type).alias("step"))
     final = level.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("_m", *[F.col("step")[x].alias(x) for x in FIELDS]))).alias("_s"))
-    return final.select(*keys, _fold(F.col("_s")).alias("step"))
+        F.struct("_m", *[F.col("step")[x].alias(x) for x in names]))).alias("_s"))
+    return final.select(*keys, _fold(F.col("_s"), attr_type).alias("step"))
 
 
 def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: int | None = None,
                session: str = "session_id", key: str = "item_key",
-               shifts: tuple[int, ...] = _LEVEL_SHIFTS) -> DataFrame:
+               shifts: tuple[int, ...] = _LEVEL_SHIFTS, attrs: list[str] | None = None) -> DataFrame:
     """D1 (and one X5 batch): the cart lines (session, key, qty) after
     ``events``, starting from ``prior`` lines (session, key, qty) if given.
 
     Events carry session, key, ts, event_id, op (add/change/remove/clear) and
-    delta; they apply in (ts, event_id) order.
+    delta; they apply in (ts, event_id) order. ``attrs`` names event columns
+    (e.g. name, price) that the add creating a line fixes on it; later adds
+    of the same line do not change them. Prior lines then carry them too.
     """
     spark = events.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    attrs = list(attrs or [])
     at = F.struct("ts", "event_id")
-    ev = events.select(session, key, "ts", "event_id", "op", "delta")
+    ev = events.select(session, key, "ts", "event_id", "op", "delta", *attrs)
+    attr_col = F.struct(*attrs) if attrs else None
+    attr_type = ev.select(attr_col.alias("a")).schema["a"].dataType.simpleString() if attrs else None
     clears = ev.where(F.col("op") == "clear").groupBy(session).agg(F.max(at).alias("_clr"))
     live = ev.where(F.col("op") != "clear").join(clears, session, "left")
     live = live.where(F.col("_clr").isNull() | (at > F.col("_clr")))
     steps = live.select(session, key, "ts", "event_id", F.col("_clr").isNotNull().alias("_cut"),
-                        event_step(F.col("op"), F.col("delta")).alias("step"))
-    folded = compose_ordered(steps, [session, key, "_cut"], ["ts", "event_id"], n, shifts)
+                        event_step(F.col("op"), F.col("delta"), attr_col, attr_type).alias("step"))
+    folded = compose_ordered(steps, [session, key, "_cut"], ["ts", "event_id"], n, shifts, attr_type)
+
+    def line(start: Column, prior_attrs: list[Column]) -> list[Column]:
+        qty = apply_step(F.col("step"), start).alias("qty")
+        # After a remove: the add after the last one; from absent: the first
+        # add; from a present line without a remove: the line's own values.
+        made = F.when(F.col("step.k"), F.col("step.ar")).when(start == 0, F.col("step.fa"))
+        return [qty] + [F.when(F.col("step.k") | (start == 0), made[a]).otherwise(p).alias(a)
+                        for a, p in zip(attrs, prior_attrs)]
+
     # A cleared session starts absent; otherwise a line continues from before.
     if prior is None:
-        return folded.select(session, key, apply_step(F.col("step"), F.lit(0).cast("long")).alias("qty")).where(
-            F.col("qty") > 0)
-    p = prior.select(session, key, F.col("qty").cast("long").alias("_q0"))
+        zero = F.lit(0).cast("long")
+        return folded.select(session, key, *line(zero, [F.lit(None)] * len(attrs))).where(F.col("qty") > 0)
+    p = prior.select(session, key, F.col("qty").cast("long").alias("_q0"),
+                     *[F.col(a).alias(f"_p_{a}") for a in attrs])
     start = F.when(F.col("_cut"), F.lit(0)).otherwise(F.coalesce("_q0", F.lit(0))).cast("long")
     touched = folded.join(p, [session, key], "left").select(
-        session, key, apply_step(F.col("step"), start).alias("qty"))
+        session, key, *line(start, [F.col(f"_p_{a}") for a in attrs]))
     # Prior lines without events in this batch stay, unless their session was
     # cleared (this re-reads only the batch's clear events).
     untouched = (p.join(folded.select(session, key), [session, key], "left_anti")
                   .join(clears, session, "left_anti")
-                  .select(session, key, F.col("_q0").alias("qty")))
+                  .select(session, key, F.col("_q0").alias("qty"), *[F.col(f"_p_{a}").alias(a) for a in attrs]))
     return touched.where(F.col("qty") > 0).unionByName(untouched)
 
 

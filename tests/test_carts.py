@@ -84,3 +84,45 @@ def test_cart_sessions(spark):
     got = {r["user_id"]: (r["session_id"], r["created"]) for r in CR.cart_sessions(users, existing).collect()}
     assert got[1] == ("s1", False) and got[2] == ("s2", False)
     assert got[3][1] is True and len(got[3][0]) == 64
+
+
+def replay_attrs(events):
+    """Row-by-row replay that also keeps the price fixed by the creating add."""
+    carts = {}
+    for e in sorted(events, key=lambda e: (e[1], e[0])):
+        _, _, s, k, op, d, price = e
+        lines = carts.setdefault(s, {})
+        if op == "add":
+            if k not in lines:
+                lines[k] = [1, price]
+            else:
+                lines[k][0] = min(20, lines[k][0] + 1)
+        elif op == "change":
+            if k in lines:
+                lines[k][0] = max(1, min(20, lines[k][0] + (d or 0)))
+        elif op == "remove":
+            lines.pop(k, None)
+        elif op == "clear":
+            lines.clear()
+    return {(s, k): tuple(v) for s, ls in carts.items() for k, v in ls.items()}
+
+
+def test_first_add_fixes_price(spark):
+    rnd = random.Random(11)
+    ops = ["add"] * 5 + ["change"] * 3 + ["remove", "clear"]
+    events = [(i, T0 + dt.timedelta(seconds=rnd.randint(0, 3000)), rnd.randint(1, 5), rnd.randint(1, 3),
+               rnd.choice(ops), rnd.randint(-9, 9), rnd.randint(100, 999)) for i in range(1500)]
+    schema = SCHEMA + ", price long"
+    want = replay_attrs(events)
+    df = spark.createDataFrame(events, schema)
+    got = {(r["session_id"], r["item_key"]): (r["qty"], r["price"])
+           for r in CR.cart_state(df, partitions=7, shifts=(3, 6), attrs=["price"]).collect()}
+    assert got == want
+    # Cut in two batches, the second folded onto the first's lines.
+    cut = sorted(events, key=lambda e: (e[1], e[0]))[700]
+    first = [e for e in events if (e[1], e[0]) < (cut[1], cut[0])]
+    second = [e for e in events if (e[1], e[0]) >= (cut[1], cut[0])]
+    prior = CR.cart_state(spark.createDataFrame(first, schema), attrs=["price"])
+    got2 = {(r["session_id"], r["item_key"]): (r["qty"], r["price"])
+            for r in CR.cart_state(spark.createDataFrame(second, schema), prior, attrs=["price"]).collect()}
+    assert got2 == want
