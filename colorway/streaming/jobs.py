@@ -31,6 +31,22 @@ def _start(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     return w.start()
 
 
+# --- X1: stale keys -------------------------------------------------------------------
+
+def affected_keys_stream(spark: SparkSession, feed_path: str, out_path: str, checkpoint: str,
+                         tables=None, available_now: bool = True):
+    """Per batch, the distinct product ids the batch made stale, written to
+    ``out_path/batch=<id>`` (a rerun of a batch overwrites its own folder).
+    ``tables`` defaults to the two tables the client's feed listens to."""
+    from colorway.streaming.rules import FEED_TABLES
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        ids = affected_keys(batch, tables or FEED_TABLES)
+        ids.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+
+    return _start(io.change_feed(spark, feed_path), process, checkpoint, available_now)
+
+
 # --- X2: catalog refresh ------------------------------------------------------------
 
 def catalog_for_products(tables, ids: DataFrame) -> DataFrame:

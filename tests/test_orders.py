@@ -106,3 +106,20 @@ def test_checkout_complete(spark):
                              [F.col("l"), F.col("c"), F.col("s"), F.col("z")], F.col("a"))
     assert [x[0] for x in df.select(r).collect()] == [
         "ok", "missing_contact", "missing_address", "missing_address_id", "ok"]
+
+
+def test_order_requests_source(spark, scratch):
+    import json
+    import os
+    from colorway.sources import io
+    rows = [{"request_id": "a", "action": "create-order", "amount": 500, "customerId": "guest_9",
+             "orderMeta": {"guest_address": {"line1": "L", "city": "C"}},
+             "cartItems": [{"variant_id": "v", "qty": 3, "price": 100}]}]
+    path = os.path.join(scratch, "req")
+    os.makedirs(path)
+    with open(os.path.join(path, "r.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows))
+    out = OR.build_orders(io.order_requests(spark, path))
+    o = out["orders"].collect()[0]
+    assert o["user_id"] is None and o["address_id"] == out["addresses"].collect()[0]["id"]
+    assert [(r["variant_id"], r["quantity"]) for r in out["order_items"].collect()] == [("v", 3)]

@@ -146,3 +146,18 @@ def test_batches_rewrite_only_touched_buckets(spark, scratch):
     jobs.orders_paid_batch(base, buckets=16)(paid, 0)
     again = {r["id"]: r["status"] for r in BK.read_state(spark, base, orders.schema).collect()}
     assert again == state and BK.committed(spark, base) == [0, 1]
+
+
+def test_affected_keys_stream(spark, scratch):
+    changes = [{"event_id": i, "ts": str(T0), "table_name": t, "op": "UPDATE", "product_id": p,
+                "old_product_id": o}
+               for i, (t, p, o) in enumerate([("products", 1, None), ("product_variants", 2, 3),
+                                              ("reviews", 4, None), ("product_colors", 5, None),
+                                              ("products", 1, None)])]
+    feed = os.path.join(scratch, "changes")
+    _write_json_files(feed, [changes[:3], changes[3:]])
+    out = os.path.join(scratch, "stale")
+    jobs.affected_keys_stream(spark, feed, out, os.path.join(scratch, "ck")).awaitTermination()
+    got = sorted(r["product_id"] for r in spark.read.parquet(out).collect())
+    # products and variants only; a moved variant marks both products.
+    assert sorted(set(got)) == [1, 2, 3]
