@@ -52,10 +52,15 @@ def address_default_state(addresses: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("is_default", flag).drop("_last")
 
 
-def address_upsert(addresses: DataFrame, changes: DataFrame) -> DataFrame:
+def address_upsert(addresses: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
     """D3: update rows whose id exists, insert the others (change side wins
-    for every column it carries)."""
+    for every column it carries). When an id may change more than once,
+    ``order`` names the columns that order the changes; the last one wins
+    (an aggregate, reduced map-side). Without ``order`` ids must be unique."""
     cols = addresses.columns
+    if order:
+        last = changes.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_c"))
+        changes = last.select(*[F.col("_c")[c].alias(c) for c in cols])
     ch = changes.select(*[F.col(c).alias(f"_n_{c}") for c in cols])
     out = addresses.join(ch, addresses["id"] == ch["_n_id"], "full_outer")
     has_change = F.col("_n_id").isNotNull()

@@ -60,6 +60,10 @@ def test_upsert_delete(spark):
     ch = frame(spark, "addresses", [{"id": 2, "user_id": 1, "label": "Office"}, {"id": 3, "user_id": 2, "label": "New"}])
     got = {r["id"]: r["label"] for r in AC.address_upsert(a, ch).collect()}
     assert got == {1: "Home", 2: "Office", 3: "New"}
+    twice = frame(spark, "addresses", [{"id": 2, "user_id": 1, "label": "A", "created_at": D(2024, 1, 1)},
+                                       {"id": 2, "user_id": 1, "label": "B", "created_at": D(2024, 1, 2)}])
+    got = {r["id"]: r["label"] for r in AC.address_upsert(a, twice, order=["created_at"]).collect()}
+    assert got == {1: "Home", 2: "B"}
     left = AC.address_delete(a, spark.createDataFrame([(2,), (9,)], "id long"))
     assert [r["id"] for r in left.collect()] == [1]
 
