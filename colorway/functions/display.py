@@ -46,6 +46,12 @@ def card_image(own_images: Column, color_images: Column, i: int) -> Column:
     return F.coalesce(F.get(own_images, i), F.get(color_images, i))
 
 
+def detail_image(color_images: Column, own_images: Column) -> Column:
+    """F8 on the detail page: the selected colour's first image, else the
+    product's own."""
+    return F.coalesce(F.get(color_images, 0), F.get(own_images, 0))
+
+
 def rating_tenths(rating_sum: Column, rating_n: Column) -> Column:
     """average rounded half-up to one place, as integer tenths; 0 if no
     rating. Exact integer arithmetic: (20*s + n) div (2*n)."""

@@ -73,12 +73,27 @@ def cascade_delete(tables, product_ids: DataFrame) -> dict[str, DataFrame]:
     return {"products": products, "product_colors": colors, "product_variants": variants}
 
 
+# Columns that must hold a value (declared NOT NULL, or keys and
+# amounts the code always writes). Owner columns of addresses and orders may
+# be NULL (guest checkout).
+REQUIRED = {
+    "products": ["id", "slug", "name", "price", "is_active"],
+    "product_colors": ["id", "product_id", "color_name", "color_slug", "color_hex", "images", "sort_order",
+                       "is_active", "created_at", "updated_at"],
+    "product_variants": ["id", "product_id", "sku", "size"],
+    "addresses": ["id", "label", "created_at"],
+    "orders_t": ["id", "status", "total_amount", "created_at"],
+}
+
+
 def null_checks(df: DataFrame, table: str) -> DataFrame:
     """NULL count of every column in one aggregation pass, as rows
-    (table, column, nulls)."""
+    (table, column, nulls, required, violation)."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return one.unpivot([], df.columns, "column", "nulls").select(
-        F.lit(table).alias("table"), "column", "nulls")
+    req = REQUIRED.get(table, [])
+    out = one.unpivot([], df.columns, "column", "nulls").select(
+        F.lit(table).alias("table"), "column", "nulls", F.col("column").isin(*req).alias("required"))
+    return out.withColumn("violation", F.col("required") & (F.col("nulls") > 0))
 
 
 def color_defaults(colors: DataFrame, load_time) -> DataFrame:

@@ -380,13 +380,16 @@ where table_name in ('products', 'product_variants') and product_id is not null"
 
 
 def _null_check_sql() -> str:
+    from colorway.operators.quality import REQUIRED
     from colorway.plans.more_queries import NULL_CHECK_TABLES
     from colorway.sources.schemas import SCHEMAS
     parts = []
     for tname in NULL_CHECK_TABLES:
         for f in SCHEMAS[tname].fields:
             cnt = "count(*) filter (where false)" if f.name == "images" else f"count(*) filter (where {f.name} is null)"
-            parts.append(f"select '{tname}' as \"table\", '{f.name}' as \"column\", {cnt} as nulls from {tname}")
+            req = "true" if f.name in REQUIRED.get(tname, []) else "false"
+            parts.append(f"select '{tname}' as \"table\", '{f.name}' as \"column\", {cnt} as nulls, "
+                         f"{req} as required, {req} and {cnt} > 0 as violation from {tname}")
     return " union all ".join(parts)
 
 

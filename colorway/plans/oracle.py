@@ -163,7 +163,7 @@ select color_id, variant_id, size from (
   from product_variants v left join sizes s on s.label = v.size
   where v.is_active and v.color_id is not null) t where rn = 1""")
 
-oracle("selected_color", ["order_items", "product_variants", "product_colors"], """
+oracle("selected_color", ["order_items", "product_variants", "product_colors", "products"], """
 , req as (
   select i.order_id, i.variant_id, i.product_id, c.color_slug as requested_slug
   from order_items i left join product_variants v on v.id = i.variant_id
@@ -173,9 +173,12 @@ exact as (
   from product_colors group by product_id, color_slug),
 firsts as (
   select product_id, first(id order by sort_order, id) as cid from product_colors group by product_id)
-select r.order_id, r.variant_id, r.product_id, r.requested_slug, coalesce(e.cid, f.cid) as selected_color_id
-from req r left join exact e on e.product_id = r.product_id and e.color_slug = r.requested_slug
-left join firsts f on f.product_id = r.product_id""")
+select s.*, coalesce(sc.image, sc.image_2, p.image) as image from (
+  select r.order_id, r.variant_id, r.product_id, r.requested_slug, coalesce(e.cid, f.cid) as selected_color_id
+  from req r left join exact e on e.product_id = r.product_id and e.color_slug = r.requested_slug
+  left join firsts f on f.product_id = r.product_id) s
+left join product_colors sc on sc.id = s.selected_color_id
+left join products p on p.id = s.product_id""")
 
 oracle("size_rank", ["product_variants"], f"""
 select v.id as variant_id, v.size, {RANK.format(v='v')} as size_rank from product_variants v""")

@@ -203,8 +203,12 @@ def q_default_variant(t):
 def q_selected_color(t):
     """Requests are the order lines, asking for the colour of the
     ordered variant (unknown variants ask for no colour)."""
-    return C.selected_color(_colour_requests(t), t["product_colors"]).select(
-        "order_id", "variant_id", "product_id", "requested_slug", "selected_color_id")
+    sel = C.selected_color(_colour_requests(t), t["product_colors"])
+    ci = t["product_colors"].select(F.col("id").alias("selected_color_id"), F.col("images").alias("_ci"))
+    pi = t["products"].select(F.col("id").alias("product_id"), F.col("images").alias("_pi"))
+    out = sel.join(ci, "selected_color_id", "left").join(pi, "product_id", "left")
+    return out.select("order_id", "variant_id", "product_id", "requested_slug", "selected_color_id",
+                      D.detail_image(F.col("_ci"), F.col("_pi")).alias("image"))
 
 
 def _colour_requests(t) -> DataFrame:
