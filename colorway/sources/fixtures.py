@@ -43,6 +43,9 @@ BASE_TABLES = ("part", "lineitem", "orders", "customer", "nation", "events")
 # base DataFrames per directory (file listing and footers read once).
 _VIEWS_AT: dict[int, str] = {}
 _BASE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+# Analysed fixture plans per (session, directory, name). A DataFrame is an
+# immutable plan, so reusing it re-reads the files; nothing is cached.
+_PLANS: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def _with_images(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -82,6 +85,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
+        pkey = (self.spark._jsparkSession.hashCode(), self.sf_dir, name)
+        if name not in self._cache and pkey in _PLANS:
+            self._cache[name] = _PLANS[pkey]
         if name not in self._cache:
             self._register_base()
             df = self.spark.sql(FIXTURE_SQL[name])
@@ -89,7 +95,7 @@ class Tables:
                 df = _with_images(df, ["image"])
             elif name == "product_colors":
                 df = _with_images(df, ["image", "image_2"])
-            self._cache[name] = schemas.conform(df, name)
+            self._cache[name] = _PLANS[pkey] = schemas.conform(df, name)
         return self._cache[name]
 
     def __contains__(self, name: str) -> bool:
