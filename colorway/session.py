@@ -30,10 +30,21 @@ def local_session(cpus: int | str = "*", app: str = "colorway", **conf: str) ->
     return spark
 
 
+def session_key(spark: SparkSession) -> int:
+    """A stable id of the session (also for sessions without a JVM handle)."""
+    try:
+        return spark._jsparkSession.hashCode()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        return id(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the session's ``spark.checkpoint.dir``; a scratch
     folder is set only where the session names none (tests, local runs)."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colorway.session import session_key
 from colorway.sources import schemas
 
 # The fixture views, one SQL text each (FIXTURES.md). They must
@@ -71,7 +72,7 @@ class Tables:
         # Temp views point at one directory at a time and are re-pointed only
         # when another directory is asked for; DataFrames already built keep
         # the plan they were analysed with.
-        sid = self.spark._jsparkSession.hashCode()
+        sid = session_key(self.spark)
         if _VIEWS_AT.get(sid) == self.sf_dir:
             return
         base = _BASE.setdefault((sid, self.sf_dir), {
@@ -85,7 +86,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
-        pkey = (self.spark._jsparkSession.hashCode(), self.sf_dir, name)
+        pkey = (session_key(self.spark), self.sf_dir, name)
         if name not in self._cache and pkey in _PLANS:
             self._cache[name] = _PLANS[pkey]
         if name not in self._cache:
