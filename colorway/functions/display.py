@@ -56,7 +56,14 @@ def rating_tenths(rating_sum: Column, rating_n: Column) -> Column:
     """average rounded half-up to one place, as integer tenths; 0 if no
     rating. Exact integer arithmetic: (20*s + n) div (2*n)."""
     s, n = rating_sum.cast("long"), rating_n.cast("long")
-    return F.when(n > 0, F.floor((s * 20 + n) / (n * 2)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(n > 0, exact_div(s * 20 + n, n * 2)).otherwise(F.lit(0).cast("long"))
+
+
+def exact_div(num: Column, den: Column) -> Column:
+    """floor(num / den) for non-negative longs, exactly: the remainder is
+    taken off first, so the decimal division is of an exact multiple."""
+    whole = (num - F.pmod(num, den)).cast("decimal(38,0)")
+    return (whole / den.cast("decimal(38,0)")).cast("long")
 
 
 def rating_decimal(tenths: Column) -> Column:
