@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        import tempfile
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        import tempfile  # local runs only: one machine, so a local folder is shared
         configured = tempfile.mkdtemp(prefix="colorway-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
