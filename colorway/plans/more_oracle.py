@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from colorway.plans.oracle import oracle
-from colorway.plans.constants import LOAD_TIME
+from colorway.functions.payments import hmac_pads
+from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
+from colorway.plans.oracle import ORACLE, oracle
+from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY
 
 # --- pricing -------------------------------------------------------------------
 
@@ -201,9 +203,6 @@ select id as user_id, coalesce(nullif(full_name, ''), email) as display_name,
 
 # --- orders and payments ---------------------------------------------------------
 
-from colorway.functions.payments import hmac_pads  # noqa: E402
-from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY  # noqa: E402
-
 
 def _hmac(key: bytes, msg: str) -> str:
     ipad, opad = hmac_pads(key)
@@ -381,7 +380,6 @@ where table_name in ('products', 'product_variants') and product_id is not null"
 
 def _null_check_sql() -> str:
     from colorway.operators.quality import REQUIRED
-    from colorway.plans.more_queries import NULL_CHECK_TABLES
     from colorway.sources.schemas import SCHEMAS
     parts = []
     for tname in NULL_CHECK_TABLES:
@@ -397,7 +395,6 @@ oracle("null_checks", ["products", "product_colors", "product_variants", "addres
 
 # --- sinks and stream bodies: each must equal its batch counterpart -------------
 
-from colorway.plans.oracle import ORACLE  # noqa: E402
 
 ORACLE["catalog_sink"] = ORACLE["color_catalog"]
 ORACLE["catalog_refresh"] = ORACLE["color_catalog"]

@@ -3,12 +3,31 @@ data checks, and the stream rules run over the whole tables as batches."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colorway.functions import display as D
 from colorway.functions import money as M
+from colorway.functions import payments as PAY
+from colorway.operators import accounts as AC
+from colorway.operators import carts as CR
+from colorway.operators import catalog as CT
+from colorway.operators import orders as OR
 from colorway.operators import pricing as PR
+from colorway.operators import quality as QL
+from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
+from colorway.plans.flat import array_text
+from colorway.plans.queries import flat_catalog
+from colorway.plans.queries import q_color_catalog
 from colorway.plans.queries import query
+from colorway.session import scratch_dir
+from colorway.sources import feeds as FD
+from colorway.sources import io as IO
+from colorway.streaming import jobs as JB
+from colorway.streaming import rules as SR
 
 
 # --- pricing -------------------------------------------------------------------
@@ -117,9 +136,6 @@ def q_cart_keys(t):
 
 # --- accounts ------------------------------------------------------------------
 
-from colorway.operators import accounts as AC  # noqa: E402
-from colorway.plans.flat import array_text  # noqa: E402
-
 
 def _address_changes(t):
     """Changes derived from the set-default events: an update of each named
@@ -232,10 +248,6 @@ def q_user_labels(t):
 
 # --- orders and payments ---------------------------------------------------------
 
-from colorway.functions import payments as PAY  # noqa: E402
-from colorway.operators import orders as OR  # noqa: E402
-from colorway.sources import feeds as FD  # noqa: E402
-
 
 @query("order_requests")
 def q_order_requests(t):
@@ -342,11 +354,6 @@ def q_orders_paid(t):
 
 # --- carts -----------------------------------------------------------------------
 
-from colorway.operators import carts as CR  # noqa: E402
-from colorway.operators import quality as QL  # noqa: E402
-from colorway.operators import catalog as CT  # noqa: E402
-from colorway.plans.constants import LOAD_TIME  # noqa: E402
-
 
 @query("cart_state")
 def q_cart_state(t):
@@ -392,21 +399,14 @@ def q_cascade_delete(t):
     """The inactive products are deleted; rows left per table."""
     gone = t["products"].where(~F.col("is_active")).select("id")
     out = QL.cascade_delete(t, gone)
-    from functools import reduce
-    from pyspark.sql import DataFrame
     return reduce(DataFrame.unionByName, [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         for name, df in out.items()])
 
 
-NULL_CHECK_TABLES = ["products", "product_colors", "product_variants", "addresses", "orders_t"]
-
-
 @query("null_checks")
 def q_null_checks(t):
     """D11 over five tables."""
-    from functools import reduce
-    from pyspark.sql import DataFrame
     return reduce(DataFrame.unionByName, [QL.null_checks(t[n], n) for n in NULL_CHECK_TABLES])
 
 
@@ -421,8 +421,6 @@ def q_color_defaults(t):
 
 # --- streams, as batch transforms over the whole change table -------------------
 
-from colorway.streaming import rules as SR  # noqa: E402
-
 
 @query("affected_keys")
 def q_affected_keys(t):
@@ -432,13 +430,6 @@ def q_affected_keys(t):
 
 # --- sinks and stream bodies over the whole tables ----------------------------------
 
-import uuid  # noqa: E402
-
-from colorway.session import scratch_dir  # noqa: E402
-from colorway.sources import io as IO  # noqa: E402
-from colorway.streaming import jobs as JB  # noqa: E402
-from colorway.plans.queries import q_color_catalog  # noqa: E402
-
 
 def _fresh(t, name: str) -> str:
     """A new folder under the cluster's checkpoint directory."""
@@ -489,7 +480,6 @@ def q_catalog_refresh(t):
     ids = SR.affected_keys(t["catalog_changes"], SR.CATALOG_TABLES)
     fresh = JB.catalog_for_products(t, ids)
     new = prev.join(ids, "product_id", "left_anti").unionByName(fresh.select(*prev.columns))
-    from colorway.plans.queries import flat_catalog
     return flat_catalog(new)
 
 
