@@ -139,16 +139,14 @@ def wishlist_details(tables, wishlist: DataFrame, user_id=None) -> DataFrame:
     category, colours and rating; one user via ``user_id``."""
     w = wishlist if user_id is None else wishlist.where(F.col("user_id") == F.lit(user_id))
     # The reference's two round trips (ids, then products IN ids) as one
-    # semi join; for one user it prunes the product side before the joins.
-    listed = C.product_list({**_as_dict(tables), "products": id_in_list(tables["products"], w)})
+    # semi join; for one user the colour and review inputs are cut to that
+    # user's products before their aggregates.
+    wished = id_in_list(tables["products"], w)
+    src = C.for_products(tables, wished) if user_id is not None else {**C._as_dict(tables), "products": wished}
+    listed = C.product_list(src)
     return w.join(listed.withColumnRenamed("id", "product_id"), "product_id", "inner")
 
 
-def _as_dict(tables) -> dict:
-    names = ["products", "categories", "product_colors", "reviews"]
-    return {n: tables[n] for n in names}
-
-
 def user_labels(users: DataFrame, phone: str | None = None) -> DataFrame:
     """welcome name (full name, else e-mail); profile name and phone,
     'Not provided' when missing."""

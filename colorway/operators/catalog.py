@@ -251,10 +251,34 @@ def category_filter(tables) -> DataFrame:
     return p.join(cat, "category_id", "inner").select("category_slug", F.col("id").alias("product_id"))
 
 
+def for_products(tables, products: DataFrame, bounded: bool = False) -> dict:
+    """The per-product inputs (colours, variants, reviews) cut down by a semi
+    join to ``products`` *before* their aggregates run; Catalyst cannot push
+    a filter on products into these tables. ``bounded``: ``products`` has a
+    known small row count (a top-k), so its ids are broadcast."""
+    ids = products.select(F.col("id").alias("product_id"))
+    if bounded:
+        ids = F.broadcast(ids)
+    out = dict(_as_dict(tables))
+    out["products"] = products
+    for name in ("product_colors", "product_variants", "reviews"):
+        if name in out:
+            out[name] = out[name].join(ids, "product_id", "left_semi")
+    return out
+
+
+def _as_dict(tables) -> dict:
+    names = ["products", "categories", "product_colors", "product_variants", "reviews", "sizes", "users"]
+    return {n: tables[n] for n in names if n in tables}
+
+
 def product_list(tables, category: str | None = None) -> DataFrame:
-    """Active products with category, all colours and review stats."""
+    """Active products with category, all colours and review stats; with
+    ``category``, the other inputs are first cut to that category's products."""
     p = active_products(tables["products"])
     p = product_category(p, tables["categories"], category)
+    if category is not None:
+        tables = for_products(tables, p.select(*tables["products"].columns))
     p = product_with_colors(p, tables["product_colors"])
     stats = review_stats(tables["reviews"]).select(
         F.col("product_id").alias("_rid"), "review_count", "average_rating", "rating_tenths")
@@ -278,6 +302,7 @@ def product_detail(tables, slug: str | None = None) -> DataFrame:
     p = active_products(tables["products"])
     if slug is not None:
         p = p.where(F.col("slug") == F.lit(slug))
+        tables = for_products(tables, p)
     p = product_category(p, tables["categories"])
     p = product_with_colors(p, tables["product_colors"])
     v = variants_with_size(tables["product_variants"], tables["sizes"])
@@ -350,5 +375,8 @@ def selected_color(requests: DataFrame, colors: DataFrame) -> DataFrame:
 
 
 def featured(tables, k: int = 4) -> DataFrame:
-    """First four active products by id (top-k; the limit is the feature)."""
-    return product_list(tables).orderBy("id").limit(k)
+    """First four active products by id (top-k; the limit is the
+    feature). The k ids are chosen first (a top-k over products alone), then
+    only their colours and reviews are read into the aggregates."""
+    top = active_products(tables["products"]).orderBy("id").limit(k)
+    return product_list(for_products(tables, top, bounded=True)).orderBy("id")

@@ -133,3 +133,31 @@ def test_catalog_plan_has_no_fan_out(spark):
     # sizes per colour and review stats per product are aggregates below the
     # joins; siblings are a window over the product partitioning.
     assert plan.count("Aggregate") >= 2 and "Window" in plan
+
+
+def test_single_key_paths_equal_filtered_whole(spark):
+    """Slug, category, user and top-k calls (inputs cut by semi joins before
+    the aggregates) equal the whole-table result filtered to that key."""
+    from pyspark.sql import functions as F
+    from colorway.operators import accounts as AC
+    from colorway.sources.fixtures import load_tables
+    t = load_tables(spark, "/root/testdata/sf0.001")
+
+    def rows(df, cols):
+        return sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+
+    cols = ["id", "slug", "category_slug", "review_count", "rating_tenths", "product_colors", "product_variants"]
+    full = C.product_detail(t)
+    slug = full.orderBy("id").first()["slug"]
+    assert rows(C.product_detail(t, slug=slug), cols) == rows(full.where(F.col("slug") == slug), cols)
+    lcols = ["id", "category_slug", "review_count", "rating_tenths", "product_colors"]
+    whole = C.product_list(t)
+    cat = whole.where(F.col("category_slug").isNotNull()).orderBy("id").first()["category_slug"]
+    assert rows(C.product_list(t, category=cat.upper()), lcols) == rows(
+        whole.where(F.col("category_slug") == cat), lcols)
+    assert rows(C.featured(t), lcols) == rows(whole.orderBy("id").limit(4), lcols)
+    w = AC.wishlist_state(t["wishlist_events"])
+    user = w.orderBy("user_id").first()["user_id"]
+    wcols = ["user_id", "product_id", "review_count", "rating_tenths", "product_colors"]
+    assert rows(AC.wishlist_details(t, w, user_id=user), wcols) == rows(
+        AC.wishlist_details(t, w).where(F.col("user_id") == user), wcols)
