@@ -153,7 +153,9 @@ def cart_state_batch(base: str, buckets: int = 64, partitions: int | None = None
     """foreachBatch body of X5: fold the batch's events onto the prior lines
     of the sessions it touches. State is bucketed by session (a clear
     empties a whole session, so it stays inside one bucket); only touched
-    buckets are read and rewritten."""
+    buckets are read and rewritten. Events older than the state's latest
+    event are applied in arrival order; each version notes how many there
+    were (``v=N/notes``: events, late_events, max_ts)."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
@@ -167,11 +169,35 @@ def cart_state_batch(base: str, buckets: int = 64, partitions: int | None = None
                 BK.BUCKET, BK.bucket_of(F.col("session_id"), buckets))
             BK.write_version(new, base, version, touched,
                              BK.manifest(spark, base, prev) if prev is not None else None)
+            _write_notes(events, base, version, _notes(spark, base, prev))
         finally:
             events.unpersist()
     return process
 
 
+def _notes(spark: SparkSession, base: str, version: int | None):
+    if version is None:
+        return None
+    path = f"{io.version_path(base, version)}/notes"
+    rows = spark.read.schema(NOTES_SCHEMA).json(path).collect()
+    return rows[0]["max_ts"] if rows else None
+
+
+NOTES_SCHEMA = "events long, late_events long, max_ts timestamp_ntz"
+
+
+def _write_notes(events: DataFrame, base: str, version: int, prior_max) -> None:
+    """One aggregate over the batch: its size, the events older than the
+    state's latest event, and the new latest event time."""
+    late = F.col("ts") < F.lit(prior_max).cast("timestamp_ntz") if prior_max is not None else F.lit(False)
+    note = events.agg(F.count(F.lit(1)).alias("events"), F.count_if(late).alias("late_events"),
+                      F.max("ts").alias("max_ts"))
+    if prior_max is not None:
+        note = note.withColumn("max_ts", F.greatest(F.col("max_ts"), F.lit(prior_max).cast("timestamp_ntz")))
+    (note.coalesce(1).write.mode("overwrite").option("timestampNTZFormat", io.JSON_TS_FORMAT)
+     .json(f"{io.version_path(base, version)}/notes"))
+
+
 def cart_state_stream(spark: SparkSession, feed_path: str, base: str, checkpoint: str,
                       max_files: int | None = None, available_now: bool = True, buckets: int = 64):
     """Cart lines kept up to date from a cart event stream."""

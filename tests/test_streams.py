@@ -161,3 +161,22 @@ def test_affected_keys_stream(spark, scratch):
     got = sorted(r["product_id"] for r in spark.read.parquet(out).collect())
     # products and variants only; a moved variant marks both products.
     assert sorted(set(got)) == [1, 2, 3]
+
+
+def test_cart_stream_notes_late_events(spark, scratch):
+    """An event older than the state's latest one is applied in arrival
+    order and counted in the version's notes."""
+    feed = os.path.join(scratch, "feed")
+    b1 = [(1, T0 + dt.timedelta(seconds=10), 1, 1, "add", 1), (2, T0 + dt.timedelta(seconds=20), 1, 1, "add", 1)]
+    b2 = [(3, T0 + dt.timedelta(seconds=5), 1, 1, "change", 5), (4, T0 + dt.timedelta(seconds=30), 1, 2, "add", 1)]
+    for j, chunk in enumerate([b1, b2]):
+        spark.createDataFrame(chunk, CART_SCHEMA).coalesce(1).write.parquet(os.path.join(feed, f"b{j}"))
+    base = os.path.join(scratch, "carts")
+    jobs.cart_state_stream(spark, feed + "/*", base, os.path.join(scratch, "ck"), max_files=1).awaitTermination()
+    got = {(r["session_id"], r["item_key"]): r["qty"] for r in BK.read_state(spark, base, jobs.CART_SCHEMA).collect()}
+    # Arrival order: add, add (2), then the late change (+5 -> 7). By event
+    # time the change (t=5) would precede the adds and be ignored (2). The
+    # late event is counted in the notes.
+    assert got == {(1, 1): 7, (1, 2): 1}
+    notes = spark.read.schema(jobs.NOTES_SCHEMA).json(os.path.join(base, "v=0000000002", "notes")).collect()[0]
+    assert notes["events"] == 2 and notes["late_events"] == 1
