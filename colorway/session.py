@@ -15,6 +15,8 @@ LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.shuffle.partitions": "8",
+    # Checkpoint files of RDDs that are gone are removed with them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -66,7 +66,6 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
-        self._registered = False
 
     def _register_base(self) -> None:
         # Temp views point at one directory at a time and are re-pointed only
@@ -80,10 +79,6 @@ class Tables:
         for name, df in base.items():
             df.createOrReplaceTempView(name)
         _VIEWS_AT[sid] = self.sf_dir
-        self._registered = True
-
-    def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
         pkey = (session_key(self.spark), self.sf_dir, name)
