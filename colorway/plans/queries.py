@@ -41,9 +41,15 @@ SIBLING_FIELDS = ["color_id", "color_name", "color_hex", "color_slug", "thumbnai
 
 @query("scan_table")
 def q_scan_table(t):
-    """Products under the fixed schema."""
-    return t["products"].select(*[c for c in t["products"].columns if c != "images"],
-                                list_text(F.col("images")).alias("images"))
+    """The products table stored as parquet (under the checkpoint
+    directory) and read back with ``scan_table`` under its fixed schema."""
+    import uuid
+    from colorway.session import scratch_dir
+    from colorway.sources import io
+    folder = scratch_dir(t.spark, f"colorway-tables-{uuid.uuid4().hex}")
+    t["products"].write.parquet(f"{folder}/products")
+    p = io.scan_table(t.spark, folder, "products")
+    return p.select(*[c for c in p.columns if c != "images"], list_text(F.col("images")).alias("images"))
 
 
 @query("project_columns")
