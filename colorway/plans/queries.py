@@ -7,6 +7,7 @@ compared with the DuckDB oracle texts in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from colorway.functions import display as D
 from colorway.operators import catalog as C
 from colorway.operators.ordering import position_within
 from colorway.plans.flat import array_text, list_text
+from colorway.session import scratch_dir
+from colorway.sources import io
 from colorway.sources.fixtures import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,9 +46,6 @@ SIBLING_FIELDS = ["color_id", "color_name", "color_hex", "color_slug", "thumbnai
 def q_scan_table(t):
     """The products table stored as parquet (under the checkpoint
     directory) and read back with ``scan_table`` under its fixed schema."""
-    import uuid
-    from colorway.session import scratch_dir
-    from colorway.sources import io
     folder = scratch_dir(t.spark, f"colorway-tables-{uuid.uuid4().hex}")
     t["products"].write.parquet(f"{folder}/products")
     p = io.scan_table(t.spark, folder, "products")
