@@ -22,3 +22,12 @@ def test_all_queries_match_oracle(spark):
 def test_every_oracle_has_a_query():
     from __spark_entry__ import oracle_sql, queries
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_entry_smoke(spark):
+    """The driver's smoke check: the flagship on sf0.001, rows > 0, the same
+    schema on every call."""
+    import __spark_entry__ as e
+    a, b = e.entry(spark), e.entry(spark)
+    assert a.count() > 0 and a.schema == b.schema
+    assert {"color_id", "product_id", "sizes", "all_colors", "rating_tenths", "has_stock"} <= set(a.columns)
