@@ -260,5 +260,7 @@ from product_variants v where v.color_id is not null group by v.color_id""")
 
 
 def oracle_sql() -> dict[str, str]:
-    from colorway.plans import more_oracle  # noqa: F401
+    # The state texts reuse the order and cart texts, so they load last.
+    from colorway.plans import account_oracle, checkout_oracle, order_oracle  # noqa: F401
+    from colorway.plans import state_oracle  # noqa: F401
     return dict(ORACLE)

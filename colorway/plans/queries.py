@@ -327,5 +327,5 @@ def q_sizes_json(t):
 
 def queries() -> dict[str, Query]:
     # Import the other plan modules so their queries register.
-    from colorway.plans import more_queries  # noqa: F401
+    from colorway.plans import account_queries, checkout_queries, order_queries, state_queries  # noqa: F401
     return dict(REGISTRY)
