@@ -82,3 +82,30 @@ def write_version(df: DataFrame, base: str, version: int, touched: list[int],
 def touched_buckets(keys: DataFrame, key: str, buckets: int) -> list[int]:
     """Distinct buckets of a batch's keys (at most B values, read on the driver)."""
     return sorted(r[0] for r in keys.select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect())
+
+
+def obsolete_versions(spark: SparkSession, base: str, keep: int = 2) -> list[int]:
+    """Versions no reader or retry needs: not among the ``keep`` latest
+    committed versions, and not holding a bucket that one of their manifests
+    points to. ``keep`` >= 2, so a retried batch still finds its predecessor."""
+    vs = committed(spark, base)
+    recent = vs[-max(keep, 2):]
+    needed = set(recent)
+    for v in recent:
+        needed.update(manifest(spark, base, v).values())
+    fs, root = _fs(spark, base)
+    present = []
+    if fs.exists(root):
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v="):
+                present.append(int(name[2:]))
+    return sorted(v for v in present if v not in needed and v < recent[0])
+
+
+def drop_versions(spark: SparkSession, base: str, versions: list[int]) -> None:
+    """Remove the given version folders (an explicit retention step; nothing
+    calls it implicitly)."""
+    for v in versions:
+        fs, path = _fs(spark, version_path(base, v))
+        fs.delete(path, True)

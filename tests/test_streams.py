@@ -180,3 +180,24 @@ def test_cart_stream_notes_late_events(spark, scratch):
     assert got == {(1, 1): 7, (1, 2): 1}
     notes = spark.read.schema(jobs.NOTES_SCHEMA).json(os.path.join(base, "v=0000000002", "notes")).collect()[0]
     assert notes["events"] == 2 and notes["late_events"] == 1
+
+
+def test_obsolete_versions_listing(spark, scratch):
+    from pyspark.sql import functions as F
+    base = os.path.join(scratch, "state")
+    orders = spark.range(0, 200).select(F.col("id"), F.lit("pending").alias("status"))
+    jobs.init_bucketed(orders, base, "id", buckets=4)
+    step = jobs.orders_paid_batch(base, buckets=4)
+    for batch_id, oid in enumerate([1, 2, 3, 4]):
+        step(spark.createDataFrame([("paid", oid)], "status string, paid_order_id long"), batch_id)
+    old = BK.obsolete_versions(spark, base, keep=2)
+    keep = set(BK.committed(spark, base)) - set(old)
+    # The latest two versions stay, and so does every version their manifests use.
+    latest = BK.committed(spark, base)[-2:]
+    used = set(latest)
+    for v in latest:
+        used |= set(BK.manifest(spark, base, v).values())
+    assert keep == used and not (set(old) & used)
+    # Reading only what is kept gives the same state.
+    state = {r["id"]: r["status"] for r in BK.read_state(spark, base, orders.schema).collect()}
+    assert sum(1 for s in state.values() if s == "paid") == 4 and len(state) == 200
