@@ -207,6 +207,18 @@ def group_by_key(tables) -> DataFrame:
                       "category_name", rows.alias("joined_rows"))
 
 
+def catalog_keys(tables) -> DataFrame:
+    """The key columns of the catalog rows (color_id, product_slug,
+    color_slug) without computing the rows: the catalog's other joins are
+    left joins on unique keys, so its rows are exactly the active colours of
+    active products."""
+    c = tables["product_colors"].where(F.col("is_active")).select(
+        F.col("id").alias("color_id"), "product_id", "color_slug")
+    p = active_products(tables["products"]).select(F.col("id").alias("product_id"),
+                                                   F.col("slug").alias("product_slug"))
+    return c.join(p, "product_id").select("color_id", "product_slug", "color_slug")
+
+
 def catalog_counts(products: DataFrame) -> DataFrame:
     """All products and active products."""
     return products.agg(F.count(F.lit(1)).alias("all_products"),

@@ -58,7 +58,7 @@ def q_variants_migrate(t):
 @query("key_checks")
 def q_key_checks(t):
     """D8."""
-    return QL.key_checks(t, CT.color_catalog(t))
+    return QL.key_checks(t, CT.catalog_keys(t))
 
 
 @query("reference_checks")
