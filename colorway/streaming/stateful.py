@@ -7,7 +7,9 @@ the job survive executor loss. Output: for every session a batch touched,
 the lines that changed (qty 0 = removed), in update mode, for a downstream
 upsert. The foreachBatch form (``jobs.cart_state_stream``) folds on the JVM
 with no per-session grouping; this form keeps state inside Structured
-Streaming.
+Streaming. A hot session's events of one micro-batch go to one task, so bound
+micro-batches (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``); the
+foreachBatch form has no such limit.
 """
 
 from __future__ import annotations
