@@ -66,9 +66,15 @@ def _order_key(v: Column) -> Column:
     kind = F.schema_of_variant(raw)
     text = F.try_variant_get(raw, "$", "string")
     as_long = F.try_variant_get(raw, "$", "bigint")
+    as_double = F.try_variant_get(raw, "$", "double")
     integral = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+    # JSON numbers are doubles in the handler: 7.0 and 1e2 are the ids 7 and
+    # 100; a true fraction fails in the database.
+    fractional = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    whole = (as_double == F.floor(as_double)) & (as_double != 0)
     return (F.when(kind == "STRING", F.when(text != "", text.try_cast("bigint")))
-             .when(integral, F.when(as_long != 0, as_long)))
+             .when(integral, F.when(as_long != 0, as_long))
+             .when(fractional, F.when(whole, as_double.cast("bigint"))))
 
 
 def payment_status(key: bytes, signature: Column, ts: Column, body: Column) -> dict[str, Column]:

@@ -34,6 +34,9 @@ cls as (
                                    then try_cast(json_extract_string(jb, '$.data.order.order_id') as bigint) end
           when 'BIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
           when 'UBIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
+          when 'DOUBLE' then case when cast(json_extract(jb, '$.data.order.order_id') as double)
+                                       = floor(cast(json_extract(jb, '$.data.order.order_id') as double))
+                                  then nullif(cast(cast(json_extract(jb, '$.data.order.order_id') as double) as bigint), 0) end
           end as oid
         from (select *, case when coalesce(json_valid(body), false) then body end as jb from feed) g) x)
 """

@@ -44,6 +44,18 @@ def test_payment_classification(spark):
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0}}}'), ("500", None)),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7}}}',
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7}}}'), ("paid", 7)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.0}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.0}}}'), ("paid", 7)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":1e2}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":1e2}}}'), ("paid", 100)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.5}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.5}}}'), ("500", None)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0.0}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0.0}}}'), ("500", None)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"abc"}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"abc"}}}'), ("500", None)),
+        ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":true}}}',
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":true}}}'), ("500", None)),
     ]
     feed = spark.createDataFrame([(i, c[2], c[0], c[1]) for i, c in enumerate(cases)],
                                  "i int, signature string, ts string, body string")
