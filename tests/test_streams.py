@@ -227,3 +227,22 @@ def test_stateful_cart_stream_equals_replay(spark, scratch):
     for r in spark.read.parquet(out).orderBy("batch").collect():
         last[(r["session_id"], r["item_key"])] = r["qty"]
     assert {k: v for k, v in last.items() if v > 0} == replay(events)
+
+
+def test_catalog_refresh_batch_rerun_is_idempotent(spark, scratch):
+    before = _shop(spark)
+    after = dict(_shop(spark, variant_color_2="2-a"))
+    base = os.path.join(scratch, "catalog")
+    jobs.init_bucketed(C.color_catalog(before), base, "product_id", buckets=4)
+    changes = spark.createDataFrame(
+        [(1, T0, "product_variants", "UPDATE", 2, 1, "v2")],
+        "event_id long, ts timestamp_ntz, table_name string, op string, product_id long, "
+        "old_product_id long, row_id string")
+    step = jobs.refresh_catalog_batch(lambda: after, base, buckets=4)
+    key = lambda r: (r["color_id"], tuple(s["variant_id"] for s in r["sizes"]), r["has_stock"])
+    step(changes, 0)
+    first = sorted(map(key, BK.read_state(spark, base, jobs.state_schema(spark, base)).collect()))
+    step(changes, 0)  # the same batch again, e.g. after a failure
+    again = sorted(map(key, BK.read_state(spark, base, jobs.state_schema(spark, base)).collect()))
+    assert first == again == sorted(map(key, C.color_catalog(after).collect()))
+    assert BK.committed(spark, base) == [0, 1]
