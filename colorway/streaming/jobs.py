@@ -75,6 +75,10 @@ def refresh_catalog_batch(tables_fn: Callable[[], object], base: str, tables=CAT
         version = batch_id + 1
         prev = BK.latest(spark, base, before=version)
         t = tables_fn()
+        if prev is None:  # no state yet: this version is a full build
+            full = CT.color_catalog(t).withColumn(BK.BUCKET, BK.bucket_of(F.col("product_id"), buckets))
+            BK.write_version(full, base, version, list(range(buckets)), None)
+            return
         ids = affected_keys(batch, tables).persist()
         try:
             touched = BK.touched_buckets(ids, "product_id", buckets)

@@ -246,3 +246,14 @@ def test_catalog_refresh_batch_rerun_is_idempotent(spark, scratch):
     again = sorted(map(key, BK.read_state(spark, base, jobs.state_schema(spark, base)).collect()))
     assert first == again == sorted(map(key, C.color_catalog(after).collect()))
     assert BK.committed(spark, base) == [0, 1]
+
+
+def test_catalog_refresh_without_initial_state(spark, scratch):
+    t = _shop(spark)
+    base = os.path.join(scratch, "catalog")
+    changes = spark.createDataFrame([(1, T0, "products", "UPDATE", 1, None, None)],
+                                    "event_id long, ts timestamp_ntz, table_name string, op string, "
+                                    "product_id long, old_product_id long, row_id string")
+    jobs.refresh_catalog_batch(lambda: t, base, buckets=4)(changes, 0)
+    got = sorted(r["color_id"] for r in BK.read_state(spark, base, C.color_catalog(t).schema).collect())
+    assert got == sorted(r["color_id"] for r in C.color_catalog(t).collect())
