@@ -42,3 +42,10 @@ def test_size_rank(spark):
     got = _one(spark, D.size_rank(F.col("a")), "a string",
                [("XS",), ("S",), ("M",), ("L",), ("XL",), ("XXL",), ("ONE",), (None,), ("xs",)])
     assert got == [1, 2, 3, 4, 5, 6, 99, 99, 99]
+
+
+def test_exact_div_beyond_double_precision(spark):
+    from colorway.functions.display import exact_div
+    big = [(2**62 + 7, 3), (10**18 + 1, 10**9), (9007199254740993, 2), (0, 5)]
+    got = _one(spark, exact_div(F.col("a"), F.col("b")), "a long, b long", big)
+    assert got == [a // b for a, b in big]
