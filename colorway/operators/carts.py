@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colorway.session import range_partitions
+
 # Quantity bounds of a cart line.
 MIN_QTY, MAX_QTY = 1, 20
 
@@ -137,7 +139,7 @@ def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: in
     of the same line do not change them. Prior lines then carry them too.
     """
     spark = events.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(events)
     attrs = list(attrs or [])
     at = F.struct("ts", "event_id")
     ev = events.select(session, key, "ts", "event_id", "op", "delta", *attrs)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colorway.session import lineage_cut
+from colorway.session import lineage_cut, range_partitions
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row in partition
 
@@ -39,7 +39,8 @@ def position_within(df: DataFrame, keys: list[str], order: list[tuple[Column, st
                  + [getattr(F.col(f"_k{i}"), d)() for i, (_, d) in enumerate(order)]
                  + [F.col(row_id).asc()])
     narrow = df.select(*keys, row_id, *sort_keys)
-    ranked = lineage_cut(narrow.orderBy(*sort_cols)
+    narrow = narrow.repartitionByRange(range_partitions(narrow), *sort_cols)
+    ranked = lineage_cut(narrow.sortWithinPartitions(*sort_cols)
                          .select(*keys, row_id, F.monotonically_increasing_id().alias("_mid")))
     ranked = (ranked.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
                     .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))

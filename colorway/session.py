@@ -72,3 +72,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared by all executors."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+# Target bytes per range partition (sorts of one task stay in memory).
+RANGE_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def range_partitions(df: DataFrame, minimum: int | None = None) -> int:
+    """Partition count for a range sort of ``df``: its estimated size (from
+    Catalyst's statistics, a metadata read on the driver) over 256 MB, and at
+    least ``spark.sql.shuffle.partitions``. AQE can merge range partitions
+    but not split them, so the count must be large enough up front."""
+    spark = df.sparkSession
+    base = minimum or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw) if isinstance(raw, int) else int(raw.toString())
+    except Exception:  # noqa: BLE001 - no estimate available
+        return base
+    return max(base, min(size // RANGE_PARTITION_BYTES + 1, 1 << 20))
