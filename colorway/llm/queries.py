@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colorway.llm import bpe, quality
+from colorway.llm import bpe, quality, toxicity
 from colorway.llm.common import input_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,12 +18,16 @@ def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(input_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_qda, op3_toxicity_ftrl, op5_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
