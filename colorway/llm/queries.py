@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colorway.llm import bpe, quality, rules, toxicity
+from colorway.llm import bpe, fingerprint, quality, rules, toxicity
 from colorway.llm.common import input_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
 
 
+def op4_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(input_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(input_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
@@ -31,7 +35,7 @@ def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op3_toxicity_ftrl, op5_byte_bpe, op8_risk_rules)}
+    return {f.__name__: f for f in (op1_quality_qda, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op8_risk_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
