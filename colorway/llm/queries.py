@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colorway.llm import bpe, fingerprint, html_text, near_copies, quality, rules, toxicity
+from colorway.llm import bpe, fingerprint, html_text, near_copies, quality, rules, substrings, toxicity
 from colorway.llm.common import input_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,12 +38,16 @@ def op6_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(input_table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(input_table(spark, sf_dir, "documents"))
+
+
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op8_risk_rules)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
