@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colorway.llm import bpe, fingerprint, html_text, near_copies, quality, rules, substrings, toxicity
+from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, quality, rules, substrings, toxicity
 from colorway.llm.common import input_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,8 +47,23 @@ def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
 
 
+#: The mix of the registered query and the pipeline: half of all tokens.
+MIX = mixing.Target(domains={"crawl": 0.4, "web": 0.35, "books": 0.25}, languages={"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+                    share=0.5, epochs=2)
+
+
+def domain(source: F.Column) -> F.Column:
+    """The domain of a source: src0 is a crawl, src1 to src9 are web sites,
+    the others books."""
+    return F.when(source == "src0", "crawl").when(source.rlike("^src[1-9]$"), "web").otherwise("books")
+
+
+def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(input_table(spark, sf_dir, "documents"), MIX, domain)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
