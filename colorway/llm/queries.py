@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, quality, rules, substrings, toxicity
+from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, packing, quality, rules, substrings, toxicity
 from colorway.llm.common import input_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,8 +62,15 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(input_table(spark, sf_dir, "documents"), MIX, domain)
 
 
+def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(input_table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+    return packed.select("pack", "row", "n_tokens", "doc_ids", "rows", "parts", "cu_seqlens",
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix)}
+    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix,
+                                  op10_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
