@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from colorway.session import lineage_cut
+from colorway.session import lineage_cut, scratch_dir
 
-__all__ = ["arrow_rows", "importable", "lineage_cut", "texts"]
+__all__ = ["arrow_rows", "importable", "input_table", "lineage_cut", "scratch_table", "texts"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,3 +35,10 @@ def arrow_rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
 
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    folder = scratch_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -185,12 +185,32 @@ def held_out(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _learned(x: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
+        .where(F.col("label").isNotNull())
+    return fit(x.where("has_words").where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, id_col: str = "doc_id",
+             text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least
+    ``cutoff``. Rows are judged where they are read: nothing is shuffled but
+    the labelled rows' statistics."""
+    model = _learned(vectors(docs, id_col, text_col), labels, id_col, label_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.array([statistics(t) for t in texts(batch, text_col)], dtype=float).reshape(-1, SIZE)
+            keep = (raw[:, 0] > 0) & (model.score(transformed(raw)) >= cutoff)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``, learned
     from the labelled rows that are not held out."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
-        .where(F.col("label").isNotNull())
     x = lineage_cut(vectors(docs, id_col, text_col))  # used twice: to learn and to score
-    model = fit(x.where("has_words").where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    model = _learned(x, labels, id_col, label_col)
     return score(x, model, cutoff).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -68,9 +68,14 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes its parameters from this module
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix,
-                                  op10_packed_ids)}
+                                  op10_packed_ids, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

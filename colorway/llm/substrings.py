@@ -378,12 +378,13 @@ def _matches(table: pa.Table, length: int) -> pa.Table:
 _MATCH = "first long, shards long, id long, batch long, row long, at long, to long, words binary"
 
 
-def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, list[bytes], np.ndarray]]:
-    """(id, words, which stay) of a batch's documents."""
+def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, bytes, list[bytes], np.ndarray]]:
+    """(id, text, words, which stay) of a batch's documents."""
     if not len(packed):
         return
     ids = np.frombuffer(packed["ids"][0].as_py(), "<i8").tolist()
-    docs = [b.split() for b in _unpacked(packed["body"][0].as_py())]
+    bodies = _unpacked(packed["body"][0].as_py())
+    docs = [b.split() for b in bodies]
     sizes = [len(d) for d in docs]
     base = np.cumsum([0, *sizes])
     gone = np.zeros(int(base[-1]) + 1, np.int64)
@@ -393,7 +394,7 @@ def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, list[
         np.add.at(gone, base[row] + to, -1)
     stays = np.cumsum(gone)[:-1] == 0
     for k, words in enumerate(docs):
-        yield None if ids[k] == _NULL else ids[k], words, stays[base[k]:base[k + 1]]
+        yield None if ids[k] == _NULL else ids[k], bodies[k], words, stays[base[k]:base[k + 1]]
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, split: int, finish: Callable[[Iterator], pa.Table], schema: str) -> DataFrame:
@@ -424,7 +425,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def finish(rows: Iterator) -> pa.Table:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for i, words, stays in rows:
+        for i, _, words, stays in rows:
             n = int(stays.sum())
             kept = words if n == len(words) else [words[k] for k in np.flatnonzero(stays).tolist()]
             for o, v in zip(out, (i, len(words), len(words) - n, hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
@@ -437,16 +438,33 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
             split: int = SPLIT) -> DataFrame:
-    """(doc_id, n_words, spans): the spans [from, to) of words to remove, for
-    the rows that have any."""
+    """(doc_id, text_hash, spans): the spans [from, to) of words to remove,
+    for the rows that have any. text_hash is ``xxhash64`` of the text."""
 
     def finish(rows: Iterator) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        for i, words, stays in rows:
+        for i, text, _, stays in rows:
             if not stays.all():
-                for o, v in zip(out, (i, len(words), [{"from": a, "to": b} for a, b in _runs(~stays)]), strict=True):
+                hashed = xxhash.xxh64_intdigest(text, seed=42)  # as Spark's function
+                for o, v in zip(out, (i, hashed - (hashed >> 63 << 64), [{"from": a, "to": b} for a, b in _runs(~stays)]), strict=True):
                     o.append(v)
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        return _table({"doc_id": (out[0], pa.int64()), "n_words": (out[1], pa.int64()), "spans": (out[2], kind)})
-
-    return _apply(docs, id_col, text_col, length, split, finish, "doc_id long, n_words long, spans array<struct<from: long, to: long>>")
+        return _table({"doc_id": (out[0], pa.int64()), "text_hash": (out[1], pa.int64()), "spans": (out[2], kind)})
+
+    return _apply(docs, id_col, text_col, length, split, finish, "doc_id long, text_hash long, spans array<struct<from: long, to: long>>")
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars",
+            length: int = LENGTH, split: int = SPLIT) -> DataFrame:
+    """``docs`` with all columns; a text with words to remove becomes the words
+    kept, joined by spaces, and ``size_col`` (if there) its length."""
+    found = removed(docs, id_col, text_col, length, split).dropDuplicates(["doc_id", "text_hash"]) \
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    kept = F.filter(words, lambda w, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])))
+    out = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " ")))
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.when(F.col("__spans").isNull(), F.col(size_col))
+                             .otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+    return out.select(docs.columns)
