@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from colorway.llm.common import arrow_rows, importable
 
 CELLS = 6  # in each of the three parts of the first sketch
-GROWTH = 3
+GROWTH = 9
 CUT = np.uint64(4)  # one word of so many ends a piece
 LONGEST = 16  # words of a piece
 BATCH_CHARS = 1_000_000
@@ -67,17 +67,21 @@ def _hash(word: str) -> int:
     return out
 
 
-def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, digest) of the pieces of all texts, ordered by both."""
+def digests(texts: list[str], hashed: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, digest) of the pieces of all texts, ordered by both.
+    ``hashed`` keeps the word hashes of lines between calls."""
+    hashed = {} if hashed is None else hashed
     hashes, line_ends, sizes = [], [], []
     known = _words.get
     at = 0
     for text in texts:
         n = 0
         for line in text.split("\n"):
-            words = line.split()
+            words = hashed.get(line)
+            if words is None:
+                words = hashed[line] = [known(w) or _hash(w) for w in line.split()]
             if words:
-                hashes += [known(w) or _hash(w) for w in words]
+                hashes += words
                 n += len(words)
                 line_ends.append(at + n - 1)
         sizes.append(n)
@@ -204,12 +208,27 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_s
                      ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+def _chosen(every: tuple[np.ndarray, np.ndarray], texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of some texts, numbered anew in that order."""
+    low, high = np.searchsorted(every[0], texts), np.searchsorted(every[0], texts, "right")
+    sizes = high - low
+    at = np.arange(sizes.sum()) + np.repeat(low - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+    return np.repeat(np.arange(len(texts)), sizes), every[1][at]
+
+
 def _compared(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     """Result rows of (id, text, next text)."""
     n = len(rows)
     own = [t for _, t, _ in rows]
     new = [edited(t, f) for _, t, f in rows]
-    a, b, c = digests(own), digests(new), digests([f for _, _, f in rows])
+    # the next text is mostly the next row's own
+    last = [k for k in range(n) if k + 1 == n or rows[k][2] is not own[k + 1]]
+    hashed: dict[str, list[int]] = {}
+    every = digests(own + [rows[k][2] for k in last], hashed)
+    following = np.arange(1, n + 1)
+    following[last] = np.arange(n, n + len(last))
+    a, c = _chosen(every, np.arange(n)), _chosen(every, following)
+    b = digests(new, hashed)
     prints = []
     for doc, keys in (a, b):
         total = np.bincount(doc, minlength=n)
