@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, packing, quality, rules, substrings, toxicity
 from colorway.llm.common import input_table
+from colorway.llm.oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -44,7 +47,8 @@ def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
+    judged = rules.apply(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
 #: The mix of the registered query and the pipeline: half of all tokens.
@@ -76,7 +80,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix,
                                   op10_packed_ids, pipeline)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
