@@ -58,6 +58,7 @@ _NULL = (1 << 63) - 1
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+_ZSTD = pa.Codec("zstd", compression_level=5)
 _words: dict[bytes, int] = {}
 
 
@@ -101,7 +102,19 @@ def anchors(docs: list[list[bytes]], length: int = LENGTH, run: int = RUN) -> tu
     high = _spread(np.concatenate((pad, low, pad)), reach, np.maximum)  # by run
     places = np.flatnonzero((runs == high) & (high > 0))
     doc = np.repeat(np.arange(len(docs)), sizes)[places]
-    return doc, places - (np.cumsum(sizes) - sizes)[doc], runs[places]
+    return doc, places - (np.cumsum(sizes) - sizes)[doc], runs[places] >> np.uint64(16)
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """48-bit hashes as 6 bytes each. (Anchors only propose; a chance meeting
+    costs time but removes nothing.)"""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 class Automaton:
@@ -219,11 +232,11 @@ def _shard(stretches: list[tuple], length: int) -> Iterator[tuple[tuple, list[tu
 def _packed(docs: list[bytes]) -> bytes:
     sizes = np.array([len(d) for d in docs], "<u4")
     raw = np.uint32(len(docs)).tobytes() + sizes.tobytes() + b"".join(docs)
-    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.uint32(len(raw)).tobytes() + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> list[bytes]:
-    raw = pa.decompress(blob[4:], decompressed_size=int(np.frombuffer(blob[:4], "<u4")[0]), codec="zstd", asbytes=True)
+    raw = _ZSTD.decompress(blob[4:], decompressed_size=int(np.frombuffer(blob[:4], "<u4")[0]), asbytes=True)
     n = int(np.frombuffer(raw[:4], "<u4")[0])
     ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw[4:4 + 4 * n], "<u4").astype(np.int64))
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
@@ -249,7 +262,7 @@ def _batches(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         count = np.minimum(np.diff(np.append(first, len(h))), 65535).astype("<u2")
         h, d = h[first], d[first]
-        bucket = (h >> np.uint64(20)) % np.uint64(buckets)
+        bucket = h % np.uint64(buckets)
         out: tuple[list, list, list, list] = ([-1], [number], [own.astype("<i8").tobytes()], [_packed(bodies)])
         table, index = np.unique(d, return_inverse=True)
         index = index.astype("<u2")
@@ -258,8 +271,8 @@ def _batches(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             used, place = np.unique(index[at], return_inverse=True)
             out[0].append(k)
             out[1].append(number)
-            out[2].append(_packed([table[used].astype("<i8").tobytes()]))
-            out[3].append(h[at].astype("<u8").tobytes() + place.astype("<u2").tobytes() + count[at].tobytes())
+            out[2].append(_packed([table[used].astype("<i8").tobytes(), count[at].tobytes()]))
+            out[3].append(_short(h[at]) + place.astype("<u2").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +301,11 @@ def _answers(table: pa.Table, split: int) -> pa.Table:
     h, d, c, who = [], [], [], []
     batches = table["batch"].to_pylist()
     for k, (ids, body) in enumerate(zip(table["ids"].to_pylist(), table["body"].to_pylist())):
-        n = len(body) // 12
-        h.append(np.frombuffer(body[:8 * n], "<u8"))
-        d.append(np.frombuffer(_unpacked(ids)[0], "<i8")[np.frombuffer(body[8 * n:10 * n], "<u2")])
-        c.append(np.frombuffer(body[10 * n:], "<u2").astype(np.int64))
+        n = len(body) // 8
+        own, count = _unpacked(ids)
+        h.append(_long(body[:6 * n]))
+        d.append(np.frombuffer(own, "<i8")[np.frombuffer(body[6 * n:], "<u2")])
+        c.append(np.frombuffer(count, "<u2").astype(np.int64))
         who.append(np.full(n, k, np.int32))
     h, d, c, who = (np.concatenate(x) for x in (h, d, c, who))
     order = np.argsort(h, kind="stable")
@@ -307,24 +321,25 @@ def _answers(table: pa.Table, split: int) -> pa.Table:
     order = np.lexsort((h, who))
     h, who, first, shards = h[order], who[order], first[order], shards[order]
     cuts = np.searchsorted(who, np.arange(len(batches) + 1))
-    out: tuple[list, list] = ([], [])
+    out: tuple[list, list, list] = ([], [], [])
     for k, number in enumerate(batches):
         a, b = int(cuts[k]), int(cuts[k + 1])
         if b > a:
             out[0].append(number)
-            out[1].append(h[a:b].astype("<u8").tobytes() + first[a:b].astype("<i8").tobytes() + shards[a:b].astype("<u2").tobytes())
-    return _table({"batch": (out[0], pa.int64()), "answer": (out[1], pa.binary())})
+            out[1].append(_short(h[a:b]) + _packed([first[a:b].astype("<i8").tobytes(), shards[a:b].astype("<u2").tobytes()]))
+            out[2].append(b - a)
+    return _table({"batch": (out[0], pa.int64()), "answer": (out[1], pa.binary()), "n": (out[2], pa.int64())})
 
 
 def _stretches(packed: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     """Step 3: (first, shards, shard, id, batch, row, at, words) of a batch."""
     rows: dict[str, list] = {k: [] for k in ("first", "shards", "shard", "id", "batch", "row", "at", "words")}
     if len(packed) and len(answers):
-        parts = answers["answer"].to_pylist()
-        n = [len(p) // 18 for p in parts]
-        h = np.concatenate([np.frombuffer(p[:8 * k], "<u8") for p, k in zip(parts, n)])
-        f = np.concatenate([np.frombuffer(p[8 * k:16 * k], "<i8") for p, k in zip(parts, n)])
-        s = np.concatenate([np.frombuffer(p[16 * k:], "<u2") for p, k in zip(parts, n)])
+        parts = list(zip(answers["answer"].to_pylist(), answers["n"].to_pylist()))
+        h = np.concatenate([_long(p[:6 * k]) for p, k in parts])
+        rest = [_unpacked(p[6 * k:]) for p, k in parts]
+        f = np.concatenate([np.frombuffer(r[0], "<i8") for r in rest])
+        s = np.concatenate([np.frombuffer(r[1], "<u2") for r in rest])
         order = np.argsort(h)
         h, f, s = h[order], f[order], s[order]
         number = packed["batch"][0].as_py()
@@ -403,7 +418,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, split: int,
     buckets = 1 + rows.select("doc_id").count() // DOCS_PER_BUCKET
     first = lineage_cut(_batches(rows, buckets, length))
     packed = first.where("bucket < 0").select("batch", "ids", "body")
-    answers = first.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answers(t, split), "batch long, answer binary")
+    answers = first.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answers(t, split), "batch long, answer binary, n long")
     stretches = packed.groupBy("batch").cogroup(answers.groupBy("batch")) \
         .applyInArrow(lambda a, b: _stretches(a, b, length), _STRETCH)
     # several first documents share a task; a split one has tasks of its own
