@@ -1,43 +1,76 @@
-"""Bucketed, versioned state for stream jobs.
-
-State rows carry a bucket ``pmod(hash(key), B)``. Version ``v`` holds the
-data of the buckets its batch touched (``v=N/data/_bucket=b``) and a
-manifest: for every bucket, the version that holds its current data
-(``v=N/manifest``, at most B rows). The manifest is written after the data,
-so it is the commit point; a batch rerun rewrites the same version from the
-same inputs. A batch therefore rewrites only what it touched, not the state.
+"""Bucketed, versioned state for stream jobs.
+
+State rows carry a bucket ``pmod(hash(key as text), B)``. A version is one
+manifest file (``v=N/manifest.json``). It holds the bucket count, the schema,
+and for every folder of rows the buckets that are current in it. A batch
+writes the rows of the buckets it touched to a folder of its own attempt
+(``v=N/data-<id>``), sorted by bucket, and publishes the manifest last; that
+is the commit point. A failed or repeated attempt leaves at most an unlisted
+folder. B follows the state's size, so a batch rewrites only a small share.
+When a state lies in more than MOST_FOLDERS folders, the batch's version is
+compacted into one.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colorway.sources.io import _fs, version_path
 
 BUCKET = "_bucket"
+ROWS_PER_BUCKET = 500
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16  # the manifest lists a number for each bucket
+MOST_FOLDERS = 16
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """What a version consists of: folder (relative to the state) -> buckets."""
+
+    version: int
+    buckets: int
+    schema: str
+    folders: dict[str, list[int]]
+    rows: dict[str, int]
+    notes: dict = field(default_factory=dict)
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(key), F.lit(buckets))
+    return F.pmod(F.hash(key.cast("string")), F.lit(buckets))
+
+
+def bucket_count(rows: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET))
+
+
+def _file(base: str, version: int) -> str:
+    return f"{version_path(base, version)}/manifest.json"
 
 
 def committed(spark: SparkSession, base: str) -> list[int]:
+    return [v for v in present(spark, base) if _fs(spark, base)[0].exists(_fs(spark, _file(base, v))[1])]
+
+
+def present(spark: SparkSession, base: str) -> list[int]:
+    """Versions that have a folder, committed or not."""
     fs, root = _fs(spark, base)
     if not fs.exists(root):
         return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v=") and fs.exists(st.getPath().suffix("/manifest/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+    names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
 
-def manifest(spark: SparkSession, base: str, version: int) -> dict[int, int]:
-    """bucket -> version holding it (at most B rows, read on the driver)."""
-    rows = spark.read.schema("bucket int, version int").json(version_path(base, version) + "/manifest").collect()
-    return {r["bucket"]: r["version"] for r in rows}
+def manifest(spark: SparkSession, base: str, version: int) -> Manifest:
+    """The version's manifest: one small file, read on the driver."""
+    text = spark.read.text(_file(base, version), wholetext=True).first()[0]
+    return Manifest(**json.loads(text))
 
 
 def latest(spark: SparkSession, base: str, before: int | None = None) -> int | None:
@@ -45,62 +78,99 @@ def latest(spark: SparkSession, base: str, before: int | None = None) -> int | N
     return vs[-1] if vs else None
 
 
-def read_state(spark: SparkSession, base: str, schema, version: int | None = None,
-               before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """The state as of ``version`` (default: latest committed, below
-    ``before``), optionally only some buckets; ``schema`` excludes the bucket."""
-    v = version if version is not None else latest(spark, base, before)
+def previous(spark: SparkSession, base: str, version: int, buckets: int | None = None) -> Manifest | None:
+    """The manifest a batch builds on. ``buckets``, if given, must be the
+    state's own number: rows would otherwise be looked for elsewhere."""
+    v = latest(spark, base, before=version)
     if v is None:
         return None
-    fs, _ = _fs(spark, base)
-    paths = []
-    for b, src in sorted(manifest(spark, base, v).items()):
-        if buckets is not None and b not in buckets:
+    m = manifest(spark, base, v)
+    if buckets is not None and buckets != m.buckets:
+        raise ValueError(f"the state at {base} has {m.buckets} buckets, not {buckets}")
+    return m
+
+
+def rows_of(spark: SparkSession, base: str, m: Manifest, buckets: list[int] | None = None) -> DataFrame:
+    """The state of a manifest with its bucket column, optionally only some
+    buckets (files are sorted by bucket, so others are skipped)."""
+    schema = T.StructType.fromJson(json.loads(m.schema))
+    wanted = None if buckets is None else set(buckets)
+    parts = []
+    for folder, held in sorted(m.folders.items()):
+        of = [b for b in held if wanted is None or b in wanted]
+        if not of or not m.rows[folder]:
             continue
-        p = f"{version_path(base, src)}/data/{BUCKET}={b}"
-        if fs.exists(_fs(spark, p)[1]):  # a bucket emptied by its batch has no folder
-            paths.append(p)
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
-
-
-def write_version(df: DataFrame, base: str, version: int, touched: list[int],
-                  previous: dict[int, int] | None) -> None:
-    """Write the rows of the ``touched`` buckets (``df`` carries ``_bucket``)
-    as ``version``, then its manifest."""
+        path = f"{base.rstrip('/')}/{folder}"
+        fs, p = _fs(spark, path)
+        if not fs.exists(p):
+            raise FileNotFoundError(f"version {m.version} of {base} lists {folder}, which is gone")
+        df = spark.read.schema(schema).parquet(path)
+        parts.append(df if len(of) == m.buckets else df.where(F.col(BUCKET).isin(of)))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, base: str, version: int | None = None, before: int | None = None,
+               buckets: list[int] | None = None) -> DataFrame | None:
+    """The state as of ``version`` (default: the latest committed one, below
+    ``before``), without the bucket column; None if there is no state."""
+    v = version if version is not None else latest(spark, base, before)
+    return None if v is None else rows_of(spark, base, manifest(spark, base, v), buckets).drop(BUCKET)
+
+
+def write_version(df: DataFrame, base: str, version: int, key: str, buckets: int, touched: list[int],
+                  prev: Manifest | None, notes: dict | None = None) -> Manifest:
+    """Write ``df``, the rows of the ``touched`` buckets, as ``version`` on top
+    of ``prev``, and publish its manifest."""
     spark = df.sparkSession
-    path = version_path(base, version)
-    df.write.mode("overwrite").partitionBy(BUCKET).parquet(path + "/data")
-    m = dict(previous or {})
-    m.update({b: version for b in touched})
-    rows = [(int(b), int(v)) for b, v in sorted(m.items())]
-    (spark.createDataFrame(rows, "bucket int, version int").coalesce(1)
-     .write.mode("overwrite").json(path + "/manifest"))
+    # Typed as stored: a state's columns keep their order from version to version.
+    rows = df.withColumn(BUCKET, bucket_of(F.col(key), buckets))
+    if prev is not None:
+        rows = rows.select(*[f["name"] for f in json.loads(prev.schema)["fields"]])
+    schema = rows.schema.json()
+    folders = {f: sorted(set(b) - set(touched)) for f, b in (prev.folders if prev else {}).items()}
+    counts = {f: prev.rows[f] for f in folders} if prev else {}
+    folder, n = _store(rows, base, version, key, len(touched))
+    folders[folder], counts[folder] = sorted(touched), n
+    m = Manifest(version, buckets, schema, {f: b for f, b in folders.items() if b}, counts, notes or {})
+    if len(m.folders) > MOST_FOLDERS:
+        folder, n = _store(rows_of(spark, base, m), base, version, key, buckets)
+        m = Manifest(version, buckets, schema, {folder: list(range(buckets))}, {folder: n}, m.notes)
+    fs, path = _fs(spark, _file(base, version))
+    out = fs.create(path, True)  # the commit point
+    try:
+        out.write(bytearray(json.dumps(asdict(m)).encode()))
+    finally:
+        out.close()
+    return m
+
+
+def _store(rows: DataFrame, base: str, version: int, key: str, touched: int) -> tuple[str, int]:
+    """Rows as files in the order of buckets: at most as many as buckets, and
+    a bucket with many rows is split by its keys."""
+    spark = rows.sparkSession
+    files = max(1, min(touched, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    name = f"{version_path('', version).lstrip('/')}/data-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}"
+    (rows.repartitionByRange(files, BUCKET, F.xxhash64(F.col(key).cast("string"))).sortWithinPartitions(BUCKET)
+     .write.parquet(path))
+    return name, spark.read.schema(rows.schema).parquet(path).count()
 
 
 def touched_buckets(keys: DataFrame, key: str, buckets: int) -> list[int]:
     """Distinct buckets of a batch's keys (at most B values, read on the driver)."""
-    return sorted(r[0] for r in keys.select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect())
+    return sorted(r[0] for r in keys.where(F.col(key).isNotNull())
+                  .select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect())
 
 
 def obsolete_versions(spark: SparkSession, base: str, keep: int = 2) -> list[int]:
     """Versions no reader or retry needs: not among the ``keep`` latest
-    committed versions, and not holding a bucket that one of their manifests
-    points to. ``keep`` >= 2, so a retried batch still finds its predecessor."""
-    vs = committed(spark, base)
-    recent = vs[-max(keep, 2):]
+    committed versions, and holding no folder that one of their manifests
+    lists. ``keep`` >= 2, so a retried batch still finds its predecessor."""
+    recent = committed(spark, base)[-max(keep, 2):]
     needed = set(recent)
     for v in recent:
-        needed.update(manifest(spark, base, v).values())
-    fs, root = _fs(spark, base)
-    present = []
-    if fs.exists(root):
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v="):
-                present.append(int(name[2:]))
-    return sorted(v for v in present if v not in needed and v < recent[0])
+        needed.update(int(f.split("/")[0][2:]) for f in manifest(spark, base, v).folders)
+    return [v for v in present(spark, base) if v not in needed and recent and v < recent[0]]
 
 
 def drop_versions(spark: SparkSession, base: str, versions: list[int]) -> None:

@@ -66,35 +66,32 @@ def catalog_for_products(tables, ids: DataFrame) -> DataFrame:
 
 
 def refresh_catalog_batch(tables_fn: Callable[[], object], base: str, tables=CATALOG_TABLES,
-                          buckets: int = 64):
+                          buckets: int | None = None):
     """foreachBatch body of X2: rebuild the rows of the products a change
     touched and swap them into the buckets (by product id) holding them; the
-    other buckets are not rewritten."""
+    other buckets are not rewritten. Without a state the batch builds it."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = BK.latest(spark, base, before=version)
+        prev = BK.previous(spark, base, version, buckets)
         t = tables_fn()
         if prev is None:  # no state yet: this version is a full build
-            full = CT.color_catalog(t).withColumn(BK.BUCKET, BK.bucket_of(F.col("product_id"), buckets))
-            BK.write_version(full, base, version, list(range(buckets)), None)
+            init_bucketed(CT.color_catalog(t), base, "product_id", buckets, version)
             return
         ids = affected_keys(batch, tables).persist()
         try:
-            touched = BK.touched_buckets(ids, "product_id", buckets)
-            schema = state_schema(spark, base)
-            rows = BK.read_state(spark, base, schema, version=prev, buckets=touched)
-            fresh = catalog_for_products(t, ids).select(*schema.fieldNames())
+            touched = BK.touched_buckets(ids, "product_id", prev.buckets)
+            rows = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET)
+            fresh = catalog_for_products(t, ids).select(*rows.columns)
             new = rows.join(ids, "product_id", "left_anti").unionByName(fresh)
-            new = new.withColumn(BK.BUCKET, BK.bucket_of(F.col("product_id"), buckets))
-            BK.write_version(new, base, version, touched, BK.manifest(spark, base, prev))
+            BK.write_version(new, base, version, "product_id", prev.buckets, touched, prev)
         finally:
             ids.unpersist()
     return process
 
 
 def catalog_refresh(spark: SparkSession, feed_path: str, tables_fn, base: str, checkpoint: str,
-                    tables=CATALOG_TABLES, available_now: bool = True, buckets: int = 64):
+                    tables=CATALOG_TABLES, available_now: bool = True, buckets: int | None = None):
     """On changes to products, colours or variants, bring the catalog
     state up to date. Version 0 is a full build:
     ``init_bucketed(color_catalog(tables), base, "product_id")``."""
@@ -109,39 +106,35 @@ def payment_status_stream(spark: SparkSession, feed_path: str, key: bytes) -> Da
     return OR.classify_payments(io.payment_feed(spark, feed_path), key)
 
 
-def orders_paid_batch(base: str, buckets: int = 64):
+def orders_paid_batch(base: str, buckets: int | None = None):
     """foreachBatch body of X4: apply the batch's paid ids to the orders,
-    rewriting only the buckets (by order id) that hold a paid order."""
+    rewriting only the buckets (by order id) that hold a paid order. The
+    orders must be there (``init_bucketed``): payments create none."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = BK.latest(spark, base, before=version)
+        prev = BK.previous(spark, base, version, buckets)
+        if prev is None:
+            raise ValueError(f"no orders at {base}: start with init_bucketed(orders, base, 'id')")
         paid = OR.paid_order_ids(batch).persist()
         try:
-            touched = BK.touched_buckets(paid, "id", buckets)
-            schema = state_schema(spark, base)
-            rows = BK.read_state(spark, base, schema, version=prev, buckets=touched)
-            new = OR.orders_paid(rows, paid).withColumn(BK.BUCKET, BK.bucket_of(F.col("id"), buckets))
-            BK.write_version(new, base, version, touched, BK.manifest(spark, base, prev))
+            touched = BK.touched_buckets(paid, "id", prev.buckets)
+            rows = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET)
+            BK.write_version(OR.orders_paid(rows, paid), base, version, "id", prev.buckets, touched, prev)
         finally:
             paid.unpersist()
     return process
 
 
-def state_schema(spark: SparkSession, base: str):
-    """Schema of the state rows (bucket column excluded), from version 0,
-    which holds every bucket."""
-    return spark.read.parquet(f"{io.version_path(base, 0)}/data").drop(BK.BUCKET).schema
-
-
-def init_bucketed(df: DataFrame, base: str, key: str, buckets: int = 64) -> None:
-    """Version 0 of a bucketed state: every bucket written."""
-    rows = df.withColumn(BK.BUCKET, BK.bucket_of(F.col(key), buckets))
-    BK.write_version(rows, base, 0, list(range(buckets)), None)
+def init_bucketed(df: DataFrame, base: str, key: str, buckets: int | None = None, version: int = 0) -> None:
+    """A version with every bucket written (by default version 0). The number
+    of buckets follows the number of rows and stays with the state."""
+    n = buckets or BK.bucket_count(df.count())
+    BK.write_version(df, base, version, key, n, list(range(n)), None)
 
 
 def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, base: str, checkpoint: str,
-                       available_now: bool = True, buckets: int = 64):
+                       available_now: bool = True, buckets: int | None = None):
     """Paid events applied to the bucketed orders state (version 0 from
     ``init_bucketed(orders, base, "id")``)."""
     return _start(payment_status_stream(spark, feed_path, key), orders_paid_batch(base, buckets), checkpoint,
@@ -150,60 +143,48 @@ def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, base: st
 
 # --- X5: cart state -------------------------------------------------------------------
 
-CART_SCHEMA = "session_id long, item_key long, qty long"
+#: Buckets of a cart state that starts empty, when its size is not known yet.
+CART_BUCKETS = 4096
 
 
-def cart_state_batch(base: str, buckets: int = 64, partitions: int | None = None):
+def cart_state_batch(base: str, buckets: int | None = None, partitions: int | None = None,
+                     attrs: list[str] | None = None):
     """foreachBatch body of X5: fold the batch's events onto the prior lines
     of the sessions it touches. State is bucketed by session (a clear
     empties a whole session, so it stays inside one bucket); only touched
-    buckets are read and rewritten. Events older than the state's latest
-    event are applied in arrival order; each version notes how many there
-    were (``v=N/notes``: events, late_events, max_ts)."""
+    buckets are read and rewritten. ``attrs`` (e.g. name and price) are fixed
+    by the add that creates a line. Events older than the state's latest
+    event are applied in arrival order; each version's notes say how many
+    there were (events, late_events, max_ts)."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = BK.latest(spark, base, before=version)
+        prev = BK.previous(spark, base, version, buckets)
+        n = prev.buckets if prev else buckets or CART_BUCKETS
         events = batch.persist()
         try:
-            touched = BK.touched_buckets(events, "session_id", buckets)
-            prior = (BK.read_state(spark, base, CART_SCHEMA, version=prev, buckets=touched)
-                     if prev is not None else None)
-            new = CR.cart_state(events, prior, partitions).withColumn(
-                BK.BUCKET, BK.bucket_of(F.col("session_id"), buckets))
-            BK.write_version(new, base, version, touched,
-                             BK.manifest(spark, base, prev) if prev is not None else None)
-            _write_notes(events, base, version, _notes(spark, base, prev))
+            touched = BK.touched_buckets(events, "session_id", n)
+            prior = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET) if prev else None
+            new = CR.cart_state(events, prior, partitions, attrs=attrs)
+            BK.write_version(new, base, version, "session_id", n, touched, prev,
+                             _notes(events, prev.notes.get("max_ts") if prev else None))
         finally:
             events.unpersist()
     return process
 
 
-def _notes(spark: SparkSession, base: str, version: int | None):
-    if version is None:
-        return None
-    path = f"{io.version_path(base, version)}/notes"
-    rows = spark.read.schema(NOTES_SCHEMA).json(path).collect()
-    return rows[0]["max_ts"] if rows else None
-
-
-NOTES_SCHEMA = "events long, late_events long, max_ts timestamp_ntz"
-
-
-def _write_notes(events: DataFrame, base: str, version: int, prior_max) -> None:
+def _notes(events: DataFrame, prior_max: str | None) -> dict:
     """One aggregate over the batch: its size, the events older than the
     state's latest event, and the new latest event time."""
     late = F.col("ts") < F.lit(prior_max).cast("timestamp_ntz") if prior_max is not None else F.lit(False)
     note = events.agg(F.count(F.lit(1)).alias("events"), F.count_if(late).alias("late_events"),
-                      F.max("ts").alias("max_ts"))
-    if prior_max is not None:
-        note = note.withColumn("max_ts", F.greatest(F.col("max_ts"), F.lit(prior_max).cast("timestamp_ntz")))
-    (note.coalesce(1).write.mode("overwrite").option("timestampNTZFormat", io.JSON_TS_FORMAT)
-     .json(f"{io.version_path(base, version)}/notes"))
+                      F.max("ts").cast("string").alias("max_ts")).first().asDict()
+    times = [t for t in (note["max_ts"], prior_max) if t is not None]
+    return {**note, "max_ts": max(times) if times else None}
 
 
 def cart_state_stream(spark: SparkSession, feed_path: str, base: str, checkpoint: str,
-                      max_files: int | None = None, available_now: bool = True, buckets: int = 64):
+                      max_files: int | None = None, available_now: bool = True, buckets: int | None = None):
     """Cart lines kept up to date from a cart event stream."""
     return _start(io.cart_event_feed(spark, feed_path, max_files), cart_state_batch(base, buckets), checkpoint,
                   available_now)
