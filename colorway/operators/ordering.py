@@ -4,8 +4,7 @@
 key holding a third of the rows becomes a third of the job in one task. Here
 the order is a global sort instead (range partitioning splits a hot key over
 many tasks), and a row's position is its global index minus the global index
-of its key's first row. Only per-partition counts (one row per partition) are
-broadcast.
+of its key's first row.
 """
 
 from __future__ import annotations
@@ -27,34 +26,32 @@ def position_within(df: DataFrame, keys: list[str], order: list[tuple[Column, st
 
     ``order`` is a list of (expression, direction) with direction one of
     ``asc``, ``desc``, ``asc_nulls_last``, ``desc_nulls_first``; ``row_id``
-    must identify a row and breaks the remaining ties (ascending). NULL keys
+    breaks the remaining ties (ascending). NULL keys
     form one group, as in ``partition by``.
 
-    The narrow projection (keys, sort keys, row id) is sorted globally and
-    cut from its lineage once, so every later read sees one partitioning; the
-    wide rows are joined back by ``row_id``.
+    The rows are sorted globally once, with all their columns, and cut from
+    their lineage, so every later read sees one partitioning. Nothing is
+    joined back by row id: rows with equal or NULL ids are all kept.
     """
     sort_keys = [e.alias(f"_k{i}") for i, (e, _) in enumerate(order)]
     sort_cols = ([F.col(k).asc() for k in keys]
                  + [getattr(F.col(f"_k{i}"), d)() for i, (_, d) in enumerate(order)]
                  + [F.col(row_id).asc()])
-    narrow = df.select(*keys, row_id, *sort_keys)
-    narrow = narrow.repartitionByRange(range_partitions(narrow), *sort_cols)
-    ranked = lineage_cut(narrow.sortWithinPartitions(*sort_cols)
-                         .select(*keys, row_id, F.monotonically_increasing_id().alias("_mid")))
+    keyed = df.select("*", *sort_keys)
+    ranked = lineage_cut(keyed.repartitionByRange(range_partitions(keyed), *sort_cols).sortWithinPartitions(*sort_cols)
+                         .select(*df.columns, F.monotonically_increasing_id().alias("_mid")))
     ranked = (ranked.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
                     .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    # One row per partition: bounded by the partition count, not the data.
+    # One row per partition; Spark chooses the join from its measured size.
     offsets = (ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_off", F.coalesce(F.sum("_n").over(
                    Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .select("_pid", "_off"))
-    indexed = ranked.join(F.broadcast(offsets), "_pid").withColumn("_g", F.col("_off") + F.col("_loc"))
+    indexed = ranked.join(offsets, "_pid").withColumn("_g", F.col("_off") + F.col("_loc"))
     firsts = indexed.groupBy(*keys).agg(F.min("_g").alias("_g0"))
     firsts = firsts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_g0")
     cond = reduce(lambda a, b: a & b, [indexed[k].eqNullSafe(firsts[f"_f_{k}"]) for k in keys])
-    pos = indexed.join(firsts, cond).select(row_id, (F.col("_g") - F.col("_g0") + 1).alias(name))
-    return df.join(pos, row_id, "inner")
+    return indexed.join(firsts, cond).select(*df.columns, (F.col("_g") - F.col("_g0") + 1).alias(name))
 
 
 def first_by(df: DataFrame, keys: list[str], rank: Column, cols: list[str]) -> DataFrame:

@@ -32,14 +32,6 @@ def local_session(cpus: int | str = "*", app: str = "colorway", **conf: str) ->
     return spark
 
 
-def session_key(spark: SparkSession) -> int:
-    """A stable id of the session (also for sessions without a JVM handle)."""
-    try:
-        return spark._jsparkSession.hashCode()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
-        return id(spark)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the session's ``spark.checkpoint.dir``; a scratch
     folder is set only where the session names none (tests, local runs)."""
@@ -76,18 +68,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 # Target bytes per range partition (sorts of one task stay in memory).
 RANGE_PARTITION_BYTES = 256 * 1024 * 1024
+# Spark's size of a source that has no statistics (rows made in memory).
+UNKNOWN_SIZE = 1 << 62
 
 
 def range_partitions(df: DataFrame, minimum: int | None = None) -> int:
-    """Partition count for a range sort of ``df``: its estimated size (from
-    Catalyst's statistics, a metadata read on the driver) over 256 MB, and at
-    least ``spark.sql.shuffle.partitions``. AQE can merge range partitions
-    but not split them, so the count must be large enough up front."""
-    spark = df.sparkSession
-    base = minimum or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(raw) if isinstance(raw, int) else int(raw.toString())
-    except Exception:  # noqa: BLE001 - no estimate available
-        return base
-    return max(base, min(size // RANGE_PARTITION_BYTES + 1, 1 << 20))
+    """Partition count for a range sort of ``df``: the size of the tables it
+    reads (a metadata read on the driver) over 256 MB, and at least
+    ``spark.sql.shuffle.partitions``. The sizes of the scans are added up;
+    Catalyst's own estimate above a join is the product of its inputs. AQE can
+    merge range partitions but not split them, so the count must be large
+    enough up front."""
+    base = minimum or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < UNKNOWN_SIZE)
+    return max(base, known // RANGE_PARTITION_BYTES + 1)
