@@ -58,10 +58,10 @@ def payment_fields(body: Column) -> dict[str, Column]:
 
 
 def _order_key(v: Column) -> Column:
-    """The order id the update would use, or NULL when the handler fails:
-    JS-falsy ids ('' , 0, false, null, missing) throw; ids the id column
-    cannot hold (fractions, booleans, objects, non-numeric text) fail in the
-    database. Integers and integer text give the id."""
+    """The order id the update would use, as text, or NULL when the handler
+    fails: JS-falsy ids ('' , 0, false, null, missing) throw; fractions,
+    booleans and objects are no id. Any other text is the id (orders are
+    created with text ids), and so is a whole number."""
     raw = F.try_variant_get(v, "$.data.order.order_id", "variant")
     kind = F.schema_of_variant(raw)
     text = F.try_variant_get(raw, "$", "string")
@@ -72,9 +72,9 @@ def _order_key(v: Column) -> Column:
     # 100; a true fraction fails in the database.
     fractional = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
     whole = (as_double == F.floor(as_double)) & (as_double != 0)
-    return (F.when(kind == "STRING", F.when(text != "", text.try_cast("bigint")))
-             .when(integral, F.when(as_long != 0, as_long))
-             .when(fractional, F.when(whole, as_double.cast("bigint"))))
+    return (F.when(kind == "STRING", F.when(text != "", text))
+             .when(integral, F.when(as_long != 0, as_long.cast("string")))
+             .when(fractional, F.when(whole, as_double.cast("bigint").cast("string"))))
 
 
 def payment_status(key: bytes, signature: Column, ts: Column, body: Column) -> dict[str, Column]:

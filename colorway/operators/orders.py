@@ -22,14 +22,17 @@ GUEST_LABEL = "Guest"
 GUEST_COUNTRY = "IN"
 GUEST_PREFIX = "guest_"
 PENDING = "pending"
+CREATE_ORDER = "create-order"
+UNKNOWN_ACTION = "Unknown action: "
 
 # Reasons the checkout page refuses to pay, in check order.
 MISSING_CONTACT, MISSING_ADDRESS, MISSING_ADDRESS_ID, COMPLETE = (
     "missing_contact", "missing_address", "missing_address_id", "ok")
 
 
-def _falsy_num(c: Column) -> Column:
-    return c.isNull() | (c == 0)
+def _missing(c: Column) -> Column:
+    """NULL, empty text and 0 are no id."""
+    return c.isNull() | c.cast("string").isin("", "0")
 
 
 def guest_owner(customer_id: Column) -> Column:
@@ -48,10 +51,14 @@ def address_id_for(request_id: Column) -> Column:
 def build_orders(requests: DataFrame) -> dict[str, DataFrame]:
     """D5 (+ P10, P11, G2, F2): requests in the checkout JSON shape (see
     ``schemas.ORDER_REQUEST_JSON``) -> order rows ('pending'), item rows, new
-    guest address rows, and the payload sent to the payment gateway."""
-    r = requests.where(F.col("action") == "create-order")
+    guest address rows, the payload sent to the payment gateway, and an error
+    row for each request with another action or none."""
+    known = F.coalesce(F.col("action") == CREATE_ORDER, F.lit(False))
+    errors = requests.where(~known).select("request_id", F.concat(
+        F.lit(UNKNOWN_ACTION), F.coalesce("action", F.lit("undefined"))).alias("error"))
+    r = requests.where(known)
     meta = F.col("orderMeta")
-    given_address = F.when(~_falsy_num(meta["address_id"]), meta["address_id"].cast("string"))
+    given_address = F.when(~_missing(meta["address_id"]), meta["address_id"].cast("string"))
     needs_guest_address = given_address.isNull() & meta["guest_address"].isNotNull()
     r = (r.withColumn("order_id", order_id_for(F.col("request_id")))
           .withColumn("_new_address", F.when(needs_guest_address, address_id_for(F.col("request_id")))))
@@ -62,7 +69,7 @@ def build_orders(requests: DataFrame) -> dict[str, DataFrame]:
         F.col("amount").alias("total_amount"),
         F.coalesce(blank_to_null(meta["shipping_method"]), F.lit(DEFAULT_SHIPPING_METHOD)).alias("shipping_method"),
         F.coalesce(meta["shipping_fee"], F.lit(0)).cast("long").alias("shipping_fee"),
-        F.when(~_falsy_num(meta["discount_id"]), meta["discount_id"]).alias("discount_id"),
+        F.when(~_missing(meta["discount_id"]), meta["discount_id"].cast("string")).alias("discount_id"),
         F.coalesce(meta["discount_amount"], F.lit(0)).cast("long").alias("discount_amount"),
         F.coalesce(given_address, F.col("_new_address")).alias("address_id"))
     addresses = r.where(F.col("_new_address").isNotNull()).select(
@@ -79,7 +86,7 @@ def build_orders(requests: DataFrame) -> dict[str, DataFrame]:
         F.col("customerId").alias("customer_id"),
         F.coalesce(blank_to_null(F.col("customerPhone")), F.lit(DEFAULT_PHONE)).alias("customer_phone"),
         F.coalesce(blank_to_null(F.col("customerEmail")), F.lit(DEFAULT_EMAIL)).alias("customer_email"))
-    return {"orders": orders, "order_items": items, "addresses": addresses, "gateway": gateway}
+    return {"orders": orders, "order_items": items, "addresses": addresses, "gateway": gateway, "errors": errors}
 
 
 def order_item_rows(requests: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def checkout_complete(is_guest: Column, contact: list[Column], address: list[Col
         return out
     return (F.when(is_guest & missing(contact), F.lit(MISSING_CONTACT))
              .when(is_guest & missing(address), F.lit(MISSING_ADDRESS))
-             .when(~is_guest & _falsy_num(address_id), F.lit(MISSING_ADDRESS_ID))
+             .when(~is_guest & _missing(address_id), F.lit(MISSING_ADDRESS_ID))
              .otherwise(F.lit(COMPLETE)))
 
 
@@ -121,22 +128,26 @@ def paid_order_ids(classified: DataFrame) -> DataFrame:
     # A paid row always has an order id; stating it (the coalesce never
     # fires) makes the key non-nullable, so a join on it infers no IS NOT NULL
     # filter that would re-inline the classification below the aggregate.
-    return per_id.where(F.col("_paid")).select(F.coalesce("paid_order_id", F.lit(0).cast("long")).alias("id"))
+    return per_id.where(F.col("_paid")).select(F.coalesce("paid_order_id", F.lit("")).alias("id"))
 
 
 def payment_to_order(classified: DataFrame, orders: DataFrame) -> DataFrame:
     """Each webhook call with whether it names an existing order (only
     paid calls carry an order id; the others match nothing). No filter sits
-    on the classification, so the optimizer has nothing to inline into it."""
-    o = orders.select(F.col("id").alias("_oid")).withColumn("_hit", F.lit(True))
-    out = classified.join(o, classified["paid_order_id"] == o["_oid"], "left")
-    return out.withColumn("order_found", F.coalesce("_hit", F.lit(False))).drop("_oid", "_hit")
+    on the classification, so the optimizer has nothing to inline into it.
+    Ids meet as text. Calls without an id get a key of their own that matches
+    nothing, so they spread over the tasks instead of meeting in one."""
+    o = orders.select(F.concat(F.lit("="), F.col("id").cast("string")).alias("_oid")).withColumn("_hit", F.lit(True))
+    spread = F.concat(F.lit("-"), F.xxhash64(*[F.col(c) for c in classified.columns if c in ("event_id", "ts", "body", "signature")]).cast("string"))
+    keyed = classified.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("paid_order_id")), spread))
+    out = keyed.join(o, keyed["_key"] == o["_oid"], "left")
+    return out.withColumn("order_found", F.coalesce("_hit", F.lit(False))).drop("_oid", "_hit", "_key")
 
 
 def orders_paid(orders: DataFrame, paid_ids: DataFrame) -> DataFrame:
     """Orders named by a verified success event become 'paid'; the old
-    status is not checked; unknown ids change nothing."""
-    p = paid_ids.select(F.col("id").alias("_pid")).distinct().withColumn("_paid", F.lit(True))
-    out = orders.join(p, orders["id"] == p["_pid"], "left")
+    status is not checked; unknown ids change nothing. Ids meet as text."""
+    p = paid_ids.select(F.col("id").cast("string").alias("_pid")).distinct().withColumn("_paid", F.lit(True))
+    out = orders.join(p, orders["id"].cast("string") == p["_pid"], "left")
     return out.withColumn("status", F.when(F.col("_paid"), F.lit("paid")).otherwise(F.col("status"))).drop(
         "_pid", "_paid")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from colorway.functions.payments import hmac_pads
 from colorway.plans.oracle import ORACLE, oracle
 from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY
 
@@ -11,7 +10,8 @@ from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY
 
 
 def _hmac(key: bytes, msg: str) -> str:
-    ipad, opad = hmac_pads(key)
+    padded = key + bytes(64 - len(key))  # the test keys are shorter than a block
+    ipad, opad = (bytes(k ^ x for k in padded).hex() for x in (0x36, 0x5C))
     return f"to_base64(unhex(sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({msg}))))))"
 
 
@@ -31,12 +31,12 @@ cls as (
       when oid is null then '500' else 'paid' end as status
   from (select *, case json_type(jb, '$.data.order.order_id')
           when 'VARCHAR' then case when json_extract_string(jb, '$.data.order.order_id') <> ''
-                                   then try_cast(json_extract_string(jb, '$.data.order.order_id') as bigint) end
-          when 'BIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
-          when 'UBIGINT' then nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0)
+                                   then json_extract_string(jb, '$.data.order.order_id') end
+          when 'BIGINT' then cast(nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0) as varchar)
+          when 'UBIGINT' then cast(nullif(cast(json_extract(jb, '$.data.order.order_id') as bigint), 0) as varchar)
           when 'DOUBLE' then case when cast(json_extract(jb, '$.data.order.order_id') as double)
                                        = floor(cast(json_extract(jb, '$.data.order.order_id') as double))
-                                  then nullif(cast(cast(json_extract(jb, '$.data.order.order_id') as double) as bigint), 0) end
+                                  then cast(nullif(cast(cast(json_extract(jb, '$.data.order.order_id') as double) as bigint), 0) as varchar) end
           end as oid
         from (select *, case when coalesce(json_valid(body), false) then body end as jb from feed) g) x)
 """
@@ -54,9 +54,9 @@ select event_id, delivery, status, case when status = 'paid' then oid end as pai
 oracle("payment_to_order", ["orders_t"], _FEED + """
 select c.event_id, c.delivery, c.status, case when c.status = 'paid' then c.oid end as paid_order_id,
   (o.id is not null) as order_found
-from cls c left join orders_t o on o.id = c.oid and c.status = 'paid'""")
+from cls c left join orders_t o on cast(o.id as varchar) = c.oid and c.status = 'paid'""")
 oracle("orders_paid", ["orders_t"], _FEED + """
-select o.id as order_id, case when o.id in (select oid from cls where status = 'paid') then 'paid' else o.status end as status
+select o.id as order_id, case when cast(o.id as varchar) in (select oid from cls where status = 'paid') then 'paid' else o.status end as status
 from orders_t o""")
 
 _REQ = """
@@ -85,7 +85,7 @@ select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(r
   case when length(customer_id) > 0 and substr(customer_id, 1, 6) <> 'guest_' then customer_id end as user_id,
   'pending' as status, amount as total_amount,
   coalesce(nullif(shipping_method, ''), 'standard') as shipping_method,
-  cast(coalesce(shipping_fee, 0) as bigint) as shipping_fee, cast(null as integer) as discount_id,
+  cast(coalesce(shipping_fee, 0) as bigint) as shipping_fee, cast(null as varchar) as discount_id,
   cast(0 as bigint) as discount_amount,
   coalesce(case when coalesce(address_id, 0) <> 0 then cast(address_id as varchar) end, new_address) as address_id
 from req2""")
@@ -119,3 +119,13 @@ select cast(request_id as varchar) as request_id, case
   when not is_guest and coalesce(address_id, 0) = 0 then 'missing_address_id'
   else 'ok' end as reason
 from req2""")
+
+oracle("order_errors", ["order_requests"], """
+select cast(request_id as varchar) as request_id,
+  case when request_id % 101 = 0 then 'Unknown action: refund' else 'Unknown action: undefined' end as error
+from order_requests where request_id % 101 = 0 or request_id % 103 = 0""")
+
+oracle("checkout_to_paid", ["order_requests"], """
+select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(request_id as varchar) as request_id,
+  case when request_id % 5 <> 0 and request_id % 7 <> 0 and request_id % 11 <> 0 then 'paid' else 'pending' end as status
+from order_requests""")

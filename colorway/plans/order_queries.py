@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from colorway.functions import payments as PAY
 from colorway.operators import orders as OR
-from colorway.plans.queries import query
+from colorway.plans.queries import fresh_folder, query
 from colorway.sources import feeds as FD
+from colorway.sources import io as IO
 
 
 # --- orders and payments ---------------------------------------------------------
@@ -15,8 +16,11 @@ from colorway.sources import feeds as FD
 
 @query("order_requests")
 def q_order_requests(t):
-    """The checkout requests in their JSON shape (flattened here)."""
-    r = FD.checkout_requests(t)
+    """The checkout requests posted as JSON and read by the source
+    (flattened here)."""
+    path = fresh_folder(t, "requests")
+    IO.write_json_feed(FD.checkout_requests(t), path)
+    r = IO.order_requests(t.spark, path)
     return r.select("request_id", "amount", F.col("customerId").alias("customer_id"),
                     F.coalesce(F.size("cartItems"), F.lit(0)).cast("long").alias("n_items"),
                     F.col("orderMeta.guest_address").isNotNull().alias("has_guest_address"))
@@ -76,8 +80,10 @@ def _classified(t):
 
 @query("payment_feed")
 def q_payment_feed(t):
-    """The signed webhook calls."""
-    return FD.payment_feed(t)
+    """The signed webhook calls, written as JSON and read by the source."""
+    path = fresh_folder(t, "payments")
+    IO.write_json_feed(FD.payment_feed(t), path)
+    return IO.payment_feed(t.spark, path, streaming=False).select("event_id", "delivery", "ts", "body", "signature")
 
 
 @query("payment_verified")
@@ -114,3 +120,21 @@ def q_orders_paid(t):
     """D6."""
     out = OR.orders_paid(t["orders_t"], OR.paid_order_ids(_classified(t)))
     return out.select(F.col("id").alias("order_id"), "status")
+
+
+@query("order_errors")
+def q_order_errors(t):
+    """Requests with another action, or none, are answered with an error."""
+    rid = F.col("request_id").cast("long")
+    r = FD.checkout_requests(t).withColumn("action", F.when(rid % 101 == 0, F.lit("refund")).when(
+        rid % 103 != 0, F.col("action")))
+    return OR.build_orders(r)["errors"]
+
+
+@query("checkout_to_paid")
+def q_checkout_to_paid(t):
+    """D5 -> X3 -> D6: orders made from the requests, webhook calls that carry
+    their ids, and the orders' status after them."""
+    orders = _built(t)["orders"].select(F.col("order_id").alias("id"), "order_id", "request_id", "status")
+    calls = OR.classify_payments(FD.order_calls(orders), FD.TEST_KEY)
+    return OR.orders_paid(orders, OR.paid_order_ids(calls)).select("order_id", "request_id", "status")

@@ -34,8 +34,7 @@ PAYMENT_FEED_SQL = (
 
 def payment_feed(tables) -> DataFrame:
     """S5 rows built from the purchase events, signed with ``TEST_KEY``."""
-    tables._register_base()
-    raw = tables.spark.sql(PAYMENT_FEED_SQL)
+    raw = tables.sql(PAYMENT_FEED_SQL)
     msg = F.concat(F.col("ts"), F.col("body"))
     sig = (F.when(F.col("signing") == "good", hmac_sha256_base64(TEST_KEY, msg))
             .when(F.col("signing") == "forged", hmac_sha256_base64(FORGED_KEY, msg))
@@ -44,6 +43,30 @@ def payment_feed(tables) -> DataFrame:
                       sig.alias("signature"))
 
 
+def order_calls(orders: DataFrame) -> DataFrame:
+    """Webhook calls about created orders (order_id, request_id), carrying
+    their text ids: every fifth request's payment failed, every seventh call
+    is forged, every eleventh unsigned."""
+    rid = F.col("request_id").cast("long")
+    kind = F.when(rid % 5 == 0, F.lit("PAYMENT_FAILED_WEBHOOK")).otherwise(F.lit("PAYMENT_SUCCESS_WEBHOOK"))
+    calls = orders.select(
+        "order_id", rid.alias("event_id"), F.concat(F.lit("17"), rid.cast("string")).alias("ts"),
+        F.to_json(F.struct(kind.alias("type"), F.struct(F.struct("order_id").alias("order")).alias("data"))).alias("body"))
+    msg = F.concat("ts", "body")
+    signature = (F.when(F.col("event_id") % 11 == 0, F.lit(""))
+                  .when(F.col("event_id") % 7 == 0, hmac_sha256_base64(FORGED_KEY, msg))
+                  .otherwise(hmac_sha256_base64(TEST_KEY, msg)))
+    return calls.select("event_id", F.lit(1).alias("delivery"), signature.alias("signature"), "ts", "body")
+
+
+def priced_cart_events(tables) -> DataFrame:
+    """The cart events with the name and price an item has at their time: the
+    price rises by 1.00 with every tenth event of the log."""
+    ev = tables["cart_events"]
+    return (ev.withColumn("name", F.concat(F.lit("Item "), F.col("item_key").cast("string")))
+              .withColumn("price", (F.col("item_key") + 1) * 10000 + F.expr("(event_id div 10) * 100")))
+
+
 def checkout_requests(tables) -> DataFrame:
     """S7 rows: each order request in the checkout JSON shape. The cart is
     the order's lines; guests get a contact and address made from the
@@ -70,8 +93,8 @@ def checkout_requests(tables) -> DataFrame:
         F.when(guest, F.concat(F.lit("guest"), rid.cast("string"), F.lit("@example.com")))
          .otherwise(F.col("_email")).alias("customerEmail"),
         F.when(guest, F.concat(F.lit("Guest "), rid.cast("string"))).alias("guestName"),
-        F.struct(F.col("address_id"), guest_address.alias("guest_address"),
-                 F.lit(None).cast("int").alias("discount_id"), F.col("shipping_method"),
+        F.struct(F.col("address_id").cast("string").alias("address_id"), guest_address.alias("guest_address"),
+                 F.lit(None).cast("string").alias("discount_id"), F.col("shipping_method"),
                  F.col("shipping_fee").cast("long").alias("shipping_fee"),
                  F.lit(None).cast("long").alias("discount_amount")).alias("orderMeta"),
         "cartItems")

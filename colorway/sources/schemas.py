@@ -83,9 +83,9 @@ ORDER_REQUEST_JSON = _st(
     ("customerPhone", S),
     ("customerEmail", S),
     ("orderMeta", _st(
-        ("address_id", L),
+        ("address_id", S),
         ("guest_address", _st(("line1", S), ("city", S), ("state", S), ("postalCode", S))),
-        ("discount_id", I),
+        ("discount_id", S),
         ("shipping_method", S),
         ("shipping_fee", L),
         ("discount_amount", L),
@@ -93,9 +93,6 @@ ORDER_REQUEST_JSON = _st(
     ("cartItems", T.ArrayType(_st(("variant_id", S), ("qty", L), ("price", L)))),
 )
 
-# Payment body as sent by the gateway; only the fields the webhook reads.
-PAYMENT_BODY = "type STRING, data STRUCT<order: STRUCT<order_id: STRING>>"
-
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Cast to the fixed schema, in its column order."""

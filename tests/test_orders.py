@@ -9,6 +9,8 @@ from colorway.operators import orders as OR
 from colorway.sources.schemas import ORDER_REQUEST_JSON
 
 KEY = b"secret-key"
+UUID_BODY = '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"0b9c7e1a-5d2f-4c3b-9a8e-7f6d5c4b3a21"}}}'
+OBJECT_BODY = '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":{"a":1}}}}'
 
 
 def sign(ts, body, key=KEY):
@@ -28,7 +30,7 @@ def test_hmac_matches_python(spark):
 def test_payment_classification(spark):
     ok = '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"42"}}}'
     cases = [
-        ("t1", ok, sign("t1", ok), ("paid", 42)),
+        ("t1", ok, sign("t1", ok), ("paid", "42")),
         ("t1", ok, None, ("400", None)),
         ("t1", ok, "", ("400", None)),
         (None, ok, sign("", ok), ("400", None)),
@@ -43,17 +45,19 @@ def test_payment_classification(spark):
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0}}}',
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0}}}'), ("500", None)),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7}}}',
-         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7}}}'), ("paid", 7)),
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7}}}'), ("paid", "7")),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.0}}}',
-         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.0}}}'), ("paid", 7)),
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.0}}}'), ("paid", "7")),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":1e2}}}',
-         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":1e2}}}'), ("paid", 100)),
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":1e2}}}'), ("paid", "100")),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.5}}}',
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":7.5}}}'), ("500", None)),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0.0}}}',
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":0.0}}}'), ("500", None)),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"abc"}}}',
-         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"abc"}}}'), ("500", None)),
+         sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":"abc"}}}'), ("paid", "abc")),
+        ("t1", UUID_BODY, sign("t1", UUID_BODY), ("paid", "0b9c7e1a-5d2f-4c3b-9a8e-7f6d5c4b3a21")),
+        ("t1", OBJECT_BODY, sign("t1", OBJECT_BODY), ("500", None)),
         ("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":true}}}',
          sign("t1", '{"type":"PAYMENT_SUCCESS_WEBHOOK","data":{"order":{"order_id":true}}}'), ("500", None)),
     ]
