@@ -42,14 +42,15 @@ def thumbnail(images: Column) -> Column:
 
 
 def card_image(own_images: Column, color_images: Column, i: int) -> Column:
-    """F8: image i of the product, else image i of its first colour."""
-    return F.coalesce(F.get(own_images, i), F.get(color_images, i))
+    """F8: image i of the product, else image i of its first colour; an empty
+    text counts as no image."""
+    return F.coalesce(blank_to_null(F.get(own_images, i)), blank_to_null(F.get(color_images, i)))
 
 
 def detail_image(color_images: Column, own_images: Column) -> Column:
     """F8 on the detail page: the selected colour's first image, else the
     product's own."""
-    return F.coalesce(F.get(color_images, 0), F.get(own_images, 0))
+    return F.coalesce(blank_to_null(F.get(color_images, 0)), blank_to_null(F.get(own_images, 0)))
 
 
 def rating_tenths(rating_sum: Column, rating_n: Column) -> Column:

@@ -37,11 +37,11 @@ def line_total(qty: Column, price: Column) -> Column:
 
 def discount_amount(discount_type: Column, discount_value: Column, subtotal: Column) -> Column:
     """fixed -> value; percentage -> floor(subtotal * (value / 100)) in
-    double arithmetic, in that order; any other type -> 0; capped at the
-    subtotal. A missing value counts as 0."""
-    value = F.coalesce(discount_value.cast("long"), F.lit(0).cast("long"))
-    pct = F.floor(subtotal.cast("double") * (value.cast("double") / F.lit(100.0))).cast("long")
-    raw = (F.when(discount_type == "fixed", value)
+    double arithmetic, in that order (the value may have a fraction); any
+    other type -> 0; capped at the subtotal. A missing value counts as 0."""
+    value = F.coalesce(discount_value.cast("double"), F.lit(0.0))
+    pct = F.floor(subtotal.cast("double") * (value / F.lit(100.0))).cast("long")
+    raw = (F.when(discount_type == "fixed", value.cast("long"))
             .when(discount_type == "percentage", pct)
             .otherwise(F.lit(0).cast("long")))
     return F.least(raw, subtotal.cast("long"))

@@ -97,6 +97,18 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
                .withColumn("items_total", F.coalesce("items_total", F.lit(0).cast("long"))))
 
 
+def order_item_details(items: DataFrame, variants: DataFrame, colors: DataFrame, products: DataFrame) -> DataFrame:
+    """J10's item display fields: each order line with its product's name and
+    slug, the variant's size, its colour's name, and an image (the colour's
+    first, else the product's). Lines of unknown variants keep NULLs."""
+    v = variants.select(F.col("id").alias("variant_id"), "size", "color_id")
+    c = colors.select(F.col("id").alias("color_id"), "color_name", F.col("images").alias("_ci"))
+    p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
+                        F.col("slug").alias("product_slug"), F.col("images").alias("_pi"))
+    out = items.join(v, "variant_id", "left").join(c, "color_id", "left").join(p, "product_id", "left")
+    return out.withColumn("image", D.detail_image(F.col("_ci"), F.col("_pi"))).drop("_ci", "_pi")
+
+
 def order_history(orders: DataFrame, items: DataFrame) -> DataFrame:
     """O2: each user's orders, newest first (NULLs first), ties by id, with
     their items and display labels."""

@@ -331,7 +331,19 @@ def product_detail(tables, slug: str | None = None) -> DataFrame:
         F.col("product_id").alias("_rid"), "review_count", "average_rating", "rating_tenths")
     p = p.join(stats, p["id"] == stats["_rid"], "left").drop("_rid")
     return (p.withColumn("review_count", F.coalesce("review_count", F.lit(0).cast("long")))
-             .withColumn("rating_tenths", F.coalesce("rating_tenths", F.lit(0).cast("long"))))
+             .withColumn("rating_tenths", F.coalesce("rating_tenths", F.lit(0).cast("long")))
+             .withColumn("average_rating", F.coalesce("average_rating", F.lit(0).cast("decimal(20,1)"))))
+
+
+def product_reviews(tables, slug: str | None = None) -> DataFrame:
+    """R2's reviews, as rows keyed by product: each review of an active product
+    with its author; one product via ``slug``. They are rows, not an array,
+    because their number grows with traffic."""
+    p = active_products(tables["products"])
+    if slug is not None:
+        p = p.where(F.col("slug") == F.lit(slug))
+    p = p.select(F.col("id").alias("product_id"), F.col("slug").alias("product_slug"))
+    return reviews_with_author(tables["reviews"], tables["users"]).join(p, "product_id")
 
 
 def reviews_with_author(reviews: DataFrame, users: DataFrame) -> DataFrame:
@@ -353,7 +365,7 @@ def shop_cards(tables) -> DataFrame:
     return cards.select(
         F.col("id").alias("product_id"), F.col("color.id").alias("color_id"),
         F.col("slug").alias("product_slug"), F.col("color.color_slug").alias("color_slug"),
-        F.col("name"), F.col("badge"), F.col("price"),
+        F.col("name"), F.col("badge"), F.col("fit_type"), F.col("price"),
         D.display_subtitle(F.col("subtitle"), F.col("color.color_name")).alias("subtitle"),
         D.card_image(images, first_color_images, 0).alias("image"),
         D.card_image(images, first_color_images, 1).alias("alt_image"),
@@ -362,12 +374,16 @@ def shop_cards(tables) -> DataFrame:
 
 def default_variant(tables, stock: str = "inventory_count") -> DataFrame:
     """Per colour, among active variants in size order (size sort_order,
-    missing as 0; then id): the first with stock > 0, else the first."""
+    missing as 0; then id): the first with stock > 0, else the first, else
+    none (a row of NULLs)."""
     v = variants_with_size(tables["product_variants"], tables["sizes"]).where(F.col("is_active"))
     no_stock = ~F.coalesce(size_in_stock(F.col(stock)), F.lit(False))
     rank = F.struct(no_stock, F.coalesce("size_sort_order", F.lit(0)), F.col("id"))
-    return first_by(v.where(F.col("color_id").isNotNull()), ["color_id"], rank,
-                    ["id", "size", stock]).withColumnRenamed("id", "variant_id")
+    first = first_by(v.where(F.col("color_id").isNotNull()), ["color_id"], rank,
+                     ["id", "size", stock]).withColumnRenamed("id", "variant_id")
+    # Colours of the table and colours that only variants name.
+    colors = tables["product_colors"].select(F.col("id").alias("color_id")).distinct()
+    return colors.join(first, "color_id", "full_outer")
 
 
 def selected_color(requests: DataFrame, colors: DataFrame) -> DataFrame:

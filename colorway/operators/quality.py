@@ -88,12 +88,18 @@ REQUIRED = {
 
 def null_checks(df: DataFrame, table: str) -> DataFrame:
     """NULL count of every column in one aggregation pass, as rows
-    (table, column, nulls, required, violation)."""
+    (table, column, nulls, required, violation). A required column that the
+    table lacks is a violation with NULL nulls."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     req = REQUIRED.get(table, [])
     out = one.unpivot([], df.columns, "column", "nulls").select(
         F.lit(table).alias("table"), "column", "nulls", F.col("column").isin(*req).alias("required"))
-    return out.withColumn("violation", F.col("required") & (F.col("nulls") > 0))
+    absent = [c for c in req if c not in df.columns]
+    if absent:
+        gone = df.sparkSession.createDataFrame([(table, c, None, True) for c in absent],
+                                               "table string, column string, nulls long, required boolean")
+        out = out.unionByName(gone)
+    return out.withColumn("violation", F.col("required") & (F.col("nulls").isNull() | (F.col("nulls") > 0)))
 
 
 def color_defaults(colors: DataFrame, load_time) -> DataFrame:

@@ -97,3 +97,9 @@ left join categories c on c.id = p.category_id left join rs on rs.product_id = p
 oracle("user_labels", ["users"], """
 select id as user_id, coalesce(nullif(full_name, ''), email) as display_name,
   coalesce(nullif(full_name, ''), 'Not provided') as profile_name, 'Not provided' as phone from users""")
+
+oracle("order_item_details", ["order_items", "product_variants", "product_colors", "products"], """
+select i.order_id, i.variant_id, i.quantity, i.price, p.name as product_name, p.slug as product_slug, v.size, c.color_name,
+  coalesce(c.image, c.image_2, p.image) as image
+from order_items i left join product_variants v on v.id = i.variant_id
+left join product_colors c on c.id = v.color_id left join products p on p.id = i.product_id""")

@@ -119,3 +119,10 @@ def q_wishlist_details(t):
 def q_user_labels(t):
     """F19."""
     return AC.user_labels(t["users"])
+
+
+@query("order_item_details")
+def q_order_item_details(t):
+    """What an order's lines show (product, size, colour, image)."""
+    d = AC.order_item_details(t["order_items"], t["product_variants"], t["product_colors"], t["products"])
+    return d.select("order_id", "variant_id", "quantity", "price", "product_name", "product_slug", "size", "color_name", "image")

@@ -83,13 +83,46 @@ oracle("discount_check", _PRICE_USES, _PRICED + "select session_id, discount_sta
 oracle("discount_amount", _PRICE_USES, _PRICED + "select session_id, subtotal, cast(discount_amount as bigint) as discount_amount from fin")
 oracle("shipping_fee", _PRICE_USES, _PRICED + "select session_id, shipping_method, cast(shipping_fee as bigint) as shipping_fee from fin")
 oracle("order_total", _PRICE_USES, _PRICED + "select session_id, cast(total as bigint) as total from fin")
-oracle("checkout_pricing", _PRICE_USES, _PRICED + f"""
+_PRICING = f"""
 select session_id, item_count, subtotal, lines, discount_status,
   case when discount_status = 'ok' then id end as discount_id,
   cast(discount_amount as bigint) as discount_amount, shipping_method, cast(shipping_fee as bigint) as shipping_fee,
   cast(total as bigint) as total, {INDIAN.format(n='total')} as total_label,
   {PLAIN.format(n='total')} as gateway_amount
-from fin""")
+from fin"""
+oracle("checkout_pricing", _PRICE_USES, _PRICED + _PRICING)
+
+# The cart replayed event by event; a line keeps the name and price of the add
+# that made it.
+CART_LINES = """
+, k as (select distinct session_id, item_key from cart_events where op <> 'clear'),
+ev as (
+  select session_id, item_key, ts, event_id, op, delta from cart_events where op <> 'clear'
+  union all
+  select k.session_id, k.item_key, e.ts, e.event_id, e.op, e.delta
+  from k join cart_events e on e.session_id = k.session_id where e.op = 'clear'),
+seq as (select *, row_number() over (partition by session_id, item_key order by ts, event_id) as rn from ev),
+rec as (
+  select session_id, item_key, cast(0 as bigint) as rn, cast(0 as bigint) as q, cast(null as bigint) as price from k
+  union all
+  select r.session_id, r.item_key, s.rn,
+    case s.op when 'add' then case when r.q = 0 then 1 else least(20, r.q + 1) end
+              when 'change' then case when r.q = 0 then 0 else greatest(1, least(20, r.q + coalesce(s.delta, 0))) end
+              else 0 end,
+    case when s.op = 'add' and r.q = 0 then (s.item_key + 1) * 10000 + (s.event_id // 10) * 100
+         when s.op in ('add', 'change') then r.price end
+  from rec r join seq s on s.session_id = r.session_id and s.item_key = r.item_key and s.rn = r.rn + 1),
+lines as (
+  select session_id, item_key, cast(arg_max(q, rn) as bigint) as qty, concat('Item ', item_key) as name,
+    arg_max(struct_pack(p := price), rn).p as price
+  from rec group by session_id, item_key having arg_max(q, rn) > 0)"""
+
+oracle("cart_lines", ["cart_events"], CART_LINES + " select session_id, item_key, qty, name, price from lines", recursive=True)
+oracle("cart_checkout", ["checkouts", "discount_codes", "shipping_config", "cart_events"], CART_LINES + """,
+order_items as (select session_id as order_id, qty as quantity, price from lines)""" + _PRICED + _PRICING, recursive=True)
+oracle("discount_fractions", ["orders_t"], """
+select id as order_id, least(total_amount, cast(floor(cast(total_amount as double) * ((id % 40 + 0.5::double) / 100.0)) as bigint))
+  as discount_amount from orders_t""")
 
 oracle("price_labels", ["orders_t"], f"""
 select id as order_id, total_amount, {INDIAN.format(n='total_amount')} as label from orders_t""")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from colorway.functions import display as D
 from colorway.functions import money as M
+from colorway.operators import carts as CR
 from colorway.operators import pricing as PR
 from colorway.plans.queries import query
+from colorway.sources.feeds import priced_cart_events
 
 
 # --- pricing -------------------------------------------------------------------
@@ -63,6 +65,23 @@ def q_discount_amount(t):
     return _priced(t).select("session_id", "subtotal", "discount_amount")
 
 
+@query("discount_fractions")
+def q_discount_fractions(t):
+    """F3 with percentages that have a fraction, on every order's total."""
+    percent = F.col("id") % 40 + F.lit(0.5)
+    return t["orders_t"].select(F.col("id").alias("order_id"), M.discount_amount(
+        F.lit("percentage"), percent, F.col("total_amount")).alias("discount_amount"))
+
+
+@query("cart_checkout")
+def q_cart_checkout(t):
+    """D1 -> A6 -> F15: the carts that the events leave, priced with the name
+    and price their lines were added at."""
+    lines = CR.cart_state(priced_cart_events(t), attrs=["name", "price"]).select(
+        F.col("session_id").alias("order_id"), F.col("qty").alias("quantity"), "price")
+    return PR.checkout_pricing(t["checkouts"], lines, t["discount_codes"], PR.shipping_config(t["shipping_config"]))
+
+
 @query("shipping_fee")
 def q_shipping_fee(t):
     """F4."""

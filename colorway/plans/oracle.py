@@ -19,6 +19,7 @@ def oracle(name: str, uses: list[str], body: str, recursive: bool = False) -> No
     ORACLE[name] = f"{head} {ctes}{body}" if body.startswith(",") else f"{head} {ctes} {body}"
 
 
+# The order of size labels; other labels rank 99.
 RANK = ("case {v}.size when 'XS' then 1 when 'S' then 2 when 'M' then 3 when 'L' then 4 "
         "when 'XL' then 5 when 'XXL' then 6 else 99 end")
 SIZE_ENTRY = ("concat_ws(':', {v}.id, {v}.sku, {v}.size, cast({v}.inventory_count as varchar), "
@@ -155,13 +156,14 @@ select count(*) as all_products, count(*) filter (where is_active) as active_pro
 
 # --- pick-one rules, orders, rows ---------------------------------------------
 
-oracle("default_variant", ["product_variants", "sizes"], """
-select color_id, variant_id, size from (
+oracle("default_variant", ["product_variants", "sizes", "product_colors"], """
+select coalesce(c.id, t.color_id) as color_id, variant_id, size from (
   select v.color_id, v.id as variant_id, v.size,
     row_number() over (partition by v.color_id
       order by case when v.inventory_count > 0 then 0 else 1 end, coalesce(s.sort_order, 0), v.id) as rn
   from product_variants v left join sizes s on s.label = v.size
-  where v.is_active and v.color_id is not null) t where rn = 1""")
+  where v.is_active and v.color_id is not null qualify rn = 1) t
+full join (select distinct id from product_colors) c on c.id = t.color_id""")
 
 oracle("selected_color", ["order_items", "product_variants", "product_colors", "products"], """
 , req as (
@@ -192,7 +194,7 @@ oracle("featured", ["products"], """
 select id as product_id, slug, name from products where is_active order by id limit 4""")
 
 oracle("shop_cards", ["products", "product_colors"], """
-select p.id as product_id, c.id as color_id, p.slug as product_slug, c.color_slug, p.name, p.badge, p.price,
+select p.id as product_id, c.id as color_id, p.slug as product_slug, c.color_slug, p.name, p.badge, p.fit_type, p.price,
   case when c.id is null then p.subtitle else concat_ws(' · ', nullif(p.subtitle, ''), c.color_name) end as subtitle,
   case when c.id is null then p.image else coalesce(c.image, c.image_2) end as image,
   case when c.id is null then null else list_filter([c.image, c.image_2], lambda x: x is not null)[2] end as alt_image,
@@ -220,10 +222,16 @@ select p.id as product_id, p.slug, c.slug as category_slug,
   coalesce((select string_agg(concat_ws(':', v.id, v.size, cast(s.sort_order as varchar)), '|'
                               order by coalesce(s.sort_order, 0), v.id)
             from product_variants v left join sizes s on s.label = v.size where v.product_id = p.id), '') as variants,
-  coalesce(rs.review_count, 0) as review_count, coalesce(rs.rating_tenths, 0) as rating_tenths
+  coalesce(rs.review_count, 0) as review_count, coalesce(rs.rating_tenths, 0) as rating_tenths,
+  printf('%d.%d', coalesce(rs.rating_tenths, 0) // 10, coalesce(rs.rating_tenths, 0) % 10) as average_rating
 from products p left join categories c on c.id = p.category_id left join rs on rs.product_id = p.id
 where p.is_active""")
 
+oracle("product_reviews", ["products", "reviews", "users"], """
+select p.id as product_id, p.slug as product_slug, r.id as review_id,
+  coalesce(nullif(u.full_name, ''), 'Verified Buyer') as author, r.rating, r.verified_purchase
+from products p join reviews r on r.product_id = p.id left join users u on u.id = r.user_id where p.is_active""")
+
 # --- scalar rules on the catalog -----------------------------------------------
 
 oracle("display_subtitle", ["products", "product_colors"], """

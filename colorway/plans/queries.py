@@ -36,6 +36,11 @@ def query(name: str):
     return deco
 
 
+def fresh_folder(t, name: str) -> str:
+    """A new folder under the cluster's checkpoint directory."""
+    return scratch_dir(t.spark, f"colorway-{name}-{uuid.uuid4().hex}")
+
+
 SIZE_FIELDS = ["variant_id", "sku", "size", "inventory_count", "in_stock"]
 SIBLING_FIELDS = ["color_id", "color_name", "color_hex", "color_slug", "thumbnail"]
 
@@ -46,7 +51,7 @@ SIBLING_FIELDS = ["color_id", "color_name", "color_hex", "color_slug", "thumbnai
 def q_scan_table(t):
     """The products table stored as parquet (under the checkpoint
     directory) and read back with ``scan_table`` under its fixed schema."""
-    folder = scratch_dir(t.spark, f"colorway-tables-{uuid.uuid4().hex}")
+    folder = fresh_folder(t, "tables")
     t["products"].write.parquet(f"{folder}/products")
     p = io.scan_table(t.spark, folder, "products")
     return p.select(*[c for c in p.columns if c != "images"], list_text(F.col("images")).alias("images"))
@@ -263,12 +268,19 @@ def q_product_list(t):
 
 @query("product_detail")
 def q_product_detail(t):
-    """R2 (reviews are ``reviews_with_author``)."""
+    """R2 (its reviews are ``product_reviews``)."""
     p = C.product_detail(t)
     return p.select(F.col("id").alias("product_id"), "slug", "category_slug",
                     array_text(F.col("product_colors"), ["id"]).alias("colors"),
                     array_text(F.col("product_variants"), ["id", "size", "size_sort_order"]).alias("variants"),
-                    "review_count", "rating_tenths")
+                    "review_count", "rating_tenths", F.col("average_rating").cast("string").alias("average_rating"))
+
+
+@query("product_reviews")
+def q_product_reviews(t):
+    """R2's reviews with their authors, as rows keyed by product."""
+    r = C.product_reviews(t)
+    return r.select("product_id", "product_slug", F.col("id").alias("review_id"), "author", "rating", "verified_purchase")
 
 
 # --- scalar rules on the catalog -----------------------------------------------

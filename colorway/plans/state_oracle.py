@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
+from colorway.plans.constants import LOAD_TIME
+from colorway.plans import checkout_oracle  # noqa: F401 - its texts are reused here
 from colorway.plans.oracle import ORACLE, oracle
 
 
@@ -39,29 +40,37 @@ from users where id not in (select user_id from ex where user_id is not null)"""
 oracle("variants_migrate", ["product_variants"],
        "select id, sku, cast(null as varchar) as color_id from product_variants")
 
-oracle("key_checks", ["products", "product_colors", "categories", "product_variants", "order_items"], """
-, cat as (select pc.id as color_id, p.slug as product_slug, pc.color_slug
-          from product_colors pc join products p on p.id = pc.product_id where pc.is_active and p.is_active)
-select 'colors_product_slug' as "check", (select count(*) from (select product_id, color_slug from product_colors
+# The tables with flaws: rows entered twice, rows whose parent is gone.
+_FLAWED = """
+, colors as (select id, product_id, color_slug, is_active from product_colors
+  union all select id, product_id, color_slug, is_active from product_colors where product_id % 10 = 3
+  union all select concat(id, '-lost'), product_id + 100000000, color_slug, is_active from product_colors where product_id % 20 = 5),
+variants as (select id, case when product_id % 25 = 4 then concat(color_id, '-gone') else color_id end as color_id from product_variants),
+items as (select order_id, variant_id from order_items union all select order_id, variant_id from order_items where order_id % 50 = 7),
+prods as (select id, case when id % 15 <> 14 then slug end as slug, is_active from products)"""
+
+oracle("key_checks", ["products", "product_colors", "product_variants", "order_items"], _FLAWED + """,
+cat as (select pc.id as color_id, p.slug as product_slug, pc.color_slug
+        from colors pc join prods p on p.id = pc.product_id where pc.is_active and p.is_active)
+select 'colors_product_slug' as "check", (select count(*) from (select product_id, color_slug from colors
    group by 1, 2 having count(*) > 1)) as violations
 union all select 'catalog_color_id', (select count(*) from (select color_id from cat group by 1 having count(*) > 1))
 union all select 'catalog_slugs', (select count(*) from (select product_slug, color_slug from cat group by 1, 2 having count(*) > 1))
-union all select 'cart_session_variant', (select count(*) from (select order_id, variant_id from order_items
+union all select 'cart_session_variant', (select count(*) from (select order_id, variant_id from items
    group by 1, 2 having count(*) > 1))""")
 
-oracle("reference_checks", ["products", "product_colors", "product_variants"], """
-select 'color_product' as "check", (select count(*) from product_colors c where c.product_id is not null
+oracle("reference_checks", ["products", "product_colors", "product_variants", "order_items"], _FLAWED + """
+select 'color_product' as "check", (select count(*) from colors c where c.product_id is not null
    and not exists (select 1 from products p where p.id = c.product_id)) as orphans
-union all select 'variant_color', (select count(*) from product_variants v where v.color_id is not null
-   and not exists (select 1 from product_colors c where c.id = v.color_id))""")
+union all select 'variant_color', (select count(*) from variants v where v.color_id is not null
+   and not exists (select 1 from colors c where c.id = v.color_id))""")
 
 oracle("cascade_delete", ["products", "product_colors", "product_variants"], """
 , gone as (select id from products where not is_active),
 gc as (select id from product_colors where product_id in (select id from gone))
-select 'products' as "table", (select count(*) from products where id not in (select id from gone)) as rows
-union all select 'product_colors', (select count(*) from product_colors where product_id not in (select id from gone))
-union all select 'product_variants', (select count(*) from product_variants where color_id is null
-   or color_id not in (select id from gc))""")
+select 'products' as "table", cast(id as varchar) as key from products where id not in (select id from gone)
+union all select 'product_colors', id from product_colors where product_id not in (select id from gone)
+union all select 'product_variants', id from product_variants where color_id is null or color_id not in (select id from gc)""")
 
 oracle("color_defaults", ["product_colors"], f"""
 select id as color_id, coalesce(sort_order, 0) as sort_order, coalesce(is_active, true) as is_active,
@@ -73,20 +82,38 @@ select distinct product_id from catalog_changes
 where table_name in ('products', 'product_variants') and product_id is not null""")
 
 
+# Each table's columns; a "!" marks those that must hold a
+# value, "+" those that must exist but do not.
+_COLUMNS = {
+    "products": "id! slug! name! subtitle price! mrp badge fit_type description fabric_details care_instructions category_id is_active! images",
+    "product_colors": "id! product_id! color_name! color_slug! color_hex! sort_order! is_active! images! created_at+ updated_at+",
+    "product_variants": "id! product_id! color_id sku! size! inventory_count is_active",
+    "addresses": "id! user_id label! is_default created_at!",
+    "orders_t": "id! user_id status! total_amount! created_at! order_number shipping_method",
+}
+_HOLES = {"name": 9, "slug": 14, "subtitle": 3}  # product ids modulo 15 that lack the column
+
+
 def _null_check_sql() -> str:
-    from colorway.operators.quality import REQUIRED
-    from colorway.sources.schemas import SCHEMAS
     parts = []
-    for tname in NULL_CHECK_TABLES:
-        for f in SCHEMAS[tname].fields:
-            cnt = "count(*) filter (where false)" if f.name == "images" else f"count(*) filter (where {f.name} is null)"
-            req = "true" if f.name in REQUIRED.get(tname, []) else "false"
-            parts.append(f"select '{tname}' as \"table\", '{f.name}' as \"column\", {cnt} as nulls, "
-                         f"{req} as required, {req} and {cnt} > 0 as violation from {tname}")
+    for table, names in _COLUMNS.items():
+        for name in names.split():
+            column, required = name.rstrip("!+"), str(name[-1] in "!+").lower()
+            null = "false" if column == "images" else f"{column} is null"
+            if table == "products" and column in _HOLES:
+                null += f" or id % 15 = {_HOLES[column]}"
+            extra = ""
+            if table == "product_colors":  # entered twice, and once more for products that are gone
+                extra = " + ".join(f"count(*) filter (where ({null}) and {w})" for w in ("product_id % 10 = 3", "product_id % 20 = 5"))
+                extra = " + " + extra
+            nulls = "cast(null as bigint)" if name[-1] == "+" else f"count(*) filter (where {null}){extra}"
+            violation = "true" if name[-1] == "+" else f"{required} and {nulls} > 0"
+            parts.append(f"select '{table}' as \"table\", '{column}' as \"column\", {nulls} as nulls, "
+                         f"{required} as required, {violation} as violation from {'(select 1) t' if name[-1] == '+' else table}")
     return " union all ".join(parts)
 
 
-oracle("null_checks", ["products", "product_colors", "product_variants", "addresses", "orders_t"], _null_check_sql())
+oracle("null_checks", list(_COLUMNS), _null_check_sql())
 
 # --- sinks and stream bodies: each must equal its batch counterpart -------------
 
@@ -95,6 +122,7 @@ ORACLE["catalog_sink"] = ORACLE["color_catalog"]
 ORACLE["catalog_refresh"] = ORACLE["color_catalog"]
 ORACLE["append_rows"] = ORACLE["order_build"]
 ORACLE["cart_state_stream"] = ORACLE["cart_state"]
+ORACLE["cart_lines_stream"] = ORACLE["cart_lines"]
 ORACLE["orders_paid_stream"] = ORACLE["orders_paid"]
 
 oracle("change_feed", ["catalog_changes"],

@@ -3,7 +3,6 @@ batches over the whole tables (SURVEY D1 D2 D7-D12 S1 S3 S4 S6 X1 X2 X4 X5)."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,10 +14,8 @@ from colorway.operators import orders as OR
 from colorway.operators import quality as QL
 from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
 from colorway.plans.order_queries import _built
-from colorway.plans.queries import flat_catalog
-from colorway.plans.queries import q_color_catalog
-from colorway.plans.queries import query
-from colorway.session import scratch_dir
+from colorway.plans.queries import flat_catalog, fresh_folder, q_color_catalog, query
+from colorway.sources import buckets as BK
 from colorway.sources import feeds as FD
 from colorway.sources import io as IO
 from colorway.streaming import jobs as JB
@@ -55,32 +52,53 @@ def q_variants_migrate(t):
     return QL.variants_migrate(legacy).select("id", "sku", "color_id")
 
 
+def _flawed(t) -> dict[str, DataFrame]:
+    """The tables with flaws to find: colours entered twice and colours of
+    products that are gone, variants of colours that are gone, an order line
+    entered twice, and missing values in required and other columns."""
+    colors, variants, items, products = (t[n] for n in ("product_colors", "product_variants", "order_items", "products"))
+    again = colors.where(F.col("product_id") % 10 == 3)
+    lost = colors.where(F.col("product_id") % 20 == 5).withColumn("id", F.concat("id", F.lit("-lost"))) \
+        .withColumn("product_id", F.col("product_id") + 100_000_000)
+    holes = {"name": 9, "slug": 14, "subtitle": 3}
+    return {
+        **{n: t[n] for n in ("categories", "reviews", "sizes", "addresses", "orders_t")},
+        "product_colors": colors.unionByName(again).unionByName(lost),
+        "product_variants": variants.withColumn("color_id", F.when(
+            F.col("product_id") % 25 == 4, F.concat("color_id", F.lit("-gone"))).otherwise(F.col("color_id"))),
+        "order_items": items.unionByName(items.where(F.col("order_id") % 50 == 7)),
+        "products": products.withColumns({c: F.when(F.col("id") % 15 != k, F.col(c)) for c, k in holes.items()}),
+    }
+
+
 @query("key_checks")
 def q_key_checks(t):
-    """D8."""
-    return QL.key_checks(t, CT.catalog_keys(t))
+    """D8 over tables with rows entered twice."""
+    flawed = _flawed(t)
+    return QL.key_checks(flawed, CT.catalog_keys(flawed))
 
 
 @query("reference_checks")
 def q_reference_checks(t):
-    """D9."""
-    return QL.reference_checks(t)
+    """D9 over tables with colours and variants whose parent is gone."""
+    return QL.reference_checks(_flawed(t))
 
 
 @query("cascade_delete")
 def q_cascade_delete(t):
-    """The inactive products are deleted; rows left per table."""
+    """The inactive products are deleted; the keys left per table."""
     gone = t["products"].where(~F.col("is_active")).select("id")
     out = QL.cascade_delete(t, gone)
     return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-        for name, df in out.items()])
+        df.select(F.lit(name).alias("table"), F.col("id").cast("string").alias("key")) for name, df in out.items()])
 
 
 @query("null_checks")
 def q_null_checks(t):
-    """D11 over five tables."""
-    return reduce(DataFrame.unionByName, [QL.null_checks(t[n], n) for n in NULL_CHECK_TABLES])
+    """D11 over five tables, one with missing values, one without columns
+    that it must have."""
+    flawed = _flawed(t)
+    return reduce(DataFrame.unionByName, [QL.null_checks(flawed[n], n) for n in NULL_CHECK_TABLES])
 
 
 @query("color_defaults")
@@ -104,11 +122,6 @@ def q_affected_keys(t):
 # --- sinks and stream bodies over the whole tables ----------------------------------
 
 
-def _fresh(t, name: str) -> str:
-    """A new folder under the cluster's checkpoint directory."""
-    return scratch_dir(t.spark, f"colorway-{name}-{uuid.uuid4().hex}")
-
-
 def _median(df, col: str):
     """The approximate median of a column: one value, read on the driver."""
     return df.agg(F.percentile_approx(col, 0.5).alias("m")).first()["m"]
@@ -119,7 +132,7 @@ def q_catalog_sink(t):
     """S3: the catalog written as a snapshot version (partitioned by category)
     and read back from the latest committed version."""
     flat = q_color_catalog(t)
-    base = _fresh(t, "catalog")
+    base = fresh_folder(t, "catalog")
     IO.write_snapshot(flat, base, 0, partition_by=["category_slug"])
     return IO.read_snapshot(t.spark, base, schema=flat.schema).select(*flat.columns)
 
@@ -128,7 +141,7 @@ def q_catalog_sink(t):
 def q_change_feed(t):
     """The change table written as JSON change events and read back
     through the feed reader (batch mode of the same source)."""
-    path = _fresh(t, "changes")
+    path = fresh_folder(t, "changes")
     IO.write_json_feed(t["catalog_changes"], path)
     return IO.change_feed(t.spark, path, streaming=False).select(
         "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "table_name", "op", "product_id")
@@ -136,43 +149,80 @@ def q_change_feed(t):
 
 @query("append_rows")
 def q_append_rows(t):
-    """The order rows of D5 appended in two parts to an empty folder."""
+    """The order rows of D5 appended in two parts, one of them twice."""
     orders = _built(t)["orders"]
-    path = _fresh(t, "append")
-    IO.append_rows(orders.where(F.col("user_id").isNull()), path)
-    IO.append_rows(orders.where(F.col("user_id").isNotNull()), path)
-    return t.spark.read.schema(orders.schema).parquet(path)
+    path = fresh_folder(t, "append")
+    for batch in ("guests", "members", "guests"):  # the last is a rerun
+        IO.append_rows(orders.where(F.col("user_id").isNull() == F.lit(batch == "guests")), path, batch)
+    return IO.read_appended(t.spark, path, orders.schema)
+
+
+def _older(t) -> dict:
+    """The shop before the change feed's changes: the products it names had
+    another price, their "a" colours were missing, their variants sold out."""
+    ids = SR.affected_keys(t["catalog_changes"], SR.CATALOG_TABLES).select("product_id").withColumn("_old", F.lit(True))
+    old = F.coalesce("_old", F.lit(False))
+    products = t["products"].join(ids.withColumnRenamed("product_id", "id"), "id", "left")
+    colors = t["product_colors"].join(ids, "product_id", "left").where(~(old & (F.col("color_slug") == "a")))
+    variants = t["product_variants"].join(ids, "product_id", "left")
+    return {**{n: t[n] for n in ("categories", "reviews", "sizes")},
+            "products": products.withColumn("price", F.when(old, F.col("price") + 1).otherwise(F.col("price"))).drop("_old"),
+            "product_colors": colors.drop("_old"),
+            "product_variants": variants.withColumn("inventory_count", F.when(~old, F.col("inventory_count"))
+                                                    .otherwise(F.lit(0))).drop("_old")}
 
 
 @query("catalog_refresh")
 def q_catalog_refresh(t):
-    """X2 batch body over the whole change table: the rows of every product
-    named by a change to products, colours or variants are rebuilt and swapped
-    into the previous snapshot; the result must equal a full rebuild."""
-    prev = CT.color_catalog(t)
-    ids = SR.affected_keys(t["catalog_changes"], SR.CATALOG_TABLES)
-    fresh = JB.catalog_for_products(t, ids)
-    new = prev.join(ids, "product_id", "left_anti").unionByName(fresh.select(*prev.columns))
-    return flat_catalog(new)
+    """X2's batch body on a bucketed state of the older shop, over the change
+    table in two batches; the state must equal a full rebuild."""
+    base = fresh_folder(t, "refresh")
+    JB.init_bucketed(CT.color_catalog(_older(t)), base, "product_id")
+    step = JB.refresh_catalog_batch(lambda: t, base)
+    feed = t["catalog_changes"]
+    cut = _median(feed, "event_id")
+    step(feed.where(F.col("event_id") < F.lit(cut)), 0)
+    step(feed.where(F.col("event_id") >= F.lit(cut)), 1)
+    return flat_catalog(BK.read_state(t.spark, base))
+
+
+def _folded(t, events, attrs=None) -> DataFrame:
+    """The cart state after two batches (before and from the median time)."""
+    base = fresh_folder(t, "carts")
+    step = JB.cart_state_batch(base, attrs=attrs)
+    cut = _median(events, "ts")
+    step(events.where(F.col("ts") < F.lit(cut)), 0)
+    step(events.where(F.col("ts") >= F.lit(cut)), 1)
+    return BK.read_state(t.spark, base)
 
 
 @query("cart_state_stream")
 def q_cart_state_stream(t):
-    """X5 batch body: the cart events as two micro-batches (before and after
-    the median time), the second folded onto the first's lines; must equal D1."""
-    ev = t["cart_events"]
-    cut = _median(ev, "ts")
-    first = CR.cart_state(ev.where(F.col("ts") < F.lit(cut)))
-    return CR.cart_state(ev.where(F.col("ts") >= F.lit(cut)), prior=first)
+    """X5's batch body on the bucketed state, from an empty one; must equal D1."""
+    return _folded(t, t["cart_events"])
+
+
+@query("cart_lines")
+def q_cart_lines(t):
+    """D1 with the name and price that the add of a line fixes."""
+    return CR.cart_state(FD.priced_cart_events(t), attrs=["name", "price"])
+
+
+@query("cart_lines_stream")
+def q_cart_lines_stream(t):
+    """X5 with names and prices; must equal ``cart_lines``."""
+    return _folded(t, FD.priced_cart_events(t), ["name", "price"])
 
 
 @query("orders_paid_stream")
 def q_orders_paid_stream(t):
-    """X4 batch body: the webhook calls as two micro-batches (event ids below
-    and from the median), each applied to the orders in turn; must equal D6."""
+    """X4's batch body on the bucketed orders: the webhook calls as two
+    micro-batches (event ids below and from the median); must equal D6."""
+    base = fresh_folder(t, "orders")
+    JB.init_bucketed(t["orders_t"], base, "id")
     feed = FD.payment_feed(t)
     cut = _median(feed, "event_id")
-    orders = t["orders_t"]
-    for part in (feed.where(F.col("event_id") < F.lit(cut)), feed.where(F.col("event_id") >= F.lit(cut))):
-        orders = OR.orders_paid(orders, OR.paid_order_ids(OR.classify_payments(part, FD.TEST_KEY)))
-    return orders.select(F.col("id").alias("order_id"), "status")
+    step = JB.orders_paid_batch(base)
+    for k, part in enumerate((feed.where(F.col("event_id") < F.lit(cut)), feed.where(F.col("event_id") >= F.lit(cut)))):
+        step(OR.classify_payments(part, FD.TEST_KEY), k)
+    return BK.read_state(t.spark, base).select(F.col("id").alias("order_id"), "status")

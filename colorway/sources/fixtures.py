@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.session import session_key
 from colorway.sources import schemas
 
 # The fixture views, one SQL text each (FIXTURES.md). They must
@@ -40,15 +39,6 @@ FIXTURE_SQL: dict[str, str] = {
 # TESTDATA tables each fixture reads.
 BASE_TABLES = ("part", "lineitem", "orders", "customer", "nation", "events")
 
-# Per session: the directory whose tables the base views point at, and the
-# base DataFrames per directory (file listing and footers read once).
-_VIEWS_AT: dict[int, str] = {}
-_BASE: dict[tuple[int, str], dict[str, DataFrame]] = {}
-# Analysed fixture plans per (session, directory, name). A DataFrame is an
-# immutable plan, so reusing it re-reads the files; nothing is cached.
-_PLANS: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def _with_images(df: DataFrame, cols: list[str]) -> DataFrame:
     """Image arrays from the ``image*`` columns, NULLs dropped."""
     arr = F.filter(F.array(*[F.col(c) for c in cols]), lambda x: x.isNotNull())
@@ -68,30 +58,25 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     def _register_base(self) -> None:
-        # Temp views point at one directory at a time and are re-pointed only
-        # when another directory is asked for; DataFrames already built keep
-        # the plan they were analysed with.
-        sid = session_key(self.spark)
-        if _VIEWS_AT.get(sid) == self.sf_dir:
-            return
-        base = _BASE.setdefault((sid, self.sf_dir), {
-            name: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") for name in BASE_TABLES})
-        for name, df in base.items():
-            df.createOrReplaceTempView(name)
-        _VIEWS_AT[sid] = self.sf_dir
+        """Point the base views at this directory. Views hold no data and no
+        plan outlives its query set: files added later are seen by the next
+        ``Tables``. DataFrames already built keep the plan they were made of."""
+        for name in BASE_TABLES:
+            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+    def sql(self, text: str) -> DataFrame:
+        """SQL over the base tables of this directory."""
+        self._register_base()
+        return self.spark.sql(text)
 
     def __getitem__(self, name: str) -> DataFrame:
-        pkey = (session_key(self.spark), self.sf_dir, name)
-        if name not in self._cache and pkey in _PLANS:
-            self._cache[name] = _PLANS[pkey]
         if name not in self._cache:
-            self._register_base()
-            df = self.spark.sql(FIXTURE_SQL[name])
+            df = self.sql(FIXTURE_SQL[name])
             if name == "products":
                 df = _with_images(df, ["image"])
             elif name == "product_colors":
                 df = _with_images(df, ["image", "image_2"])
-            self._cache[name] = _PLANS[pkey] = schemas.conform(df, name)
+            self._cache[name] = schemas.conform(df, name)
         return self._cache[name]
 
     def __contains__(self, name: str) -> bool:

@@ -90,9 +90,11 @@ def change_feed(spark: SparkSession, path: str, tables=None, streaming: bool = T
     return df.where(F.col("table_name").isin(*tables)) if tables else df
 
 
-def payment_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of raw webhook calls: signature, timestamp, raw body."""
-    return spark.readStream.schema("event_id bigint, delivery int, signature string, ts string, body string").json(path)
+def payment_feed(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
+    """Stream of raw webhook calls: signature, timestamp, raw body;
+    ``streaming=False`` reads the same files as a batch."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema("event_id bigint, delivery int, signature string, ts string, body string").json(path)
 
 
 def order_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -117,6 +119,13 @@ def write_json_feed(df: DataFrame, path: str) -> None:
 
 # --- S6 --------------------------------------------------------------------------
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append sink (newsletter e-mails, addresses, orders, items)."""
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, batch: str) -> None:
+    """Append sink (newsletter e-mails, addresses, orders, items). Rows go
+    to a folder of their ``batch`` (an id that a rerun gives again), so a
+    rerun replaces its own rows and adds none twice."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows of an append sink."""
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/batch=*")

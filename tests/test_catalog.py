@@ -102,7 +102,8 @@ def test_default_variant_prefers_stock(spark):
     t, _ = _catalog(spark)
     got = {r["color_id"]: r["variant_id"] for r in C.default_variant(t).collect()}
     # Active variants of 1-a: v3 (XL, 0 stock, order 5), v1 (ONE, 5, missing order -> 0).
-    assert got == {"1-a": "v1"}
+    # The other colours have no active variant.
+    assert got == {"1-a": "v1", "1-n": None, "1-r": None, "3-a": None}
 
 
 def test_selected_color(spark):

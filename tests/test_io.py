@@ -31,7 +31,8 @@ def test_scan_table_and_append(spark, scratch):
     from colorway.sources.schemas import SCHEMAS
     d = os.path.join(scratch, "tables")
     rows = spark.createDataFrame([(1, "XS", 1)], "x long, label string, sort_order int").drop("x")
-    io.append_rows(rows, os.path.join(d, "sizes"))
-    io.append_rows(rows, os.path.join(d, "sizes"))
-    got = io.scan_table(spark, d, "sizes")
+    for batch in ("a", "b", "b"):  # a rerun of a batch adds nothing
+        io.append_rows(rows, os.path.join(d, "sizes"), batch)
+    got = io.read_appended(spark, os.path.join(d, "sizes"), SCHEMAS["sizes"])
     assert got.schema == SCHEMAS["sizes"] and got.count() == 2
+    assert io.scan_table(spark, d, "sizes").select("label").count() == 2
