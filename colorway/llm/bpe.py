@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.llm.common import arrow_rows, importable, texts
+from colorway.llm.common import arrow_rows, importable, slices, texts
 
 #: Words and pieces a Python worker remembers (about 130 MB); then it starts afresh.
 WORDS_KEPT, PIECES_KEPT = 200_000, 500_000
@@ -178,7 +178,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             out = [c.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield arrow_rows({"doc_id": batch.column("doc_id").to_pylist(), "text": out}, schema)
 
@@ -215,7 +215,7 @@ def _map(docs, path, pattern, id_col, text_col, columns, each) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             got = [each(c, t) for t in texts(batch)]
             out = {"doc_id": batch.column("doc_id").to_pylist()}
             out |= {name: [g[k] for g in got] for k, name in enumerate(columns)}

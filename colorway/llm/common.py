@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from colorway.session import lineage_cut, scratch_dir
 
-__all__ = ["arrow_rows", "importable", "input_table", "lineage_cut", "scratch_table", "texts"]
+__all__ = ["arrow_rows", "importable", "input_table", "lineage_cut", "scratch_table", "slices", "texts"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,6 +24,14 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that a task holds few texts as
+    Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A batch's text column; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

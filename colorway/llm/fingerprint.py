@@ -39,14 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import arrow_rows, importable
+from colorway.llm.common import arrow_rows, importable, slices
 
 CELLS = 6  # in each of the three parts of the first sketch
 GROWTH = 9
 CUT = np.uint64(4)  # one word of so many ends a piece
 LONGEST = 16  # words of a piece
 BATCH_CHARS = 1_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 _words: dict[str, int] = {}
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -285,7 +285,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, ready, chars = None, [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "text")), strict=True):
                 if pending is not None and pending[0] == row[0]:
                     ready.append((pending[2], pending[3], row[3]))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import arrow_rows, importable, texts
+from colorway.llm.common import importable, slices, texts
 from colorway.llm.labelled_pages import labelled_pages
 
 # Fixed values of HTML.
@@ -274,7 +274,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind_ = rows.schema["page_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [main_text(t, fitted) for t in texts(batch, "html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()),

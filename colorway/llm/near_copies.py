@@ -33,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import importable, lineage_cut, texts
+from colorway.llm.common import importable, lineage_cut, slices, texts
 from colorway.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 256
-BLOCK = 1500
-WORDS_KEPT = 400_000
-_COLUMNS = 4096  # shingles in one matrix product
+BLOCK = 1000
+WORDS_KEPT = 150_000
+_COLUMNS = 2048  # shingles in one matrix product
 
 _words: dict[str, int] = {}
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, size) for t in texts(batch)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             values = [_band_hashes(s, a, b, bands) if len(s) else np.zeros(0, np.int64) for s in sets]

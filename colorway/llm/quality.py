@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import importable, lineage_cut, texts
+from colorway.llm.common import importable, lineage_cut, slices, texts
 
 STATISTICS = ("words", "word length", "long words", "upper case", "digits", "marks", "exclamation", "periods",
               "commas", "other signs", "distinct words", "commonest word", "distinct runs", "distinct lines",
@@ -139,7 +139,7 @@ def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = pa.schema([("doc_id", pa.int64()), ("has_words", pa.bool_()), ("x", pa.list_(pa.float64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = np.array([statistics(t) for t in texts(batch)], dtype=float).reshape(-1, SIZE)
             offsets = pa.array(range(0, SIZE * len(raw) + 1, SIZE), pa.int32())
             x = pa.ListArray.from_arrays(offsets, pa.array(transformed(raw).ravel()))
@@ -169,7 +169,7 @@ def score(vectors: DataFrame, model: Model, cutoff: float) -> DataFrame:
     schema = "doc_id long, score double, predicted int"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
             s = np.where(batch.column("has_words").to_numpy(zero_copy_only=False), model.score(x), 0.0)
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +199,7 @@ def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, id_col: st
     model = _learned(vectors(docs, id_col, text_col), labels, id_col, label_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = np.array([statistics(t) for t in texts(batch, text_col)], dtype=float).reshape(-1, SIZE)
             keep = (raw[:, 0] > 0) & (model.score(transformed(raw)) >= cutoff)
             yield batch.filter(pa.array(keep))

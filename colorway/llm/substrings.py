@@ -46,14 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import importable, lineage_cut
+from colorway.llm.common import importable, lineage_cut, slices
 
 LENGTH = 13
 RUN = 5
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
-DOCS_PER_BUCKET = 8_000
+DOCS_PER_BUCKET = 4_000
 SPLIT = 4_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 _NULL = (1 << 63) - 1
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -281,7 +281,7 @@ def _batches(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         ids: list[int] = []
         bodies: list[bytes] = []
         chars = 0
-        for b in batches:
+        for b in slices(batches):
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids.append(_NULL if i is None else i)
                 bodies.append(text or b"")

@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import importable, texts
+from colorway.llm.common import importable, slices, texts
 from colorway.llm.quality import held_out
 
 BITS = 20
 POSITIVES, RATIO = 5_000, 4
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 _MASK = np.uint64((1 << BITS) - 1)
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,7 +133,7 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, id_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << BITS)
         weights[model.value[0]] = model.value[1]
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([1 / (1 + math.exp(min(max(-(bias + weights[features(t)].sum()), -700), 700)))
                                if t and not t.isspace() else 0.0 for t in texts(batch)], float)
             yield pa.RecordBatch.from_arrays(
