@@ -166,15 +166,17 @@ def cart_state(events: DataFrame, prior: DataFrame | None = None, partitions: in
         return folded.select(session, key, *line(zero, [F.lit(None)] * len(attrs))).where(F.col("qty") > 0)
     p = prior.select(session, key, F.col("qty").cast("long").alias("_q0"),
                      *[F.col(a).alias(f"_p_{a}") for a in attrs])
+    # One join meets both sides: lines with events continue from their prior
+    # quantity; prior lines without events stay, unless their session was
+    # cleared (which re-reads only the batch's clear events).
+    wiped = clears.select(session, F.lit(True).alias("_wiped"))
+    both = folded.join(p, [session, key], "full_outer").join(wiped, session, "left")
     start = F.when(F.col("_cut"), F.lit(0)).otherwise(F.coalesce("_q0", F.lit(0))).cast("long")
-    touched = folded.join(p, [session, key], "left").select(
-        session, key, *line(start, [F.col(f"_p_{a}") for a in attrs]))
-    # Prior lines without events in this batch stay, unless their session was
-    # cleared (this re-reads only the batch's clear events).
-    untouched = (p.join(folded.select(session, key), [session, key], "left_anti")
-                  .join(clears, session, "left_anti")
-                  .select(session, key, F.col("_q0").alias("qty"), *[F.col(f"_p_{a}").alias(a) for a in attrs]))
-    return touched.where(F.col("qty") > 0).unionByName(untouched)
+    still = F.col("step").isNull()
+    after = line(start, [F.col(f"_p_{a}") for a in attrs])
+    stays = [F.when(F.col("_wiped"), F.lit(0)).otherwise(F.col("_q0")).cast("long"), *[F.col(f"_p_{a}") for a in attrs]]
+    out = [F.when(still, s).otherwise(n).alias(c) for c, n, s in zip(["qty", *attrs], after, stays, strict=True)]
+    return both.select(session, key, *out).where(F.col("qty") > 0)
 
 
 def cart_sessions(users: DataFrame, existing: DataFrame) -> DataFrame:

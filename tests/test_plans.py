@@ -60,3 +60,40 @@ def test_classification_is_not_duplicated(spark):
     base = count("payment_status")
     for n in ["orders_paid", "payment_to_order", "payment_verified"]:
         assert count(n) <= base, n
+
+
+def test_cart_fold_with_prior_sorts_the_events_once(spark):
+    from colorway.operators import carts as CR
+    t = load_tables(spark, SF)
+    prior = spark.createDataFrame([(1, 1, 2)], "session_id long, item_key long, qty long")
+    plan = _plan(CR.cart_state(t["cart_events"], prior))
+    assert plan.count("rangepartitioning") == _plan(CR.cart_state(t["cart_events"])).count("rangepartitioning") == 1
+
+
+def test_positions_join_no_row_back(spark):
+    """Neither of the ordered views joins on the row id."""
+    from __spark_entry__ import queries
+    for name in ["address_book", "variant_order"]:
+        plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        # by partition (for the offsets) and by key (for a group's first row)
+        ranked = [j for j in joins if "_pid" in j or "<=>" in j]
+        own = {"address_book": 0, "variant_order": 1}[name]  # variants meet their sizes
+        assert ranked and len(joins) - len(ranked) <= own, joins
+
+
+def test_positions_keep_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    from colorway.operators.ordering import position_within
+    rows = [(None, 1), (2, 1), (2, 1), (3, 2)]
+    out = position_within(spark.createDataFrame(rows, "id long, k long"), ["k"], [(F.col("id"), "desc_nulls_first")], "id")
+    assert sorted((r.k, r.position, r.id) for r in out.collect()) == [(1, 1, None), (1, 2, 2), (1, 3, 2), (2, 1, 3)]
+
+
+def test_range_partitions_add_up_the_scans(spark):
+    """Above a join the estimate is the sum of the scans, not their product."""
+    from colorway.session import range_partitions
+    t = load_tables(spark, SF)
+    df = t["order_items"].join(t["product_variants"].withColumnRenamed("id", "variant_id"), "variant_id")
+    assert range_partitions(df, minimum=4) == 4
