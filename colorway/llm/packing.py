@@ -24,6 +24,7 @@ columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.bpe import LENGTH_KEPT, WORDS_KEPT, Codec, vocabulary
-from colorway.llm.common import importable
+from colorway.llm.bpe import read_ranks, vocabulary
+from colorway.llm.common import importable, slices
 
 LENGTH = 2048
 PACK_CHARS = 4_000_000
 BATCH_ROWS = 256
 
 
+
 class Rooms:
     """Rows by their room: a segment tree over 0 to ``size`` that counts rows."""
 
@@ -89,35 +91,18 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return rows
 
 
-class LibraryCodec(Codec):
-    """Words that are not remembered are encoded by the tokenizer's library;
-    its ids are those of ``bpe``, which the tests compare."""
-
-    def __init__(self, content: bytes, pattern: str):
-        import tiktoken
-        super().__init__(content, pattern)
-        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-
-    def piece(self, text: str) -> bytes:
-        return self.word(text)
-
-    def word(self, text: str) -> bytes:
-        out = np.array(self.library.encode_ordinary(text), "<u4").tobytes()
-        if len(text) <= LENGTH_KEPT:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            self.words[text] = out
-        return out
-
-
-_CODECS: dict[tuple[int, str], LibraryCodec] = {}
+_ENCODERS: dict[tuple[bytes, str], Callable[[str], np.ndarray]] = {}
 
 
 def library_encoder(content: bytes, pattern: str) -> Callable[[str], np.ndarray]:
-    key = (hash(content), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = LibraryCodec(content, pattern)
-    return lambda text: np.frombuffer(_CODECS[key].encode(text), "<u4")
+    """The tokenizer's library; its ids are those of ``bpe``, as the tests of
+    both compare."""
+    import tiktoken
+    key = (hashlib.sha256(content).digest(), pattern)
+    if key not in _ENCODERS:
+        of = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(content), special_tokens={})
+        _ENCODERS[key] = lambda text: of.encode_to_numpy(text, disallowed_special=())
+    return _ENCODERS[key]
 
 
 _SCHEMA = pa.schema([
@@ -164,7 +149,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end: in
         encode = library_encoder(content.value, pattern)
         tail = np.array([] if end is None else [end], "<u4")
         current, held = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for number, doc, text in zip(*(batch.column(c).to_pylist() for c in ("pack", "doc_id", "text")), strict=True):
                 if number != current:
                     if held:
