@@ -25,7 +25,11 @@ def hmac_pads(key: bytes) -> tuple[str, str]:
 
 
 def hmac_sha256_base64(key: bytes, message: Column) -> Column:
-    """F16: base64(HMAC-SHA256(key, message)) with built-in functions only."""
+    """F16: base64(HMAC-SHA256(key, message)) with built-in functions only.
+
+    The pads stand in the plan as literals, so the plan's text gives the key
+    away: where a real key is used, set ``spark.sql.redaction.string.regex``
+    (for example to ``[0-9a-f]{128}``) and keep plans and event logs private."""
     ipad, opad = hmac_pads(key)
     inner = F.unhex(F.sha2(F.concat(F.unhex(F.lit(ipad)), F.encode(message, "UTF-8")), 256))
     return F.base64(F.unhex(F.sha2(F.concat(F.unhex(F.lit(opad)), inner), 256)))

@@ -37,16 +37,6 @@ def shipping_config(cfg: DataFrame) -> dict:
     return {k: r.get(k) for k in M.DEFAULT_SHIPPING}
 
 
-def shipping_config_frame(cfg: DataFrame) -> DataFrame:
-    """S2 as a one-row DataFrame (the default row only when ``cfg`` is empty)."""
-    spark = cfg.sparkSession
-    d = spark.createDataFrame([tuple(M.DEFAULT_SHIPPING.values())],
-                              "free_above int, flat_rate int, express_rate int")
-    first = cfg.select(*M.DEFAULT_SHIPPING.keys()).limit(1).withColumn("_p", F.lit(0))
-    return (first.unionByName(d.withColumn("_p", F.lit(1)))
-            .orderBy("_p").limit(1).drop("_p"))
-
-
 def exactly_one(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Per key, whether exactly one row matches (``lookup`` = ok / many)
     and that row's ``cols`` when it does. One aggregate, partial before the

@@ -103,3 +103,7 @@ select i.order_id, i.variant_id, i.quantity, i.price, p.name as product_name, p.
   coalesce(c.image, c.image_2, p.image) as image
 from order_items i left join product_variants v on v.id = i.variant_id
 left join product_colors c on c.id = v.color_id left join products p on p.id = i.product_id""")
+
+oracle("scan_wishlists", ["wishlist_events"], """
+select user_id, product_id from wishlist_events group by user_id, product_id
+having arg_max(op, struct_pack(t := ts, e := event_id)) = 'add'""")

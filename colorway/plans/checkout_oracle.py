@@ -138,3 +138,7 @@ oracle("cart_keys", ["order_items", "products", "product_variants"], """
 select i.order_id, i.variant_id,
   coalesce(nullif(i.variant_id, ''), concat_ws('-', p.slug, v.size)) as cart_key
 from order_items i left join products p on p.id = i.product_id left join product_variants v on v.id = i.variant_id""")
+
+oracle("scan_cart_items", ["cart_events"], CART_LINES + """
+select cast(session_id as varchar) as session_id, cast(item_key as varchar) as variant_id, qty as quantity, price as price_at_add
+from lines""", recursive=True)

@@ -2,7 +2,6 @@
 
 Arrays of structs become one string: fields joined by ':', entries by '|',
 NULL fields skipped (the rule of ``concat_ws`` in Spark and DuckDB alike).
-Timestamps become 'yyyy-MM-dd HH:mm:ss' text.
 """
 
 from __future__ import annotations
@@ -22,7 +21,3 @@ def array_text(arr: Column, fields: list[str]) -> Column:
 
 def list_text(arr: Column, sep: str = ",") -> Column:
     return F.array_join(arr, sep)
-
-
-def ts_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

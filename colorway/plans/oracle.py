@@ -227,6 +227,10 @@ select p.id as product_id, p.slug, c.slug as category_slug,
 from products p left join categories c on c.id = p.category_id left join rs on rs.product_id = p.id
 where p.is_active""")
 
+oracle("scan_review_aggregates", ["reviews"], f"""
+, t as (select r.product_id, count(distinct r.id) as review_count, {TENTHS.format(r='r')} as tenths from reviews r group by r.product_id)
+select product_id, review_count, printf('%d.%d', tenths // 10, tenths % 10) as average_rating from t""")
+
 oracle("product_reviews", ["products", "reviews", "users"], """
 select p.id as product_id, p.slug as product_slug, r.id as review_id,
   coalesce(nullif(u.full_name, ''), 'Verified Buyer') as author, r.rating, r.verified_purchase

@@ -129,3 +129,17 @@ oracle("checkout_to_paid", ["order_requests"], """
 select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(request_id as varchar) as request_id,
   case when request_id % 5 <> 0 and request_id % 7 <> 0 and request_id % 11 <> 0 then 'paid' else 'pending' end as status
 from order_requests""")
+
+oracle("scan_orders", _REQ_USES, _REQ + """
+select sha256(concat('order:', cast(request_id as varchar))) as id,
+  case when length(customer_id) > 0 and substr(customer_id, 1, 6) <> 'guest_' then customer_id end as user_id,
+  case when substr(sha256(concat('order:', cast(request_id as varchar))), 1, 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e')
+       then 'paid' else 'pending' end as status,
+  amount as total_amount, cast(coalesce(shipping_fee, 0) as bigint) as shipping_fee, cast(0 as bigint) as discount_amount,
+  coalesce(case when coalesce(address_id, 0) <> 0 then cast(address_id as varchar) end, new_address) as address_id
+from req2""")
+
+oracle("scan_addresses", _REQ_USES, _REQ + """
+select new_address as id, 'Guest' as label, guest_line1 as address_line_1, cast(null as varchar) as address_line_2,
+  guest_city as city, state, postcode as postal_code, 'IN' as country
+from req2 where new_address is not null""")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colorway.operators import accounts as AC
 from colorway.operators import carts as CR
 from colorway.operators import catalog as CT
 from colorway.operators import orders as OR
@@ -226,3 +227,48 @@ def q_orders_paid_stream(t):
     for k, part in enumerate((feed.where(F.col("event_id") < F.lit(cut)), feed.where(F.col("event_id") >= F.lit(cut)))):
         step(OR.classify_payments(part, FD.TEST_KEY), k)
     return BK.read_state(t.spark, base).select(F.col("id").alias("order_id"), "status")
+
+
+def _stored(t, name: str, df: DataFrame) -> DataFrame:
+    """Rows written as a stored table and read by ``scan_table``."""
+    folder = fresh_folder(t, "stored")
+    df.write.parquet(f"{folder}/{name}")
+    return IO.scan_table(t.spark, folder, name)
+
+
+@query("scan_orders")
+def q_scan_orders(t):
+    """D5's orders stored and read under the orders table's schema, then
+    marked paid (D6) like any stored order."""
+    orders = _stored(t, "orders", _built(t)["orders"].withColumnRenamed("order_id", "id"))
+    some = orders.where("conv(substr(id, 1, 1), 16, 10) % 2 = 0").select("id")
+    return OR.orders_paid(orders, some).select("id", "user_id", "status", "total_amount", "shipping_fee", "discount_amount", "address_id")
+
+
+@query("scan_addresses")
+def q_scan_addresses(t):
+    """D5's guest addresses stored and read with their address lines."""
+    return _stored(t, "addresses", _built(t)["addresses"]).select(
+        "id", "label", "address_line_1", "address_line_2", "city", "state", "postal_code", "country")
+
+
+@query("scan_cart_items")
+def q_scan_cart_items(t):
+    """The priced cart lines stored as cart items."""
+    lines = CR.cart_state(FD.priced_cart_events(t), attrs=["name", "price"])
+    return _stored(t, "cart_items", lines.select(
+        F.col("session_id").cast("string").alias("session_id"), F.col("item_key").cast("string").alias("variant_id"),
+        F.col("qty").alias("quantity"), F.col("price").alias("price_at_add")))
+
+
+@query("scan_review_aggregates")
+def q_scan_review_aggregates(t):
+    """A3 stored as the review aggregates that the read paths embed."""
+    stats = CT.review_stats(t["reviews"]).select("product_id", "review_count", F.col("average_rating").cast("decimal(20,1)"))
+    return _stored(t, "product_review_aggregates", stats).withColumn("average_rating", F.col("average_rating").cast("string"))
+
+
+@query("scan_wishlists")
+def q_scan_wishlists(t):
+    """W4's pairs stored as wishlist rows."""
+    return _stored(t, "wishlists", AC.wishlist_state(t["wishlist_events"]))

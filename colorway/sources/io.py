@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.sources.schemas import ORDER_REQUEST_JSON, SCHEMAS
+from colorway.sources.schemas import ORDER_REQUEST_JSON, SCHEMAS, STORED
 
 VERSION_DIGITS = 10
 
@@ -24,7 +24,7 @@ JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def scan_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A shop table stored as parquet, read under its fixed schema."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory.rstrip('/')}/{name}")
+    return spark.read.schema(STORED[name]).parquet(f"{directory.rstrip('/')}/{name}")
 
 
 # --- S3: versioned snapshots ------------------------------------------------------

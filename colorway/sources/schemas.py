@@ -74,6 +74,33 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+
+
+def _more(name: str, *fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*SCHEMAS[name].fields, *_st(*fields).fields])
+
+
+# Tables as the shop stores them: with the columns that the derived views lack,
+# and those that have no view. Created rows (orders, guest addresses) have text
+# ids.
+STORED: dict[str, T.StructType] = {
+    **{n: SCHEMAS[n] for n in ("categories", "products", "sizes", "product_variants", "users", "order_items",
+                               "discount_codes", "shipping_config")},
+    "product_colors": _more("product_colors", ("created_at", TS), ("updated_at", TS)),
+    "reviews": _more("reviews", ("comment", S)),
+    "addresses": _st(
+        ("id", S), ("user_id", S), ("label", S), ("is_default", B), ("created_at", TS), ("address_line_1", S),
+        ("address_line_2", S), ("city", S), ("state", S), ("postal_code", S), ("country", S)),
+    "orders": _st(
+        ("id", S), ("user_id", S), ("status", S), ("total_amount", L), ("created_at", TS), ("order_number", S),
+        ("shipping_method", S), ("shipping_fee", L), ("discount_id", S), ("discount_amount", L), ("address_id", S)),
+    "wishlists": _st(("user_id", L), ("product_id", L)),
+    "cart_sessions": _st(("id", S), ("user_id", L)),
+    "cart_items": _st(("session_id", S), ("variant_id", S), ("quantity", L), ("price_at_add", L)),
+    "newsletter_subscribers": _st(("email", S)),
+    "product_review_aggregates": _st(("product_id", L), ("review_count", L), ("average_rating", T.DecimalType(20, 1))),
+}
+
 # Order request as posted by the checkout page (nested JSON).
 ORDER_REQUEST_JSON = _st(
     ("request_id", S),

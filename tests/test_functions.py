@@ -49,3 +49,18 @@ def test_exact_div_beyond_double_precision(spark):
     big = [(2**62 + 7, 3), (10**18 + 1, 10**9), (9007199254740993, 2), (0, 5)]
     got = _one(spark, exact_div(F.col("a"), F.col("b")), "a long, b long", big)
     assert got == [a // b for a, b in big]
+
+
+def test_empty_image_text_counts_as_no_image(spark):
+    df = spark.createDataFrame([(["", "b"], ["c"]), ([], ["", "d"]), (None, None)], "own array<string>, other array<string>")
+    got = df.select(D.card_image(F.col("own"), F.col("other"), 0).alias("a"), D.card_image(F.col("own"), F.col("other"), 1).alias("b"),
+                    D.detail_image(F.col("other"), F.col("own")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("c", "b", "c"), (None, "d", None), (None, None, None)]
+
+
+def test_percentages_may_have_a_fraction(spark):
+    from colorway.functions import money as M
+    df = spark.createDataFrame([("percentage", 12.5, 1000), ("fixed", 250.0, 1000), ("percentage", 29.0, 100), ("percentage", None, 9)],
+                               "t string, v double, s long")
+    got = [r[0] for r in df.select(M.discount_amount(F.col("t"), F.col("v"), F.col("s"))).collect()]
+    assert got == [125, 250, 28, 0]

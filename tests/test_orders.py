@@ -139,3 +139,30 @@ def test_order_requests_source(spark, scratch):
     o = out["orders"].collect()[0]
     assert o["user_id"] is None and o["address_id"] == out["addresses"].collect()[0]["id"]
     assert [(r["variant_id"], r["quantity"]) for r in out["order_items"].collect()] == [("v", 3)]
+
+
+def test_text_ids_and_unknown_actions(spark):
+    """Text address and discount ids are kept; other actions give errors."""
+    import json
+    import os
+    import tempfile
+
+    from colorway.sources import io
+    folder = tempfile.mkdtemp(prefix="colorway-test-", dir="/tmp")
+    rows = [{"request_id": "a", "action": "create-order", "amount": 100, "customerId": "u",
+             "orderMeta": {"address_id": "6f1c-uuid", "discount_id": "d-uuid"}, "cartItems": []},
+            {"request_id": "b", "action": "create-order", "amount": 100, "customerId": "u", "orderMeta": {"address_id": 0}},
+            {"request_id": "c", "action": "refund"}, {"request_id": "d"}]
+    with open(os.path.join(folder, "r.json"), "w") as f:
+        f.write("\n".join(map(json.dumps, rows)))
+    out = OR.build_orders(io.order_requests(spark, folder))
+    assert {r["request_id"]: (r["address_id"], r["discount_id"]) for r in out["orders"].collect()} == \
+        {"a": ("6f1c-uuid", "d-uuid"), "b": (None, None)}
+    assert {r["request_id"]: r["error"] for r in out["errors"].collect()} == \
+        {"c": "Unknown action: refund", "d": "Unknown action: undefined"}
+
+
+def test_member_with_text_address_can_pay(spark):
+    df = spark.createDataFrame([("6f1c-uuid",), ("",), ("0",), (None,)], "a string")
+    got = [r[0] for r in df.select(OR.checkout_complete(F.lit(False), [], [], F.col("a"))).collect()]
+    assert got == [OR.COMPLETE] + [OR.MISSING_ADDRESS_ID] * 3

@@ -62,7 +62,6 @@ def test_reasons_in_order(spark):
 def test_shipping_config_empty_and_present(spark):
     empty = spark.createDataFrame([], "free_above int, flat_rate int, express_rate int")
     assert PR.shipping_config(empty) == M.DEFAULT_SHIPPING
-    assert PR.shipping_config_frame(empty).collect()[0].asDict() == M.DEFAULT_SHIPPING
     one = spark.createDataFrame([(1, 2, 3)], "free_above int, flat_rate int, express_rate int")
     assert PR.shipping_config(one) == {"free_above": 1, "flat_rate": 2, "express_rate": 3}
 
