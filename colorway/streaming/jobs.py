@@ -129,8 +129,12 @@ def orders_paid_batch(base: str, buckets: int | None = None):
 def init_bucketed(df: DataFrame, base: str, key: str, buckets: int | None = None, version: int = 0) -> None:
     """A version with every bucket written (by default version 0). The number
     of buckets follows the number of rows and stays with the state."""
-    n = buckets or BK.bucket_count(df.count())
-    BK.write_version(df, base, version, key, n, list(range(n)), None)
+    rows = df.persist()  # counted, then written
+    try:
+        n = buckets or BK.bucket_count(rows.count())
+        BK.write_version(rows, base, version, key, n, list(range(n)), None)
+    finally:
+        rows.unpersist()
 
 
 def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, base: str, checkpoint: str,
