@@ -2,8 +2,8 @@
 
 A page becomes a tree of elements and text runs. Each node has a hidden state,
 main text or not. The model is a Markov tree: the root's prior, a parent-child
-potential per kind of child (a part of the page, a plain block, inline, a text
-run), and emission potentials of what parts show (tag, words of class, id and
+potential per kind of child (a part of the page, a wrapper, a plain block, inline, a
+text run), and emission potentials of what parts show (tag, words of class, id and
 role, size and share of links of their text, title, paragraphs, buttons). All of them are learned from labelled pages
 (``labelled_pages``, or the caller's own). Sum-product messages
 go up from the leaves and down from the root; they give each node's marginal
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colorway.llm.common import importable, slices, texts
-from colorway.llm.labelled_pages import labelled_pages
+from colorway.llm.labelled_pages import MAIN_NAMES, SIDE_NAMES, labelled_pages
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +45,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 _FORM = frozenset("button input".split())
-_KINDS = ("part", "plain", "inline", "text")
-# Elements that may be parts of a page without having a name.
+_KINDS = ("part", "wrap", "plain", "inline", "text")
+# Elements that may be parts of a page whatever their name; others are if they
+# have a name that sites give to side parts.
 _PARTS = frozenset("#root html head body div main article section aside nav header footer form center dialog fieldset".split())
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot div section article main body".split())
 
@@ -54,6 +55,8 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SIDE, _MAIN = frozenset(SIDE_NAMES), frozenset(MAIN_NAMES)
+_WRAPS = frozenset("div center fieldset".split())  # parts only if their name says so
 _LABEL = re.compile(r"\b(main|side)\b")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
@@ -164,10 +167,11 @@ def shown(tree: Tree) -> tuple[list[str], list[list[str]]]:
     for i, tag in enumerate(tree.tag):
         found = {w for m in _NAMES.finditer(tree.attributes[i]) for w in _WORD.findall(m[2].lower())} \
             if tree.attributes[i] else ()
-        kinds.append("text" if tag == "#text" else "part" if found or tag in _PARTS else
-                     "inline" if tag in _INLINE else "plain")
+        told = not _SIDE.isdisjoint(found) or tag in _PARTS and not _MAIN.isdisjoint(found)
+        kinds.append("text" if tag == "#text" else "part" if told or tag in _PARTS and tag not in _WRAPS else
+                     "wrap" if tag in _WRAPS else "inline" if tag in _INLINE else "plain")
         names.append(found)
-        part[i] = i if kinds[i] == "part" else part[tree.parent[i]]
+        part[i] = i if kinds[i] in ("part", "wrap") else part[tree.parent[i]]
         link[i] = tag == "a" or i > 0 and link[tree.parent[i]]
     size, linked, paragraphs, title, button = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
     for i, tag in enumerate(tree.tag):
@@ -184,7 +188,7 @@ def shown(tree: Tree) -> tuple[list[str], list[list[str]]]:
             button[k] = True
     out: list[list[str]] = []
     for i, tag in enumerate(tree.tag):
-        if kinds[i] != "part":
+        if kinds[i] not in ("part", "wrap"):
             out.append([])
             continue
         features = ["tag:" + tag, f"paragraphs:{min(3, paragraphs[i])}", f"title:{title[i]}", f"button:{button[i]}"]
@@ -224,7 +228,7 @@ class Model:
         return odds
 
 
-def fit(pages: Iterable[str] = (), rounds: int = 30, step: float = 0.2, decay: float = 0.0005) -> Model:
+def fit(pages: Iterable[str] = (), rounds: int = 40, step: float = 0.2, decay: float = 0.0005) -> Model:
     """Learns from labelled pages: a ``main`` attribute marks an element as
     main text, ``side`` as not. Parent-child potentials are counted; emission
     potentials climb the conditional likelihood of the labels, whose gradient

@@ -62,12 +62,13 @@ _WRITTEN = (
 
 
 # Names that sites commonly give to parts of a page.
-_SIDE_NAMES = ("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
+SIDE_NAMES = ("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
                "gdpr notice alert warning disclaimer popup modal overlay newsletter subscribe signup login search menu nav navbar "
                "navigation breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended trending "
                "popular share social follow toolbar topbar masthead header footer copyright legal comment comments "
                "discussion thread reply respond responses reviews disqus feedback form meta tags byline").split()
-_MAIN_NAMES = "content article post entry story text body main".split()
+_PLAIN_NAMES = "lead intro row column para wrap inner box block quote first last large".split()
+MAIN_NAMES = "content article post entry story text body main".split()
 _SIDE_TAGS = "nav aside footer header form".split()
 _MAIN_TAGS = "article main section div".split()
 
@@ -87,30 +88,32 @@ def _side(rng: random.Random, name: str) -> str:
     if rng.random() < 0.3:
         tag = rng.choice(_SIDE_TAGS)
         return f"<{tag} side>{inner}</{tag}>"
-    tag = rng.choice(("div", "div", "section"))
+    tag = rng.choice(("div", "div", "section") if "<" in inner else ("div", "section", "p"))
     return f'<{tag} {rng.choice(("class", "id"))}="{name}" side>{inner}</{tag}>'
 
 
 def _made(rng: random.Random, side: str) -> str:
-    part = lambda: _side(rng, rng.choice((side, rng.choice(_SIDE_NAMES))))
+    part = lambda: _side(rng, rng.choice((side, rng.choice(SIDE_NAMES))))
     blocks = []
     for _ in range(rng.randint(1, 14)):
         blocks.append(rng.choice((
             _p(rng.randint(1, 5)), _p(rng.randint(1, 3)), f"<p>{_sentences(rng, rng.randint(1, 40))}</p>",
             f"<p><b>{_sentences(rng, 9)}<br>", f"<h2>{_sentences(rng, 3)}</h2>", f"<ul><li>{_sentences(rng, 9)}</li><li>{_sentences(rng, 2)}</li></ul>",
             f"<p>{_sentences(rng, 20)} <a href='/x'>{_sentences(rng, 2)}</a> <i>{_sentences(rng, 3)}</i></p>",
-            f"<div>{_sentences(rng, 30)}</div>")))
+            f"<div>{_sentences(rng, 30)}</div>", f"<section><h2>{_sentences(rng, 3)}</h2>{_p(rng.randint(1, 3))}</section>", f'<div class="{rng.choice(_PLAIN_NAMES)}">{_p(2)}</div>',
+            f'<p class="{rng.choice(_PLAIN_NAMES)}">{_sentences(rng, 20)}</p>')))
         if rng.random() < 0.12:
             blocks.append(part())
     tag = rng.choice(_MAIN_TAGS)
-    name = "" if tag in ("article", "main") and rng.random() < 0.7 else f'class="{rng.choice(_MAIN_NAMES)}"'
-    title = rng.choice(("", f"<h1>{_sentences(rng, 5)}</h1>", f"<h1>{_sentences(rng, 5)}</h1>"))
+    name = "" if tag in ("article", "main") and rng.random() < 0.7 else f'class="{rng.choice(MAIN_NAMES)}"'
+    heading = f"<h1>{_sentences(rng, 5)}</h1>"
+    title = rng.choice(("", heading, heading, f"<header>{heading}</header>"))
     before, after = ("".join(part() for _ in range(rng.randint(0, 3))) for _ in (0, 1))
     end = "<footer side>&copy; Town</footer>" if rng.random() < 0.5 else ""
     body = f"{before}<{tag} {name} main>{title}{''.join(blocks)}</{tag}>{after}{end}"
     return f"<html>{_HEAD}<body>{f'<div class=wrapper>{body}</div>' if rng.random() < 0.3 else body}</body></html>"
 
 
-def labelled_pages(times: int = 4, seed: int = 1) -> list[str]:
+def labelled_pages(times: int = 6, seed: int = 1) -> list[str]:
     rng = random.Random(seed)
-    return [*_WRITTEN * times, *(_made(rng, side) for _ in range(times) for side in _SIDE_NAMES)]
+    return [*_WRITTEN * times, *(_made(rng, side) for _ in range(times) for side in SIDE_NAMES)]

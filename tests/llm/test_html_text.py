@@ -43,6 +43,14 @@ def test_sides_go(model, side):
         assert ht.main_text(page("", side, tag, attributes), model) == WANT
 
 
+def test_named_plain_content_stays(model):
+    more = '<p class="lead">First words of it.</p><h2 id="s1">Part</h2><div class="row"><p class="x-9">Nested <span class="hl">words</span> here.</p></div>'
+    more += "<section><h2>Own</h2><p>A section of the article itself.</p></section>"
+    for tag, attributes in (("article", ""), ("main", ""), ("div", 'class="content"')):
+        got = ht.main_text(page(more + '<p class="ad">Buy now!</p>', "", tag, attributes), model)
+        assert got == f"Title here\n{LONG}\nFirst words of it.\nPart\nNested words here.\nOwn\nA section of the article itself.\nEnd."
+
+
 def test_blocks_and_references(model):
     body = "<p>a&amp;b &lt;i&gt; &#233;&nbsp;&copy\n  x<br>y <b>bo</b>ld</p><p> </p><ul><li>one<li>two</ul><p>open<p>last &am"
     assert ht.main_text(page(body), model) == f"Title here\n{LONG}\na&b <i> é © x y bold\none\ntwo\nopen\nlast &am\nEnd."
