@@ -241,23 +241,29 @@ def _compared(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         "near_edited": likeness(a, b, n).tolist(), "near_next": likeness(a, c, n).tolist()}, _SCHEMA)
 
 
-def _ranges(rows: DataFrame, n: int) -> tuple[list[int], list[tuple[int, int | None]]]:
+def _ranges(ids: DataFrame, n: int) -> tuple[list[int], list[tuple[int, int | None]]]:
     """Bounds of about ``n`` id ranges, and (range, smallest id) of those that
-    have rows: both as long as the number of ranges."""
-    marks = rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    have rows (None for a null id): both as long as the number of ranges."""
+    marks = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
     bounds = sorted({int(x) for x in marks})
-    found = rows.groupBy(_range(bounds).alias("range")) \
-        .agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("null")).collect()
-    return bounds, sorted((r["range"], None if r["null"] else r["low"]) for r in found)
-
 
-def _range(bounds: list[int]) -> F.Column:
-    """Number of bounds that are smaller than the id; 0 for a null id."""
-    if not bounds:
-        return F.lit(0)
-    keys = F.array(*[F.lit(b) for b in bounds])
-    # the bounds ascend, so their count below the id is the position in them
-    return F.coalesce(F.size(F.filter(keys, lambda b: b < F.col("doc_id"))), F.lit(0))
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[int, int] = {}
+        null = False
+        for batch in batches:
+            column = batch.column("doc_id")
+            null |= column.null_count > 0
+            own = np.sort(column.drop_null().to_numpy())
+            ranges, first = np.unique(np.searchsorted(bounds, own), return_index=True)
+            for r, i in zip(ranges.tolist(), own[first].tolist(), strict=True):
+                low[r] = min(low.get(r, i), i)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*low, *[0] * null], pa.int32()), pa.array([*low.values(), *[None] * null], pa.int64())],
+            names=["range", "low"])
+
+    found = ids.mapInArrow(lowest, "range int, low long").groupBy("range") \
+        .agg(F.min("low").alias("low"), F.max(F.col("low").isNull()).alias("null")).collect()
+    return bounds, sorted((r["range"], None if r["null"] else r["low"]) for r in found)
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -274,7 +280,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            own = [0 if i is None else bisect_left(bounds, i) for i in ids]
+            own = [0 if i is None else bisect_left(bounds, i) for i in ids]  # as searchsorted
             more = [k for k, i in enumerate(ids) if i in ahead]
             take = pa.array([*range(len(ids)), *more], pa.int64())
             yield pa.RecordBatch.from_arrays(
