@@ -22,7 +22,6 @@ that reach them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colorway.llm import bpe, mixing, near_copies, quality, substrings
 from colorway.llm.common import input_table, scratch_table
