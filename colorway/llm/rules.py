@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 ``base`` counts what the rules look at. A rule rejects a text whose statistic
-exceeds a cutoff. Cutoffs are chosen per stratum (language; null is a stratum
-of its own) from a fixed grid, on the labelled good texts that are set aside
+exceeds a cutoff. Cutoffs are chosen per stratum (language; null counts as the
+empty name) from a fixed grid, on the labelled good texts that are set aside
 for this. Each rule tests its cutoffs from the loosest to the strictest, and
 stops at the first one for which an exact one-sided binomial test does not
 reject "this would reject more than ``risk`` / number of rules of the good
@@ -14,9 +14,11 @@ cutoff that passed is taken; a stratum with none, such as one with few labels,
 has no such rule. A text is kept if it passes the base rules and its
 stratum's.
 
-What reaches the driver is one count for each stratum, rule and cutoff. If
-there are more than MOST_STRATA languages among the labels, the rarer ones
-share the stratum of all others.
+The number of strata is not limited. What reaches the driver is one count for
+each rule and cutoff of the strata that have enough good texts for a rule that
+rejects none of them to pass (``least_texts``); the others can have no rule,
+but count among the strata of the correction. The cutoffs go back as a table
+that is joined.
 
 Defined results: a null text is an empty text: it has no words and fails.
 Repeated rows get equal rows; a null id stays. Without labels only the base
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from colorway.llm.common import lineage_cut
 
 WINDOW = 8
-MOST_STRATA = 64
 
 #: Statistic of each rule, over the columns of ``base``.
 RULES = {
@@ -111,17 +112,24 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def least_texts(level: float, p: float) -> int:
+    """The fewest texts of which none rejected can pass at this level (or one
+    less: floating point decides nothing here)."""
+    return max(0, math.floor(math.log(level) / math.log1p(-p)))
+
+
 def thresholds(stats: DataFrame, good: DataFrame, risk: float = 0.02, error: float = 0.05) -> dict[str, dict[str, float]]:
     """stratum -> rule -> cutoff, from ``base``'s rows and the ids of good
     texts. The rows that fail the base rules are left out: those are rejected
     anyway."""
     held = stats.join(good.select("doc_id").distinct(), "doc_id", "left_semi").where(~F.col("base_failed"))
     counts = [F.sum((F.expr(e) > c).cast("int")).alias(f"{r}_{k}") for r, e in RULES.items() for k, c in enumerate(CUTOFFS)]
-    found = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts) \
-        .orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()
-    if not found:
+    by_stratum = lineage_cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))  # used twice
+    strata = by_stratum.count()
+    if not strata:
         return {}
-    level, each = error / (len(found) * len(RULES)), risk / len(RULES)
+    level, each = error / (strata * len(RULES)), risk / len(RULES)
+    found = by_stratum.where(F.col("n") >= least_texts(level, each)).orderBy("stratum").collect()
     out: dict[str, dict[str, float]] = {}
     for row in found:
         for rule in RULES:
@@ -134,14 +142,13 @@ def thresholds(stats: DataFrame, good: DataFrame, risk: float = 0.02, error: flo
 
 def judge(stats: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
     """Adds ``rejected_by``: the rules of the text's stratum that reject it."""
-    def verdict(rule: str, expression: str) -> Column:
-        own = {s: c[rule] for s, c in cutoffs.items() if rule in c}
-        case = F.lit(False)
-        for s, c in own.items():
-            case = F.when(F.col("stratum") == s, F.expr(expression) > c).otherwise(case)
-        return F.when(case, F.lit(rule))
-
-    return stats.withColumn("rejected_by", F.array_compact(F.array(*[verdict(r, e) for r, e in RULES.items()])))
+    # a row for each stratum with a rule: at most one in ``least_texts`` labelled texts
+    table = stats.sparkSession.createDataFrame(
+        [(s, *(c.get(r) for r in RULES)) for s, c in cutoffs.items()],
+        ", ".join(["__stratum string", *(f"__{r} double" for r in RULES)]))
+    joined = stats.join(F.broadcast(table), F.col("stratum") == F.col("__stratum"), "left")
+    verdicts = [F.when(F.expr(e) > F.col(f"__{r}"), F.lit(r)) for r, e in RULES.items()]
+    return joined.select(*stats.columns, F.array_compact(F.array(*verdicts)).alias("rejected_by"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

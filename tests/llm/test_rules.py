@@ -77,6 +77,24 @@ def test_strata_have_their_own_rules(spark):
     assert [r.rejected_by for r in judged.collect()] == [["symbols"], []]
 
 
+def test_more_than_64_strata(spark):
+    """Every language with enough labels has its rules, however many there are."""
+    few, many = 30, 60  # 40 texts without a rejection pass at a fifth and 0.05 / (71 * 5)
+    stats = rules.F.broadcast(spark.createDataFrame([(f"l{k}", few if k == 70 else many) for k in range(71)], "stratum string, n long")) \
+        .join(_stats(spark, [0] * many).drop("stratum"), rules.F.col("doc_id") < rules.F.col("n")) \
+        .withColumn("doc_id", rules.F.xxhash64("stratum", "doc_id")).drop("n")
+    cutoffs = rules.thresholds(stats, stats, risk=1.0)
+    assert set(cutoffs) == {f"l{k}" for k in range(70)} and all(set(c) == set(rules.RULES) for c in cutoffs.values())
+    judged = rules.judge(stats.withColumn("n_symbols", rules.F.lit(50).cast("long")), cutoffs)
+    assert {(r.stratum, *r.rejected_by) for r in judged.collect()} == {(f"l{k}", "symbols") for k in range(70)} | {("l70",)}
+
+
+def test_strata_are_left_out_only_where_no_rule_can_pass():
+    for level, p in ((0.01, 0.004), (0.05 / 355, 0.2), (0.0025, 0.004)):
+        n = rules.least_texts(level, p)
+        assert rules.binomial_tail(0, n - 1, p) > level >= rules.binomial_tail(0, n + 1, p)
+
+
 def test_no_python_in_the_plan(spark):
     df = rules.base(table(spark, "documents"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
