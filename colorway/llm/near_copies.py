@@ -38,6 +38,7 @@ from colorway.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
+RECALL = 0.99999
 HASHES = 256
 BLOCK = 1000
 WORDS_KEPT = 150_000
@@ -74,7 +75,7 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def bands_and_rows(threshold: float = THRESHOLD, recall: float = 0.995, hashes: int = HASHES) -> tuple[int, int]:
+def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
     """The longest bands (fewest chance meetings) of at most ``hashes`` values
     in all that let a pair at the threshold meet with probability ``recall``."""
     for rows in range(hashes, 0, -1):
@@ -96,7 +97,7 @@ def _band_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.995, size: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
     """(doc_id, digest, bands): digest of the shingle set (null if empty) and
     the band hashes, for ``docs`` (doc_id, text)."""
     bands, rows = bands_and_rows(threshold, recall)
@@ -213,7 +214,7 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.995, size: int = SHINGLE,
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE,
          id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, copies, n_links) of every row."""
     importable(docs.sparkSession)

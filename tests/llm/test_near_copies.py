@@ -91,6 +91,19 @@ def test_recall_of_banding():
     assert met >= 0.98 * 400
 
 
+def test_pairs_at_the_threshold_meet():
+    """Every one of 3000 pairs at 0.8: bands of 8 lose about 8 of them."""
+    rng = np.random.default_rng(6)
+    bands, rows = nc.bands_and_rows()
+    assert (1 - 0.8 ** rows) ** bands < 1e-5
+    a = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    for _ in range(3000):
+        s = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        x, y = nc._band_hashes(s[:180], a, b, bands), nc._band_hashes(s[20:], a, b, bands)  # 160 of 200 shared
+        assert set(x.tolist()) & set(y.tolist())
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + k, 401 + k) for k in range(60)] \
