@@ -1,12 +1,13 @@
 """N-gram Jaccard join by MinHash banding.
 
 A text's set is that of the hashes of its five-word shingles (a shorter text
-has one shingle of all its words). Texts with equal sets form a class, and one
-member (the smallest id) stands for it. The sets of the representatives get
+has one shingle of all its words). Texts with equal sets form a class, which
+has a number of its own; one member (the smallest id, of rows that repeat it
+the smallest hash of the text) stands for it. The sets of the representatives get
 ``bands`` * ``rows`` MinHash values; numbers are chosen so that a pair at the
 threshold meets in a band with the target probability. Representatives are
 shuffled on their band hashes; all that share one get an edge to the smallest
-of them, so a band of n members gives n - 1 edges, not n * n. Connected
+number among them, so a band of n members gives n - 1 edges, not n * n. Connected
 components of these edges are the candidate groups, and within a group every
 pair is verified on the full sets. Verification deals a group over tasks: its
 members fall into blocks of about BLOCK, and each pair of blocks is compared
@@ -19,8 +20,9 @@ n_links (other rows at a similarity of at least the threshold).
 
 Defined results: null texts and texts without a word have no shingles and link
 to nothing, so each is a class by itself. Rows with a null id have a null
-class and no links. Rows that repeat an id and a text count as copies. Only
-the named columns are read.
+class and no links. Rows that repeat an id and a text count as copies; rows
+that repeat an id with other texts have links and a class each. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colorway.llm.common import importable, lineage_cut, slices, texts
@@ -61,6 +63,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mark(text: Column) -> Column:
+    """128-bit hash of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.split()
@@ -98,13 +105,13 @@ def _band_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.
 
 
 def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, digest, bands): digest of the shingle set (null if empty) and
-    the band hashes, for ``docs`` (doc_id, text)."""
+    """(doc_id, mark, digest, bands): digest of the shingle set (null if empty)
+    and the band hashes, for ``docs`` (doc_id, mark, text)."""
     bands, rows = bands_and_rows(threshold, recall)
     rng = np.random.default_rng(7)
     a = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -113,10 +120,10 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             values = [_band_hashes(s, a, b, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()),
                                               pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(work, "doc_id long, digest binary, bands array<long>")
+    return docs.mapInArrow(work, "doc_id long, mark binary, digest binary, bands array<long>")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -185,11 +192,11 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     """One task's share: whole small groups, or a pair of blocks of one group.
     Returns link counts (kind 0) and edges of spanning forests (kind 1)."""
     kinds, a, b = [], [], []
-    rows: dict[int, dict[int, tuple]] = {}  # group -> representative -> (block, copies, set)
+    rows: dict[int, dict[int, tuple]] = {}  # group -> class -> (block, copies, set)
     for root, node, block, copies, digest, text in zip(
             *(table[c].to_pylist() for c in ("root", "node", "block", "copies", "digest", "text")), strict=True):
         s = shingles(text, size)
-        if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # another row of the same id may have another text
+        if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # not another text with the same id and mark
             rows.setdefault(root, {})[node] = (block, copies, s)
     one, two = table["one"][0].as_py(), table["two"][0].as_py()
     for group in rows.values():
@@ -214,42 +221,54 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE,
-         id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, copies, n_links) of every row."""
-    importable(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    signed = lineage_cut(signatures(known, threshold, recall, size))
+def _classes(rows: DataFrame, threshold: float, recall: float, size: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """For ``rows`` (doc_id, text, mark): their ``signatures``, and for each
+    digest (digest, copies, links, low), where links are those to other
+    digests, and low (missing, doc_id, mark) is the smallest row of the
+    component of linked texts."""
+    signed = lineage_cut(signatures(rows, threshold, recall, size))
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     classes = lineage_cut(signed.where("digest IS NOT NULL").groupBy("digest")
-                          .agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
-                          .select("digest", F.col("first.doc_id").alias("rep"), "copies", F.col("first.bands").alias("bands")))
+                          .agg(F.min(F.struct(first.alias("row"), "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
+                          .select("digest", F.monotonically_increasing_id().alias("node"), F.col("first.row").alias("first"),
+                                  "copies", F.col("first.bands").alias("bands")))
 
     # candidates: all members of a band hang on its smallest
-    placed = classes.select("rep", F.explode("bands").alias("band"))
-    low = placed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    edges = placed.join(low, "band").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    placed = classes.select("node", F.explode("bands").alias("band"))
+    low = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+    edges = placed.join(low, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = lineage_cut(components(edges))
 
     # verification: small groups together, large ones a block against another
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     tasks = max(1, -(-groups.count() // block))
-    members = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "copies", "digest"), "node") \
+    firsts = classes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), "copies", "digest")
+    members = groups.join(sizes, "root").join(firsts, "node") \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     shared = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.lit(0).alias("one"), F.lit(0).alias("two")))
     against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.col("root").alias("task"), F.least(j, "block").alias("one"), F.greatest(j, "block").alias("two")))
-    dealt = members.join(known.withColumnRenamed("doc_id", "node"), "node") \
+    dealt = members.join(rows, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))) \
         .withColumn("t", F.explode(F.when(F.col("blocks") == 1, shared).otherwise(against))) \
         .select((F.col("blocks") > 1).alias("split"), "t.task", "t.one", "t.two", "root", "node", "block", "copies", "digest", "text")
     found = lineage_cut(dealt.groupBy("split", "task", "one", "two")
                         .applyInArrow(lambda t: _verify(t, threshold, size), "kind int, a long, b long"))
 
-    links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    roots = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    result = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left") \
-        .select("digest", "copies", F.coalesce("root", "rep").alias("class_id"),
-                (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    roots = components(found.where("kind = 1").select("a", "b")).join(classes.select("node", "first"), "node")
+    lows = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("first").alias("low")), "root").select("node", "low")
+    return signed, classes.select("digest", "node", "first", "copies").join(links, "node", "left").join(lows, "node", "left") \
+        .select("digest", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("low", "first").alias("low"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE,
+         id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, copies, n_links) of every row."""
+    importable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = rows.where("doc_id IS NOT NULL").withColumn("mark", mark(F.col("text")))
+    signed, classes = _classes(known, threshold, recall, size, block)
+    result = classes.select("digest", "copies", F.col("low.doc_id").alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     with_set = signed.where("digest IS NOT NULL").select("doc_id", "digest").join(result, "digest") \
         .select("doc_id", "class_id", "copies", "n_links")
     alone = signed.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id")) \

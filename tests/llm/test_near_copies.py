@@ -68,6 +68,20 @@ def test_large_group_in_blocks(spark):
     assert result(nc.join(df, block=25)) == brute_force(rows)
 
 
+def test_one_id_on_different_texts(spark):
+    """Near copies of each other, and of others, under one id; and an id on many texts."""
+    rng = random.Random(5)
+    base, other = words(rng, 150).split(), words(rng, 90).split()
+
+    def near(text, k):
+        return " ".join([*text[:k], f"w{k}", *text[k + 1:]])
+
+    rows = [(1, " ".join(base)), (1, near(base, 3)), (2, near(base, 140)), (1, " ".join(other)), (7, near(other, 5)), (7, near(base, 70)),
+            (7, near(base, 70)), (9, near(other, 80)), (2, words(rng, 40))] + [(0, words(rng, 30)) for _ in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(nc.join(df)) == brute_force(rows)
+
+
 def test_empty(no_docs):
     assert nc.join(no_docs).count() == 0
 
