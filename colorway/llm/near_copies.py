@@ -275,3 +275,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         .union(rows.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))) \
         .select("doc_id", "class_id", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
     return with_set.union(alone)
+
+
+def survivors(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE,
+              id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, mark) of the rows that stay if one of each component of linked
+    texts does: the smallest id, of rows that repeat it the smallest mark. Rows
+    without an id take part, after all others. Texts without a word stay."""
+    importable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
+        .withColumn("mark", mark(F.col("text")))
+    signed, classes = _classes(rows, threshold, recall, size, block)
+    return classes.select("low.doc_id", "low.mark").union(signed.where("digest IS NULL").select("doc_id", "mark")).distinct()

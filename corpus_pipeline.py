@@ -6,8 +6,11 @@ the columns of ``docs``:
 
 1. quality      the classifier's rejected documents go
 2. near_copies  one document of each group of near copies stays: the one with
-                the smallest id (of rows that repeat an id, one); rows without
-                an id all stay
+                the smallest id, of different texts under that id the one with
+                the smallest hash; rows without an id take part, after all
+                others. Of rows with equal id and text the smallest stays (by
+                the columns in order). Different texts under one id are
+                documents of their own; texts without a word all stay
 3. substrings   words in windows that a smaller document has too go: the text
                 becomes the kept words joined by spaces, n_chars its length;
                 texts without such words stay as they are
@@ -22,6 +25,7 @@ that reach them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colorway.llm import bpe, mixing, near_copies, quality, substrings
 from colorway.llm.common import input_table, scratch_table
@@ -36,10 +40,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = near_copies.join(docs)
-    others = links.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    keys = near_copies.survivors(docs).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    kept = docs.withColumn("__text", near_copies.mark(F.col("text"))) \
+        .join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark")), "left_semi")
+    return kept.groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """The pipeline's stages against plain Python over each stage's own input."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 import tiktoken
-from llm_fixtures import table
+from llm_fixtures import table, words
 from test_mixing_packing import expected, name_domain
 from test_near_copies import brute_force as groups
 from test_substrings import WORD
@@ -63,6 +64,19 @@ def test_near_copies(stages):
     assert sorted(after) == sorted(r for r in before if r.doc_id in keep) and len(after) < len(before)
 
 
+def test_near_copies_by_text_not_by_id(spark):
+    """Different texts under one id stay, copies without an id go, and the row
+    that stays does not depend on the order."""
+    rng = random.Random(8)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (3, c, "z"), (3, c, "y"), (None, d, "x"), (None, d, "x"), (None, c + " end", "x"),
+            (None, e, "x"), (4, "", "x"), (5, None, "x"), (6, b + " end", "x")]
+    want = [(1, a, "x"), (1, b, "x"), (3, c, "y"), (None, d, "x"), (None, e, "x"), (4, "", "x"), (5, None, "x")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string")
+        assert sorted(map(tuple, cp.keep_one_of_each_group(spark, docs, SF).collect()), key=str) == sorted(want, key=str)
+
+
 def test_substrings(stages):
     before, after, *_ = stages["substrings"]
     want = kept_words([(r.doc_id, r.text) for r in before])
