@@ -13,9 +13,10 @@ once; a row's score is the logistic of
 
 over a temperature, with Mahalanobis distances from the cached factors.
 
-Defined results: null and empty texts (no word) score 0. Rows are scored one
-by one, so repeated rows get equal scores, and a null id is kept. Labels that
-are null are not learned from; a label row that occurs twice counts twice.
+Defined results: null and empty texts (no word) score 0. A score is added up
+in a fixed order of the statistics, whatever else its batch holds, and the
+moments are sums of whole numbers (UNIT), whatever the partitions: so equal
+texts get equal scores. A null id is kept. Labels that are null are not learned from; a label row that occurs twice counts twice.
 With labels of one class only, every text with a word scores that class; with
 none, 0.5. Only the named columns are read.
 """
@@ -38,6 +39,8 @@ STATISTICS = ("words", "word length", "long words", "upper case", "digits", "mar
               "commas", "other signs", "distinct words", "commonest word", "distinct runs", "distinct lines",
               "line length", "short lines", "capital starts")
 SIZE = len(STATISTICS)
+#: Moments are counted in these units: a row adds at most about 2**28 to a sum.
+UNIT = 2.0 ** -20
 _MARKS, _SIGNS = b"#*$%&|<>", b"@=+_~^\\{}[]()/;:-\"'"
 
 
@@ -91,6 +94,19 @@ class Moments:
         return self.products - np.outer(self.total, self.total) / self.n
 
 
+def _distance(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Squared lengths of the rows times a lower triangular factor. Columns are
+    added one after the other: the order of a matrix product's additions
+    depends on a row's place in the batch."""
+    out = np.zeros(len(x))
+    for i in range(SIZE):
+        y = np.zeros(len(x))
+        for j in range(i + 1):
+            y += factor[i, j] * x[:, j]
+        out += y * y
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Per class: log prior less half the log determinant, mean, and the
@@ -106,8 +122,8 @@ class Model:
         odds = np.full(len(x), self.bias[1] - self.bias[0])
         if self.means is not None:
             for sign, mean, factor in zip((-1, 1), self.means, self.factors, strict=True):
-                odds -= sign * 0.5 * np.square((x - mean) @ factor.T).sum(axis=1)
-        return 1 / (1 + np.exp(np.clip(-odds / self.temperature, -700, 700)))
+                odds -= sign * 0.5 * _distance(x - mean, factor)
+        return np.array([1 / (1 + math.exp(o)) for o in np.clip(-odds / self.temperature, -700, 700).tolist()], float)
 
 
 def discriminant(moments: dict[int, Moments], pooling: float = 0.6, ridge: float = 0.02, temperature: float = 3.0) -> Model:
@@ -152,8 +168,12 @@ def fit(labelled: DataFrame, **shrinkage: float) -> Model:
     """Learn from rows (x, label): a few hundred sums per class, added up by
     Spark, are all that reaches the driver."""
     pairs = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(SIZE)]
-    products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs]
+
+    def total(value: F.Column) -> F.Column:
+        return F.sum(F.round(value / UNIT).cast("long")) * F.lit(UNIT)
+
+    sums = [total(F.col("x")[i]).alias(f"s{i}") for i in range(SIZE)]
+    products = [total(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs]
     found = labelled.where("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
     moments = {}
     for r in found.collect():

@@ -10,7 +10,8 @@ entries (12 bytes each).
 
 Learning takes a bounded sample of the labelled rows: at most POSITIVES
 positive rows and RATIO negative ones for each, those with the smallest hash
-of their id. FTRL learns one row after the other, in the order of another
+of their id, among the labels that have a document. Their features are made
+where the texts are read, so no text is shuffled. FTRL learns one row after the other, in the order of another
 hash, so one task learns from these at most POSITIVES * (1 + RATIO) rows.
 Positives weigh more in the sample than among all labels: the intercept leans
 towards finding them. Scoring covers every row and every whole text.
@@ -101,18 +102,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     """(coordinates, weights, intercept), learned from ``docs`` (doc_id, text)
     and ``labels`` (doc_id, label)."""
     importable(docs.sparkSession)
-    chosen = F.broadcast(sample(labels))  # at most POSITIVES * (1 + RATIO) rows
+    present = labels.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    chosen = F.broadcast(sample(present))  # at most POSITIVES * (1 + RATIO) rows
     rows = docs.join(chosen, "doc_id").where("text IS NOT NULL") \
         .select(F.lit(0).alias("one"), F.xxhash64("doc_id", F.lit(2)).alias("order"), "doc_id", "text", "label")
+    schema = pa.schema([("one", pa.int32()), ("order", pa.int64()), ("doc_id", pa.int64()), ("x", pa.binary()), ("label", pa.int32())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = pa.array([features(t).astype("<u4").tobytes() for t in texts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("one"), batch.column("order"), batch.column("doc_id"), x,
+                                              batch.column("label").cast(pa.int32())], schema=schema)
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        data = [(features(t), y) for t, y in zip(table["text"].to_pylist(), table["label"].to_pylist(), strict=True)]
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
+        data = [(np.frombuffer(x, "<u4"), y) for x, y in zip(table["x"].to_pylist(), table["label"].to_pylist(), strict=True)]
         found = {y for _, y in data}
         w, _, bias = ftrl(data) if len(found) > 1 else (np.zeros(0), None, 700.0 if 1 in found else -700.0)
         at = np.flatnonzero(w)
         return pa.table({"at": np.append(at, -1), "w": np.append(w[at], bias)})
 
+    rows = rows.mapInArrow(made, "one int, order long, doc_id long, x binary, label int")
     model = rows.groupBy("one").applyInArrow(learn, "at long, w double").toArrow()  # at most 2**BITS + 1 rows
     at, w = model["at"].to_numpy(), model["w"].to_numpy()
     return at[at >= 0], w[at >= 0], float(w[at < 0].sum())

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 from llm_fixtures import collected, edge_rows, table
 
+from pyspark.sql import functions as F
+
 from colorway.llm import quality, toxicity
 from colorway.llm.queries import op1_quality_qda, op3_toxicity_ftrl
 
@@ -93,3 +95,76 @@ def test_ftrl_is_sparse_and_finds_the_signal():
         rows.append((np.unique(np.append(noise, 7) if k % 3 == 0 else noise), int(k % 3 == 0)))
     w, _, bias = toxicity.ftrl(rows)
     assert w[7] > 1 and bias < 0 and np.count_nonzero(w) < 100
+
+
+def test_ftrl_equals_a_plain_loop_per_coordinate():
+    """The update rule written out for one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(40, 8, replace=False)), int(rng.random() < 0.4)) for _ in range(80)]
+    z, n, bias, squares = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for i in x:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            squares += g * g
+            bias -= toxicity.ALPHA / (toxicity.BETA + squares ** 0.5) * g
+    found, _, intercept = toxicity.ftrl(rows, epochs=3)
+    assert np.allclose([found[i] for i in range(40)], [weight(i) if i in z else 0 for i in range(40)]) and np.isclose(intercept, bias)
+    assert np.count_nonzero(found) > 3
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    """As many coordinates as distinct grams; word edges and case do not count."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        w = [str(rng.integers(30)) + "w" for _ in range(rng.integers(0, 60))]
+        grams = {(1, a) for a in w} | {(2, a, b) for a, b in zip(w, w[1:])} | {(3, a, b) for a, b in zip(w, w[2:])}
+        assert len(toxicity.features(" ".join(w))) in (len(grams), len(grams) - 1)  # a chance meeting in 2**20
+    assert (toxicity.features("One, two! three") == toxicity.features("one TWO (three)")).all()
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    x = {k: rng.normal(k, 1 + k, (400, quality.SIZE)) for k in (0, 1)}
+    model = quality.discriminant({k: quality.Moments(len(v), v.sum(0), v.T @ v) for k, v in x.items()})
+    raw = np.array([quality.statistics(f"Some words {k} and MORE, of them {k * 7}!") for k in range(600)])
+    alone = [float(model.score(quality.transformed(raw[k:k + 1]))[0]) for k in range(600)]
+    for size in (2, 7, 33, 512, 600):
+        for at in (0, 1, 5):
+            assert model.score(quality.transformed(raw[at:at + size])).tolist() == alone[at:at + size], size
+
+
+def test_moments_equal_direct_sums(spark):
+    """What Spark adds up, whatever the partitions, against numpy."""
+    docs = table(spark, "documents").repartition(5)
+    labels = table(spark, "labels").selectExpr("doc_id", "quality AS label")
+    models = [quality.fit(quality.vectors(d).join(labels, "doc_id")) for d in (docs, docs.coalesce(1))]
+    known = {r.doc_id: r.label for r in labels.collect()}
+    rows = [(known[r.doc_id], r.text or "") for r in table(spark, "documents").collect() if r.doc_id in known]
+    moments = {}
+    for k in (0, 1):
+        x = quality.transformed(np.array([quality.statistics(t) for y, t in rows if y == k]))
+        moments[k] = quality.Moments(len(x), x.sum(0), x.T @ x)
+    direct = quality.discriminant(moments)
+    for a, b, c in zip(models[0].means + models[0].factors, models[1].means + models[1].factors, direct.means + direct.factors, strict=True):
+        assert (a == b).all() and np.allclose(a, c, rtol=1e-3, atol=1e-3)
+
+
+def test_labels_without_a_document_use_up_no_places(spark):
+    docs = spark.createDataFrame([(i, "bad word here" if i < 3 else "all is fine") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3 or i > 100)) for i in [*range(9), *range(101, 400)]], "doc_id long, label int")
+    present = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    assert toxicity.sample(present, 3).where(F.col("doc_id") < 9).count() == 9
+    at, w, bias = toxicity.fit(docs, labels)
+    assert np.isfinite(w).all() and np.isfinite(bias)
