@@ -115,6 +115,22 @@ SELECT doc_id, domain, language, leaf, n_tokens,
 FROM placed
 """
 
+_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_join": _SHINGLES, "op7_suffix_automata": _WINDOWS, "op8_risk_rules": _RISK_RULES, "op9_budget_mix": _BUDGETS}
+    return {"op2_minhash_join": _SHINGLES, "op7_suffix_automata": _WINDOWS, "op8_risk_rules": _RISK_RULES, "op9_budget_mix": _BUDGETS,
+            "op13_hard_negatives": _NEGATIVES}

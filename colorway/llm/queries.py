@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, packing, quality, rules, substrings, toxicity
+from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, negatives, packing, quality, rules, substrings, toxicity
 from colorway.llm.common import input_table
 from colorway.llm.oracle import oracle_sql
 
@@ -72,11 +72,17 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(input_table(spark, sf_dir, "embeddings"), negatives.every(50), changed)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its parameters from this module
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model, op7_suffix_automata, op8_risk_rules, op9_budget_mix,
-                                  op10_packed_ids, pipeline)}
+    return {f.__name__: f for f in (
+        op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model,
+        op7_suffix_automata, op8_risk_rules, op9_budget_mix, op10_packed_ids, op13_hard_negatives, pipeline)}
