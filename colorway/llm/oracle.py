@@ -115,6 +115,32 @@ SELECT doc_id, domain, language, leaf, n_tokens,
 FROM placed
 """
 
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+         lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+built AS (SELECT c.conv_id, m, text, row_number() OVER (PARTITION BY c.conv_id ORDER BY k) AS depth
+          FROM c JOIN t ON t.conv_id = CASE WHEN k <= h THEN c.conv_id - c.conv_id % 100 ELSE c.conv_id END),
+path AS (SELECT conv_id, depth, length(text) AS size, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM built
+         UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+step AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+                depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM path),
+node AS (SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+                (count(*) - 1) * any_value(size) AS own, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end) AS ends
+         FROM step GROUP BY node),
+child AS (SELECT parent AS node, count(*) AS n FROM node GROUP BY parent),
+below AS (SELECT path.node, sum(node.own) AS saved, count(*) FILTER (WHERE child.n IS NULL) AS leaves
+          FROM node LEFT JOIN child ON child.node = node.node
+          JOIN path ON path.conv_id = node.conv_id AND path.depth <= node.depth GROUP BY path.node)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children,
+       below.leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.node = node.node LEFT JOIN child ON child.node = node.node LEFT JOIN node up ON up.node = node.parent
+"""
+
 _NEGATIVES = """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
@@ -133,4 +159,4 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC,
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_minhash_join": _SHINGLES, "op7_suffix_automata": _WINDOWS, "op8_risk_rules": _RISK_RULES, "op9_budget_mix": _BUDGETS,
-            "op13_hard_negatives": _NEGATIVES}
+            "op11_prefix_trie": _TRIE, "op13_hard_negatives": _NEGATIVES}
