@@ -141,6 +141,21 @@ SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coa
 FROM node JOIN below ON below.node = node.node LEFT JOIN child ON child.node = node.node LEFT JOIN node up ON up.node = node.parent
 """
 
+_BYTES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+twice AS (SELECT r, i FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+edge AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, 0) AS is_new FROM twice),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM (SELECT *, sum(is_new::INT) OVER (PARTITION BY r ORDER BY i) AS s FROM edge) GROUP BY r, s),
+gap AS (SELECT r, z AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS z FROM span UNION ALL SELECT r, 1, min(a) FROM span GROUP BY r),
+kept AS (SELECT gap.r, unhex(string_agg(hex(b[gap.a:coalesce(gap.z, octet_length(b) + 1) - 1]), '' ORDER BY gap.a)) AS b
+         FROM gap JOIN d ON d.r = gap.r WHERE coalesce(gap.z, octet_length(b) + 1) > gap.a GROUP BY gap.r),
+total AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM span GROUP BY r)
+SELECT doc_id, octet_length(d.b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN total.r IS NULL THEN d.b ELSE coalesce(kept.b, ''::BLOB) END) AS kept_sha256
+FROM d LEFT JOIN total ON total.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
 _NEGATIVES = """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
@@ -159,4 +174,4 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC,
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_minhash_join": _SHINGLES, "op7_suffix_automata": _WINDOWS, "op8_risk_rules": _RISK_RULES, "op9_budget_mix": _BUDGETS,
-            "op11_prefix_trie": _TRIE, "op13_hard_negatives": _NEGATIVES}
+            "op11_prefix_trie": _TRIE, "op12_suffix_ranks": _BYTES, "op13_hard_negatives": _NEGATIVES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, negatives, packing, quality, rules, substrings, toxicity, trie
+from colorway.llm import bpe, fingerprint, html_text, mixing, near_copies, negatives, packing, quality, rules, substrings, suffix_ranks, toxicity, trie
 from colorway.llm.common import input_table
 from colorway.llm.oracle import oracle_sql
 
@@ -76,6 +76,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(input_table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_ranks.kept(input_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(input_table(spark, sf_dir, "embeddings"), negatives.every(50), changed)
@@ -89,4 +95,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_qda, op2_minhash_join, op3_toxicity_ftrl, op4_iblt_fingerprint, op5_byte_bpe, op6_html_tree_model,
-        op7_suffix_automata, op8_risk_rules, op9_budget_mix, op10_packed_ids, op11_prefix_trie, op13_hard_negatives, pipeline)}
+        op7_suffix_automata, op8_risk_rules, op9_budget_mix, op10_packed_ids, op11_prefix_trie, op12_suffix_ranks, op13_hard_negatives, pipeline)}

@@ -17,4 +17,4 @@ def test_queries_match_sql(spark):
 def test_every_operator_and_the_pipeline():
     from colorway.llm.queries import queries
     names = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]) if n.startswith("op") else 99)
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in (*range(1, 12), 13)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
