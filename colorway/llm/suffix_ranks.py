@@ -115,6 +115,37 @@ class Hashes:
         return (h ^ h >> np.uint64(31)) * _A
 
 
+def anchors(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of documents, end to end, and for each the first
+    of the stretches (of GRAM + WINDOW - 1 bytes) whose anchor it is: those up
+    to the next anchor's first."""
+    text = np.frombuffer(b"".join(docs), np.uint8)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    span, at, start = GRAM + WINDOW - 1, [], []
+    last = -1
+    ends = np.cumsum(sizes)
+    for c in range(0, max(0, len(text) - span + 1), _CHUNK):
+        h = _grams(text[c:c + _CHUNK + span - 1])
+        low = (_low(h << np.uint64(32) | np.arange(len(h), dtype=np.uint64), WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        place = low[new].astype(np.int64) + c
+        new += c
+        if place[0] == last:
+            place, new = place[1:], new[1:]
+        if len(place):
+            at.append(place)
+            start.append(new)
+            last = int(place[-1])
+    # stretches that leave their document are none: cut the runs at the documents' ends
+    at, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, start))
+    stop = np.append(start[1:], len(text) - span + 1) if len(start) else start
+    full = sizes >= span
+    low, high = (ends - sizes)[full], ends[full] - span + 1  # of each document's stretches
+    first, past = np.searchsorted(stop, low, "right"), np.searchsorted(start, high, "left")
+    run = np.repeat(first - np.append(0, np.cumsum(past - first)[:-1]), past - first) + np.arange(int((past - first).sum()))
+    return at[run], np.maximum(start[run], np.repeat(low, past - first))
+
+
 @dataclass
 class Pack:
     """Documents, end to end, with their anchors."""
@@ -122,52 +153,56 @@ class Pack:
     text: np.ndarray
     cuts: np.ndarray  # documents' ends, after a 0
     length: int
-    first: np.ndarray  # for each place the first inner anchor of a stretch from it on; -1: it leaves the document
     at: np.ndarray  # places of the anchors
+    start: np.ndarray  # the first stretch of each
     low: np.ndarray  # by anchor: first and last place of its windows; -1 if none
     high: np.ndarray
     need: np.ndarray  # phrases in all of its windows
+    _hashes: dict[int, Hashes]
 
     @classmethod
-    def of(cls, docs: list[bytes], length: int) -> Pack:
+    def of(cls, docs: list[bytes], length: int, at: np.ndarray, start: np.ndarray) -> Pack:
         text = np.frombuffer(b"".join(docs), np.uint8)
         cuts = np.append(0, np.cumsum([len(d) for d in docs], dtype=np.int64))
-        span, n = GRAM + WINDOW - 1, len(text)
-        first = np.full(n, -1, np.int64)
-        for c in range(0, max(0, n - span + 1), _CHUNK):
-            h = _grams(text[c:c + _CHUNK + span - 1])
-            arg = _low(h << np.uint64(32) | np.arange(len(h), dtype=np.uint64), WINDOW)
-            first[c:c + len(arg)] = (arg & np.uint64(0xFFFFFFFF)).astype(np.int64) + c
-        left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(n)  # bytes from here to the document's end
-        first[left < span] = -1
-        inside = first[first >= 0]
-        at = inside[np.append(True, inside[1:] != inside[:-1])] if len(inside) else inside
-        low, high, need = np.full(len(at), -1), np.full(len(at), -1), np.zeros(len(at), np.int64)
-        p = np.flatnonzero(left >= length)
-        if len(p):
-            new = np.append(True, first[p][1:] != first[p][:-1])
-            k = np.searchsorted(at, first[p][new])
-            low[k], high[k] = p[new], p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
-            need[k] = np.searchsorted(at, first[low[k] + length - span]) - k
-        return cls(text, cuts, length, first, at, low, high, need)
+        end = cuts[np.searchsorted(cuts, at, "right")] if len(at) else at
+        stop = np.minimum(np.append(start[1:], len(text)), end - (GRAM + WINDOW - 1) + 1) - 1
+        low, high = start.copy(), np.minimum(stop, end - length)
+        low[high < low] = -1
+        pack = cls(text, cuts, length, at, start, low, high, np.zeros(len(at), np.int64), {})
+        k = np.flatnonzero(low >= 0)
+        pack.need[k] = pack.last(low[k]) - k
+        return pack
+
+    def last(self, windows: np.ndarray) -> np.ndarray:
+        """The last inner anchors of the windows at these places."""
+        return np.searchsorted(self.start, windows + self.length - (GRAM + WINDOW - 1), "right") - 1
+
+    def hashes(self, which: int) -> Hashes:
+        if which not in self._hashes:
+            self._hashes[which] = Hashes(self.text, which)
+        return self._hashes[which]
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """(anchor, hash) of each phrase: from an anchor through the next one's bytes."""
         doc = np.searchsorted(self.cuts, self.at, "right")
         k = np.flatnonzero(doc[1:] == doc[:-1])
-        return k, Hashes(self.text, 0).of(self.at[k], self.at[k + 1] + GRAM).view(np.int64)
+        return k, self.hashes(0).of(self.at[k], self.at[k + 1] + GRAM).view(np.int64)
 
     def cores(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of what all windows of an anchor share wherever it stands,
         and of all its windows' union with their places."""
-        core = Hashes(self.text, 0).of(self.at[k], self.at[k] + self.length - WINDOW + 1)
-        union = Hashes(self.text, 1).of(self.low[k], self.high[k] + self.length)
+        if not len(k):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        core = self.hashes(0).of(self.at[k], self.at[k] + self.length - WINDOW + 1)
+        union = self.hashes(1).of(self.low[k], self.high[k] + self.length)
         union = (union + (self.at[k] - self.low[k]).astype(np.uint64)) * _C + (self.at[k] - self.high[k]).astype(np.uint64)
         return core.view(np.int64), union.view(np.int64)
 
     def windows(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 16 bits of hash of the windows at places p."""
-        return Hashes(self.text, 0).of(p, p + self.length), (Hashes(self.text, 1).of(p, p + self.length) >> np.uint64(48)).astype(np.uint16)
+        if not len(p):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        return self.hashes(0).of(p, p + self.length), (self.hashes(1).of(p, p + self.length) >> np.uint64(48)).astype(np.uint16)
 
 
 def _shared(level: np.ndarray, start: np.ndarray, phrases: np.ndarray) -> np.ndarray:
@@ -191,7 +226,7 @@ def _unpacked(blob: bytes) -> list[bytes]:
 
 
 def _packer(most_rows: int, most_bytes: int, part_batches: int):
-    """Rows (part, nth, n_bytes, ids, body) of packed documents."""
+    """Rows (part, nth, n_bytes, ids, anchors, body) of packed documents."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         base, number = (context.partitionId() if context else 0) << 32, 0
@@ -202,8 +237,10 @@ def _packer(most_rows: int, most_bytes: int, part_batches: int):
         def pack() -> pa.RecordBatch:
             known = np.array([i is not None for i in ids], np.uint8).tobytes()
             own = np.array([i or 0 for i in ids], "<i8").tobytes()
+            at, start = anchors(docs)
+            places = [np.diff(start, prepend=0).astype("<u4").tobytes(), (at - start).astype(np.uint8).tobytes()]
             return pa.RecordBatch.from_pydict({"part": [base + number // part_batches], "nth": [number], "n_bytes": [size],
-                                               "ids": [own + known], "body": [_packed(docs)]})
+                                               "ids": [own + known], "anchors": [_packed(places)], "body": [_packed(docs)]})
 
         for b in slices(batches):
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -219,7 +256,7 @@ def _packer(most_rows: int, most_bytes: int, part_batches: int):
     return work
 
 
-_PACK_SQL = "part long, nth long, n_bytes long, ids binary, body binary"
+_PACK_SQL = "part long, nth long, n_bytes long, ids binary, anchors binary, body binary"
 
 
 def packs(docs: DataFrame, id_col: str, text_col: str, most_rows: int, most_bytes: int, part_batches: int) -> tuple[DataFrame, int]:
@@ -238,9 +275,11 @@ def packs(docs: DataFrame, id_col: str, text_col: str, most_rows: int, most_byte
 
 def _read(table: pa.Table, length: int) -> Iterator[tuple[int, bytes, list[bytes], Pack]]:
     """(nth, ids, documents, pack) of the packs of a part, one at a time."""
-    for nth, ids, body in sorted(zip(*(table[c].to_pylist() for c in ("nth", "ids", "body")), strict=True)):
+    for nth, ids, places, body in sorted(zip(*(table[c].to_pylist() for c in ("nth", "ids", "anchors", "body")), strict=True)):
         docs = _unpacked(body)
-        yield nth, ids, docs, Pack.of(docs, length)
+        step, ahead = _unpacked(places)
+        start = np.cumsum(np.frombuffer(step, "<u4").astype(np.int64))
+        yield nth, ids, docs, Pack.of(docs, length, start + np.frombuffer(ahead, np.uint8), start)
 
 
 def _counted(*columns: list[np.ndarray]) -> pd.DataFrame:
@@ -428,8 +467,7 @@ def _asked(pack: Pack, level: np.ndarray, verdicts: pd.DataFrame, length: int) -
     size = b - a
     p = np.repeat(a - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum())) if len(a) else a
     first = np.repeat(k[ask], size)
-    p_ok = _shared(level, first, np.searchsorted(pack.at, pack.first[p + length - (GRAM + WINDOW - 1)]) - first)
-    p = p[p_ok]
+    p = p[_shared(level, first, pack.last(p) - first)]
     high, low = pack.windows(p)
     order = pd.DataFrame({"high": high, "low": low}).groupby(["high", "low"], sort=True)
     return Asked((pack.low[k[done]], pack.high[k[done]] + length), p, order.size().reset_index(name="n"), [order.ngroup().to_numpy()])
@@ -532,13 +570,15 @@ def _finish(length: int, buckets: int):
         for (ids, docs, asked), index in zip(rows, all_.index, strict=True):
             sizes = [len(d) for d in docs]
             cuts = np.append(0, np.cumsum(sizes))
-            marks = np.zeros(int(cuts[-1]) + 1, np.int64)
+            gone = np.zeros(int(cuts[-1]), bool)
             if asked is not None:
                 p = asked.places[twice[index]]
-                for a, b in (asked.settled, (p, p + length)):
-                    np.add.at(marks, a, 1)
-                    np.add.at(marks, b, -1)
-            gone = np.cumsum(marks)[:-1] > 0
+                a, b = np.concatenate((asked.settled[0], p)), np.concatenate((asked.settled[1], p + length))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+                new = np.flatnonzero(np.append(True, a[1:] > b[:-1])) if len(a) else a
+                for x, y in zip(a[new].tolist(), b[np.append(new[1:], len(b)) - 1].tolist() if len(a) else []):
+                    gone[x:y] = True
             n = len(docs)
             own, known = np.frombuffer(ids[:8 * n], "<i8").tolist(), ids[8 * n:]
             for k, d in enumerate(docs):

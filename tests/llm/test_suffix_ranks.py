@@ -91,13 +91,14 @@ def test_anchors_of_equal_strings_agree():
     """Every window has a phrase, and equal windows have equal first anchors and phrases."""
     rng = random.Random(4)
     core = prose(rng, 400).encode()
-    packs = [sr.Pack.of([prose(rng, k).encode() + core + prose(rng, 300 - k).encode()], 400) for k in (0, 13, 150, 299)]
     seen = set()
-    for k, pack in zip((0, 13, 150, 299), packs):
-        a = int(np.searchsorted(pack.at, pack.first[k]))
-        b = int(np.searchsorted(pack.at, pack.first[k + 400 - sr.GRAM - sr.WINDOW + 1]))
-        assert b > a
-        seen.add(tuple((pack.at[a:b + 1] - k).tolist()))
+    for k in (0, 13, 150, 299):
+        docs = [prose(rng, 250).encode(), prose(rng, k).encode() + core + prose(rng, 300 - k).encode()]
+        pack = sr.Pack.of(docs, 400, *sr.anchors(docs))
+        a = int(np.searchsorted(pack.start, 250 + k, "right")) - 1
+        b = int(pack.last(np.array([250 + k]))[0])
+        assert b > a and pack.low[a] <= 250 + k <= pack.high[a]
+        seen.add(tuple((pack.at[a:b + 1] - 250 - k).tolist()))
     assert len(seen) == 1
 
 
@@ -118,3 +119,20 @@ def test_reranked_keeps_order_across_batches():
 def test_too_short_a_length(spark):
     with pytest.raises(ValueError):
         sr.kept(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=100)
+
+
+def test_anchors_are_the_lowest_of_each_stretch(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(sr, "_CHUNK", 700)
+    span = sr.GRAM + sr.WINDOW - 1
+    for _ in range(20):
+        docs = [prose(rng, rng.choice([0, 5, span - 1, span, span + 1, 400, 2500])).encode() for _ in range(rng.randint(0, 5))] + [b"a" * 300]
+        at, start = sr.anchors(docs)
+        want, base = [], 0
+        for d in docs:
+            for p in range(len(d) - span + 1):
+                h = sr._grams(np.frombuffer(d[p:p + span], np.uint8))
+                want.append((base + p, base + p + int(h.argmin())))
+            base += len(d)
+        runs = [w for k, w in enumerate(want) if not k or w[1] != want[k - 1][1]]
+        assert list(zip(start.tolist(), at.tolist())) == runs
