@@ -62,3 +62,12 @@ def shipping_fee(method: Column, subtotal: Column, free_above: Column, flat_rate
 def order_total(subtotal: Column, discount: Column, shipping: Column) -> Column:
     """max(0, subtotal - discount + shipping)."""
     return F.greatest(F.lit(0).cast("long"), subtotal.cast("long") - discount.cast("long") + shipping.cast("long"))
+
+
+def whole_number(value: Column) -> Column:
+    """A whole number of at most 64 bits from a number or its text, as the
+    database takes it for an integer column; NULL if it is none ("12x",
+    "125.5", "true", beyond 64 bits)."""
+    text = F.trim(value.cast("string"))
+    exact = F.when(text.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"), text).try_cast("decimal(38,9)")
+    return F.when(exact == F.floor(exact), exact).try_cast("bigint")

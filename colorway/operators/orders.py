@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colorway.functions import money as M
 from colorway.functions import payments as PAY
 from colorway.functions.display import blank_to_null
+from colorway.sources.schemas import MISFIT
 
 # Defaults the checkout function writes when a field is falsy.
 DEFAULT_SHIPPING_METHOD = "standard"
@@ -24,6 +25,7 @@ GUEST_PREFIX = "guest_"
 PENDING = "pending"
 CREATE_ORDER = "create-order"
 UNKNOWN_ACTION = "Unknown action: "
+NO_REQUEST, NO_ID, NO_NUMBER = "Invalid request body", "Missing request_id", "Invalid "
 
 # Reasons the checkout page refuses to pay, in check order.
 MISSING_CONTACT, MISSING_ADDRESS, MISSING_ADDRESS_ID, COMPLETE = (
@@ -35,6 +37,10 @@ def _missing(c: Column) -> Column:
     return c.isNull() | c.cast("string").isin("", "0")
 
 
+def _number_or_0(c: Column) -> Column:
+    return F.when(_missing(c), F.lit(0).cast("long")).otherwise(M.whole_number(c))
+
+
 def guest_owner(customer_id: Column) -> Column:
     """The order's user id; NULL for empty ids and 'guest_' ids."""
     return F.when((F.length(customer_id) > 0) & ~customer_id.startswith(GUEST_PREFIX), customer_id)
@@ -48,15 +54,47 @@ def address_id_for(request_id: Column) -> Column:
     return F.sha2(F.concat(F.lit("address:"), request_id.cast("string")), 256)
 
 
+def request_error(requests: DataFrame) -> Column:
+    """Why a request makes no order; NULL if it does. In this order: a body
+    that is no request, no request id (created ids are made from it), another
+    action, then the numbers that an order and its items store: the amount,
+    fees (missing, empty or 0 is 0), and each item's quantity and price. The
+    storefront's database refuses those one by one; here a request is taken or
+    refused whole."""
+    meta = F.col("orderMeta")
+    misfit = F.col(MISFIT).isNotNull() if MISFIT in requests.columns else F.lit(False)
+
+    def bad(name: str, value: Column, required: bool = True) -> Column:
+        wrong = M.whole_number(value).isNull()
+        if not required:
+            wrong = wrong & ~_missing(value)
+        return F.when(wrong, F.concat(F.lit(f"{NO_NUMBER}{name}: "), F.coalesce(value.cast("string"), F.lit("undefined"))))
+
+    def of_items(name: str, field: str) -> Column:
+        wrong = F.filter("cartItems", lambda x: M.whole_number(x[field]).isNull())
+        return F.when(F.size(wrong) > 0, F.concat(F.lit(f"{NO_NUMBER}{name}: "),
+                                                  F.coalesce(F.get(wrong, F.lit(0))[field].cast("string"), F.lit("undefined"))))
+
+    return F.coalesce(
+        F.when(misfit, F.lit(NO_REQUEST)),
+        F.when(F.coalesce(F.col("request_id"), F.lit("")) == "", F.lit(NO_ID)),
+        F.when(~F.coalesce(F.col("action") == CREATE_ORDER, F.lit(False)),
+               F.concat(F.lit(UNKNOWN_ACTION), F.coalesce("action", F.lit("undefined")))),
+        bad("amount", F.col("amount")), bad("shipping_fee", meta["shipping_fee"], False),
+        bad("discount_amount", meta["discount_amount"], False), of_items("quantity", "qty"), of_items("price", "price"))
+
+
 def build_orders(requests: DataFrame) -> dict[str, DataFrame]:
     """D5 (+ P10, P11, G2, F2): requests in the checkout JSON shape (see
-    ``schemas.ORDER_REQUEST_JSON``) -> order rows ('pending'), item rows, new
-    guest address rows, the payload sent to the payment gateway, and an error
-    row for each request with another action or none."""
-    known = F.coalesce(F.col("action") == CREATE_ORDER, F.lit(False))
-    errors = requests.where(~known).select("request_id", F.concat(
-        F.lit(UNKNOWN_ACTION), F.coalesce("action", F.lit("undefined"))).alias("error"))
-    r = requests.where(known)
+    ``schemas.ORDER_REQUEST_JSON``, numbers also as text) -> order rows
+    ('pending'), item rows, new guest address rows, the payload sent to the
+    payment gateway, and an error row for each request that makes none (see
+    ``request_error``): its id, the error, and its body if it has no id."""
+    checked = requests.withColumn("_error", request_error(requests))
+    body = F.col("raw") if "raw" in requests.columns else F.lit(None).cast("string")
+    errors = checked.where(F.col("_error").isNotNull()).select(
+        "request_id", F.col("_error").alias("error"), F.when(F.coalesce(F.col("request_id"), F.lit("")) == "", body).alias("body"))
+    r = checked.where(F.col("_error").isNull()).withColumn("amount", M.whole_number(F.col("amount")))
     meta = F.col("orderMeta")
     given_address = F.when(~_missing(meta["address_id"]), meta["address_id"].cast("string"))
     needs_guest_address = given_address.isNull() & meta["guest_address"].isNotNull()
@@ -68,9 +106,9 @@ def build_orders(requests: DataFrame) -> dict[str, DataFrame]:
         F.lit(PENDING).alias("status"),
         F.col("amount").alias("total_amount"),
         F.coalesce(blank_to_null(meta["shipping_method"]), F.lit(DEFAULT_SHIPPING_METHOD)).alias("shipping_method"),
-        F.coalesce(meta["shipping_fee"], F.lit(0)).cast("long").alias("shipping_fee"),
+        _number_or_0(meta["shipping_fee"]).alias("shipping_fee"),
         F.when(~_missing(meta["discount_id"]), meta["discount_id"].cast("string")).alias("discount_id"),
-        F.coalesce(meta["discount_amount"], F.lit(0)).cast("long").alias("discount_amount"),
+        _number_or_0(meta["discount_amount"]).alias("discount_amount"),
         F.coalesce(given_address, F.col("_new_address")).alias("address_id"))
     addresses = r.where(F.col("_new_address").isNotNull()).select(
         F.col("_new_address").alias("id"), F.lit(None).cast("string").alias("user_id"),
@@ -94,7 +132,7 @@ def order_item_rows(requests: DataFrame) -> DataFrame:
     missing cart."""
     e = requests.select("order_id", "request_id", F.posexplode("cartItems").alias("pos", "item"))
     return e.select("order_id", "request_id", "pos", F.col("item.variant_id").alias("variant_id"),
-                    F.col("item.qty").alias("quantity"), F.col("item.price").alias("price"))
+                    M.whole_number(F.col("item.qty")).alias("quantity"), M.whole_number(F.col("item.price")).alias("price"))
 
 
 def checkout_complete(is_guest: Column, contact: list[Column], address: list[Column],

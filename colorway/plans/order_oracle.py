@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from colorway.plans.oracle import oracle
-from colorway.sources.feeds import FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY
+from colorway.sources.feeds import FLAWS, FORGED_KEY, PAYMENT_FEED_SQL, TEST_KEY
 
 
 # --- orders and payments ---------------------------------------------------------
@@ -120,10 +120,30 @@ select cast(request_id as varchar) as request_id, case
   else 'ok' end as reason
 from req2""")
 
-oracle("order_errors", ["order_requests"], """
-select cast(request_id as varchar) as request_id,
-  case when request_id % 101 = 0 then 'Unknown action: refund' else 'Unknown action: undefined' end as error
-from order_requests where request_id % 101 = 0 or request_id % 103 = 0""")
+_FLAW = "case " + " ".join(f"when request_id % {n} = 0 then '{name}'" for name, n in FLAWS.items()) + " else '' end"
+_FLAWED = _REQ + f"""
+, flawed as (select *, {_FLAW} as flaw from req2),
+told as (select *, case flaw
+    when 'refund' then 'Unknown action: refund' when 'no_action' then 'Unknown action: undefined'
+    when 'amount_text' then 'Invalid amount: 12x' when 'amount_fraction' then 'Invalid amount: 125.5'
+    when 'no_amount' then 'Invalid amount: undefined'
+    when 'quantity' then case when n_items > 0 then 'Invalid quantity: two' end
+    when 'price' then case when n_items > 0 then 'Invalid price: undefined' end
+    when 'fee' then case when shipping_fee is not null then 'Invalid shipping_fee: free' end
+    when 'cut' then 'Invalid request body' when 'list' then 'Invalid request body' when 'no_id' then 'Missing request_id' end as error
+  from flawed)
+"""
+oracle("order_errors", _REQ_USES, _FLAWED + """
+select case when flaw not in ('cut', 'list', 'no_id') then cast(request_id as varchar) end as request_id, error,
+  case flaw when 'cut' then substr(concat('{"request_id":"', request_id, '","action":"create-order"'), 1, 24)
+            when 'list' then concat('[', request_id, ']') when 'no_id' then '{"action":"create-order","amount":5}' end as body
+from told where error is not null""")
+
+oracle("order_build_flawed", _REQ_USES, _FLAWED + """
+, sums as (select order_id, sum(quantity)::bigint as quantity, sum(quantity * price)::bigint as value from order_items group by order_id)
+select cast(request_id as varchar) as request_id, amount as total_amount, cast(coalesce(shipping_fee, 0) as bigint) as shipping_fee,
+  n_items, coalesce(sums.quantity, 0) as quantity, coalesce(sums.value, 0) as value
+from told left join sums on sums.order_id = told.request_id where error is null""")
 
 oracle("checkout_to_paid", ["order_requests"], """
 select sha256(concat('order:', cast(request_id as varchar))) as order_id, cast(request_id as varchar) as request_id,

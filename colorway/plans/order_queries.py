@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colorway.functions import money as M
 from colorway.functions import payments as PAY
 from colorway.operators import orders as OR
 from colorway.plans.queries import fresh_folder, query
@@ -21,7 +22,7 @@ def q_order_requests(t):
     path = fresh_folder(t, "requests")
     IO.write_json_feed(FD.checkout_requests(t), path)
     r = IO.order_requests(t.spark, path)
-    return r.select("request_id", "amount", F.col("customerId").alias("customer_id"),
+    return r.select("request_id", M.whole_number(F.col("amount")).alias("amount"), F.col("customerId").alias("customer_id"),
                     F.coalesce(F.size("cartItems"), F.lit(0)).cast("long").alias("n_items"),
                     F.col("orderMeta.guest_address").isNotNull().alias("has_guest_address"))
 
@@ -124,11 +125,25 @@ def q_orders_paid(t):
 
 @query("order_errors")
 def q_order_errors(t):
-    """Requests with another action, or none, are answered with an error."""
-    rid = F.col("request_id").cast("long")
-    r = FD.checkout_requests(t).withColumn("action", F.when(rid % 101 == 0, F.lit("refund")).when(
-        rid % 103 != 0, F.col("action")))
-    return OR.build_orders(r)["errors"]
+    """S7 -> D5: the requests as a feed in which some bodies are cut, ill-typed
+    or of another action, and the error row that each of those gets."""
+    path = fresh_folder(t, "flawed_requests")
+    FD.flawed_requests(t).write.text(path)
+    return OR.build_orders(IO.order_requests(t.spark, path))["errors"]
+
+
+@query("order_build_flawed")
+def q_order_build_flawed(t):
+    """S7 -> D5 over the same feed: the orders made from its sound requests,
+    with their items' number and sums."""
+    path = fresh_folder(t, "flawed_requests")
+    FD.flawed_requests(t).write.text(path)
+    made = OR.build_orders(IO.order_requests(t.spark, path))
+    items = made["order_items"].groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("price")).alias("value"))
+    return made["orders"].join(items, "order_id", "left").select(
+        "request_id", "total_amount", "shipping_fee", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("quantity", F.lit(0).cast("long")).alias("quantity"), F.coalesce("value", F.lit(0).cast("long")).alias("value"))
 
 
 @query("checkout_to_paid")

@@ -98,3 +98,35 @@ def checkout_requests(tables) -> DataFrame:
                  F.col("shipping_fee").cast("long").alias("shipping_fee"),
                  F.lit(None).cast("long").alias("discount_amount")).alias("orderMeta"),
         "cartItems")
+
+
+# The flaws of the request feed. A request gets the first whose
+# number divides its id.
+FLAWS = {"refund": 101, "no_action": 103, "amount_text": 107, "amount_fraction": 109, "no_amount": 113, "quantity": 127,
+         "price": 131, "fee": 137, "cut": 139, "list": 149, "no_id": 151, "amount_as_text": 7}
+
+
+def flawed_requests(tables) -> DataFrame:
+    """S7 lines: the checkout requests as JSON text, some of them flawed: other
+    actions, amounts of text or with a fraction, cut bodies (see ``FLAWS``).
+    Amounts in quotes that are numbers are no flaw."""
+    whole = checkout_requests(tables)
+    rid = F.col("request_id").cast("long")
+    flaw = F.coalesce(*[F.when(rid % n == 0, F.lit(name)) for name, n in FLAWS.items()], F.lit(""))
+    body = F.to_json(F.struct(*[c for c in whole.columns]))
+    is_ = lambda name: F.col("flaw") == name
+    lines = whole.select("request_id", flaw.alias("flaw"), body.alias("body"))
+    return lines.select(
+        F.when(is_("refund"), F.regexp_replace("body", '"create-order"', '"refund"'))
+         .when(is_("no_action"), F.regexp_replace("body", '"action":"create-order",', ""))
+         .when(is_("amount_text"), F.regexp_replace("body", '"amount":[0-9]+', '"amount":"12x"'))
+         .when(is_("amount_fraction"), F.regexp_replace("body", '"amount":[0-9]+', '"amount":125.5'))
+         .when(is_("no_amount"), F.regexp_replace("body", '"amount":[0-9]+,', ""))
+         .when(is_("quantity"), F.regexp_replace("body", '"qty":[0-9]+', '"qty":"two"'))
+         .when(is_("price"), F.regexp_replace("body", '"price":[0-9]+', '"price":null'))
+         .when(is_("fee"), F.regexp_replace("body", '"shipping_fee":[0-9]+', '"shipping_fee":"free"'))
+         .when(is_("cut"), F.substring("body", 1, 24))
+         .when(is_("list"), F.concat(F.lit("["), F.col("request_id"), F.lit("]")))
+         .when(is_("no_id"), F.lit('{"action":"create-order","amount":5}'))
+         .when(is_("amount_as_text"), F.regexp_replace("body", '"amount":([0-9]+)', '"amount":"$1"'))
+         .otherwise(F.col("body")).alias("value"))

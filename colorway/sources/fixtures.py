@@ -7,6 +7,8 @@ identical rows. Everything after the fixture step is Spark DataFrame code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ FIXTURE_SQL: dict[str, str] = {
 
 # TESTDATA tables each fixture reads.
 BASE_TABLES = ("part", "lineitem", "orders", "customer", "nation", "events")
+_NAMED = re.compile(rf"\b(from|join)\s+({'|'.join(BASE_TABLES)})\b")
+
 
 def _with_images(df: DataFrame, cols: list[str]) -> DataFrame:
     """Image arrays from the ``image*`` columns, NULLs dropped."""
@@ -56,18 +60,22 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self._base: dict[str, DataFrame] = {}
 
-    def _register_base(self) -> None:
-        """Point the base views at this directory. Views hold no data and no
-        plan outlives its query set: files added later are seen by the next
-        ``Tables``. DataFrames already built keep the plan they were made of."""
-        for name in BASE_TABLES:
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    def base(self, name: str) -> DataFrame:
+        """A TESTDATA table, listed once for each ``Tables``: files added later
+        are seen by the next one."""
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._base[name]
 
     def sql(self, text: str) -> DataFrame:
-        """SQL over the base tables of this directory."""
-        self._register_base()
-        return self.spark.sql(text)
+        """SQL over the base tables of this directory. The tables that the text
+        names go in as DataFrames, not as session-wide views, so two
+        directories in one session keep apart."""
+        named = {m[1] for m in _NAMED.findall(text)}
+        quoted = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(_NAMED.sub(r"\1 {\2}", quoted), **{n: self.base(n) for n in named})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:

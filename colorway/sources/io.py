@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.sources.schemas import ORDER_REQUEST_JSON, SCHEMAS, STORED
+from colorway.sources.schemas import MISFIT, ORDER_REQUEST_TEXT, SCHEMAS, STORED
 
 VERSION_DIGITS = 10
 
@@ -98,9 +98,18 @@ def payment_feed(spark: SparkSession, path: str, streaming: bool = True) -> Data
 
 
 def order_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Checkout requests (nested JSON)."""
+    """Checkout requests, one JSON body a line: the request's fields with
+    numbers as text, the body as ``raw``, and ``misfit``: the body of a line
+    that is no JSON object, is cut off, or has a field of another shape. No
+    line is lost but blank ones."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(ORDER_REQUEST_JSON).json(path)
+    lines = reader.text(path).where(F.trim("value") != "")
+    request = F.from_json("value", ORDER_REQUEST_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MISFIT})
+    read = lines.select(F.col("value").alias("raw"), request.alias("r"))
+    # a list of one object would be read as that object
+    misfit = F.when(F.col("r").isNull() | ~F.ltrim("raw").startswith("{"), F.col("raw")).otherwise(F.col(f"r.{MISFIT}"))
+    return read.select("raw", *[F.col(f"r.{f.name}").alias(f.name) for f in ORDER_REQUEST_TEXT.fields if f.name != MISFIT],
+                       misfit.alias(MISFIT))
 
 
 def cart_event_feed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -121,6 +121,21 @@ ORDER_REQUEST_JSON = _st(
 )
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with its numbers read as text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    return S
+
+
+# The request as read from a feed: numbers as text, so that an ill-typed one is
+# seen and not lost, and the body itself where it does not have this shape.
+MISFIT = "misfit"
+ORDER_REQUEST_TEXT = T.StructType([*_as_text(ORDER_REQUEST_JSON).fields, T.StructField(MISFIT, S, True)])
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Cast to the fixed schema, in its column order."""
     schema = SCHEMAS[name]

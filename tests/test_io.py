@@ -36,3 +36,20 @@ def test_scan_table_and_append(spark, scratch):
     got = io.read_appended(spark, os.path.join(d, "sizes"), SCHEMAS["sizes"])
     assert got.schema == SCHEMAS["sizes"] and got.count() == 2
     assert io.scan_table(spark, d, "sizes").select("label").count() == 2
+
+
+def test_tables_of_two_folders_and_later_files(spark, scratch):
+    """Each ``Tables`` lists its own folder once; a later one sees new files."""
+    from colorway.sources.fixtures import load_tables
+    small, large = load_tables(spark, "/root/testdata/sf0.001"), load_tables(spark, "/root/testdata/sf0.01")
+    a, b = small["users"], large["users"]
+    assert a.count() < b.count() and small["users"].count() == a.count()
+    assert small.base("lineitem") is small.base("lineitem")
+    path = f"{scratch}/sf"
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    customers.limit(3).write.parquet(f"{path}/customer.parquet")
+    first = load_tables(spark, path)
+    assert first["users"].count() == 3
+    customers.limit(2).write.mode("append").parquet(f"{path}/customer.parquet")
+    assert load_tables(spark, path)["users"].count() == 5
+    assert not [t for t in spark.catalog.listTables() if t.name in ("customer", "lineitem")]

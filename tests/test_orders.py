@@ -166,3 +166,82 @@ def test_member_with_text_address_can_pay(spark):
     df = spark.createDataFrame([("6f1c-uuid",), ("",), ("0",), (None,)], "a string")
     got = [r[0] for r in df.select(OR.checkout_complete(F.lit(False), [], [], F.col("a"))).collect()]
     assert got == [OR.COMPLETE] + [OR.MISSING_ADDRESS_ID] * 3
+
+
+def _lines(spark, lines):
+    import os
+    import tempfile
+
+    from colorway.sources import io
+    folder = tempfile.mkdtemp(prefix="colorway-test-", dir="/tmp")
+    with open(os.path.join(folder, "r.json"), "w") as f:
+        f.write("\n".join(lines))
+    return io.order_requests(spark, folder)
+
+
+def test_whole_numbers(spark):
+    texts = ["12", " 7 ", "-3", "125.0", "1e2", "1.5e1", "125.5", "12x", "", "true", "NaN", "1e40", "9223372036854775807",
+             "9223372036854775808", "0x1f", "1_000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from colorway.functions.money import whole_number
+    assert [r[0] for r in df.select(whole_number(F.col("t"))).collect()] == [
+        12, 7, -3, 125, 100, 15, None, None, None, None, None, None, 2 ** 63 - 1, None, None, None, None]
+    assert df.select(whole_number(F.lit(5).cast("long"))).first()[0] == 5
+
+
+def test_bad_requests_become_error_rows(spark):
+    """Every request gives an order or an error row, and no NULL money gets in."""
+    good = '{"request_id":"%s","action":"create-order","amount":%s,"cartItems":%s}'
+    item = '[{"variant_id":"v","qty":%s,"price":%s}]'
+    cases = {
+        "ok": (good % ("ok", "100", item % ("2", "50")), None),
+        "text": (good % ("text", '"100"', item % ('"2"', '"50"')), None),
+        "none": (good % ("none", "100", "null"), None),
+        "12x": (good % ("12x", '"12x"', "[]"), "Invalid amount: 12x"),
+        "half": (good % ("half", "125.5", "[]"), "Invalid amount: 125.5"),
+        "null": (good % ("null", "null", "[]"), "Invalid amount: undefined"),
+        "true": (good % ("true", "true", "[]"), "Invalid amount: true"),
+        "qty": (good % ("qty", "1", item % ('"two"', "5")), "Invalid quantity: two"),
+        "price": (good % ("price", "1", item % ("2", "null")), "Invalid price: undefined"),
+        "item": (good % ("item", "1", "[null]"), "Invalid quantity: undefined"),
+        "both": (good % ("both", "1", '[{"variant_id":"v","qty":1,"price":1},{"variant_id":"w","qty":1,"price":"x"}]'), "Invalid price: x"),
+        "fee": ('{"request_id":"fee","action":"create-order","amount":1,"orderMeta":{"shipping_fee":"free"}}', "Invalid shipping_fee: free"),
+        "off": ('{"request_id":"off","action":"create-order","amount":1,"orderMeta":{"discount_amount":1.5}}', "Invalid discount_amount: 1.5"),
+        "empty": ('{"request_id":"empty","action":"create-order","amount":1,"orderMeta":{"discount_amount":"","shipping_fee":0}}', None),
+        "act": ('{"request_id":"act","action":"pay","amount":"x"}', "Unknown action: pay"),
+        "shape": ('{"request_id":"shape","action":"create-order","amount":1,"cartItems":"v"}', "Invalid request body"),
+    }
+    loose = ['{"request_id":"cut","action":"create-or', "[" + cases["ok"][0] + "]", "5", "null", "nonsense", '{"action":"create-order","amount":1}',
+             '{"request_id":"","action":"create-order","amount":1}']
+    out = OR.build_orders(_lines(spark, [c[0] for c in cases.values()] + loose + ["", "  "]))
+    errors = out["errors"].collect()
+    assert {r["request_id"]: r["error"] for r in errors if r["request_id"]} == {k: e for k, (_, e) in cases.items() if e}
+    assert sorted((r["body"], r["error"]) for r in errors if not r["request_id"]) == sorted(
+        [(b, "Invalid request body") for b in loose[:5]] + [(b, "Missing request_id") for b in loose[5:]])
+    orders = {r["request_id"]: r for r in out["orders"].collect()}
+    assert set(orders) == {k for k, (_, e) in cases.items() if not e}
+    assert all(r["total_amount"] is not None and r["shipping_fee"] == 0 and r["discount_amount"] == 0 for r in orders.values())
+    assert sorted((r["request_id"], r["quantity"], r["price"]) for r in out["order_items"].collect()) == [("ok", 2, 50), ("text", 2, 50)]
+    assert {r["request_id"] for r in out["gateway"].collect()} == set(orders)
+
+
+def test_bad_requests_in_a_stream(spark, scratch):
+    """The same source as a stream: orders and errors of each batch."""
+    import os
+
+    from colorway.sources import io
+    folder, seen = os.path.join(scratch, "in"), []
+    os.makedirs(folder)
+    for k, line in enumerate(['{"request_id":"a","action":"create-order","amount":5}', '{"request_id":"b","action":"create-order","amount":"x"}']):
+        with open(os.path.join(folder, f"{k}.json"), "w") as f:
+            f.write(line + "\n")
+
+    def process(batch, _):
+        made = OR.build_orders(batch)
+        seen.extend(("order", r["request_id"]) for r in made["orders"].collect())
+        seen.extend(("error", r["request_id"]) for r in made["errors"].collect())
+
+    q = io.order_requests(spark, folder, streaming=True).writeStream.foreachBatch(process) \
+        .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(seen) == [("error", "b"), ("order", "a")]
