@@ -16,9 +16,9 @@ from colorway.operators import quality as QL
 from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
 from colorway.plans.order_queries import _built
 from colorway.plans.queries import flat_catalog, fresh_folder, q_color_catalog, query
-from colorway.sources import buckets as BK
 from colorway.sources import feeds as FD
 from colorway.sources import io as IO
+from colorway.sources import state as ST
 from colorway.streaming import jobs as JB
 from colorway.streaming import rules as SR
 
@@ -175,16 +175,18 @@ def _older(t) -> dict:
 
 @query("catalog_refresh")
 def q_catalog_refresh(t):
-    """X2's batch body on a bucketed state of the older shop, over the change
-    table in two batches; the state must equal a full rebuild."""
-    base = fresh_folder(t, "refresh")
-    JB.init_bucketed(CT.color_catalog(_older(t)), base, "product_id")
-    step = JB.refresh_catalog_batch(lambda: t, base)
+    """X2's batch body on the state of the older shop, over the change table in
+    two batches, with source tables stored by the product's bucket; the state
+    must equal a full rebuild."""
+    base, sources = fresh_folder(t, "refresh"), fresh_folder(t, "sources")
+    ST.create(CT.color_catalog(_older(t)), base, "product_id")
+    ST.store_by_product(t, sources, ST.LEAST_BUCKETS)
+    step = JB.refresh_catalog_batch(lambda: ST.tables_by_product(t.spark, sources), base, source_buckets=ST.LEAST_BUCKETS)
     feed = t["catalog_changes"]
     cut = _median(feed, "event_id")
     step(feed.where(F.col("event_id") < F.lit(cut)), 0)
     step(feed.where(F.col("event_id") >= F.lit(cut)), 1)
-    return flat_catalog(BK.read_state(t.spark, base))
+    return flat_catalog(ST.read(t.spark, base))
 
 
 def _folded(t, events, attrs=None) -> DataFrame:
@@ -194,7 +196,7 @@ def _folded(t, events, attrs=None) -> DataFrame:
     cut = _median(events, "ts")
     step(events.where(F.col("ts") < F.lit(cut)), 0)
     step(events.where(F.col("ts") >= F.lit(cut)), 1)
-    return BK.read_state(t.spark, base)
+    return ST.read(t.spark, base)
 
 
 @query("cart_state_stream")
@@ -217,16 +219,16 @@ def q_cart_lines_stream(t):
 
 @query("orders_paid_stream")
 def q_orders_paid_stream(t):
-    """X4's batch body on the bucketed orders: the webhook calls as two
-    micro-batches (event ids below and from the median); must equal D6."""
-    base = fresh_folder(t, "orders")
-    JB.init_bucketed(t["orders_t"], base, "id")
-    feed = FD.payment_feed(t)
-    cut = _median(feed, "event_id")
-    step = JB.orders_paid_batch(base)
-    for k, part in enumerate((feed.where(F.col("event_id") < F.lit(cut)), feed.where(F.col("event_id") >= F.lit(cut)))):
-        step(OR.classify_payments(part, FD.TEST_KEY), k)
-    return BK.read_state(t.spark, base).select(F.col("id").alias("order_id"), "status")
+    """X4 as a stream over the webhook calls, which come in two parts (event
+    ids below and from the median); the second run goes on from the first
+    one's checkpoint. The orders joined with the paid ids must equal D6."""
+    feed, paid, checkpoint = (fresh_folder(t, n) for n in ("calls", "paid", "paid_checkpoint"))
+    calls = FD.payment_feed(t)
+    cut = _median(calls, "event_id")
+    for k, part in enumerate((calls.where(F.col("event_id") < F.lit(cut)), calls.where(F.col("event_id") >= F.lit(cut)))):
+        IO.write_json_feed(part, f"{feed}/part={k}")
+        JB.orders_paid_stream(t.spark, f"{feed}/*", FD.TEST_KEY, paid, checkpoint).awaitTermination()
+    return JB.orders_with_payments(t["orders_t"], paid).select(F.col("id").alias("order_id"), "status")
 
 
 def _stored(t, name: str, df: DataFrame) -> DataFrame:

@@ -90,10 +90,12 @@ def change_feed(spark: SparkSession, path: str, tables=None, streaming: bool = T
     return df.where(F.col("table_name").isin(*tables)) if tables else df
 
 
-def payment_feed(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
+def payment_feed(spark: SparkSession, path: str, streaming: bool = True, max_files: int | None = None) -> DataFrame:
     """Stream of raw webhook calls: signature, timestamp, raw body;
     ``streaming=False`` reads the same files as a batch."""
     reader = spark.readStream if streaming else spark.read
+    if streaming and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.schema("event_id bigint, delivery int, signature string, ts string, body string").json(path)
 
 

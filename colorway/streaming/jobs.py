@@ -1,12 +1,13 @@
 """Structured Streaming jobs.
 
-Each job is ``readStream -> transform -> writeStream.foreachBatch``. State
-is bucketed and versioned (``sources.buckets``): a batch rewrites only the
-buckets it touches. A batch may run twice (retry after a failure), so each
-batch writes version ``batch_id + 1`` computed from the latest committed
-version below it: a rerun overwrites its own output with the same rows.
-Checkpoints live in the given folder (on a cluster, under
-``spark.checkpoint.dir``).
+Each job is ``readStream -> transform -> writeStream``. The state of X2 and X5
+is Parquet partitioned by bucket (``sources.state``): a batch rewrites only
+the buckets it touches. A batch may run twice (retry after a failure), so it
+writes version ``batch_id + 1`` computed from the latest committed version
+below it: a rerun overwrites its own output with the same rows. X4 only ever
+adds rows: an order once paid stays paid, so the paid ids are a table of their
+own, which Spark's file sink writes exactly once. Checkpoints live in the
+given folder (on a cluster, under ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from colorway.operators import carts as CR
 from colorway.operators import catalog as CT
 from colorway.operators import orders as OR
-from colorway.sources import buckets as BK
 from colorway.sources import io
+from colorway.sources import state as ST
 from colorway.streaming.rules import CATALOG_TABLES, affected_keys
 
 
@@ -49,10 +50,18 @@ def affected_keys_stream(spark: SparkSession, feed_path: str, out_path: str, che
 
 # --- X2: catalog refresh ------------------------------------------------------------
 
-def catalog_for_products(tables, ids: DataFrame) -> DataFrame:
+def catalog_for_products(tables, ids: DataFrame, source_buckets: int | None = None) -> DataFrame:
     """A4 restricted to the given product ids: every input of a product's
-    catalog rows is cut down by semi joins before the aggregates run."""
+    catalog rows is cut down by semi joins before the aggregates run. Tables
+    stored by the product's bucket (``state.store_by_product``, of
+    ``source_buckets``) are read in the ids' buckets only: the distinct
+    buckets are broadcast and prune the scans' partitions."""
     pid = ids.select(F.col("product_id").alias("id")).distinct()
+    if source_buckets:
+        # the comparison, always true, tells Catalyst that pruning by it pays
+        held = F.broadcast(ST.touched(ids, "product_id", source_buckets).where(F.col(ST.BUCKET) >= 0))
+        tables = {n: tables[n].join(held, ST.BUCKET, "left_semi").drop(ST.BUCKET) if n in ST.BY_PRODUCT else tables[n]
+                  for n in (*ST.BY_PRODUCT, "categories")}
     colors = tables["product_colors"].join(pid.withColumnRenamed("id", "product_id"), "product_id", "left_semi")
     variants = tables["product_variants"].join(colors.select(F.col("id").alias("color_id")), "color_id", "left_semi")
     sub = {
@@ -66,37 +75,39 @@ def catalog_for_products(tables, ids: DataFrame) -> DataFrame:
 
 
 def refresh_catalog_batch(tables_fn: Callable[[], object], base: str, tables=CATALOG_TABLES,
-                          buckets: int | None = None):
+                          buckets: int | None = None, source_buckets: int | None = None):
     """foreachBatch body of X2: rebuild the rows of the products a change
     touched and swap them into the buckets (by product id) holding them; the
     other buckets are not rewritten. Without a state the batch builds it."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = BK.previous(spark, base, version, buckets)
+        prev = ST.previous(spark, base, version, buckets)
         t = tables_fn()
         if prev is None:  # no state yet: this version is a full build
-            init_bucketed(CT.color_catalog(t), base, "product_id", buckets, version)
+            ST.create(CT.color_catalog(t), base, "product_id", buckets, version)
             return
+        before, n = prev
         ids = affected_keys(batch, tables).persist()
         try:
-            touched = BK.touched_buckets(ids, "product_id", prev.buckets)
-            rows = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET)
-            fresh = catalog_for_products(t, ids).select(*rows.columns)
+            touched = ST.touched(ids, "product_id", n)
+            rows = ST.read(spark, base, before, touched)
+            fresh = catalog_for_products(t, ids, source_buckets).select(*rows.columns)
             new = rows.join(ids, "product_id", "left_anti").unionByName(fresh)
-            BK.write_version(new, base, version, "product_id", prev.buckets, touched, prev)
+            ST.write(new, base, version, "product_id", n, touched, schema=rows.schema)
         finally:
             ids.unpersist()
     return process
 
 
 def catalog_refresh(spark: SparkSession, feed_path: str, tables_fn, base: str, checkpoint: str,
-                    tables=CATALOG_TABLES, available_now: bool = True, buckets: int | None = None):
+                    tables=CATALOG_TABLES, available_now: bool = True, buckets: int | None = None,
+                    source_buckets: int | None = None):
     """On changes to products, colours or variants, bring the catalog
     state up to date. Version 0 is a full build:
-    ``init_bucketed(color_catalog(tables), base, "product_id")``."""
+    ``state.create(color_catalog(tables), base, "product_id")``."""
     feed = io.change_feed(spark, feed_path)
-    return _start(feed, refresh_catalog_batch(tables_fn, base, tables, buckets), checkpoint, available_now)
+    return _start(feed, refresh_catalog_batch(tables_fn, base, tables, buckets, source_buckets), checkpoint, available_now)
 
 
 # --- X3 / X4: payments ----------------------------------------------------------------
@@ -106,49 +117,37 @@ def payment_status_stream(spark: SparkSession, feed_path: str, key: bytes) -> Da
     return OR.classify_payments(io.payment_feed(spark, feed_path), key)
 
 
-def orders_paid_batch(base: str, buckets: int | None = None):
-    """foreachBatch body of X4: apply the batch's paid ids to the orders,
-    rewriting only the buckets (by order id) that hold a paid order. The
-    orders must be there (``init_bucketed``): payments create none."""
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        prev = BK.previous(spark, base, version, buckets)
-        if prev is None:
-            raise ValueError(f"no orders at {base}: start with init_bucketed(orders, base, 'id')")
-        paid = OR.paid_order_ids(batch).persist()
-        try:
-            touched = BK.touched_buckets(paid, "id", prev.buckets)
-            rows = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET)
-            BK.write_version(OR.orders_paid(rows, paid), base, version, "id", prev.buckets, touched, prev)
-        finally:
-            paid.unpersist()
-    return process
+def paid_ids(classified: DataFrame) -> DataFrame:
+    """The ids of paid orders, each once, from a stream of classified
+    calls. Only paid calls carry an id; the others meet in one null row, so no
+    filter sits on the classification (see ``orders.paid_order_ids``). The
+    ids seen are kept in Spark's state store."""
+    return classified.select(F.col("paid_order_id").alias("id")).dropDuplicates(["id"])
 
 
-def init_bucketed(df: DataFrame, base: str, key: str, buckets: int | None = None, version: int = 0) -> None:
-    """A version with every bucket written (by default version 0). The number
-    of buckets follows the number of rows and stays with the state."""
-    rows = df.persist()  # counted, then written
-    try:
-        n = buckets or BK.bucket_count(rows.count())
-        BK.write_version(rows, base, version, key, n, list(range(n)), None)
-    finally:
-        rows.unpersist()
+def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, paid: str, checkpoint: str,
+                       available_now: bool = True, max_files: int | None = None):
+    """The paid ids of a feed, appended to the table ``paid``: a batch of n
+    calls writes at most n rows, whatever the number of orders."""
+    calls = OR.classify_payments(io.payment_feed(spark, feed_path, max_files=max_files), key)
+    w = paid_ids(calls).writeStream.format("parquet").outputMode("append").option("path", paid).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
-def orders_paid_stream(spark: SparkSession, feed_path: str, key: bytes, base: str, checkpoint: str,
-                       available_now: bool = True, buckets: int | None = None):
-    """Paid events applied to the bucketed orders state (version 0 from
-    ``init_bucketed(orders, base, "id")``)."""
-    return _start(payment_status_stream(spark, feed_path, key), orders_paid_batch(base, buckets), checkpoint,
-                  available_now)
+def orders_with_payments(orders: DataFrame, paid: str) -> DataFrame:
+    """The orders as of now: D6 with the ids that X4 wrote, joined when the
+    orders are read. A feed without any batch has no paid order."""
+    spark = orders.sparkSession
+    fs, path = io._fs(spark, paid)
+    ids = spark.read.schema("id string").parquet(paid) if fs.exists(path) else spark.createDataFrame([], "id string")
+    return OR.orders_paid(orders, ids.where(F.col("id").isNotNull()))
 
 
 # --- X5: cart state -------------------------------------------------------------------
 
 #: Buckets of a cart state that starts empty, when its size is not known yet.
-CART_BUCKETS = 4096
+CART_BUCKETS = 64
 
 
 def cart_state_batch(base: str, buckets: int | None = None, partitions: int | None = None,
@@ -163,15 +162,15 @@ def cart_state_batch(base: str, buckets: int | None = None, partitions: int | No
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
-        prev = BK.previous(spark, base, version, buckets)
-        n = prev.buckets if prev else buckets or CART_BUCKETS
+        prev = ST.previous(spark, base, version, buckets)
+        n = prev[1] if prev else buckets or CART_BUCKETS
         events = batch.persist()
         try:
-            touched = BK.touched_buckets(events, "session_id", n)
-            prior = BK.rows_of(spark, base, prev, touched).drop(BK.BUCKET) if prev else None
+            touched = ST.touched(events, "session_id", n)
+            prior = ST.read(spark, base, prev[0], touched) if prev else None
             new = CR.cart_state(events, prior, partitions, attrs=attrs)
-            BK.write_version(new, base, version, "session_id", n, touched, prev,
-                             _notes(events, prev.notes.get("max_ts") if prev else None))
+            latest = ST.notes(spark, base, prev[0]).get("max_ts") if prev else None
+            ST.write(new, base, version, "session_id", n, touched, _notes(events, latest), prior.schema if prev else None)
         finally:
             events.unpersist()
     return process

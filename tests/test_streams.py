@@ -14,7 +14,7 @@ from test_orders import sign
 
 from colorway.operators import catalog as C
 from colorway.operators import orders as OR
-from colorway.sources import buckets as BK
+from colorway.sources import state as ST
 from colorway.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,10 +45,10 @@ def test_cart_stream_equals_batch(spark, scratch):
         q = jobs.cart_state_stream(spark, feed + "/*", base, os.path.join(scratch, f"ckpt-{files}"),
                                    max_files=per_trigger)
         q.awaitTermination()
-        snap = BK.read_state(spark, base)
+        snap = ST.read(spark, base)
         got = {(r["session_id"], r["item_key"]): r["qty"] for r in snap.collect()}
         assert got == want
-        assert len(BK.committed(spark, base)) > 1
+        assert len(ST.versions(spark, base)) > 1
 
 
 def test_payment_stream_marks_orders(spark, scratch):
@@ -67,13 +67,23 @@ def test_payment_stream_marks_orders(spark, scratch):
     feed = os.path.join(scratch, "pay")
     _write_json_files(feed, [calls[:2], calls[2:4], calls[4:]])
     orders = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "delivered")], "id long, status string")
-    base = os.path.join(scratch, "orders")
-    jobs.init_bucketed(orders, base, "id", buckets=8)
-    jobs.orders_paid_stream(spark, feed, key, base, os.path.join(scratch, "ckpt"), buckets=8).awaitTermination()
-    got = {r["id"]: r["status"] for r in BK.read_state(spark, base).collect()}
+    paid, ckpt = os.path.join(scratch, "paid"), os.path.join(scratch, "ckpt")
+    assert {r["status"] for r in jobs.orders_with_payments(orders, paid).collect()} == {"pending", "delivered"}  # no batch yet
+    jobs.orders_paid_stream(spark, feed, key, paid, ckpt, max_files=1).awaitTermination()
+    got = {r["id"]: r["status"] for r in jobs.orders_with_payments(orders, paid).collect()}
     batch = OR.orders_paid(orders, OR.paid_order_ids(OR.classify_payments(
         spark.read.schema("event_id bigint, delivery int, signature string, ts string, body string").json(feed), key)))
     assert got == {r["id"]: r["status"] for r in batch.collect()} == {1: "pending", 2: "paid", 3: "paid"}
+    # three batches of two calls wrote each paid id once, and a null row for the others
+    ids = [r["id"] for r in spark.read.parquet(paid).collect()]
+    assert sorted(i for i in ids if i) == ["2", "3", "99"] and len(ids) <= 4
+    # a later run goes on from the checkpoint: the same payment again writes nothing, a new one one row
+    more = [{**calls[0]}, {"event_id": 9, "delivery": 1, "ts": "9", "body": ok(1), "signature": sign("9", ok(1), key)}]
+    with open(os.path.join(feed, "part-00009.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in more))
+    jobs.orders_paid_stream(spark, feed, key, paid, ckpt).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(paid).where("id IS NOT NULL").collect()) == ["1", "2", "3", "99"]
+    assert {r["status"] for r in jobs.orders_with_payments(orders, paid).collect()} == {"paid"}
 
 
 def _shop(spark, variant_color_2="1-a"):
@@ -96,7 +106,7 @@ def test_catalog_refresh_equals_full_rebuild(spark, scratch):
     after = dict(_shop(spark, variant_color_2="2-a"))  # variant v2 moves to product 2
     after["products"] = after["products"].where(F.col("id") != 3)  # product 3 deleted
     base = os.path.join(scratch, "catalog")
-    jobs.init_bucketed(C.color_catalog(before), base, "product_id", buckets=4)
+    ST.create(C.color_catalog(before), base, "product_id", buckets=4)
     changes = [{"event_id": 1, "ts": str(T0), "table_name": "product_variants", "op": "UPDATE",
                 "product_id": 2, "old_product_id": 1, "row_id": "v2"},
                {"event_id": 2, "ts": str(T0), "table_name": "products", "op": "DELETE", "product_id": 3},
@@ -105,7 +115,7 @@ def test_catalog_refresh_equals_full_rebuild(spark, scratch):
     _write_json_files(feed, [changes])
     jobs.catalog_refresh(spark, feed, lambda: after, base, os.path.join(scratch, "ckpt"),
                          buckets=4).awaitTermination()
-    snap = BK.read_state(spark, base)
+    snap = ST.read(spark, base)
     full = C.color_catalog(after)
     key = lambda r: (r["color_id"], tuple(s["variant_id"] for s in r["sizes"]), r["has_stock"], r["review_count"])
     assert sorted(map(key, snap.collect())) == sorted(map(key, full.collect()))
@@ -130,25 +140,70 @@ def test_payment_status_stream_matches_batch(spark, scratch):
     assert set(streamed.values()) == {"paid", "500", "400"}
 
 
+def _cart_events(spark, *rows):
+    return spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), *r) for i, r in enumerate(rows)], CART_SCHEMA)
+
+
+def _lines(spark, base):
+    return {(r["session_id"], r["item_key"]): r["qty"] for r in ST.read(spark, base).collect()}
+
+
 def test_batches_rewrite_only_touched_buckets(spark, scratch):
-    from pyspark.sql import functions as F
     base = os.path.join(scratch, "state")
-    orders = spark.range(0, 1000).select(F.col("id"), F.lit("pending").alias("status"))
-    jobs.init_bucketed(orders, base, "id", buckets=16)
-    paid = spark.createDataFrame([("paid", "3"), ("paid", "5")], "status string, paid_order_id string")
-    jobs.orders_paid_batch(base, buckets=16)(paid, 0)
-    touched = BK.touched_buckets(spark.createDataFrame([(3,), (5,)], "id long"), "id", 16)
-    m = BK.manifest(spark, base, 1)
-    folder = next(f for f in m.folders if f.startswith("v=0000000001"))
-    assert m.folders[folder] == touched and m.rows[folder] < 1000
-    written = spark.read.parquet(os.path.join(base, folder)).select(BK.BUCKET).distinct().collect()
-    assert sorted(r[0] for r in written) == touched
-    state = {r["id"]: r["status"] for r in BK.read_state(spark, base).collect()}
-    assert len(state) == 1000 and state[3] == state[5] == "paid" and state[4] == "pending"
+    lines = spark.range(0, 1000).select(F.col("id").alias("session_id"), F.lit(1).cast("long").alias("item_key"), F.lit(2).cast("long").alias("qty"))
+    ST.create(lines, base, "session_id", buckets=16)
+    events = _cart_events(spark, (3, 1, "add", 1), (5, 1, "remove", 1), (7, 1, "clear", 1))
+    jobs.cart_state_batch(base)(events, 0)
+    touched = {r[0] for r in ST.touched(events, "session_id", 16).collect()}
+    written = {d for d in os.listdir(os.path.join(base, "rows")) if "v=1" in os.listdir(os.path.join(base, "rows", d))}
+    assert written <= {f"bucket={b}" for b in touched} and len(touched) < 4
+    state = _lines(spark, base)
+    assert len(state) == 998 and state[3, 1] == 3 and (5, 1) not in state and (7, 1) not in state
     # A rerun of the same batch writes the same version and the same state.
-    jobs.orders_paid_batch(base, buckets=16)(paid, 0)
-    again = {r["id"]: r["status"] for r in BK.read_state(spark, base).collect()}
-    assert again == state and BK.committed(spark, base) == [0, 1]
+    jobs.cart_state_batch(base)(events, 0)
+    assert _lines(spark, base) == state and ST.versions(spark, base) == [0, 1]
+    # the version before is still whole, and reading one bucket reads its newest partition only
+    assert ST.read(spark, base, 0).count() == 1000
+    plan = ST.read(spark, base)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_an_emptied_bucket_stays_empty(spark, scratch):
+    base = os.path.join(scratch, "state")
+    step = jobs.cart_state_batch(base, buckets=4)
+    step(_cart_events(spark, (1, 1, "add", 1), (2, 1, "add", 1)), 0)
+    step(_cart_events(spark, (1, 1, "clear", 1), (2, 1, "clear", 1)), 1)
+    assert _lines(spark, base) == {}
+    step(_cart_events(spark, (2, 9, "add", 1)), 2)
+    assert _lines(spark, base) == {(2, 9): 1}
+
+
+def test_refresh_reads_only_the_buckets_of_changed_products(spark, scratch):
+    """Every source scan that is stored by product carries a pruning filter."""
+    base = os.path.join(scratch, "sources")
+    ST.store_by_product(_shop(spark), base, 8)
+    t = ST.tables_by_product(spark, base)
+    ids = spark.createDataFrame([(2,)], "product_id long").persist()
+    df = jobs.catalog_for_products(t, ids, 8)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    by_product = [line for line in scans if "/categories" not in line]
+    assert len(by_product) >= 4 and all("dynamicpruning" in line for line in by_product), plan
+    assert [r["color_id"] for r in df.collect()] == ["2-a"]
+    ids.unpersist()
+
+
+def test_variants_lie_with_their_colours_product(spark, scratch):
+    """A variant whose own product differs from its colour's is found by colour."""
+    shop = dict(_shop(spark))
+    shop["product_variants"] = shop["product_variants"].withColumn("product_id", F.lit(3).cast("long"))
+    base = os.path.join(scratch, "sources")
+    ST.store_by_product(shop, base, 8)
+    ids = spark.createDataFrame([(1,), (2,)], "product_id long")
+    key = lambda r: (r["color_id"], tuple(s["variant_id"] for s in r["sizes"]))
+    got = sorted(map(key, jobs.catalog_for_products(ST.tables_by_product(spark, base), ids, 8).collect()))
+    assert got == sorted(map(key, jobs.catalog_for_products(shop, ids).collect()))
+    assert got[0] == ("1-a", ("v1", "v2"))
 
 
 def test_affected_keys_stream(spark, scratch):
@@ -176,41 +231,37 @@ def test_cart_stream_notes_late_events(spark, scratch):
         spark.createDataFrame(chunk, CART_SCHEMA).coalesce(1).write.parquet(os.path.join(feed, f"b{j}"))
     base = os.path.join(scratch, "carts")
     jobs.cart_state_stream(spark, feed + "/*", base, os.path.join(scratch, "ck"), max_files=1).awaitTermination()
-    got = {(r["session_id"], r["item_key"]): r["qty"] for r in BK.read_state(spark, base).collect()}
+    got = {(r["session_id"], r["item_key"]): r["qty"] for r in ST.read(spark, base).collect()}
     # Arrival order: add, add (2), then the late change (+5 -> 7). By event
     # time the change (t=5) would precede the adds and be ignored (2). The
     # late event is counted in the notes.
     assert got == {(1, 1): 7, (1, 2): 1}
-    notes = BK.manifest(spark, base, 2).notes
+    notes = ST.notes(spark, base, 2)
     assert notes["events"] == 2 and notes["late_events"] == 1
 
 
-def test_obsolete_versions_listing(spark, scratch):
-    from pyspark.sql import functions as F
+def test_superseded_partitions(spark, scratch):
     base = os.path.join(scratch, "state")
-    orders = spark.range(0, 200).select(F.col("id"), F.lit("pending").alias("status"))
-    jobs.init_bucketed(orders, base, "id", buckets=4)
-    step = jobs.orders_paid_batch(base, buckets=4)
-    for batch_id, oid in enumerate([1, 2, 3, 4]):
-        step(spark.createDataFrame([("paid", str(oid))], "status string, paid_order_id string"), batch_id)
-    old = BK.obsolete_versions(spark, base, keep=2)
-    keep = set(BK.committed(spark, base)) - set(old)
-    # The latest two versions stay, and so does every version their manifests use.
-    latest = BK.committed(spark, base)[-2:]
-    used = set(latest)
-    for v in latest:
-        used |= {int(f.split("/")[0][2:]) for f in BK.manifest(spark, base, v).folders}
-    assert keep == used and not (set(old) & used)
-    # Reading only what is kept gives the same state.
-    state = {r["id"]: r["status"] for r in BK.read_state(spark, base).collect()}
-    assert sum(1 for s in state.values() if s == "paid") == 4 and len(state) == 200
+    step = jobs.cart_state_batch(base, buckets=4)
+    for k in range(5):
+        step(_cart_events(spark, (1, k, "add", 1)), k)  # one session, one bucket
+    assert ST.versions(spark, base) == [1, 2, 3, 4, 5]
+    old = sorted(r["v"] for r in ST.superseded(spark, base).collect())
+    assert old == [1, 2, 3]  # the two latest versions, 4 and 5, stay readable
+    assert ST.superseded(spark, base, keep=9) is None
+    import shutil
+    for r in ST.superseded(spark, base).collect():
+        shutil.move(os.path.join(base, "rows", f"bucket={r['bucket']}", f"v={r['v']}"), os.path.join(scratch, f"gone-{r['v']}"))
+    assert len(_lines(spark, base)) == 5 and ST.read(spark, base, 4).count() == 4
+    step(_cart_events(spark, (1, 9, "add", 1)), 5)
+    assert len(_lines(spark, base)) == 6
 
 
 def test_catalog_refresh_batch_rerun_is_idempotent(spark, scratch):
     before = _shop(spark)
     after = dict(_shop(spark, variant_color_2="2-a"))
     base = os.path.join(scratch, "catalog")
-    jobs.init_bucketed(C.color_catalog(before), base, "product_id", buckets=4)
+    ST.create(C.color_catalog(before), base, "product_id", buckets=4)
     changes = spark.createDataFrame(
         [(1, T0, "product_variants", "UPDATE", 2, 1, "v2")],
         "event_id long, ts timestamp_ntz, table_name string, op string, product_id long, "
@@ -218,11 +269,11 @@ def test_catalog_refresh_batch_rerun_is_idempotent(spark, scratch):
     step = jobs.refresh_catalog_batch(lambda: after, base, buckets=4)
     key = lambda r: (r["color_id"], tuple(s["variant_id"] for s in r["sizes"]), r["has_stock"])
     step(changes, 0)
-    first = sorted(map(key, BK.read_state(spark, base).collect()))
+    first = sorted(map(key, ST.read(spark, base).collect()))
     step(changes, 0)  # the same batch again, e.g. after a failure
-    again = sorted(map(key, BK.read_state(spark, base).collect()))
+    again = sorted(map(key, ST.read(spark, base).collect()))
     assert first == again == sorted(map(key, C.color_catalog(after).collect()))
-    assert BK.committed(spark, base) == [0, 1]
+    assert ST.versions(spark, base) == [0, 1]
 
 
 def test_catalog_refresh_without_initial_state(spark, scratch):
@@ -232,55 +283,47 @@ def test_catalog_refresh_without_initial_state(spark, scratch):
                                     "event_id long, ts timestamp_ntz, table_name string, op string, "
                                     "product_id long, old_product_id long, row_id string")
     jobs.refresh_catalog_batch(lambda: t, base, buckets=4)(changes, 0)
-    got = sorted(r["color_id"] for r in BK.read_state(spark, base).collect())
+    got = sorted(r["color_id"] for r in ST.read(spark, base).collect())
     assert got == sorted(r["color_id"] for r in C.color_catalog(t).collect())
 
 
-def _orders(spark, n):
-    return spark.range(0, n).select("id", F.lit("pending").alias("status"))
-
-
-def _pay(spark, *ids):
-    return spark.createDataFrame([("paid", str(i)) for i in ids], "status string, paid_order_id string")
-
-
-def test_failed_rerun_keeps_the_committed_version(spark, scratch):
-    """An attempt that dies midway leaves the version as it was."""
+def test_failed_attempt_is_not_seen(spark, scratch):
+    """An attempt that dies midway leaves the state as it was, and its rerun
+    writes the version."""
     base = os.path.join(scratch, "state")
-    jobs.init_bucketed(_orders(spark, 1000), base, "id")
-    step = jobs.orders_paid_batch(base)
-    step(_pay(spark, 1, 2), 0)
-    boom = F.udf(lambda s: 1 / 0, "string")
-    prev = BK.previous(spark, base, 1)
-    rows = _orders(spark, 1000).withColumn("status", boom("status"))
+    step = jobs.cart_state_batch(base, buckets=8)
+    step(_cart_events(spark, *[(i, 1, "add", 1) for i in range(50)]), 0)
+    before = _lines(spark, base)
+    boom = F.udf(lambda s: 1 // 0 if s > 40 else s, "long")
+    rows = ST.read(spark, base).withColumn("qty", boom("session_id"))
+    only = spark.range(8).select(F.col("id").cast("int").alias("bucket"))
     try:
-        BK.write_version(rows, base, 1, "id", prev.buckets, list(range(prev.buckets)), prev)
+        ST.write(rows, base, 2, "session_id", 8, only)
         raise AssertionError("the write should have failed")
     except AssertionError:
         raise
     except Exception:  # noqa: BLE001 - the task's error, as Spark reports it
         pass
-    state = {r["id"]: r["status"] for r in BK.read_state(spark, base).collect()}
-    assert BK.committed(spark, base) == [0, 1] and len(state) == 1000 and sorted(i for i, s in state.items() if s == "paid") == [1, 2]
+    # rows of version 2 without a commit, as when the driver dies between the two writes
+    partial = ST.read(spark, base).withColumn("qty", F.lit(99).cast("long"))
+    placed = partial.withColumn("bucket", ST.bucket_of(F.col("session_id"), 8)).withColumn("v", F.lit(2).cast("long"))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{base}/rows")
+    assert ST.versions(spark, base) == [1] and _lines(spark, base) == before
+    step(_cart_events(spark, (7, 1, "add", 1)), 1)
+    assert _lines(spark, base) == {**before, (7, 1): 2}
 
 
-def test_missing_folder_and_other_bucket_count_are_errors(spark, scratch):
-    import shutil
+def test_other_bucket_count_is_an_error(spark, scratch):
     import pytest
     base = os.path.join(scratch, "state")
-    jobs.init_bucketed(_orders(spark, 100), base, "id", buckets=16)
+    jobs.cart_state_batch(base, buckets=16)(_cart_events(spark, (1, 1, "add", 1)), 0)
     with pytest.raises(ValueError, match="16 buckets, not 8"):
-        jobs.orders_paid_batch(base, buckets=8)(_pay(spark, 1), 0)
-    m = BK.manifest(spark, base, 0)
-    shutil.move(os.path.join(base, next(iter(m.folders))), os.path.join(scratch, "elsewhere"))
-    with pytest.raises(FileNotFoundError):
-        BK.read_state(spark, base)
+        jobs.cart_state_batch(base, buckets=8)(_cart_events(spark, (1, 1, "add", 1)), 1)
 
 
 def test_batches_without_initial_state(spark, scratch):
     """Two batches from nothing: the catalog is built, then brought up to date;
-    a cart starts empty; payments need orders."""
-    import pytest
+    a cart starts empty."""
     t = _shop(spark)
     base = os.path.join(scratch, "catalog")
     changes = spark.createDataFrame([(1, T0, "products", "UPDATE", 1, None, None)],
@@ -289,57 +332,19 @@ def test_batches_without_initial_state(spark, scratch):
     step = jobs.refresh_catalog_batch(lambda: t, base)
     step(changes, 0)
     step(changes, 1)
-    assert BK.committed(spark, base) == [1, 2]
-    assert BK.read_state(spark, base).count() == C.color_catalog(t).count()
-    with pytest.raises(ValueError, match="no orders"):
-        jobs.orders_paid_batch(os.path.join(scratch, "orders"))(_pay(spark, 1), 0)
-
-
-def test_batch_after_versions_were_dropped(spark, scratch):
-    base = os.path.join(scratch, "state")
-    jobs.init_bucketed(_orders(spark, 200), base, "id", buckets=4)
-    step = jobs.orders_paid_batch(base)
-    for k in range(4):
-        step(_pay(spark, *range(50 * k, 50 * k + 50)), k)  # every bucket, so version 0 holds nothing any more
-    old = BK.obsolete_versions(spark, base)
-    assert 0 in old
-    BK.drop_versions(spark, base, old)
-    step(_pay(spark, 7), 4)
-    assert BK.read_state(spark, base).where("status = 'paid'").count() == 200
+    assert ST.versions(spark, base) == [1, 2]
+    assert ST.read(spark, base).count() == C.color_catalog(t).count()
 
 
 def test_cart_job_after_init(spark, scratch):
     base = os.path.join(scratch, "carts")
     lines = spark.createDataFrame([(1, 1, 3), (2, 1, 5)], "session_id long, item_key long, qty long")
-    jobs.init_bucketed(lines, base, "session_id")
+    ST.create(lines, base, "session_id")
     events = spark.createDataFrame([(1, T0, 1, 1, "add", 1)], CART_SCHEMA)
     jobs.cart_state_batch(base)(events, 0)
-    got = {(r["session_id"], r["item_key"]): r["qty"] for r in BK.read_state(spark, base).collect()}
-    assert got == {(1, 1): 4, (2, 1): 5} and BK.manifest(spark, base, 1).notes["events"] == 1
+    got = {(r["session_id"], r["item_key"]): r["qty"] for r in ST.read(spark, base).collect()}
+    assert got == {(1, 1): 4, (2, 1): 5} and ST.notes(spark, base, 1)["events"] == 1
 
 
-def test_random_ids_rewrite_a_small_share(spark, scratch):
-    """1000 random ids of a large state touch a small part of it, in few files."""
-    base = os.path.join(scratch, "state")
-    n = 2_000_000
-    jobs.init_bucketed(_orders(spark, n), base, "id")
-    rnd = random.Random(1)
-    ids = rnd.sample(range(n), 1000)
-    jobs.orders_paid_batch(base)(_pay(spark, *ids), 0)
-    m = BK.manifest(spark, base, 1)
-    folder = next(f for f in m.folders if f.startswith("v=0000000001"))
-    files = [f for f in os.listdir(os.path.join(base, folder)) if f.endswith(".parquet")]
-    assert m.buckets == n // BK.ROWS_PER_BUCKET and m.rows[folder] < 0.25 * n and len(files) <= 8
-    state = BK.read_state(spark, base)
-    assert state.count() == n and state.where("status = 'paid'").count() == 1000
-
-
-def test_many_folders_are_compacted(spark, scratch):
-    base = os.path.join(scratch, "state")
-    jobs.init_bucketed(_orders(spark, 3000), base, "id", buckets=64)
-    step = jobs.orders_paid_batch(base)
-    for k in range(BK.MOST_FOLDERS + 2):
-        step(_pay(spark, k), k)
-    assert len(BK.manifest(spark, base, BK.MOST_FOLDERS + 2).folders) <= BK.MOST_FOLDERS
-    state = BK.read_state(spark, base)
-    assert state.count() == 3000 and state.where("status = 'paid'").count() == BK.MOST_FOLDERS + 2
+def test_a_state_has_a_bucket_for_so_many_rows():
+    assert [ST.bucket_count(n) for n in (0, 5, 3_000_000, 10 ** 12)] == [16, 16, 30, 4096]
