@@ -26,15 +26,19 @@ def cart_totals(lines: DataFrame, cart: str = "order_id", qty: str = "quantity",
         F.count(F.lit(1)).alias("lines"))
 
 
-def shipping_config(cfg: DataFrame) -> dict:
-    """The first config row, or the defaults when the table has no row.
-    The result is one row (``limit(1)``), so it is read on the driver and
-    used as literals; errors other than "no row" propagate."""
-    rows = cfg.limit(1).collect()
-    if not rows:
-        return dict(M.DEFAULT_SHIPPING)
-    r = rows[0].asDict()
-    return {k: r.get(k) for k in M.DEFAULT_SHIPPING}
+def shipping_config(cfg: DataFrame) -> DataFrame:
+    """The first config row, or the defaults when the table has no row: one
+    row, made inside the plan. An aggregate of at most one row always gives
+    one; a column that is NULL in the config row stays NULL."""
+    one = cfg.limit(1).agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in M.DEFAULT_SHIPPING])
+    return one.select(*[F.when(F.col("_n") == 0, F.lit(v)).otherwise(F.col(c)).cast("int").alias(c)
+                        for c, v in M.DEFAULT_SHIPPING.items()])
+
+
+def with_config(df: DataFrame, config: DataFrame) -> DataFrame:
+    """``df`` with the config row's values as a column ``_config``: a scalar
+    subquery, which runs once with the query."""
+    return df.withColumn("_config", config.select(F.struct(*M.DEFAULT_SHIPPING)).scalar())
 
 
 def exactly_one(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -94,14 +98,15 @@ def validate_discounts(carts: DataFrame, codes: DataFrame, typed: str = "typed_c
         "discount_id", F.when(F.col("discount_status") == "ok", F.col("id")))
 
 
-def checkout_pricing(checkouts: DataFrame, lines: DataFrame, codes: DataFrame, cfg: dict) -> DataFrame:
+def checkout_pricing(checkouts: DataFrame, lines: DataFrame, codes: DataFrame, config: DataFrame) -> DataFrame:
     """totals -> discount -> shipping -> total -> labels, per checkout
-    session that has items (an empty cart never reaches the pay step)."""
+    session that has items (an empty cart never reaches the pay step).
+    ``config`` is the one row of ``shipping_config``."""
     totals = cart_totals(lines).withColumnRenamed("order_id", "session_id")
     carts = checkouts.join(totals, "session_id", "inner")
-    priced = validate_discounts(carts, codes)
-    fee = M.shipping_fee(F.col("shipping_method"), F.col("subtotal"), F.lit(cfg["free_above"]),
-                         F.lit(cfg["flat_rate"]), F.lit(cfg["express_rate"]))
+    priced = with_config(validate_discounts(carts, codes), config)
+    fee = M.shipping_fee(F.col("shipping_method"), F.col("subtotal"), F.col("_config.free_above"),
+                         F.col("_config.flat_rate"), F.col("_config.express_rate"))
     priced = priced.withColumn("shipping_fee", fee)
     priced = priced.withColumn("total", M.order_total(F.col("subtotal"), F.col("discount_amount"),
                                                       F.col("shipping_fee")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The columns the colour-first migration drops from variants.
@@ -28,20 +28,39 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
-def key_checks(tables, catalog: DataFrame) -> DataFrame:
+# The checks of D8.
+KEY_CHECKS = ("colors_product_slug", "catalog_color_id", "catalog_slugs", "cart_session_variant")
+
+
+def key_checks(tables) -> DataFrame:
     """Uniqueness of (product_id, color_slug) among colours, of color_id
     and (product_slug, color_slug) in the catalog, and of a cart's
     (session, variant) (order lines by order). One row per check with the
-    number of duplicated keys."""
-    checks = [
-        ("colors_product_slug", duplicate_keys(tables["product_colors"], ["product_id", "color_slug"])),
-        ("catalog_color_id", duplicate_keys(catalog, ["color_id"])),
-        ("catalog_slugs", duplicate_keys(catalog, ["product_slug", "color_slug"])),
-        ("cart_session_variant", duplicate_keys(tables["order_items"], ["order_id", "variant_id"])),
-    ]
-    return reduce(DataFrame.unionByName, [
-        d.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
-        for name, d in checks])
+    number of duplicated keys.
+
+    Each table is read once: a colour gives its own key and, for every active
+    product row it belongs to (the catalog's rows are the active colours of
+    active products), its two catalog keys. All keys of all checks are then
+    counted by one aggregate on (check, key), and the checks by one more."""
+    by_color, in_catalog, by_slugs, by_cart = KEY_CHECKS
+
+    def key(check: str, first: str, second) -> Column:
+        return F.struct(F.lit(check).alias("check"), F.col(first).cast("string").alias("a"),
+                        (second if second is not None else F.lit(None)).cast("string").alias("b"))
+
+    slugs = tables["products"].where(F.col("is_active")).groupBy(F.col("id").alias("product_id")) \
+        .agg(F.collect_list(F.struct(F.col("slug").cast("string").alias("slug"))).alias("_slugs"))  # one, unless an id repeats
+    colors = tables["product_colors"].select("id", "product_id", "color_slug", "is_active").join(slugs, "product_id", "left")
+    rows = F.filter(F.coalesce("_slugs", F.array().cast("array<struct<slug:string>>")), lambda s: F.col("is_active"))
+    of_color = F.concat(
+        F.array(key(by_color, "product_id", F.col("color_slug"))),
+        F.transform(rows, lambda s: key(in_catalog, "id", None)),
+        F.transform(rows, lambda s: F.struct(F.lit(by_slugs).alias("check"), s["slug"].alias("a"), F.col("color_slug").cast("string").alias("b"))))
+    keys = colors.select(F.explode(of_color).alias("k")).select("k.*").unionByName(
+        tables["order_items"].select(key(by_cart, "order_id", F.col("variant_id")).alias("k")).select("k.*"))
+    twice = keys.groupBy("check", "a", "b").agg((F.count(F.lit(1)) > 1).alias("twice"))
+    counts = twice.agg(*[F.count_if(F.col("twice") & (F.col("check") == c)).alias(c) for c in KEY_CHECKS])
+    return counts.unpivot([], list(KEY_CHECKS), "check", "violations")
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:

@@ -19,6 +19,11 @@ tot as (select order_id, sum(quantity * price) as subtotal from order_items grou
 select c.session_id, g.free_above, g.flat_rate, g.express_rate, t.subtotal >= g.free_above as free_shipping
 from checkouts c join tot t on t.order_id = c.session_id, cfg g""")
 
+oracle("shipping_config_default", ["checkouts", "order_items"], """
+, tot as (select order_id, sum(quantity * price) as subtotal from order_items group by order_id)
+select c.session_id, 500000 as free_above, 10000 as flat_rate, 20000 as express_rate, t.subtotal >= 500000 as free_shipping
+from checkouts c join tot t on t.order_id = c.session_id""")
+
 oracle("code_lookup", ["checkouts", "discount_codes"], """
 , m as (select code, count(*) as n, min(id) as id from discount_codes where is_active group by code)
 select c.session_id, c.typed_code, case when m.n = 1 then m.id end as code_id,

@@ -24,11 +24,20 @@ def q_cart_totals(t):
 def q_shipping_config(t):
     """The config each checkout with items is priced with (first config
     row, else the defaults), and whether its subtotal ships free."""
-    cfg = PR.shipping_config(t["shipping_config"])
+    return _configured(t, t["shipping_config"])
+
+
+@query("shipping_config_default")
+def q_shipping_config_default(t):
+    """S2 where the config table has no row: every checkout gets the defaults."""
+    return _configured(t, t["shipping_config"].where(F.col("free_above") < 0))
+
+
+def _configured(t, cfg):
     totals = PR.cart_totals(t["order_items"]).withColumnRenamed("order_id", "session_id")
-    c = t["checkouts"].join(totals, "session_id")
-    return c.select("session_id", *[F.lit(v).cast("int").alias(k) for k, v in cfg.items()],
-                    (F.col("subtotal") >= F.lit(cfg["free_above"])).alias("free_shipping"))
+    c = PR.with_config(t["checkouts"].join(totals, "session_id"), PR.shipping_config(cfg))
+    return c.select("session_id", *[F.col(f"_config.{k}").alias(k) for k in M.DEFAULT_SHIPPING],
+                    (F.col("subtotal") >= F.col("_config.free_above")).alias("free_shipping"))
 
 
 @query("code_lookup")

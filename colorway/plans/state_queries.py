@@ -75,8 +75,7 @@ def _flawed(t) -> dict[str, DataFrame]:
 @query("key_checks")
 def q_key_checks(t):
     """D8 over tables with rows entered twice."""
-    flawed = _flawed(t)
-    return QL.key_checks(flawed, CT.catalog_keys(flawed))
+    return QL.key_checks(_flawed(t))
 
 
 @query("reference_checks")

@@ -97,3 +97,50 @@ def test_range_partitions_add_up_the_scans(spark):
     t = load_tables(spark, SF)
     df = t["order_items"].join(t["product_variants"].withColumnRenamed("id", "variant_id"), "variant_id")
     assert range_partitions(df, minimum=4) == 4
+
+
+def test_key_checks_read_each_table_once(spark):
+    """One scan of each table and at most 4 shuffles."""
+    from conftest import tables
+
+    from colorway.operators import quality as QL
+    t = tables(spark, products=[{"id": 1, "slug": "s", "is_active": True}, {"id": 2, "slug": "s", "is_active": True}, {"id": 3, "slug": None, "is_active": True},
+                                {"id": 4, "slug": None, "is_active": False}, {"id": 5, "slug": "", "is_active": True}],
+               product_colors=[{"id": c, "product_id": p, "color_slug": k, "is_active": a} for c, p, k, a in
+                               [("a", 1, "x", True), ("a", 1, "x", True), ("b", 2, "x", True), ("c", 3, "y", True), ("d", 4, "y", True),
+                                ("e", 9, "x", True), ("f", 2, "z", None), ("f", 2, "z", False), ("g", 5, "y", True)]],
+               order_items=[{"order_id": 1, "variant_id": "v"}, {"order_id": 1, "variant_id": "v"}, {"order_id": 2, "variant_id": "v"}])
+    df = QL.key_checks(t)
+    assert {r["check"]: r["violations"] for r in df.collect()} == {
+        "colors_product_slug": 2, "catalog_color_id": 1, "catalog_slugs": 1, "cart_session_variant": 1}
+    none = QL.key_checks(tables(spark))
+    assert {r["check"]: r["violations"] for r in none.collect()} == dict.fromkeys(QL.KEY_CHECKS, 0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rfind("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange ") <= 5 and plan.count("Scan ExistingRDD") == 3, plan  # 4 shuffles, and a broadcast where AQE may choose one
+
+
+def test_no_signing_key_in_plans_or_event_logs(scratch):
+    """F16: neither explain nor the event log holds the pads of the key."""
+    import os
+    import subprocess
+    import sys
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from colorway.session import local_session
+spark = local_session(2, **{{"spark.eventLog.enabled": "true", "spark.eventLog.compress": "false", "spark.eventLog.dir": "file://{scratch}", "spark.sql.maxMetadataStringLength": "100000"}})
+from colorway.operators import orders as OR
+df = OR.classify_payments(spark.createDataFrame([("s", "1", "5")], "signature string, ts string, body string"), b"a-very-secret-key")
+df.collect()
+print(df._jdf.queryExecution().toString())
+spark.stop()
+"""
+    from colorway.functions.payments import hmac_pads
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout
+    logs = "".join(open(os.path.join(d, f), errors="replace").read() for d, _, fs in os.walk(scratch) for f in fs)
+    assert "sha2" in out and "SparkListenerSQLExecutionStart" in logs
+    for text in (out, logs):
+        for pad in hmac_pads(b"a-very-secret-key"):
+            assert pad[:40] not in text.lower() and str(list(bytes.fromhex(pad)))[1:60] not in text
+        assert "a-very-secret-key" not in text

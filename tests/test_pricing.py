@@ -61,9 +61,9 @@ def test_reasons_in_order(spark):
 
 def test_shipping_config_empty_and_present(spark):
     empty = spark.createDataFrame([], "free_above int, flat_rate int, express_rate int")
-    assert PR.shipping_config(empty) == M.DEFAULT_SHIPPING
+    assert [r.asDict() for r in PR.shipping_config(empty).collect()] == [M.DEFAULT_SHIPPING]
     one = spark.createDataFrame([(1, 2, 3)], "free_above int, flat_rate int, express_rate int")
-    assert PR.shipping_config(one) == {"free_above": 1, "flat_rate": 2, "express_rate": 3}
+    assert [r.asDict() for r in PR.shipping_config(one).collect()] == [{"free_above": 1, "flat_rate": 2, "express_rate": 3}]
 
 
 def test_shipping_total_and_labels(spark):
@@ -89,3 +89,17 @@ def test_fixture_reason_counts(spark):
     got = {r[0]: r[1] for r in df.groupBy("discount_status").count().collect()}
     assert got == {"no_match": 3778, "not_started": 1212, "expired": 1477, "used_up": 2409,
                    "below_minimum": 284, "ok": 5583}
+
+
+def test_config_is_read_with_the_query_not_before(spark):
+    """Building the priced plan runs no job; NULL columns of a row stay NULL."""
+    jobs = spark.sparkContext.statusTracker()
+    group = "no-job-while-planning"
+    spark.sparkContext.setJobGroup(group, group)
+    cfg = spark.createDataFrame([(None, 2, 3), (9, 9, 9)], "free_above int, flat_rate int, express_rate int").coalesce(1)
+    df = PR.with_config(spark.range(2), PR.shipping_config(cfg))
+    assert len(jobs.getJobIdsForGroup(group)) == 0
+    rows = df.collect()
+    assert len(jobs.getJobIdsForGroup(group)) > 0
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(rows) == 2 and all(r["_config"]["free_above"] in (None, 9) for r in rows)
