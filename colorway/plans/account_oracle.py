@@ -104,6 +104,12 @@ select i.order_id, i.variant_id, i.quantity, i.price, p.name as product_name, p.
 from order_items i left join product_variants v on v.id = i.variant_id
 left join product_colors c on c.id = v.color_id left join products p on p.id = i.product_id""")
 
+oracle("scan_order_items", ["order_items", "product_variants", "product_colors", "products"], """
+select concat('ord-', i.order_id) as order_id, concat('prod-', i.product_id) as product_id, i.variant_id, i.quantity, i.price, p.name as product_name,
+  coalesce(c.image, c.image_2, p.image) as product_image, v.size, c.color_name as color
+from order_items i left join product_variants v on v.id = i.variant_id
+left join product_colors c on c.id = v.color_id left join products p on p.id = i.product_id""")
+
 oracle("scan_wishlists", ["wishlist_events"], """
-select user_id, product_id from wishlist_events group by user_id, product_id
+select concat('user-', user_id) as user_id, concat('prod-', product_id) as product_id from wishlist_events group by wishlist_events.user_id, wishlist_events.product_id
 having arg_max(op, struct_pack(t := ts, e := event_id)) = 'add'""")

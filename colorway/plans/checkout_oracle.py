@@ -125,6 +125,13 @@ lines as (
 oracle("cart_lines", ["cart_events"], CART_LINES + " select session_id, item_key, qty, name, price from lines", recursive=True)
 oracle("cart_checkout", ["checkouts", "discount_codes", "shipping_config", "cart_events"], CART_LINES + """,
 order_items as (select session_id as order_id, qty as quantity, price from lines)""" + _PRICED + _PRICING, recursive=True)
+oracle("scan_discount_codes", ["checkouts", "order_items", "discount_codes", "shipping_config"], """
+, codes as (select * replace (concat('code-', id) as id, cast(discount_value as double)
+                              + case when discount_type = 'percentage' then 0.5 else 0 end as discount_value) from discount_codes)
+""" + _PRICED.replace("from discount_codes where", "from codes where").replace("from discount_codes d", "from codes d")
+.replace("case discount_type when 'fixed' then coalesce(discount_value, 0)", "case discount_type when 'fixed' then cast(coalesce(discount_value, 0) as bigint)")
++ """ select session_id, discount_status, case when discount_status = 'ok' then id end as discount_id,
+  cast(discount_amount as bigint) as discount_amount from fin""")
 oracle("discount_fractions", ["orders_t"], """
 select id as order_id, least(total_amount, cast(floor(cast(total_amount as double) * ((id % 40 + 0.5::double) / 100.0)) as bigint))
   as discount_amount from orders_t""")

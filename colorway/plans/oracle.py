@@ -42,7 +42,7 @@ def _sib_sub(pc: str) -> str:
 # --- sources / projections / predicates ----------------------------------------
 
 oracle("scan_table", ["products"], """
-select id, slug, name, subtitle, price, mrp, badge, fit_type, description, fabric_details,
+select concat('prod-', id) as id, slug, name, subtitle, price, mrp, badge, fit_type, description, fabric_details,
        care_instructions, category_id, is_active, coalesce(image, '') as images from products""")
 
 oracle("project_columns", ["products"], "select id, name, is_active, category_id from products")
@@ -124,7 +124,8 @@ oracle("review_stats", ["reviews"], f"""
 select r.product_id, count(distinct r.id) as review_count, {TENTHS.format(r='r')} as rating_tenths
 from reviews r group by r.product_id""")
 
-oracle("color_catalog", ["products", "product_colors", "categories", "product_variants", "reviews"], f"""
+_CATALOG_USES = ["products", "product_colors", "categories", "product_variants", "reviews"]
+_CATALOG = f"""
 select pc.id as color_id, pc.color_slug, pc.color_name, pc.color_hex, pc.sort_order,
   p.id as product_id, p.slug as product_slug, p.name as product_name, p.subtitle, p.price, p.mrp,
   p.badge, p.fit_type, p.description, p.fabric_details, p.care_instructions,
@@ -138,7 +139,12 @@ select pc.id as color_id, pc.color_slug, pc.color_name, pc.color_hex, pc.sort_or
 from product_colors pc
 join products p on p.id = pc.product_id
 left join categories c on c.id = p.category_id
-where p.is_active and pc.is_active""")
+where p.is_active and pc.is_active"""
+oracle("color_catalog", _CATALOG_USES, _CATALOG)
+
+oracle("catalog_stored", _CATALOG_USES, """
+, pv as (select id, color_id, sku, size, greatest(inventory_count - 5, 0) as inventory_count from product_variants)
+""" + _CATALOG.replace("product_variants v", "pv v").replace("p.id as product_id", "concat('prod-', p.id) as product_id"))
 
 oracle("group_by_key", ["products", "product_colors", "categories", "product_variants", "reviews"], """
 select pc.id as color_id, p.id as product_id, p.category_id, pc.color_name, p.name as product_name,
@@ -229,7 +235,7 @@ where p.is_active""")
 
 oracle("scan_review_aggregates", ["reviews"], f"""
 , t as (select r.product_id, count(distinct r.id) as review_count, {TENTHS.format(r='r')} as tenths from reviews r group by r.product_id)
-select product_id, review_count, printf('%d.%d', tenths // 10, tenths % 10) as average_rating from t""")
+select concat('prod-', product_id) as product_id, review_count, printf('%d.%d', tenths // 10, tenths % 10) as average_rating from t""")
 
 oracle("product_reviews", ["products", "reviews", "users"], """
 select p.id as product_id, p.slug as product_slug, r.id as review_id,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colorway.functions import display as D
@@ -47,16 +47,52 @@ SIBLING_FIELDS = ["color_id", "color_name", "color_hex", "color_slug", "thumbnai
 
 # --- sources / projections / predicates ----------------------------------------
 
+def text_id(prefix: str, value) -> Column:
+    """The text id that a stored row has."""
+    return F.concat(F.lit(f"{prefix}-"), F.col(value).cast("string"))
+
+
 @query("scan_table")
 def q_scan_table(t):
-    """The products table stored as parquet (under the checkpoint
-    directory) and read back with ``scan_table`` under its fixed schema."""
+    """The products table with text ids stored as parquet (under the
+    checkpoint directory) and read back with ``scan_table`` under its fixed
+    schema."""
     folder = fresh_folder(t, "tables")
-    t["products"].write.parquet(f"{folder}/products")
+    io.store_table(t["products"].withColumn("id", text_id("prod", "id")), folder, "products")
     p = io.scan_table(t.spark, folder, "products")
     return p.select(*[c for c in p.columns if c != "images"], list_text(F.col("images")).alias("images"))
 
 
+#: Buckets of the stored catalog tables of the registered key.
+STORED_BUCKETS = 8
+
+
+def stored_catalog(t) -> dict[str, DataFrame]:
+    """The catalog's tables as the shop stores them, with text ids and the
+    stock that is available (five units less than in the inventory are kept
+    back), bucketed by the columns that the catalog joins on."""
+    folder = fresh_folder(t, "stored")
+    product = text_id("prod", "product_id")
+    rows = {
+        "products": t["products"].withColumn("id", text_id("prod", "id")),
+        "product_colors": t["product_colors"].withColumn("product_id", product),
+        "product_variants": t["product_variants"].withColumn("product_id", product)
+        .withColumn("available_count", F.greatest(F.col("inventory_count") - 5, F.lit(0).cast("long"))),
+        "reviews": t["reviews"].withColumn("product_id", product).withColumn("user_id", text_id("user", "user_id")),
+    }
+    for name, df in rows.items():
+        io.store_table(df, folder, name, STORED_BUCKETS)
+    io.store_table(t["categories"], folder, "categories")
+    return {**{n: io.scan_table(t.spark, folder, n, STORED_BUCKETS) for n in rows}, "categories": io.scan_table(t.spark, folder, "categories")}
+
+
+@query("catalog_stored")
+def q_catalog_stored(t):
+    """S1 -> A4: the catalog over the stored, bucketed tables, with the
+    available stock."""
+    return flat_catalog(C.color_catalog(stored_catalog(t), stock="available_count"))
+
+
 @query("project_columns")
 def q_project_columns(t):
     """Id, name, is_active, category_id."""

@@ -12,10 +12,11 @@ from colorway.operators import accounts as AC
 from colorway.operators import carts as CR
 from colorway.operators import catalog as CT
 from colorway.operators import orders as OR
+from colorway.operators import pricing as PR
 from colorway.operators import quality as QL
 from colorway.plans.constants import LOAD_TIME, NULL_CHECK_TABLES
 from colorway.plans.order_queries import _built
-from colorway.plans.queries import flat_catalog, fresh_folder, q_color_catalog, query
+from colorway.plans.queries import flat_catalog, fresh_folder, q_color_catalog, query, text_id
 from colorway.sources import feeds as FD
 from colorway.sources import io as IO
 from colorway.sources import state as ST
@@ -230,11 +231,11 @@ def q_orders_paid_stream(t):
     return JB.orders_with_payments(t["orders_t"], paid).select(F.col("id").alias("order_id"), "status")
 
 
-def _stored(t, name: str, df: DataFrame) -> DataFrame:
+def _stored(t, name: str, df: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows written as a stored table and read by ``scan_table``."""
     folder = fresh_folder(t, "stored")
-    df.write.parquet(f"{folder}/{name}")
-    return IO.scan_table(t.spark, folder, name)
+    IO.store_table(df, folder, name, buckets)
+    return IO.scan_table(t.spark, folder, name, buckets)
 
 
 @query("scan_orders")
@@ -265,11 +266,31 @@ def q_scan_cart_items(t):
 @query("scan_review_aggregates")
 def q_scan_review_aggregates(t):
     """A3 stored as the review aggregates that the read paths embed."""
-    stats = CT.review_stats(t["reviews"]).select("product_id", "review_count", F.col("average_rating").cast("decimal(20,1)"))
+    stats = CT.review_stats(t["reviews"]).withColumn("product_id", text_id("prod", "product_id"))
     return _stored(t, "product_review_aggregates", stats).withColumn("average_rating", F.col("average_rating").cast("string"))
 
 
 @query("scan_wishlists")
 def q_scan_wishlists(t):
-    """W4's pairs stored as wishlist rows."""
-    return _stored(t, "wishlists", AC.wishlist_state(t["wishlist_events"]))
+    """W4's pairs stored as wishlist rows, bucketed by user."""
+    pairs = AC.wishlist_state(t["wishlist_events"])
+    return _stored(t, "wishlists", pairs.select(text_id("user", "user_id").alias("user_id"), text_id("prod", "product_id").alias("product_id")), 4)
+
+
+@query("scan_order_items")
+def q_scan_order_items(t):
+    """Order lines stored with what they showed when they were sold."""
+    d = AC.order_item_details(t["order_items"], t["product_variants"], t["product_colors"], t["products"])
+    sold = d.withColumns({"order_id": text_id("ord", "order_id"), "product_id": text_id("prod", "product_id"),
+                          "product_image": F.col("image"), "color": F.col("color_name")})
+    return _stored(t, "order_items", sold, 4)
+
+
+@query("scan_discount_codes")
+def q_scan_discount_codes(t):
+    """S1 -> F14, F3: checkouts priced with stored codes, which have text ids
+    and percentages with a fraction."""
+    codes = t["discount_codes"].withColumn("id", text_id("code", "id")).withColumn("discount_value", F.when(
+        F.col("discount_type") == "percentage", F.col("discount_value") + F.lit(0.5)).otherwise(F.col("discount_value")))
+    priced = PR.checkout_pricing(t["checkouts"], t["order_items"], _stored(t, "discount_codes", codes), PR.shipping_config(t["shipping_config"]))
+    return priced.select("session_id", "discount_status", "discount_id", "discount_amount")

@@ -8,10 +8,12 @@ A rerun of the same version overwrites only its own folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colorway.sources.schemas import MISFIT, ORDER_REQUEST_TEXT, SCHEMAS, STORED
+from colorway.sources.schemas import BUCKETED_BY, MISFIT, ORDER_REQUEST_TEXT, SCHEMAS, STORED
 
 VERSION_DIGITS = 10
 
@@ -22,9 +24,36 @@ JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # --- S1 ------------------------------------------------------------------------
 
-def scan_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A shop table stored as parquet, read under its fixed schema."""
-    return spark.read.schema(STORED[name]).parquet(f"{directory.rstrip('/')}/{name}")
+def scan_table(spark: SparkSession, directory: str, name: str, buckets: int | None = None) -> DataFrame:
+    """A shop table stored as parquet, read under its fixed schema.
+    ``buckets``: the table was stored in so many (``store_table``), so joins
+    and aggregates on its bucket column need no shuffle of it."""
+    path = f"{directory.rstrip('/')}/{name}"
+    if not buckets:
+        return spark.read.schema(STORED[name]).parquet(path)
+    key = BUCKETED_BY[name]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED[name].fields)
+    table = f"scan_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")  # the name only; the DataFrame keeps the files and their layout
+
+
+def store_table(df: DataFrame, directory: str, name: str, buckets: int | None = None) -> None:
+    """A shop table as parquet under its stored schema; columns it lacks are
+    NULL. With ``buckets`` it is bucketed and sorted by its join column, a
+    file for each bucket: choose a multiple of the cluster's cores that keeps
+    files at a few hundred MB, and the same number for tables that meet."""
+    path = f"{directory.rstrip('/')}/{name}"
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED[name].fields])
+    if not buckets:
+        rows.write.parquet(path)
+        return
+    key, table = BUCKETED_BY[name], f"store_{uuid.uuid4().hex}"
+    (rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    rows.sparkSession.sql(f"DROP TABLE {table}")
 
 
 # --- S3: versioned snapshots ------------------------------------------------------

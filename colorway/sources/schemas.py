@@ -76,31 +76,46 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 
-def _more(name: str, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*SCHEMAS[name].fields, *_st(*fields).fields])
+def _retyped(name: str, **types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True) for f in SCHEMAS[name].fields])
 
 
-# Tables as the shop stores them: with the columns that the derived views lack,
-# and those that have no view. Created rows (orders, guest addresses) have text
-# ids.
+def _with(base: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*base.fields, *_st(*fields).fields])
+
+
+# Tables as the shop stores them: all ids are text (uuids), and they have the
+# columns that the derived views lack, among them the stock that the detail page
+# shows (``available_count``), percentages with a fraction, and what an order
+# line showed when it was sold. Those without a view are here too.
 STORED: dict[str, T.StructType] = {
-    **{n: SCHEMAS[n] for n in ("categories", "products", "sizes", "product_variants", "users", "order_items",
-                               "discount_codes", "shipping_config")},
-    "product_colors": _more("product_colors", ("created_at", TS), ("updated_at", TS)),
-    "reviews": _more("reviews", ("comment", S)),
+    **{n: SCHEMAS[n] for n in ("categories", "sizes", "shipping_config")},
+    "products": _retyped("products", id=S),
+    "product_variants": _with(_retyped("product_variants", product_id=S), ("available_count", L)),
+    "users": _retyped("users", id=S),
+    "order_items": _with(_retyped("order_items", order_id=S, product_id=S), ("product_name", S), ("product_image", S),
+                         ("size", S), ("color", S)),
+    "discount_codes": _retyped("discount_codes", id=S, discount_value=T.DecimalType(18, 4)),
+    "product_colors": _with(_retyped("product_colors", product_id=S), ("created_at", TS), ("updated_at", TS)),
+    "reviews": _with(_retyped("reviews", product_id=S, user_id=S), ("comment", S)),
     "addresses": _st(
         ("id", S), ("user_id", S), ("label", S), ("is_default", B), ("created_at", TS), ("address_line_1", S),
         ("address_line_2", S), ("city", S), ("state", S), ("postal_code", S), ("country", S)),
     "orders": _st(
         ("id", S), ("user_id", S), ("status", S), ("total_amount", L), ("created_at", TS), ("order_number", S),
         ("shipping_method", S), ("shipping_fee", L), ("discount_id", S), ("discount_amount", L), ("address_id", S)),
-    "wishlists": _st(("user_id", L), ("product_id", L)),
-    "cart_sessions": _st(("id", S), ("user_id", L)),
+    "wishlists": _st(("user_id", S), ("product_id", S)),
+    "cart_sessions": _st(("id", S), ("user_id", S)),
     "cart_items": _st(("session_id", S), ("variant_id", S), ("quantity", L), ("price_at_add", L)),
     "newsletter_subscribers": _st(("email", S)),
-    "product_review_aggregates": _st(("product_id", L), ("review_count", L), ("average_rating", T.DecimalType(20, 1))),
+    "product_review_aggregates": _st(("product_id", S), ("review_count", L), ("average_rating", T.DecimalType(20, 1))),
 }
 
+# The column by which a large table is bucketed and sorted, so that the joins
+# and aggregates on it need no shuffle of that table.
+BUCKETED_BY = {"products": "id", "product_colors": "id", "product_variants": "color_id", "reviews": "product_id", "users": "id",
+               "orders": "id", "order_items": "order_id", "addresses": "user_id", "wishlists": "user_id", "cart_items": "session_id"}
+
 # Order request as posted by the checkout page (nested JSON).
 ORDER_REQUEST_JSON = _st(
     ("request_id", S),

@@ -144,3 +144,41 @@ spark.stop()
         for pad in hmac_pads(b"a-very-secret-key"):
             assert pad[:40] not in text.lower() and str(list(bytes.fromhex(pad)))[1:60] not in text
         assert "a-very-secret-key" not in text
+
+
+def test_bucketed_tables_are_not_shuffled(spark):
+    """The catalog over bucketed tables shuffles neither variants nor
+    reviews; its colour rows go from colour to product."""
+    from colorway.operators import catalog as C
+    from colorway.plans.queries import STORED_BUCKETS, stored_catalog
+    from colorway.sources.fixtures import load_tables
+    before = [spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        t = stored_catalog(load_tables(spark, SF))
+        plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan_of(C.sizes_by_color(t["product_variants"], "available_count"))
+        assert "Exchange" not in plan_of(C.review_stats(t["reviews"]))
+        df = C.color_catalog(t, stock="available_count")
+        plan = plan_of(df)
+        # colour rows by product; products and categories (no broadcast here) by category, and back by product
+        assert plan.count("Exchange ") <= 4 and plan.count("Bucketed: true") == 3, plan
+        assert f"SelectedBucketsCount: {STORED_BUCKETS} out of {STORED_BUCKETS}" in plan
+        assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert spark.catalog.listTables() == []
+
+
+def test_stored_columns_and_text_ids(spark, scratch):
+    """What a stored table lacks is NULL; ids are text; a fraction is kept."""
+    from colorway.sources import io
+    rows = spark.createDataFrame([("0b9c-uuid", "c1", 7)], "id string, color_id string, available_count long")
+    for buckets in (None, 3):
+        folder = f"{scratch}/{buckets}"
+        io.store_table(rows, folder, "product_variants", buckets)
+        got = io.scan_table(spark, folder, "product_variants", buckets).collect()
+        assert [(r["id"], r["color_id"], r["available_count"], r["product_id"]) for r in got] == [("0b9c-uuid", "c1", 7, None)]
+    io.store_table(spark.createDataFrame([("d-uuid", "12.5")], "id string, discount_value string"), scratch, "discount_codes")
+    code = io.scan_table(spark, scratch, "discount_codes").first()
+    assert code["id"] == "d-uuid" and float(code["discount_value"]) == 12.5
