@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colorway.session import lineage_cut, scratch_dir
 
-__all__ = ["arrow_rows", "importable", "input_table", "lineage_cut", "scratch_table", "slices", "texts"]
+__all__ = ["arrow_rows", "importable", "input_table", "lineage_cut", "row_mark", "scratch_table", "slices", "texts", "unused"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -42,6 +43,26 @@ def arrow_rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where ``df`` has a column of a name
+    (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_mark(df: DataFrame) -> Column:
+    """128 bits of hash of a whole row, text of all columns and which are null:
+    rows with equal marks are taken as equal throughout."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(F.lit(""), *[c.isNull().cast("int").cast("string") for c in columns])
+    return F.struct(F.xxhash64(F.lit(1), nulls, *columns).alias("a"), F.xxhash64(F.lit(2), nulls, *columns).alias("b"))
+
+
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -94,7 +94,7 @@ def _filled(name: str, children: str, parent: str, budget: str, child: str, weig
 _BUDGETS = rf"""
 WITH doc AS (
   SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'web' ELSE 'books' END AS domain,
-         coalesce(lang, '') AS language, coalesce(source, '') AS leaf, len({_WORDS})::BIGINT AS n_tokens FROM documents),
+         coalesce(lang, '') AS language, coalesce(source, '') AS leaf, len({_WORDS})::BIGINT AS n_tokens, md5(coalesce(text, '')) AS text FROM documents),
 supply AS (SELECT domain, language, leaf, sum(n_tokens)::DOUBLE AS n FROM doc GROUP BY ALL),
 {_filled("one", "domain", "1", "SELECT *, (SELECT 0.5 * sum(n) FROM supply) AS b FROM one_child", "domain",
          "CASE domain WHEN 'crawl' THEN 0.4 WHEN 'web' THEN 0.35 ELSE 0.25 END::DOUBLE")},
@@ -107,10 +107,10 @@ plan AS (SELECT s.domain, s.language, s.leaf, s.n::BIGINT AS n, floor(coalesce(t
 part AS (SELECT *, CASE WHEN n > 0 THEN least(2, b // n) ELSE 0 END AS whole FROM plan),
 placed AS (
   SELECT doc.*, part.whole, CASE WHEN whole < 2 THEN b - whole * n ELSE 0 END AS rest,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || whole || ':17'), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text || ':' || whole || ':17'), 1, 15))::BIGINT AS place
   FROM doc JOIN part USING (domain, language, leaf))
 SELECT doc_id, domain, language, leaf, n_tokens,
-       (whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, language, leaf ORDER BY place, doc_id NULLS FIRST, n_tokens
+       (whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, language, leaf ORDER BY place, doc_id NULLS FIRST, text
                                                            ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM placed
 """

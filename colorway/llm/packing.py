@@ -1,6 +1,7 @@
 """Packed token-id matrices by best-fit decreasing.
 
-Documents are encoded, dealt by a hash of their id into packs of about
+Documents are encoded, dealt by a hash of their id and text (so rows without
+an id, or of one id, spread too) into packs of about
 PACK_CHARS characters, and each pack is packed by itself: its documents, cut
 into pieces of at most ``length`` tokens without loss, go from the longest to
 the shortest into the row with the least room that still holds them. The rows'
@@ -159,7 +160,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end: in
         if held:
             yield from _matrix(current, held, length, pad)
 
-    return rows.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs))) \
+    return rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs))) \
         .repartition(tasks, "pack").sortWithinPartitions("pack", "doc_id", "text").mapInArrow(work, _SQL)
 
 

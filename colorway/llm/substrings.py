@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colorway.llm.common import importable, lineage_cut, slices
+from colorway.llm.common import importable, lineage_cut, slices, unused
 
 LENGTH = 13
 RUN = 5
@@ -473,13 +473,14 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             length: int = LENGTH, split: int = SPLIT) -> DataFrame:
     """``docs`` with all columns; a text with words to remove becomes the words
     kept, joined by spaces, and ``size_col`` (if there) its length."""
+    own, marked, gone = unused(docs, "own_id", "text_hash", "spans")
     found = removed(docs, id_col, text_col, length, split).dropDuplicates(["doc_id", "text_hash"]) \
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+        .select(F.col("doc_id").alias(own), F.col("text_hash").alias(marked), F.col("spans").alias(gone))
+    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(marked)), "left")
     words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])))
-    out = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " ")))
+    kept = F.filter(words, lambda w, i: ~F.exists(gone, lambda s: (i >= s["from"]) & (i < s["to"])))
+    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, " ")))
     if size_col in docs.columns:
-        out = out.withColumn(size_col, F.when(F.col("__spans").isNull(), F.col(size_col))
+        out = out.withColumn(size_col, F.when(F.col(gone).isNull(), F.col(size_col))
                              .otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
     return out.select(docs.columns)

@@ -7,7 +7,8 @@ SF = "/root/testdata/sf0.001"
 #: Names that operators use inside; an input's own columns may have them.
 CLASHES = ["score", "label", "order", "shard", "range", "ahead", "bucket", "batch", "words", "row", "rows", "part",
            "pack", "class_id", "digest", "bands", "copies", "root", "rep", "stratum", "lines", "place", "bin",
-           "domain", "language", "leaf", "ids", "url_", "x", "rest", "whole"]
+           "domain", "language", "leaf", "ids", "url_", "x", "rest", "whole", "own_id", "text_hash", "spans", "mark", "n", "many",
+           "kept_id", "kept_mark", "least"]
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
