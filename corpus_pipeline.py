@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colorway.llm import bpe, mixing, near_copies, quality, substrings
-from colorway.llm.common import input_table, scratch_table
+from colorway.llm.common import input_table, scratch_table, unused
 from colorway.llm.queries import MIX, PATTERN, VOCABULARY, domain
 
 #: SQL cannot express the classifier or the tokenizer.
@@ -40,10 +40,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keys = near_copies.survivors(docs).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    kept = docs.withColumn("__text", near_copies.mark(F.col("text"))) \
-        .join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark")), "left_semi")
-    return kept.groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    own, mark, least = unused(docs, "kept_id", "kept_mark", "least")
+    keys = near_copies.survivors(docs).select(F.col("doc_id").alias(own), F.col("mark").alias(mark))
+    kept = docs.withColumn(least, near_copies.mark(F.col("text"))) \
+        .join(keys, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(least) == F.col(mark)), "left_semi")
+    return kept.groupBy("doc_id", least).agg(F.min(F.struct(*docs.columns)).alias(mark)).select(f"{mark}.*")
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
