@@ -32,11 +32,13 @@ SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_remove
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-# The rules' statistics and grid, the risk and error allowed.
+# The rules' statistics, the path's factors and quantiles, the
+# risk and error allowed.
 _RULES = {"symbols": "n_symbols / greatest(word_chars, 1)", "repeated": "n_repeat_words / greatest(n_words, 1)",
           "lines": "n_dup_lines / greatest(n_lines, 1)", "marks": "n_bangs / greatest(n_words, 1)",
           "capitals": "n_capitals / greatest(word_chars, 1)"}
-_GRID = "(0.001), (0.002), (0.005), (0.01), (0.02), (0.03), (0.05), (0.075), (0.1), (0.15), (0.2), (0.25), (0.3), (0.4), (0.5), (0.6), (0.75)"
+_STEPS = ", ".join(f"({k}, {f}, NULL)" for k, f in enumerate((4.0, 3.0, 2.0, 1.5, 1.2, 1.0))) + ", " + \
+    ", ".join(f"({k}, NULL, {q})" for k, q in enumerate((0.999, 0.998, 0.995, 0.99), 6))
 _RISK, _ERROR = 0.02, 0.05
 
 _STATISTICS = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{rule}' AS rule, {k} AS nth, ({e})::DOUBLE AS x FROM base"
@@ -59,16 +61,24 @@ counted AS (
   FROM d LEFT JOIN again ON again.doc_id = d.doc_id),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
 stat AS ({_STATISTICS}),
-good AS (SELECT stat.* FROM stat WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-grid(cutoff) AS (VALUES {_GRID}),
-hit AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE x > cutoff) AS k FROM good, grid GROUP BY ALL),
-level AS (SELECT {_ERROR} / (count(DISTINCT stratum) * {len(_RULES)}) AS level, {_RISK} / {len(_RULES)} AS p FROM good),
-tail AS (SELECT stratum, rule, cutoff, level, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
+good AS (SELECT stat.*, ('0x' || substr(md5(stat.doc_id::VARCHAR), 1, 8))::BIGINT % 10 < 2 AS on_path
+         FROM stat WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+step(step, factor, quantile) AS (VALUES {_STEPS}),
+cell AS (SELECT rule, least(ceil(x * 1000), 100000) AS x, count(*) AS n FROM good WHERE on_path GROUP BY ALL),
+grown AS (SELECT *, sum(n) OVER (PARTITION BY rule ORDER BY x) AS through, sum(n) OVER (PARTITION BY rule) AS total FROM cell),
+cutoff AS (SELECT rule, step, CASE WHEN factor IS NOT NULL THEN max(x) * any_value(factor)::DOUBLE / 1000
+                  ELSE min(x) FILTER (WHERE through >= ceil(total * quantile::DOUBLE)) / 1000 END AS cutoff
+           FROM grown, step GROUP BY rule, step, factor),
+hit AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (WHERE is_hit) AS k
+        FROM (SELECT stratum, doc_id, step, bool_or(x > cutoff) AS is_hit FROM good JOIN cutoff USING (rule) WHERE NOT on_path GROUP BY ALL)
+        GROUP BY ALL),
+level AS (SELECT {_ERROR} / count(DISTINCT stratum) AS level, {_RISK}::DOUBLE AS p FROM hit),
+tail AS (SELECT stratum, step, level, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
                 - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln(p) + (n - i) * ln(1 - p)))
          FROM (SELECT unnest(range(0, k + 1)) AS i)) AS tail FROM hit, level),
-allowed AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (
-              SELECT *, bool_and(tail <= level) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM tail)
-            WHERE ok GROUP BY stratum, rule),
+taken AS (SELECT stratum, max(step) AS step FROM (
+            SELECT *, bool_and(tail <= level) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tail) WHERE ok GROUP BY stratum),
+allowed AS (SELECT stratum, rule, cutoff FROM taken JOIN cutoff USING (step)),
 bad AS (SELECT doc_id, string_agg(stat.rule, ',' ORDER BY nth) AS rules FROM stat JOIN allowed
         ON allowed.stratum = stat.stratum AND allowed.rule = stat.rule AND stat.x > allowed.cutoff GROUP BY doc_id)
 SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,24 +1,28 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-``base`` counts what the rules look at. A rule rejects a text whose statistic
-exceeds a cutoff. Cutoffs are chosen per stratum (language; null counts as the
-empty name) from a fixed grid, on the labelled good texts that are set aside
-for this. Each rule tests its cutoffs from the loosest to the strictest, and
-stops at the first one for which an exact one-sided binomial test does not
-reject "this would reject more than ``risk`` / number of rules of the good
-texts" (a fixed sequence, which needs no correction among cutoffs). The level
-is ``error`` / (strata * rules), Bonferroni's correction among the sequences.
-So with probability 1 - ``error`` all chosen cutoffs hold at once, and together
-the rules falsely reject at most a share ``risk`` per stratum. The strictest
-cutoff that passed is taken; a stratum with none, such as one with few labels,
-has no such rule. A text is kept if it passes the base rules and its
+``base`` counts what the rules look at. A text is rejected if any of its
+statistics exceeds that statistic's cutoff. The cutoffs form one nested path of
+vectors, from the loosest to the strictest: FACTORS times the largest value
+among good texts, then their QUANTILES. The path is fixed by PATH_SHARE of the
+labelled good texts (by a hash of the id, all strata together); the others
+test it, per stratum (language; null counts as the empty name). A stratum
+tests its vectors in the path's order and stops at the first one for which an
+exact one-sided binomial test does not reject "this vector rejects more than
+``risk`` of the good texts" (a fixed sequence, which needs no correction among
+vectors, since none of its texts helped to fix it). The level is ``error`` /
+strata, Bonferroni's correction. So with probability 1 - ``error`` the vectors
+chosen falsely reject at most a share ``risk`` in every stratum at once. The
+strictest vector that passed is taken; a stratum with none, such as one with
+few labels, has no rule. A text is kept if it passes the base rules and its
 stratum's.
 
-The number of strata is not limited. What reaches the driver is one count for
-each rule and cutoff of the strata that have enough good texts for a rule that
-rejects none of them to pass (``least_texts``); the others can have no rule,
-but count among the strata of the correction. The cutoffs go back as a table
-that is joined.
+For the path a statistic is counted on a grid of 1 / GRID up to MOST, so that a
+few thousand counts, not the texts, decide its quantiles; the path itself, at
+most some 50 numbers, reaches the driver. The number of strata is not limited:
+of those that have enough good texts for a rule that rejects none of them to
+pass (``least_texts``), a count for each vector reaches the driver; the others
+can have no rule, but count among the strata of the correction. The cutoffs go
+back as a table that is joined.
 
 Defined results: a null text is an empty text: it has no words and fails.
 Repeated rows get equal rows; a null id stays. Without labels only the base
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colorway.llm.common import lineage_cut
@@ -44,8 +48,11 @@ RULES = {
     "marks": "n_bangs / greatest(n_words, 1)",
     "capitals": "n_capitals / greatest(word_chars, 1)",
 }
-#: The grid: each rule's cutoffs, ascending.
-CUTOFFS = tuple(round(x / 1000, 3) for x in (1, 2, 5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 750))
+#: The path: multiples of the largest value among good texts, then quantiles.
+FACTORS = (4.0, 3.0, 2.0, 1.5, 1.2, 1.0)
+QUANTILES = (0.999, 0.998, 0.995, 0.99)
+PATH_SHARE = 2  # tenths of the labelled good texts; the fewer, the more are left to test
+GRID, MOST = 1000, 100
 
 
 def _let(value: Column, use) -> Column:
@@ -118,25 +125,56 @@ def least_texts(level: float, p: float) -> int:
     return max(0, math.floor(math.log(level) / math.log1p(-p)))
 
 
-def thresholds(stats: DataFrame, good: DataFrame, risk: float = 0.02, error: float = 0.05) -> dict[str, dict[str, float]]:
+def fixes_path(doc_id: Column, salt: str = "") -> Column:
+    """Whether a labelled text helps to fix the path; the others test it."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), doc_id.cast("string"))), 1, 8), 16, 10).cast("long") % 10 < PATH_SHARE
+
+
+def path(good: DataFrame) -> list[dict[str, float]]:
+    """Vectors of cutoffs by rule, loosest first, from ``base``'s rows of good
+    texts; empty without any."""
+    values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.ceil(F.expr(e) * GRID), F.lit(MOST * GRID)).alias("x"))
+                                 for r, e in RULES.items()])).alias("v")
+    counted = good.select(values).groupBy("v.rule", "v.x").agg(F.count(F.lit(1)).alias("n"))  # at most MOST * GRID values a rule
+    order = Window.partitionBy("rule")
+    counted = counted.withColumn("through", F.sum("n").over(order.orderBy("x"))).withColumn("all", F.sum("n").over(order))
+    at = [F.min(F.when(F.col("through") >= F.ceil(F.col("all") * q), F.col("x"))).alias(f"q{k}") for k, q in enumerate(QUANTILES)]
+    found = {r["rule"]: r for r in counted.groupBy("rule").agg(F.max("x").alias("most"), *at).collect()}  # a row for each rule
+    if not found:
+        return []
+    return [{r: found[r]["most"] * f / GRID for r in RULES} for f in FACTORS] + \
+        [{r: found[r][f"q{k}"] / GRID for r in RULES} for k in range(len(QUANTILES))]
+
+
+def strictest(n: int, rejected: list[int], risk: float, level: float) -> int | None:
+    """Which vector of the path a stratum takes: the last one before the test
+    fails, of ``n`` good texts that the vectors reject ``rejected`` of."""
+    taken = None
+    for k, r in enumerate(rejected):
+        if binomial_tail(r, n, risk) > level:
+            break
+        taken = k
+    return taken
+
+
+def thresholds(stats: DataFrame, good: DataFrame, risk: float = 0.02, error: float = 0.05, salt: str = "") -> dict[str, dict[str, float]]:
     """stratum -> rule -> cutoff, from ``base``'s rows and the ids of good
     texts. The rows that fail the base rules are left out: those are rejected
     anyway."""
-    held = stats.join(good.select("doc_id").distinct(), "doc_id", "left_semi").where(~F.col("base_failed"))
-    counts = [F.sum((F.expr(e) > c).cast("int")).alias(f"{r}_{k}") for r, e in RULES.items() for k, c in enumerate(CUTOFFS)]
-    by_stratum = lineage_cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))  # used twice
+    held = lineage_cut(stats.join(good.select("doc_id").distinct(), "doc_id", "left_semi").where(~F.col("base_failed"))
+                       .withColumn("on_path", fixes_path(F.col("doc_id"), salt)))  # used for the path and the tests
+    vectors = path(held.where("on_path"))
+    hits = [F.sum(F.greatest(*[(F.expr(e) > F.lit(v[r])).cast("int") for r, e in RULES.items()])).alias(f"r{k}") for k, v in enumerate(vectors)]
+    by_stratum = lineage_cut(held.where("NOT on_path").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits))  # used twice
     strata = by_stratum.count()
-    if not strata:
+    if not strata or not vectors:
         return {}
-    level, each = error / (strata * len(RULES)), risk / len(RULES)
-    found = by_stratum.where(F.col("n") >= least_texts(level, each)).orderBy("stratum").collect()
+    level = error / strata
     out: dict[str, dict[str, float]] = {}
-    for row in found:
-        for rule in RULES:
-            for k in reversed(range(len(CUTOFFS))):
-                if binomial_tail(row[f"{rule}_{k}"], row["n"], each) > level:
-                    break
-                out.setdefault(row["stratum"], {})[rule] = CUTOFFS[k]
+    for row in by_stratum.where(F.col("n") >= least_texts(level, risk)).orderBy("stratum").collect():
+        taken = strictest(row["n"], [row[f"r{k}"] for k in range(len(vectors))], risk, level)
+        if taken is not None:
+            out[row["stratum"]] = vectors[taken]
     return out
 
 
@@ -152,11 +190,11 @@ def judge(stats: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
 
 
 def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", stratum_col: str = "lang", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+          label_col: str = "quality", stratum_col: str = "lang", risk: float = 0.02, error: float = 0.05, salt: str = "") -> DataFrame:
     """One row per row of ``docs`` with its counts, base_failed, kept and
     rejected_by."""
     stats = lineage_cut(base(docs, id_col, text_col, stratum_col))  # used twice: for the cutoffs and the verdicts
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id"))
-    judged = judge(stats, thresholds(stats, good, risk, error))
+    judged = judge(stats, thresholds(stats, good, risk, error, salt))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
