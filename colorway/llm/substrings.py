@@ -23,11 +23,18 @@ Anchors only propose and route; what is removed, the automaton has matched
 word by word.
 
 Skew: a batch sends one entry for an anchor however many of its documents have
-it. An anchor in more than SPLIT documents has its stretches dealt over
-several shards by id; each returns what was new to it, and a second round of
-the same step over those parts finds the rest. Memory: a task holds one batch
-(at most BATCH_ROWS documents, or BATCH_CHARS characters and one document), or
-one bucket's entries, or the stretches and automaton of one shard.
+it. The windows around an anchor that more than SPLIT documents have do not go
+to a shard: their words are hashed (128 bits) and each hash's smallest
+document is found by an aggregate and a join on hashes, which Spark combines
+and splits; so a common phrase in ever other contexts meets nothing. A shard
+thus holds at most SPLIT stretches for each anchor of its first document.
+Memory: a task holds one batch (at most BATCH_ROWS documents, or BATCH_CHARS
+characters and one document), or one bucket's entries, or the stretches and
+automaton of one shard.
+
+The method calls for broadcast automata of reference shards. Automata of a
+whole corpus cannot be broadcast, so each shard's automaton stays in its task
+and the anchors bring it the stretches that can match.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; null texts have
 none. Rows of one id never remove words from each other. A null id counts as
@@ -198,10 +205,9 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _shard(stretches: list[tuple], length: int) -> Iterator[tuple[tuple, list[tuple[int, int]], list[tuple[int, int]]]]:
+def _shard(stretches: list[tuple], length: int) -> Iterator[tuple[tuple, list[tuple[int, int]]]]:
     """For stretches (id, ..., words as bytes last) of one first document:
-    each with the spans of words that smaller documents have too, and the
-    spans that were new."""
+    each with the spans of words that smaller documents have too."""
     ids: dict[bytes, int] = {}
     automaton = Automaton()
     seen: dict[bytes, int] = {}
@@ -216,14 +222,13 @@ def _shard(stretches: list[tuple], length: int) -> Iterator[tuple[tuple, list[tu
             text = s[-1]
             words = text.split()
             if seen.get(text, s[0]) < s[0]:  # a smaller document had the very same stretch
-                yield s, [(0, len(words))], []
+                yield s, [(0, len(words))]
                 continue
             seen.setdefault(text, s[0])
             coded = [ids.setdefault(w, len(ids)) for w in words]
             ends = automaton.matched(coded, length)
-            new = [(a, b + length - 1) for a, b in _runs(~ends[length - 1:])]
-            fresh += [coded[a:b] for a, b in new]
-            yield s, _runs(_covered(ends, length)), new
+            fresh += [coded[a:b + length - 1] for a, b in _runs(~ends[length - 1:])]
+            yield s, _runs(_covered(ends, length))
         for words in fresh:
             automaton.add(words)
         start = end
@@ -297,7 +302,7 @@ def _batches(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
 def _answers(table: pa.Table, split: int) -> pa.Table:
     """Step 2: for each batch, its anchors that two documents have, with the
-    first document and the number of shards."""
+    first document and whether more than ``split`` have it."""
     h, d, c, who = [], [], [], []
     batches = table["batch"].to_pylist()
     for k, (ids, body) in enumerate(zip(table["ids"].to_pylist(), table["body"].to_pylist())):
@@ -315,7 +320,7 @@ def _answers(table: pa.Table, split: int) -> pa.Table:
     first, total = np.minimum.reduceat(d, start), np.add.reduceat(c, start)
     last = np.maximum.reduceat(d, start)
     repeated = np.repeat((last > first) | (total > sizes), sizes)
-    shards = np.minimum(-(-total // split), 65535)
+    shards = np.where(total > split, 2, 1)
     h, who = h[repeated], who[repeated]
     first, shards = np.repeat(first, sizes)[repeated], np.repeat(shards, sizes)[repeated]
     order = np.lexsort((h, who))
@@ -332,8 +337,9 @@ def _answers(table: pa.Table, split: int) -> pa.Table:
 
 
 def _stretches(packed: pa.Table, answers: pa.Table, length: int) -> pa.Table:
-    """Step 3: (first, shards, shard, id, batch, row, at, words) of a batch."""
-    rows: dict[str, list] = {k: [] for k in ("first", "shards", "shard", "id", "batch", "row", "at", "words")}
+    """Step 3: (first, shard, id, batch, row, at, words) of a batch; shard 0 has
+    windows around common anchors, with the words' hash."""
+    rows: dict[str, list] = {k: [] for k in ("first", "shard", "id", "batch", "row", "at", "words")}
     if len(packed) and len(answers):
         parts = list(zip(answers["answer"].to_pylist(), answers["n"].to_pylist()))
         h = np.concatenate([_long(p[:6 * k]) for p, k in parts])
@@ -349,48 +355,56 @@ def _stretches(packed: pa.Table, answers: pa.Table, length: int) -> pa.Table:
         at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
         known = h[at] == hashes
         doc, place, at = doc[known], place[known], at[known]
-        first, shards = f[at], s[at].astype(np.int64)
+        first, common = f[at], s[at] > 1
+
+        def add(*values) -> None:
+            for key, value in zip(rows, values, strict=True):
+                rows[key].append(value)
+
+        # windows around common anchors, each once, by hash
+        seen = np.unique(np.concatenate([doc[common] << 32 | np.maximum(place[common] - k, 0) for k in range(length - RUN + 1)]))
+        for k, p in zip((seen >> 32).tolist(), (seen & 0xFFFFFFFF).tolist()):
+            if p + length <= len(docs[k]):
+                add(0, 0, ids[k], number, k, p, xxhash.xxh3_128_digest(b" ".join(docs[k][p:p + length])))
+        doc, place, first = doc[~common], place[~common], first[~common]
         # neighbouring anchors of one first document make one stretch
-        new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shards[1:] != shards[:-1])
-                        | (place[1:] - place[:-1] > length)) if len(doc) else np.zeros(0, bool)
+        new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] - place[:-1] > length)) if len(doc) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(doc))[:len(starts)].tolist()):
             k = int(doc[a])
             low = max(0, int(place[a]) - (length - RUN))
-            words = docs[k][low:int(place[b - 1]) + length]
-            parts_ = int(shards[a])
-            for key, value in (("first", int(first[a])), ("shards", parts_), ("shard", ids[k] % parts_), ("id", ids[k]),
-                               ("batch", number), ("row", k), ("at", low), ("words", b" ".join(words))):
-                rows[key].append(value)
+            add(int(first[a]), 1, ids[k], number, k, low, b" ".join(docs[k][low:int(place[b - 1]) + length]))
     return _table({k: (v, pa.binary() if k == "words" else pa.int64()) for k, v in rows.items()})
 
 
-_STRETCH = "first long, shards long, shard long, id long, batch long, row long, at long, words binary"
+_STRETCH = "first long, shard long, id long, batch long, row long, at long, words binary"
 
 
 def _matches(table: pa.Table, length: int) -> pa.Table:
-    """Step 4: rows (batch, row, at, to) of words found, with no words; and of
-    what was new in a shard that is one of several, with its words."""
-    names = ("first", "shards", "shard", "id", "batch", "row", "at", "words")
-    groups: dict[tuple, list[tuple]] = {}
-    for first, shards, shard, *rest in zip(*(table[k].to_pylist() for k in names), strict=True):
-        groups.setdefault((first, shards, shard), []).append(tuple(rest))
-    rows: dict[str, list] = {k: [] for k in ("first", "shards", "id", "batch", "row", "at", "to", "words")}
+    """Step 4: rows (batch, row, at, to) of words found; the windows of shard 0
+    go on as they are, with their hash."""
+    rows: dict[str, list] = {k: [] for k in ("id", "batch", "row", "at", "to", "hash")}
+
+    def add(*values) -> None:
+        for key, value in zip(rows, values, strict=True):
+            rows[key].append(value)
+
+    groups: dict[int, list[tuple]] = {}
+    for first, shard, *rest in zip(*(table[k].to_pylist() for k in ("first", "shard", "id", "batch", "row", "at", "words")), strict=True):
+        if shard:
+            groups.setdefault(first, []).append(tuple(rest))
+        else:
+            i, batch, row, at, digest = rest
+            add(i, batch, row, at, at + length, digest)
     while groups:
-        (first, shards, _), stretches = groups.popitem()
-        for (i, batch, row, at, text), found, new in _shard(stretches, length):
-            spans = [(a, b, None) for a, b in found]
-            if shards > 1:
-                words = text.split()
-                spans += [(a, b, b" ".join(words[a:b])) for a, b in new]
-            for a, b, words in spans:
-                for key, value in (("first", first), ("shards", shards), ("id", i), ("batch", batch), ("row", row),
-                                   ("at", at + a), ("to", at + b), ("words", words)):
-                    rows[key].append(value)
-    return _table({k: (v, pa.binary() if k == "words" else pa.int64()) for k, v in rows.items()})
+        _, stretches = groups.popitem()
+        for (i, batch, row, at, _), found in _shard(stretches, length):
+            for a, b in found:
+                add(i, batch, row, at + a, at + b, None)
+    return _table({k: (v, pa.binary() if k == "hash" else pa.int64()) for k, v in rows.items()})
 
 
-_MATCH = "first long, shards long, id long, batch long, row long, at long, to long, words binary"
+_MATCH = "id long, batch long, row long, at long, to long, hash binary"
 
 
 def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, bytes, list[bytes], np.ndarray]]:
@@ -421,15 +435,14 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, split: int,
     answers = first.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answers(t, split), "batch long, answer binary, n long")
     stretches = packed.groupBy("batch").cogroup(answers.groupBy("batch")) \
         .applyInArrow(lambda a, b: _stretches(a, b, length), _STRETCH)
-    # several first documents share a task; a split one has tasks of its own
-    own = F.when(F.col("shards") > 1, F.xxhash64("first", "shards", "shard")) \
+    # several first documents share a task; windows of common anchors only pass through, spread over all
+    own = F.when(F.col("shard") == 0, F.pmod(F.xxhash64("batch", "row"), F.lit(16 * buckets))) \
         .otherwise(F.pmod(F.xxhash64("first"), F.lit(16 * buckets)))
-    found = lineage_cut(stretches.withColumn("task", own).groupBy("task")
-                        .applyInArrow(lambda t: _matches(t, length), _MATCH))
-    again = found.where("words IS NOT NULL").groupBy("first", "shards") \
-        .applyInArrow(lambda t: _matches(t.append_column("shard", pa.array([0] * len(t), pa.int64()))
-                                         .set_column(1, "shards", pa.array([1] * len(t), pa.int64())), length), _MATCH)
-    spans = found.where("words IS NULL").select("batch", "row", "at", "to").union(again.select("batch", "row", "at", "to"))
+    found = lineage_cut(stretches.withColumn("task", own).groupBy("task").applyInArrow(lambda t: _matches(t, length), _MATCH))
+    common = found.where("hash IS NOT NULL")
+    low = common.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
+    again = common.join(low, "hash").where("low < id")
+    spans = found.where("hash IS NULL").select("batch", "row", "at", "to").union(again.select("batch", "row", "at", "to"))
     return packed.groupBy("batch").cogroup(spans.groupBy("batch")) \
         .applyInArrow(lambda a, b: finish(_kept(a, b)), schema)
 

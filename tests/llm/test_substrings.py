@@ -107,3 +107,29 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in table(spark, "documents", sf).collect()]
     assert result(op7_suffix_automata(spark, sf)) == brute_force(rows)
+
+
+def test_a_common_phrase_in_ever_other_contexts(spark):
+    """Its anchors are common, no window is: nothing goes, and no stretch of it
+    is sent to a shard. With a longer phrase the windows inside go."""
+    rng = random.Random(9)
+    for size, gone in ((5, False), (16, True)):
+        phrase = words(rng, size)
+        rows = [(i, " ".join((words(rng, 14), phrase, words(rng, 14)))) for i in range(300)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = result(ss.digests(df, split=20))
+        assert got == brute_force(rows) and any(r[2] for r in got) == gone
+        batch = list(ss._batches(df.select("doc_id", rowbinary(df)).coalesce(1), 1, ss.LENGTH).toArrow().to_batches())
+        table_ = ss.pa.Table.from_batches(batch)
+        packed, entries = table_.filter(ss.pa.compute.less(table_["bucket"], 0)), table_.filter(ss.pa.compute.equal(table_["bucket"], 0))
+        stretches = ss._stretches(packed, ss._answers(entries, 20), ss.LENGTH).to_pylist()
+        per_shard = {}
+        for r in stretches:
+            if r["shard"]:
+                per_shard[r["first"]] = per_shard.get(r["first"], 0) + 1
+        assert max(per_shard.values(), default=0) <= 20
+        assert all(len(r["words"]) == 16 for r in stretches if not r["shard"])
+
+
+def rowbinary(df):
+    return df["text"].cast("binary").alias("text")
