@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from colorway.llm.common import lineage_cut, row_mark, unused
 
 BINS = 1024
+SALT = 64
 LEVELS = ("domain", "language", "leaf")
 
 
@@ -113,7 +114,9 @@ def _selected(docs: DataFrame, target: Target, domain: Callable[[Column], Column
     whole = F.when(F.col("n") > 0, F.least(F.lit(target.epochs).cast("long"), F.expr("budget div nullif(n, 0)"))).otherwise(F.lit(0).cast("long"))
     plan = plan.withColumn("whole", whole).select(*LEVELS, "whole", F.when(
         F.col("whole") < target.epochs, F.col("budget") - F.col("whole") * F.col("n")).otherwise(F.lit(0).cast("long")).alias("rest"))
-    dealt = rows.join(plan, list(LEVELS))
+    # a hot leaf's rows meet its plan in SALT tasks
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALT)).cast("int")).join(plan, [*LEVELS, "salt"]).drop("salt")
 
     # only leaves that an epoch takes in part need an order
     order = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.col("whole"), F.lit(target.seed))
