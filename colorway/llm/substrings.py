@@ -48,6 +48,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -338,7 +339,8 @@ def _answers(table: pa.Table, split: int) -> pa.Table:
 
 def _stretches(packed: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     """Step 3: (first, shard, id, batch, row, at, words) of a batch; shard 0 has
-    windows around common anchors, with the words' hash."""
+    hashes of windows around common anchors: the largest id as first, the
+    smallest as id, and hash and places as words."""
     rows: dict[str, list] = {k: [] for k in ("first", "shard", "id", "batch", "row", "at", "words")}
     if len(packed) and len(answers):
         parts = list(zip(answers["answer"].to_pylist(), answers["n"].to_pylist()))
@@ -361,11 +363,16 @@ def _stretches(packed: pa.Table, answers: pa.Table, length: int) -> pa.Table:
             for key, value in zip(rows, values, strict=True):
                 rows[key].append(value)
 
-        # windows around common anchors, each once, by hash
+        # windows around common anchors: each hash once, with its places in this batch
         seen = np.unique(np.concatenate([doc[common] << 32 | np.maximum(place[common] - k, 0) for k in range(length - RUN + 1)]))
-        for k, p in zip((seen >> 32).tolist(), (seen & 0xFFFFFFFF).tolist()):
+        places: dict[bytes, list[int]] = {}
+        for at_ in seen.tolist():
+            k, p = at_ >> 32, at_ & 0xFFFFFFFF
             if p + length <= len(docs[k]):
-                add(0, 0, ids[k], number, k, p, xxhash.xxh3_128_digest(b" ".join(docs[k][p:p + length])))
+                places.setdefault(xxhash.xxh3_128_digest(b" ".join(docs[k][p:p + length])), []).append(at_)
+        for digest, held in places.items():
+            own = [ids[x >> 32] for x in held]
+            add(max(own), 0, min(own), number, 0, 0, digest + np.array(held, "<u8").tobytes())
         doc, place, first = doc[~common], place[~common], first[~common]
         # neighbouring anchors of one first document make one stretch
         new = np.append(True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] - place[:-1] > length)) if len(doc) else np.zeros(0, bool)
@@ -381,9 +388,9 @@ _STRETCH = "first long, shard long, id long, batch long, row long, at long, word
 
 
 def _matches(table: pa.Table, length: int) -> pa.Table:
-    """Step 4: rows (batch, row, at, to) of words found; the windows of shard 0
-    go on as they are, with their hash."""
-    rows: dict[str, list] = {k: [] for k in ("id", "batch", "row", "at", "to", "hash")}
+    """Step 4: rows (batch, row, at, to) of words found; the hashes of shard 0
+    go on as they are, with their smallest and largest id and places."""
+    rows: dict[str, list] = {k: [] for k in ("id", "most", "batch", "row", "at", "to", "hash", "places")}
 
     def add(*values) -> None:
         for key, value in zip(rows, values, strict=True):
@@ -394,20 +401,20 @@ def _matches(table: pa.Table, length: int) -> pa.Table:
         if shard:
             groups.setdefault(first, []).append(tuple(rest))
         else:
-            i, batch, row, at, digest = rest
-            add(i, batch, row, at, at + length, digest)
+            i, batch, _, _, held = rest
+            add(i, first, batch, None, None, None, held[:16], held[16:])
     while groups:
         _, stretches = groups.popitem()
         for (i, batch, row, at, _), found in _shard(stretches, length):
             for a, b in found:
-                add(i, batch, row, at + a, at + b, None)
-    return _table({k: (v, pa.binary() if k == "hash" else pa.int64()) for k, v in rows.items()})
+                add(i, None, batch, row, at + a, at + b, None, None)
+    return _table({k: (v, pa.binary() if k in ("hash", "places") else pa.int64()) for k, v in rows.items()})
 
 
-_MATCH = "id long, batch long, row long, at long, to long, hash binary"
+_MATCH = "id long, most long, batch long, row long, at long, to long, hash binary, places binary"
 
 
-def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, bytes, list[bytes], np.ndarray]]:
+def _kept(packed: pa.Table, spans: pa.Table, length: int) -> Iterator[tuple[int | None, bytes, list[bytes], np.ndarray]]:
     """(id, text, words, which stay) of a batch's documents."""
     if not len(packed):
         return
@@ -417,10 +424,19 @@ def _kept(packed: pa.Table, spans: pa.Table) -> Iterator[tuple[int | None, bytes
     sizes = [len(d) for d in docs]
     base = np.cumsum([0, *sizes])
     gone = np.zeros(int(base[-1]) + 1, np.int64)
-    if len(spans):
-        row, at, to = (spans[k].to_numpy() for k in ("row", "at", "to"))
+    known = spans.filter(pc.is_valid(spans["row"])) if len(spans) else spans
+    if len(known):
+        row, at, to = (known[k].to_numpy() for k in ("row", "at", "to"))
         np.add.at(gone, base[row] + at, 1)
         np.add.at(gone, base[row] + to, -1)
+    common = spans.filter(pc.is_valid(spans["places"])).select(["low", "places"]) if len(spans) else spans
+    if len(common):
+        held = common["places"].to_pylist()
+        place = np.frombuffer(b"".join(held), "<u8").astype(np.int64)
+        row, at = place >> 32, place & 0xFFFFFFFF
+        later = np.repeat(common["low"].to_numpy(), [len(h) // 8 for h in held]) < np.array(ids, np.int64)[row]
+        np.add.at(gone, base[row[later]] + at[later], 1)
+        np.add.at(gone, base[row[later]] + at[later] + length, -1)
     stays = np.cumsum(gone)[:-1] == 0
     for k, words in enumerate(docs):
         yield None if ids[k] == _NULL else ids[k], bodies[k], words, stays[base[k]:base[k + 1]]
@@ -439,12 +455,13 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, split: int,
     own = F.when(F.col("shard") == 0, F.pmod(F.xxhash64("batch", "row"), F.lit(16 * buckets))) \
         .otherwise(F.pmod(F.xxhash64("first"), F.lit(16 * buckets)))
     found = lineage_cut(stretches.withColumn("task", own).groupBy("task").applyInArrow(lambda t: _matches(t, length), _MATCH))
-    common = found.where("hash IS NOT NULL")
-    low = common.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
-    again = common.join(low, "hash").where("low < id")
-    spans = found.where("hash IS NULL").select("batch", "row", "at", "to").union(again.select("batch", "row", "at", "to"))
+    # a batch has one row for a hash, however many of its documents have it
+    low = found.where("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("low"), F.max("most").alias("high")) \
+        .where("low < high").select("hash", "low")
+    again = found.where("hash IS NOT NULL").join(low, "hash").where("low < most").select("batch", "low", "places")
+    spans = found.where("hash IS NULL").select("batch", "row", "at", "to").unionByName(again, allowMissingColumns=True)
     return packed.groupBy("batch").cogroup(spans.groupBy("batch")) \
-        .applyInArrow(lambda a, b: finish(_kept(a, b)), schema)
+        .applyInArrow(lambda a, b: finish(_kept(a, b, length)), schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

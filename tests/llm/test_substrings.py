@@ -128,7 +128,8 @@ def test_a_common_phrase_in_ever_other_contexts(spark):
             if r["shard"]:
                 per_shard[r["first"]] = per_shard.get(r["first"], 0) + 1
         assert max(per_shard.values(), default=0) <= 20
-        assert all(len(r["words"]) == 16 for r in stretches if not r["shard"])
+        hashes = [r["words"][:16] for r in stretches if not r["shard"]]
+        assert len(set(hashes)) == len(hashes)  # each once for a batch
 
 
 def rowbinary(df):
