@@ -8,11 +8,17 @@ the smallest hash of the text) stands for it. The sets of the representatives ge
 threshold meets in a band with the target probability. Representatives are
 shuffled on their band hashes; all that share one get an edge to the smallest
 number among them, so a band of n members gives n - 1 edges, not n * n. Connected
-components of these edges are the candidate groups, and within a group every
-pair is verified on the full sets. Verification deals a group over tasks: its
-members fall into blocks of about BLOCK, and each pair of blocks is compared
-by one task with a matrix product of their shingle incidences. A task returns
-link counts and a spanning forest of its links, never pairs.
+components of these edges are rough groups. Texts with little in common can
+form a large one (a third of their words from one template is enough), so a
+rough group of more than FEW members is refined: its members meet again in each
+band that they share, with sketches of 64 bytes (two bits of each MinHash
+value), and only pairs whose sketches agree as often as those of linked texts
+hold together. Components of these are the candidate groups (``candidates``),
+and within one every pair is verified on the full sets. Both comparisons deal a
+large group or band over tasks: its members fall into blocks, and each pair of
+blocks is compared by one task, sketches by bit counts, sets with a matrix
+product of their shingle incidences. A task returns link counts and spanning
+forests, never pairs.
 
 ``join`` returns one row per row of ``docs``: doc_id, class_id (the smallest
 id of the component of linked texts), copies (rows with an equal set) and
@@ -27,6 +33,7 @@ columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +50,9 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 HASHES = 256
 BLOCK = 1000
+FEW = 64
+SKETCH_BLOCKS = 4  # blocks of sketches are so many times as large as those of sets
+SKETCH_LOSS = 1e-9
 WORDS_KEPT = 150_000
 _COLUMNS = 2048  # shingles in one matrix product
 
@@ -92,11 +102,16 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, hashes:
     return hashes, 1
 
 
-def _band_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.ndarray:
+def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """MinHash values of a set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 2048):
         np.minimum(low, (a[:, None] * x[None, k:k + 2048] + b[:, None]).min(axis=1), out=low)
+    return low
+
+
+def _banded(low: np.ndarray, bands: int) -> np.ndarray:
     v = low.reshape(bands, -1).astype(np.uint64)
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(v.shape[1]):
@@ -104,26 +119,57 @@ def _band_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.
     return out.view(np.int64)
 
 
+def _band_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.ndarray:
+    return _banded(_minima(s, a, b), bands)
+
+
+def sketch(low: np.ndarray) -> bytes:
+    """Two bits of a hash of each MinHash value: all first bits, then all second ones."""
+    bits = np.zeros((2, -(-len(low) // 64) * 64), np.uint8)
+    mixed = _mix(low.astype(np.uint64) * _C + _B)
+    bits[0, :len(low)] = mixed & np.uint64(1)
+    bits[1, :len(low)] = (mixed >> np.uint64(1)) & np.uint64(1)
+    return np.packbits(bits, axis=1).tobytes()
+
+
+def most_unlike(values: int, threshold: float = THRESHOLD, loss: float = SKETCH_LOSS) -> int:
+    """How many of a sketch's values may differ, so that a pair at the
+    threshold differs in more with probability ``loss`` at most. A value
+    differs if the MinHash values do (1 - threshold) and their two bits too."""
+    p = (1 - threshold) * 3 / 4
+    left, k = 1.0, 0
+    while k < values:
+        left -= math.comb(values, k) * p ** k * (1 - p) ** (values - k)
+        if left <= loss:
+            break
+        k += 1
+    return k
+
+
 def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark, digest, bands): digest of the shingle set (null if empty)
-    and the band hashes, for ``docs`` (doc_id, mark, text)."""
+    """(doc_id, mark, digest, bands, sketch): digest of the shingle set (null if
+    empty), band hashes and sketch, for ``docs`` (doc_id, mark, text)."""
     bands, rows = bands_and_rows(threshold, recall)
     rng = np.random.default_rng(7)
     a = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())),
+                        ("sketch", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, size) for t in texts(batch)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            values = [_band_hashes(s, a, b, bands) if len(s) else np.zeros(0, np.int64) for s in sets]
+            minima = [_minima(s, a, b) if len(s) else None for s in sets]
+            values = [np.zeros(0, np.int64) if m is None else _banded(m, bands) for m in minima]
+            sketches = [None if m is None else sketch(m) for m in minima]
             offsets = pa.array(np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()),
-                                              pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], schema=schema)
+                                              pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.array(sketches, pa.binary())],
+                                             schema=schema)
 
-    return docs.mapInArrow(work, "doc_id long, mark binary, digest binary, bands array<long>")
+    return docs.mapInArrow(work, "doc_id long, mark binary, digest binary, bands array<long>, sketch binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -188,6 +234,46 @@ def _forest(ids: list[int], linked: np.ndarray, other: list[int] | None) -> list
     return out
 
 
+def _alike(names: np.ndarray, sketches: np.ndarray, side: np.ndarray | None, most: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs whose sketches differ in ``most``
+    values at most (pairs of two sides only, if given): each node with the
+    smallest one of its component. What is connected is not compared again."""
+    order = np.argsort(names, kind="stable")
+    names, sketches = names[order], sketches[order]
+    side = None if side is None else side[order]
+    first, second = np.split(sketches, 2, axis=1)
+    free = np.ones(len(names), bool)
+    out = []
+    for start in range(len(names)):
+        if not free[start]:
+            continue
+        free[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            others = np.flatnonzero(free if side is None else free & (side != side[i]))
+            if len(others):
+                unlike = np.bitwise_count((first[others] ^ first[i]) | (second[others] ^ second[i])).sum(axis=1)
+                found = others[unlike <= most]
+                free[found] = False
+                todo += found.tolist()
+                out += [(int(names[j]), int(names[start])) for j in found]
+    return out
+
+
+def _refine(table: pa.Table, most: int) -> pa.Table:
+    """One task's share of the bands: whole small ones, or a pair of blocks of one."""
+    band, node, block = (table[c].to_numpy() for c in ("band", "node", "block"))
+    sketches = np.array([np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()])
+    one, two = table["one"][0].as_py(), table["two"][0].as_py()
+    order = np.argsort(band, kind="stable")
+    edges = []
+    for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+        edges += _alike(node[rows], sketches[rows], None if one == two else block[rows] == two, most)
+    a, b = zip(*set(edges), strict=True) if edges else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     """One task's share: whole small groups, or a pair of blocks of one group.
     Returns link counts (kind 0) and edges of spanning forests (kind 1)."""
@@ -221,6 +307,45 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+_SHARE = ("split", "task", "one", "two")
+
+
+def _dealt(members: DataFrame, key: str, tasks: int) -> DataFrame:
+    """``members`` (node, blocks, the group's ``key``) with the shares of work
+    (split, task, one, two) that they take part in: groups of one block share
+    ``tasks``, of others each pair of blocks is a share of its own."""
+    shared = F.array(F.struct(F.pmod(F.xxhash64(key), F.lit(tasks)).alias("task"), F.lit(0).alias("one"), F.lit(0).alias("two")))
+    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.col(key).alias("task"), F.least(j, "block").alias("one"), F.greatest(j, "block").alias("two")))
+    return members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("t", F.explode(F.when(F.col("blocks") == 1, shared).otherwise(against))) \
+        .withColumn("split", F.col("blocks") > 1).select("*", "t.task", "t.one", "t.two")
+
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """(node, root): the candidate groups of ``classes`` (node, bands, sketch).
+    Classes that can have no link may be missing."""
+    # rough groups: all members of a band hang on its smallest
+    placed = classes.select("node", F.explode("bands").alias("band"))
+    low = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
+    edges = placed.join(low, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    rough = lineage_cut(components(edges))
+    large = rough.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > few)
+    crowd = rough.join(large, "root", "left_semi").select("node")
+    many = crowd.count()
+    if not many:
+        return rough
+
+    # in large ones, members of a band hold together where their sketches agree
+    most = most_unlike(math.prod(bands_and_rows(threshold, recall)), threshold)
+    placed = classes.join(crowd, "node", "left_semi").select("node", "sketch", F.explode("bands").alias("band"))
+    sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1") \
+        .select("band", F.ceil(F.col("members") / F.lit(block * SKETCH_BLOCKS)).cast("int").alias("blocks"))
+    dealt = _dealt(placed.join(sizes, "band"), "band", -(-many // BLOCK) * 4).select(*_SHARE, "band", "node", "block", "sketch")
+    alike = lineage_cut(dealt.groupBy(*_SHARE).applyInArrow(lambda t: _refine(t, most), "a long, b long"))
+    return rough.join(large, "root", "left_anti").select("node", "root").union(components(alike))
+
+
 def _classes(rows: DataFrame, threshold: float, recall: float, size: int, block: int) -> tuple[DataFrame, DataFrame]:
     """For ``rows`` (doc_id, text, mark): their ``signatures``, and for each
     digest (digest, copies, links, low), where links are those to other
@@ -229,30 +354,19 @@ def _classes(rows: DataFrame, threshold: float, recall: float, size: int, block:
     signed = lineage_cut(signatures(rows, threshold, recall, size))
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     classes = lineage_cut(signed.where("digest IS NOT NULL").groupBy("digest")
-                          .agg(F.min(F.struct(first.alias("row"), "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
+                          .agg(F.min(F.struct(first.alias("row"), "bands", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies"))
                           .select("digest", F.monotonically_increasing_id().alias("node"), F.col("first.row").alias("first"),
-                                  "copies", F.col("first.bands").alias("bands")))
+                                  "copies", F.col("first.bands").alias("bands"), F.col("first.sketch").alias("sketch")))
 
-    # candidates: all members of a band hang on its smallest
-    placed = classes.select("node", F.explode("bands").alias("band"))
-    low = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
-    edges = placed.join(low, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    groups = lineage_cut(components(edges))
+    groups = lineage_cut(candidates(classes, threshold, recall, block))
 
     # verification: small groups together, large ones a block against another
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    tasks = max(1, -(-groups.count() // block))
     firsts = classes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), "copies", "digest")
-    members = groups.join(sizes, "root").join(firsts, "node") \
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    shared = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.lit(0).alias("one"), F.lit(0).alias("two")))
-    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.col("root").alias("task"), F.least(j, "block").alias("one"), F.greatest(j, "block").alias("two")))
-    dealt = members.join(rows, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))) \
-        .withColumn("t", F.explode(F.when(F.col("blocks") == 1, shared).otherwise(against))) \
-        .select((F.col("blocks") > 1).alias("split"), "t.task", "t.one", "t.two", "root", "node", "block", "copies", "digest", "text")
-    found = lineage_cut(dealt.groupBy("split", "task", "one", "two")
-                        .applyInArrow(lambda t: _verify(t, threshold, size), "kind int, a long, b long"))
+    members = groups.join(sizes, "root").join(firsts, "node")
+    dealt = _dealt(members.join(rows, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))),
+                   "root", max(1, -(-groups.count() // block))).select(*_SHARE, "root", "node", "block", "copies", "digest", "text")
+    found = lineage_cut(dealt.groupBy(*_SHARE).applyInArrow(lambda t: _verify(t, threshold, size), "kind int, a long, b long"))
 
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b")).join(classes.select("node", "first"), "node")

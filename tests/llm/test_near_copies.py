@@ -1,7 +1,7 @@
 """MinHash join against brute force over all pairs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,6 +68,81 @@ def test_large_group_in_blocks(spark):
     assert result(nc.join(df, block=25)) == brute_force(rows)
 
 
+def templates(rng, texts, shared, own):
+    """Texts of which a share is one template: many bands in common, no links."""
+    base = words(rng, shared)
+    return [f"{base} {words(rng, own)}" for _ in range(texts)]
+
+
+def test_template_texts_are_no_candidates(spark):
+    """A third to a half of the words in common: one rough group, of which only
+    planted near copies are left to be verified."""
+    rng = random.Random(8)
+    rows = list(enumerate(templates(rng, 300, 100, 90) + templates(rng, 200, 80, 100)))
+    for k in (3, 77, 290, 410):
+        w = rows[k][1].split()
+        w[-2] = "changed"
+        rows.append((1000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert sum(links for *_, links in want) == 8
+    assert result(nc.join(df)) == want
+    assert result(nc.join(df, block=7)) == want  # sketches in blocks too
+    classes = nc.signatures(df.withColumn("mark", nc.mark(df["text"]))).withColumnRenamed("doc_id", "node").checkpoint()
+    assert nc.candidates(classes, few=1000).count() > 150  # without the sketches
+    planted = {k + x for k in (3, 77, 290, 410) for x in (0, 1000)}
+    groups = nc.candidates(classes).collect()
+    assert planted <= {r.node for r in groups} and max(Counter(r.root for r in groups).values()) <= nc.FEW
+    found = {r.node for r in nc.candidates(classes, few=1).collect()}  # all rough groups refined
+    assert planted <= found and len(found) < 20
+
+
+def test_linked_sketches_agree():
+    """Pairs at the threshold, small sets too, stay within the bound on
+    differing values; pairs at a third do not."""
+    rng = np.random.default_rng(12)
+    bands, rows = nc.bands_and_rows()
+    n = bands * rows
+    a = rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    most = nc.most_unlike(n)
+
+    def unlike(x, y):
+        x, y = (np.unpackbits(np.frombuffer(nc.sketch(nc._minima(v, a, b)), np.uint8)).reshape(2, -1) for v in (x, y))
+        return int((x != y).any(axis=0).sum())
+
+    for size in (1, 4, 40, 100):
+        for _ in range(1000):
+            s = rng.integers(0, 1 << 63, 5 * size).astype(np.uint64)
+            assert unlike(s, s[size:]) <= most  # 4 of 5 shared
+    far = [unlike(s[:100], s[50:]) for s in rng.integers(0, 1 << 63, (1000, 150)).astype(np.uint64)]
+    assert sum(x <= most for x in far) <= 1
+
+
+def test_forest_of_sketches():
+    """Equal to components by all pairs, within one block and between two."""
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, (6, 8)).astype(np.uint64)
+    sketches = base[rng.integers(0, 6, 80)] ^ (np.uint64(1) << rng.integers(0, 60, (80, 8)).astype(np.uint64))
+    names = rng.permutation(1000)[:80]
+    for side in (None, rng.integers(0, 2, 80).astype(bool)):
+        root = {int(x): int(x) for x in names}
+
+        def find(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for i in range(80):
+            for j in range(i):
+                x = sketches[i] ^ sketches[j]
+                if (side is None or side[i] != side[j]) and int(np.bitwise_count(x[:4] | x[4:]).sum()) <= 20:
+                    u, v = find(int(names[i])), find(int(names[j]))
+                    root[max(u, v)] = min(u, v)
+        edges = nc._alike(names, sketches, side, 20)
+        assert sorted(edges) == sorted((k, find(k)) for k in root if find(k) != k)
+
+
 def test_one_id_on_different_texts(spark):
     """Near copies of each other, and of others, under one id; and an id on many texts."""
     rng = random.Random(5)
