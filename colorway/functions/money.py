@@ -69,5 +69,6 @@ def whole_number(value: Column) -> Column:
     database takes it for an integer column; NULL if it is none ("12x",
     "125.5", "true", beyond 64 bits)."""
     text = F.trim(value.cast("string"))
+    digits = text.rlike(r"^[+-]?[0-9]{1,18}$")  # the usual shape fits 64 bits and needs no decimals
     exact = F.when(text.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"), text).try_cast("decimal(38,9)")
-    return F.when(exact == F.floor(exact), exact).try_cast("bigint")
+    return F.when(digits, text.try_cast("bigint")).otherwise(F.when(exact == F.floor(exact), exact).try_cast("bigint"))

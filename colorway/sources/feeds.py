@@ -71,13 +71,16 @@ def checkout_requests(tables) -> DataFrame:
     """S7 rows: each order request in the checkout JSON shape. The cart is
     the order's lines; guests get a contact and address made from the
     request (phone only with a city; state and post code only for Pune);
-    members send their e-mail."""
+    members send their e-mail. Requests without a user's id get a key of their
+    own that meets no user, so they spread over the tasks."""
     r = tables["order_requests"]
     cart = tables["order_items"].groupBy("order_id").agg(F.sort_array(F.collect_list(
         F.struct("variant_id", F.col("quantity").alias("qty"), "price"))).alias("cartItems"))
-    users = tables["users"].select(F.col("id").alias("_uid"), F.col("email").alias("_email"))
+    users = tables["users"].select(F.concat(F.lit("="), F.col("id").cast("string")).alias("_uid"), F.col("email").alias("_email"))
     r = r.join(cart, r["request_id"] == cart["order_id"], "left").drop("order_id")
-    r = r.join(users, F.col("customer_id").try_cast("bigint") == users["_uid"], "left")
+    r = r.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("customer_id").try_cast("bigint").cast("string")),
+                                        F.concat(F.lit("-"), F.col("request_id").cast("string"))))
+    r = r.join(users, r["_key"] == users["_uid"], "left")
     guest = F.col("customer_id").startswith("guest_")
     rid = F.col("request_id")
     pune = F.col("guest_city") == "Pune"

@@ -245,3 +245,36 @@ def test_bad_requests_in_a_stream(spark, scratch):
         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(seen) == [("error", "b"), ("order", "a")]
+
+
+def test_a_request_line_is_parsed_once(spark, scratch):
+    """S7 -> D5: filters on a request's fields do not parse its line again."""
+    from colorway.sources import io
+    path = f"{scratch}/requests"
+    spark.createDataFrame([('{"request_id":"1","action":"create-order","amount":"5","cartItems":[{"variant_id":"a","qty":1,"price":2}]}',),
+                           ("[1]",), (" ",), ('{"request_id":"2","act',)], "value string").write.text(path)
+    made = OR.build_orders(io.order_requests(spark, path))
+    for name, rows in (("orders", 1), ("order_items", 1), ("errors", 2)):
+        assert made[name]._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1, name
+        assert made[name].count() == rows
+
+
+def test_whole_number_takes_what_an_integer_column_takes(spark):
+    from colorway.functions import money as M
+    cases = {"7": 7, " +12 ": 12, "-3": -3, "9" * 18: int("9" * 18), str(2 ** 63 - 1): 2 ** 63 - 1, str(2 ** 63): None, "007": 7, "12.0": 12,
+             "1e2": 100, "125.5": None, "12x": None, "": None, "+": None, "true": None}
+    got = spark.createDataFrame([(c,) for c in cases], "v string").select("v", M.whole_number(F.col("v")).alias("n")).collect()
+    assert {r["v"]: r["n"] for r in got} == cases
+
+
+def test_requests_without_a_user_spread_over_the_tasks(spark):
+    """Guests and requests without a customer meet no user in a task of their own."""
+    from colorway.sources import feeds as FD
+    from conftest import tables
+    t = tables(spark, users=[{"id": 5, "email": "u5@x"}, {"id": None, "email": "none@x"}],
+               order_requests=[{"request_id": k, "customer_id": c, "amount": 1} for k, c in
+                               enumerate(["5", "05", "guest_3", "", None, "99999999999999999999"])])
+    df = FD.checkout_requests(t)
+    assert {r["request_id"]: r["customerEmail"] for r in df.collect()} == {
+        "0": "u5@x", "1": "u5@x", "2": "guest2@example.com", "3": None, "4": None, "5": None}
+    assert "coalesce(concat(=" in df._jdf.queryExecution().optimizedPlan().toString()
