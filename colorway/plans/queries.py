@@ -63,7 +63,7 @@ def q_scan_table(t):
     return p.select(*[c for c in p.columns if c != "images"], list_text(F.col("images")).alias("images"))
 
 
-#: Buckets of the stored catalog tables of the registered key.
+#: Least buckets of the stored catalog tables of the registered key.
 STORED_BUCKETS = 8
 
 
@@ -80,10 +80,11 @@ def stored_catalog(t) -> dict[str, DataFrame]:
         .withColumn("available_count", F.greatest(F.col("inventory_count") - 5, F.lit(0).cast("long"))),
         "reviews": t["reviews"].withColumn("product_id", product).withColumn("user_id", text_id("user", "user_id")),
     }
+    buckets = io.bucket_count(STORED_BUCKETS, *rows.values())
     for name, df in rows.items():
-        io.store_table(df, folder, name, STORED_BUCKETS)
+        io.store_table(df, folder, name, buckets)
     io.store_table(t["categories"], folder, "categories")
-    return {**{n: io.scan_table(t.spark, folder, n, STORED_BUCKETS) for n in rows}, "categories": io.scan_table(t.spark, folder, "categories")}
+    return {**{n: io.scan_table(t.spark, folder, n, buckets) for n in rows}, "categories": io.scan_table(t.spark, folder, "categories")}
 
 
 @query("catalog_stored")

@@ -231,9 +231,11 @@ def q_orders_paid_stream(t):
     return JB.orders_with_payments(t["orders_t"], paid).select(F.col("id").alias("order_id"), "status")
 
 
-def _stored(t, name: str, df: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows written as a stored table and read by ``scan_table``."""
+def _stored(t, name: str, df: DataFrame, least: int | None = None) -> DataFrame:
+    """Rows written as a stored table, in ``least`` buckets or more if they
+    come from large tables, and read by ``scan_table``."""
     folder = fresh_folder(t, "stored")
+    buckets = IO.bucket_count(least, df) if least else None
     IO.store_table(df, folder, name, buckets)
     return IO.scan_table(t.spark, folder, name, buckets)
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colorway.session import source_bytes
 from colorway.sources.schemas import BUCKETED_BY, MISFIT, ORDER_REQUEST_TEXT, SCHEMAS, STORED
 
 VERSION_DIGITS = 10
@@ -24,6 +25,21 @@ JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # --- S1 ------------------------------------------------------------------------
 
+# Bytes of the tables read for each bucket that is stored: one task sorts a
+# bucket, and rows are several times larger there than in their source.
+SOURCE_BYTES_PER_BUCKET = 32 * 1024 * 1024
+
+
+def bucket_count(least: int, *frames: DataFrame, bytes_each: int = SOURCE_BYTES_PER_BUCKET) -> int:
+    """The number of buckets for tables that meet: ``least``, doubled until a
+    bucket has at most ``bytes_each`` of what the tables read (a metadata read
+    on the driver), so a bucket does not grow with the input."""
+    size, n = sum(source_bytes(df) for df in frames), least
+    while n * bytes_each < size:
+        n *= 2
+    return n
+
+
 def scan_table(spark: SparkSession, directory: str, name: str, buckets: int | None = None) -> DataFrame:
     """A shop table stored as parquet, read under its fixed schema.
     ``buckets``: the table was stored in so many (``store_table``), so joins

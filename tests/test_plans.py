@@ -182,3 +182,23 @@ def test_stored_columns_and_text_ids(spark, scratch):
     io.store_table(spark.createDataFrame([("d-uuid", "12.5")], "id string, discount_value string"), scratch, "discount_codes")
     code = io.scan_table(spark, scratch, "discount_codes").first()
     assert code["id"] == "d-uuid" and float(code["discount_value"]) == 12.5
+
+
+def test_stored_buckets_follow_the_size_of_their_source(spark, monkeypatch):
+    """A bucket, which one task sorts, does not grow with the input."""
+    from colorway.plans import queries as Q
+    from colorway.plans import state_queries as SQ
+    from colorway.sources import io
+    from colorway.sources.fixtures import load_tables
+    t = load_tables(spark, SF)
+    lines = t["order_items"]
+    assert io.bucket_count(4, lines) == 4
+    stored = []
+    monkeypatch.setattr(io, "store_table", lambda df, folder, name, buckets=None: stored.append((name, buckets)))
+    monkeypatch.setattr(io, "scan_table", lambda spark, folder, name, buckets=None: stored.append((name, buckets)))
+    monkeypatch.setattr(io, "source_bytes", lambda df: 10 * io.SOURCE_BYTES_PER_BUCKET)
+    SQ._stored(t, "order_items", lines, 4)
+    assert stored == [("order_items", 16)] * 2
+    stored.clear()
+    Q.stored_catalog(t)
+    assert {n: b for n, b in stored if n != "categories"} == dict.fromkeys(("products", "product_colors", "product_variants", "reviews"), 64)
