@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colorway.session import range_partitions
+
 # The columns the colour-first migration drops from variants.
 LEGACY_VARIANT_COLUMNS = ["color", "color_hex", "images"]
 
@@ -30,6 +32,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # The checks of D8.
 KEY_CHECKS = ("colors_product_slug", "catalog_color_id", "catalog_slugs", "cart_session_variant")
+# Bytes of the tables read for each task that counts keys.
+KEY_SOURCE_BYTES = 16 * 1024 * 1024
 
 
 def key_checks(tables) -> DataFrame:
@@ -41,11 +45,13 @@ def key_checks(tables) -> DataFrame:
     Each table is read once: a colour gives its own key and, for every active
     product row it belongs to (the catalog's rows are the active colours of
     active products), its two catalog keys. All keys of all checks are then
-    counted by one aggregate on (check, key), and the checks by one more."""
+    dealt by (check, key) to tasks whose number follows the tables' size,
+    counted there, and the checks by one aggregate more. A check goes as its
+    place in KEY_CHECKS."""
     by_color, in_catalog, by_slugs, by_cart = KEY_CHECKS
 
     def key(check: str, first: str, second) -> Column:
-        return F.struct(F.lit(check).alias("check"), F.col(first).cast("string").alias("a"),
+        return F.struct(F.lit(KEY_CHECKS.index(check)).alias("check"), F.col(first).cast("string").alias("a"),
                         (second if second is not None else F.lit(None)).cast("string").alias("b"))
 
     slugs = tables["products"].where(F.col("is_active")).groupBy(F.col("id").alias("product_id")) \
@@ -55,11 +61,13 @@ def key_checks(tables) -> DataFrame:
     of_color = F.concat(
         F.array(key(by_color, "product_id", F.col("color_slug"))),
         F.transform(rows, lambda s: key(in_catalog, "id", None)),
-        F.transform(rows, lambda s: F.struct(F.lit(by_slugs).alias("check"), s["slug"].alias("a"), F.col("color_slug").cast("string").alias("b"))))
+        F.transform(rows, lambda s: F.struct(F.lit(KEY_CHECKS.index(by_slugs)).alias("check"), s["slug"].alias("a"), F.col("color_slug").cast("string").alias("b"))))
     keys = colors.select(F.explode(of_color).alias("k")).select("k.*").unionByName(
         tables["order_items"].select(key(by_cart, "order_id", F.col("variant_id")).alias("k")).select("k.*"))
+    # keys are nearly all distinct: counting them before the shuffle as well would only hold them twice
+    keys = keys.repartition(range_partitions(keys, bytes_each=KEY_SOURCE_BYTES), "check", "a", "b")
     twice = keys.groupBy("check", "a", "b").agg((F.count(F.lit(1)) > 1).alias("twice"))
-    counts = twice.agg(*[F.count_if(F.col("twice") & (F.col("check") == c)).alias(c) for c in KEY_CHECKS])
+    counts = twice.agg(*[F.count_if(F.col("twice") & (F.col("check") == k)).alias(c) for k, c in enumerate(KEY_CHECKS)])
     return counts.unpivot([], list(KEY_CHECKS), "check", "violations")
 
 

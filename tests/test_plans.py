@@ -202,3 +202,14 @@ def test_stored_buckets_follow_the_size_of_their_source(spark, monkeypatch):
     stored.clear()
     Q.stored_catalog(t)
     assert {n: b for n, b in stored if n != "categories"} == dict.fromkeys(("products", "product_colors", "product_variants", "reviews"), 64)
+
+
+def test_key_checks_deal_their_keys_by_the_size_of_the_tables(spark, monkeypatch):
+    """The tasks that count keys grow in number, not in size."""
+    from colorway.operators import quality as QL
+    from colorway.sources.fixtures import load_tables
+    t = load_tables(spark, SF)
+    monkeypatch.setattr(QL, "KEY_SOURCE_BYTES", 1024)
+    plan = QL.key_checks(t)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = int(plan.split("RepartitionByExpression")[1].split("], ")[1].split("\n")[0].split(",")[0])
+    assert dealt > int(spark.conf.get("spark.sql.shuffle.partitions")), plan
