@@ -173,15 +173,22 @@ def _older(t) -> dict:
                                                     .otherwise(F.lit(0))).drop("_old")}
 
 
+#: Bytes of source tables for each bucket of the refreshed catalog. Small
+#: buckets, since a batch reads and rewrites whole buckets around its products.
+REFRESH_SOURCE_BYTES = 8 * 1024 * 1024
+
+
 @query("catalog_refresh")
 def q_catalog_refresh(t):
     """X2's batch body on the state of the older shop, over the change table in
     two batches, with source tables stored by the product's bucket; the state
-    must equal a full rebuild."""
+    must equal a full rebuild. The number of buckets follows the tables' size,
+    so a batch reads and rewrites buckets of one size around its products."""
     base, sources = fresh_folder(t, "refresh"), fresh_folder(t, "sources")
-    ST.create(CT.color_catalog(_older(t)), base, "product_id")
-    ST.store_by_product(t, sources, ST.LEAST_BUCKETS)
-    step = JB.refresh_catalog_batch(lambda: ST.tables_by_product(t.spark, sources), base, source_buckets=ST.LEAST_BUCKETS)
+    buckets = min(ST.MOST_BUCKETS, IO.bucket_count(ST.LEAST_BUCKETS, *[t[n] for n in ST.BY_PRODUCT], bytes_each=REFRESH_SOURCE_BYTES))
+    ST.create(CT.color_catalog(_older(t)), base, "product_id", buckets)
+    ST.store_by_product(t, sources, buckets)
+    step = JB.refresh_catalog_batch(lambda: ST.tables_by_product(t.spark, sources), base, source_buckets=buckets)
     feed = t["catalog_changes"]
     cut = _median(feed, "event_id")
     step(feed.where(F.col("event_id") < F.lit(cut)), 0)

@@ -115,12 +115,13 @@ def write(rows: DataFrame, base: str, version: int, key: str, buckets: int, only
 
 def create(df: DataFrame, base: str, key: str, buckets: int | None = None, version: int = 0) -> None:
     """A state with every bucket written (by default as version 0)."""
-    rows = df.persist()  # counted, then written
+    rows = df if buckets else df.persist()  # counted, then written
     try:
         n = buckets or bucket_count(rows.count())
         write(rows, base, version, key, n, df.sparkSession.range(n).select(F.col("id").cast("int").alias(BUCKET)))
     finally:
-        rows.unpersist()
+        if not buckets:
+            rows.unpersist()
 
 
 def superseded(spark: SparkSession, base: str, keep: int = 2) -> DataFrame | None:

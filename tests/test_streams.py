@@ -348,3 +348,29 @@ def test_cart_job_after_init(spark, scratch):
 
 def test_a_state_has_a_bucket_for_so_many_rows():
     assert [ST.bucket_count(n) for n in (0, 5, 3_000_000, 10 ** 12)] == [16, 16, 30, 4096]
+
+
+def test_a_state_of_given_buckets_is_written_without_keeping_its_rows(spark, scratch, monkeypatch):
+    """Rows are kept only where they have to be counted first."""
+    base = os.path.join(scratch, "given")
+    rows = spark.createDataFrame([(k, k * 2) for k in range(50)], "product_id long, n long")
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: 1 / 0)
+    ST.create(rows, base, "product_id", 32)
+    assert ST.previous(spark, base, 1) == (0, 32)
+    assert sorted(map(tuple, ST.read(spark, base).collect())) == [(k, k * 2) for k in range(50)]
+
+
+def test_refresh_buckets_follow_the_size_of_the_tables(spark, monkeypatch):
+    """A batch reads and rewrites whole buckets, whose size does not grow."""
+    from colorway.plans import state_queries as SQ
+    from colorway.sources import io
+    from colorway.sources.fixtures import load_tables
+    t = load_tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(io, "source_bytes", lambda df: 16 * SQ.REFRESH_SOURCE_BYTES)
+    made = []
+    monkeypatch.setattr(ST, "create", lambda df, base, key, buckets=None: made.append(buckets))
+    monkeypatch.setattr(ST, "store_by_product", lambda t, base, buckets: made.append(buckets))
+    monkeypatch.setattr(jobs, "refresh_catalog_batch", lambda *a, source_buckets: made.append(source_buckets) or (lambda batch, k: None))
+    monkeypatch.setattr(ST, "read", lambda spark, base: made)
+    monkeypatch.setattr(SQ, "flat_catalog", lambda df: df)
+    assert SQ.q_catalog_refresh(t) == [64, 64, 64]
