@@ -100,13 +100,17 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
 def order_item_details(items: DataFrame, variants: DataFrame, colors: DataFrame, products: DataFrame) -> DataFrame:
     """J10's item display fields: each order line with its product's name and
     slug, the variant's size, its colour's name, and an image (the colour's
-    first, else the product's). Lines of unknown variants keep NULLs."""
+    first, else the product's). Lines of unknown variants keep NULLs; their
+    variant stands for the colour's id in the join, so they spread over the
+    tasks."""
     v = variants.select(F.col("id").alias("variant_id"), "size", "color_id")
-    c = colors.select(F.col("id").alias("color_id"), "color_name", F.col("images").alias("_ci"))
+    c = colors.select(F.concat(F.lit("="), F.col("id").cast("string")).alias("_key"), "color_name", F.col("images").alias("_ci"))
     p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                         F.col("slug").alias("product_slug"), F.col("images").alias("_pi"))
-    out = items.join(v, "variant_id", "left").join(c, "color_id", "left").join(p, "product_id", "left")
-    return out.withColumn("image", D.detail_image(F.col("_ci"), F.col("_pi"))).drop("_ci", "_pi")
+    out = items.join(v, "variant_id", "left").withColumn("_key", F.coalesce(
+        F.concat(F.lit("="), F.col("color_id").cast("string")), F.concat(F.lit("-"), F.col("variant_id").cast("string"))))
+    out = out.join(c, "_key", "left").join(p, "product_id", "left")
+    return out.withColumn("image", D.detail_image(F.col("_ci"), F.col("_pi"))).drop("_ci", "_pi", "_key")
 
 
 def order_history(orders: DataFrame, items: DataFrame) -> DataFrame:

@@ -94,3 +94,18 @@ def test_quality(spark):
     filled = QL.color_defaults(spark.createDataFrame([("c", None, None)], "id string, images array<string>, sort_order int"),
                                "2024-01-01 00:00:00").collect()[0]
     assert filled["images"] == [] and filled["sort_order"] == 0 and filled["is_active"] is True
+
+
+def test_order_lines_of_unknown_variants_spread_over_the_tasks(spark):
+    """Lines without a colour do not meet in one task of the join with the colours."""
+    from conftest import tables
+
+    from colorway.operators import accounts as AC
+    t = tables(spark, order_items=[{"order_id": k, "product_id": 1, "variant_id": v} for k, v in enumerate(["v1", "x1", "x2", None])],
+               product_variants=[{"id": "v1", "size": "M", "color_id": "c1"}, {"id": "v2", "size": "S", "color_id": None}],
+               product_colors=[{"id": "c1", "color_name": "Ash", "images": ["a"]}, {"id": None, "color_name": "none", "images": []}],
+               products=[{"id": 1, "name": "P", "slug": "p", "images": ["p"]}])
+    d = AC.order_item_details(t["order_items"], t["product_variants"], t["product_colors"], t["products"])
+    assert {r["order_id"]: (r["color_name"], r["image"], r["size"], r["product_name"]) for r in d.collect()} == {
+        0: ("Ash", "a", "M", "P"), 1: (None, "p", None, "P"), 2: (None, "p", None, "P"), 3: (None, "p", None, "P")}
+    assert "coalesce(concat(=" in d._jdf.queryExecution().optimizedPlan().toString()
