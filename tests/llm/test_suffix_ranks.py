@@ -1,8 +1,10 @@
 """Removal of repeated bytes against all strings of 400 bytes."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from llm_fixtures import collected
 
@@ -136,3 +138,52 @@ def test_anchors_are_the_lowest_of_each_stretch(monkeypatch):
             base += len(d)
         runs = [w for k, w in enumerate(want) if not k or w[1] != want[k - 1][1]]
         assert list(zip(start.tolist(), at.tolist())) == runs
+
+
+def test_hashes_hold_little_beside_their_sums():
+    """Their sums are 8 bytes for each of the text; tables of all powers were 16 more for each hash."""
+    text = np.random.default_rng(8).integers(0, 256, 2_000_000, np.uint8)
+    sr.Hashes(text[:10], 0)
+    tracemalloc.start()
+    try:
+        both = [sr.Hashes(text, which) for which in (0, 1)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(both) == 2 and peak < 20 * len(text)
+
+
+def test_hashes_follow_their_definition_across_steps():
+    text = np.random.default_rng(9).integers(0, 256, 3 * 16 * sr._STEP // 2 + 5, np.uint8)
+    text[-700:] = text[sr._STEP - 350:sr._STEP + 350]
+    for which, base in enumerate(sr._BASES):
+        h = sr.Hashes(text, which)
+        for a, b in ((0, 400), (sr._STEP - 3, sr._STEP + 397), (16 * sr._STEP - 200, 16 * sr._STEP + 200), (len(text) - 400, len(text))):
+            x = sum(int(sr._TABLES[which][c]) * pow(base, k, 1 << 64) for k, c in enumerate(text[a:b].tolist())) % (1 << 64)
+            assert int(h.of(np.array([a]), np.array([b]))[0]) == (x ^ x >> 31) * int(sr._A) % (1 << 64)
+        low = np.array([sr._STEP - 350, len(text) - 700])
+        assert len(set(h.of(low, low + 700).tolist())) == 1
+
+
+def test_results_leave_a_part_pack_by_pack():
+    """A part's results are not one batch, which Spark's reader would hold whole."""
+    rows = sr.pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [b"text %d" % k for k in range(40)]})
+    left = sr.pa.Table.from_batches(sr._packer(5, 1000, 16)(iter([rows])))
+    types = {"kind": "int32", "nth": "int64", "body": "binary", "core": "int64", "union": "int64", "settled": "bool", "asked": "bool"}
+    info = sr.pa.table({c: sr.pa.array([], t) for c, t in types.items()})
+    out = sr._finish(400, 3)((sr.pa.scalar(0),), left.take(list(range(len(left)))[::-1]), info)
+    assert [len(b) for b in out.to_batches()] == [5] * 8
+    assert out["doc_id"].to_pylist() == list(range(40)) and out["kept"].to_pylist() == rows["text"].to_pylist()
+
+
+def test_packs_are_not_compressed_twice(spark):
+    """Parquet's codec would hold native buffers as large as all packs of a part."""
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(k, prose(rng, 3000)) for k in range(60)], "doc_id long, text string")
+    table, size = sr.packs(docs, "doc_id", "text", 10, 100_000, 16)
+    assert size == 180_000 and table.agg({"n_bytes": "sum"}).first()[0] == size
+    codecs = set()
+    for f in table.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+        codecs |= {meta.row_group(g).column(c).compression for g in range(meta.num_row_groups) for c in range(meta.num_columns)}
+    assert codecs == {"UNCOMPRESSED"}
